@@ -5,8 +5,8 @@ live files with their sizes, rows and level. Arrivals are appended as small file
 tier ``floor(log(bytes / floor_bytes, fanout))``; a tier with ``fanout`` files or more is a run: its
 files are read together and rewritten as files of about the target size, without a shuffle.
 Files at the target size rest. Each step writes its files first and then commits the next
-version by creating its manifest, which only one writer can do; losers retry on the newer
-manifest. Readers hold the version that they opened; ``vacuum`` removes files that no kept version names.
+version by renaming its manifest into place, which fails where that version is there already; the
+loser retries on the newer one. Readers hold the version that they opened; ``vacuum`` removes files that no kept version names.
 
 Defined cases: an append of no rows commits a version without new files; null values, repeated
 rows, extra columns and any text pass through unchanged; the schema is the first append's.
@@ -49,18 +49,22 @@ class ShardStore:
 
     def _commit(self, manifest: dict) -> bool:
         """Creates the manifest of its version; False where another writer did so first."""
-        jvm = self.spark.sparkContext._jvm
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         fs, final = hadoop(self.spark, f"{self.path}/manifests/v{manifest['version']:020d}.json")
         fs.mkdirs(final.getParent())
+        draft = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}.draft")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.close()
+        refuse = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # no overwriting
         try:
-            out = fs.create(final, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, refuse)
         except Exception:
+            fs.delete(draft, False)
             if fs.exists(final):
                 return False
             raise
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
-        return jvm is not None
+        return True
 
     def _swap(self, added: list[dict], gone: list[str], schema: str | None) -> dict:
         """Commits the live files with some added and some gone, on whatever version is the newest by then."""
