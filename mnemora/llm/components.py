@@ -1,0 +1,36 @@
+"""Connected components of links between nodes, as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def contract(links: DataFrame) -> DataFrame:
+    """(node, root) of every node with a link, root the smallest node of its component. links: a, b.
+
+    Each round every remaining root takes the smallest of its neighbours and itself, twice over, and the
+    links are drawn between the new roots; every round at least halves the roots that still have links.
+    Only the links between roots shrink from round to round and are written, never gathered.
+    """
+    links = written(links.select("a", "b").filter("a <> b").distinct(), "links")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = None
+    while True:
+        step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+        step = written(step, "step")
+        if roots is None and step.limit(1).count() == 0:
+            return step.select("node", F.col("up").alias("root"))
+        twice = step.alias("s").join(step.alias("t"), F.col("s.up") == F.col("t.node"), "left").select(F.col("s.node").alias("node"), F.coalesce("t.up", "s.up").alias("up"))
+        twice = written(twice, "up")
+        if roots is None:
+            roots = twice.select("node", F.col("up").alias("root"))
+        else:
+            roots = roots.alias("r").join(twice.alias("u"), F.col("r.root") == F.col("u.node"), "left").select("r.node", F.coalesce("u.up", "r.root").alias("root"))
+        roots = written(roots, "roots")
+        left = both.join(twice.withColumnsRenamed({"node": "a", "up": "ra"}), "a").join(twice.withColumnsRenamed({"node": "b", "up": "rb"}), "b")
+        both = written(left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), "links")
+        if both.limit(1).count() == 0:
+            return roots
