@@ -25,15 +25,15 @@ from .common import ship, text_of
 
 CAPACITY = 1024
 END_ID = 0
-#: Word pieces that a worker remembers with their ids; beyond it the memory is emptied.
-CACHE_WORDS = 600_000
-GROUP = 256
+#: Words that a worker remembers with their ids; beyond it the memory is emptied.
+CACHE_WORDS = 1_000_000
+GROUP = 512
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts. Words recur, so ids are remembered for each piece between blanks.
+    """Ids of texts. Words recur, so ids are remembered for each word with the blank before it.
 
     The pre-tokenizer never joins what stands before a blank to it unless that is white space too,
     so a text without white space before a blank may be cut at its blanks; others are encoded whole.
@@ -47,31 +47,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.runs = re.compile(r"\s ")
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words, each with a blank before it; returned for long ones, remembered for others.
+
+        Plain words are encoded as the lines of one text: a line feed before a blank and a word is a
+        token of its own, and they have none in them.
+        """
+        import numpy as np
+
+        plain = [w for w in words if w and w.isprintable() and "<|" not in w]
+        out: dict[str, bytes] = {}
+        if plain:
+            ids = np.asarray(self.tokenizer.encode("\n " + "\n ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.feed)).tolist(), 4 * len(ids)]
+            flat = ids.tobytes()
+            if len(ends) == len(plain) + 1:
+                out = {w: flat[a + 4 : b] for w, a, b in zip(plain, ends, ends[1:], strict=False)}
+        others = [w for w in words if w not in out]
+        out |= zip(others, self._ids([" " + w for w in others]), strict=True)
+        long = {w: ids for w, ids in out.items() if len(w) > 48}
+        for w in long:
+            del out[w]
+        self.known |= out
+        return long
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = []
+        cut: list[tuple[str, list[str]]] = []
+        new: set[str] = set()
         for t in texts:
             if self.runs.search(t):
-                cut.append([t])
+                cut.append((t, []))
             else:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
+                words = t.split(" ")
+                cut.append((words[0], words[1:]))
+                new.update(cut[-1][1])
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        once = {}
-        for p, ids in zip(new, self._ids(new), strict=True):
-            (known if len(p) <= 48 else once)[p] = ids
-        if not once:
-            return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        return [b"".join([once[p] if p in once else known[p] for p in pieces]) for pieces in cut]
+        long = self._learn(list(new.difference(self.known)))
+        get = self.known.__getitem__
+        if long:
+            known = self.known
+            get = lambda w: known[w] if w in known else long[w]
+        return [b"".join((head, *map(get, words))) for head, (_, words) in zip(self._ids([t for t, _ in cut]), cut, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
