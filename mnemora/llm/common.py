@@ -103,3 +103,14 @@ def fingerprint(text: Column) -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows, found by reading no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, a struct of all columns: what an operator adds meets no column of the same name."""
+    return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of ``row`` with a new text, and n_chars to match where there is one."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns])

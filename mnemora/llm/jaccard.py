@@ -326,3 +326,17 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gone = written(gone, "copies").hint("shuffle_hash")
     th = fingerprint(text_of(docs))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (th == gone["_th"]), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE j_doc AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+j_pos AS (SELECT rid, w, least(4, len(w)) AS k, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM j_doc WHERE len(w) > 0),
+j_set AS (SELECT DISTINCT rid, array_to_string(w[i:i + k - 1], ' ') AS g FROM j_pos),
+j_size AS (SELECT rid, count(*) AS n FROM j_set GROUP BY rid),
+j_pair AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM j_set a JOIN j_set b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+j_link AS (SELECT x, y FROM j_pair JOIN j_size s ON s.rid = x JOIN j_size t ON t.rid = y WHERE 100 * c >= 85 * (s.n + t.n - c)),
+j_both AS (SELECT x, y FROM j_link UNION ALL SELECT y, x FROM j_link),
+j_reach AS (SELECT rid AS x, rid AS y FROM j_doc UNION SELECT r.x, b.y FROM j_reach r JOIN j_both b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+FROM j_doc d JOIN j_reach r ON r.x = d.rid JOIN j_doc e ON e.rid = r.y LEFT JOIN j_size s ON s.rid = d.rid GROUP BY d.rid, d.doc_id, n
+"""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RE, fingerprint, let, text_of
+from .common import WHITE, WHITE_RE, boxed, fingerprint, let, text_of, unboxed
 
 SIZE = 3
 
@@ -79,8 +79,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs in their own columns with repeated lines removed."""
-    new = {"text": F.col("d.text"), "n_chars": F.length(F.col("d.text")).cast("long")}
-    return dedup(docs).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return unboxed(dedup(boxed(docs)), docs.columns, F.col("d.text"))
 
 
 #: The lines of table {docs} and what goes; l_all has a row for each document.

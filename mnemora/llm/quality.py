@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, text_of, words_of
+from .common import WHITE, boxed, let, text_of, unboxed, words_of
 
 #: Phrases of page furniture.
 BOILERPLATE = (
@@ -109,9 +109,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of docs."""
-    q = measure(docs)
-    new = {"text": F.col("q.text"), "n_chars": F.length(F.col("q.text")).cast("long")}
-    return q.filter("q.kept").select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return unboxed(measure(boxed(docs)).filter("q.kept"), docs.columns, F.col("q.text"))
 
 
 _PHRASES = "|".join(BOILERPLATE)

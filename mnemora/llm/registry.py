@@ -65,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.SQL,
+    "op3_jaccard_join": jaccard.SQL,
     "op6_secret_scan": secrets.SQL,
     "op8_line_dedup": lines.SQL,
     "op10_decontamination": decontaminate.SQL,
