@@ -7,16 +7,17 @@ between different sets is lost, and copies are never paired: documents of equal
 1. Sieve. Every class's tokens below a fixed hash bound (a share of the hash range) are dealt by token.
    A token in one class only cannot be shared; a class with more such tokens than a link leaves
    room for has no link. This needs no order and drops most classes.
-2. Groups. The remaining classes are partitioned by their smallest token, large groups further
-   by hash, to at most some ``GROUP`` classes or ``GROUP_TOKENS`` tokens. Pairs inside a group are compared at once.
+2. Groups. The remaining classes are partitioned by the token they share with most others, large groups
+   further by hash, to at most some ``GROUP`` classes or ``GROUP_TOKENS`` tokens. Pairs inside a group are compared at once.
 3. Matrix. Tokens are ordered by rarity among the remaining classes. Linked classes share a token
    of their prefixes in this order, so the groups' unions of prefix tokens, stored by token, tell
    which groups a query may match. A query is sent to those groups; a group is opened only if the
    overlap of the query with the union of all its tokens allows a link, and then only members of
    fitting size are compared.
-4. Rounds. First the most central member of each group is the query, and the components found
-   are contracted. Then every class queries those groups that hold a larger component than its own. A family of
-   near copies thus costs some queries a group, not all pairs.
+4. Rounds. First the queries are central members of groups, one for each token of the matrix, and the
+   components found are contracted. Then every class queries those groups that hold a larger component
+   than its own. A family of near copies has few groups and is mostly one component after the
+   first round, so it costs some queries a straggler, not all pairs.
 
 Rules for rows: null text, or text without a word, is the empty set, linked with nothing
 (component_id is its doc_id); repeated rows belong to one class; null ids are ignored for the smallest id
@@ -34,7 +35,7 @@ from .common import fingerprint, ship, small_enough, text_of, written
 from .components import contract
 
 WORDS, PERCENT = 4, 85
-GROUP, GROUP_TOKENS = 128, 400_000
+GROUP, GROUP_TOKENS = 512, 400_000
 #: Queries compared with a group in one task.
 QUERIES = 512
 BROADCAST_ROWS = 300_000
@@ -187,7 +188,8 @@ def _within(table, percent: int):
     central = int(np.argmax((inter / np.maximum(1, n[:, None])).sum(axis=1) - 1e-6 * np.arange(len(sets)))) if len(sets) else 0
     l1, l2 = [first[c][0] for c in comp], [first[c][1] for c in comp]
     out = table.select(["key", "lot", "s1", "s2", "n", "tokens"])
-    for name, values, kind in (("l1", l1, pa.int64()), ("l2", l2, pa.int64()), ("central", [i == central for i in range(len(sets))], pa.bool_())):
+    reach = linked.sum(axis=1).tolist()
+    for name, values, kind in (("l1", l1, pa.int64()), ("l2", l2, pa.int64()), ("central", [i == central for i in range(len(sets))], pa.bool_()), ("reach", reach, pa.int64())):
         out = out.append_column(name, pa.array(values, kind))
     return out
 
@@ -224,7 +226,7 @@ def _opened(members, queries, percent: int):
     return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], schema=schema)
 
 
-MEMBER = "key long, lot long, s1 long, s2 long, n long, tokens array<long>, l1 long, l2 long, central boolean"
+MEMBER = "key long, lot long, s1 long, s2 long, n long, tokens array<long>, l1 long, l2 long, central boolean, reach long"
 
 
 def _label(a: Column, b: Column) -> Column:
@@ -258,39 +260,36 @@ def _linked(classes: DataFrame, percent: int) -> DataFrame:
     known = t.join(rare, "token").groupBy("s1", "s2").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     both = classes.join(known, ["s1", "s2"]).filter(F.size("shared") >= _needed(F.col("n"), percent))
     room = F.greatest(F.lit(0), F.size("shared") - _needed(F.col("n"), percent) + 1).cast("int")  # prefix length less the tokens of its own
-    alive = written(both.select("s1", "s2", "n", "tokens", F.transform(F.slice("shared", 1, room), lambda x: x["token"]).alias("prefix")), "alive")
+    alive = written(both.select("s1", "s2", "n", "tokens", F.transform(F.slice("shared", 1, room), lambda x: x["token"]).alias("prefix"), F.element_at("shared", -1)["token"].alias("key")), "alive")
 
     # groups
-    keyed = alive.withColumn("key", F.get("tokens", F.lit(0)))
-    count = keyed.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS)).alias("lots")).filter("lots > 1")
+    count = alive.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS)).alias("lots")).filter("lots > 1")
     if small_enough(count, BROADCAST_ROWS):
         count = F.broadcast(count)
-    dealt = keyed.join(count, "key", "left").withColumn("lot", F.pmod(F.xxhash64("s1", "s2"), F.coalesce("lots", F.lit(1).cast("long"))))
+    dealt = alive.join(count, "key", "left").withColumn("lot", F.pmod(F.xxhash64("s1", "s2"), F.coalesce("lots", F.lit(1).cast("long"))))
     members = dealt.select("key", "lot", "s1", "s2", "n", "tokens").groupBy("key", "lot").applyInArrow(lambda x: _within(x, percent), MEMBER)
     members = written(members, "members")
-    home = members.select("s1", "s2", "key", "lot", _label(F.col("l1"), F.col("l2")).alias("label"), "central")
+    home = members.select("s1", "s2", "key", "lot", _label(F.col("l1"), F.col("l2")).alias("label"), "central", "reach")
     prefixes = written(alive.select("s1", "s2", F.explode("prefix").alias("token")).join(home, ["s1", "s2"]), "prefixes")
-    matrix = prefixes.select("token", "key", "lot", "label").distinct()
 
-    # first round: the central members ask
-    ask = prefixes.filter("central").select("token", "s1", "s2", F.col("key").alias("k"), F.col("lot").alias("l"))
-    wanted = ask.join(matrix.select("token", "key", "lot").distinct(), "token").filter("k <> key or l <> lot").select("s1", "s2", "key", "lot").distinct()
+    # first round: of the central members that have a token, the one with the most links in its group asks all groups that have it
+    ask = prefixes.filter("central").groupBy("token").agg(F.max(F.struct("reach", "s1", "s2", F.col("key").alias("k"), F.col("lot").alias("l"))).alias("q")).select("token", "q.*")
+    wanted = ask.join(prefixes.select("token", "key", "lot").distinct(), "token").filter("k <> key or l <> lot").select("s1", "s2", "key", "lot").distinct()
     inside = members.filter("l1 <> s1 or l2 <> s2").select(_label(F.col("s1"), F.col("s2")).alias("a"), _label(F.col("l1"), F.col("l2")).alias("b"))
     first = written(inside.unionByName(_asked(members, wanted, percent)), "first")
     roots = contract(first)
 
-    # second round: whoever is not in the larger component asks
-    of = lambda df: df.join(roots, df["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label")).drop("node")
-    sizes = of(home).groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    ranked = of(prefixes).join(sizes, "root").withColumn("rank", F.struct("size", "root")).select("token", "s1", "s2", "key", "lot", "rank")
-    ranked = written(ranked, "ranked")
-    largest = ranked.groupBy("token").agg(F.max("rank").alias("most"))
-    asks = ranked.join(largest, "token").filter("rank < most").select("token", "s1", "s2", "rank")
+    # second round: whoever is not in the largest component that a group has asks it
+    named = home.join(roots, home["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label")).drop("node")
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    ranks = written(named.join(sizes, "root").select("s1", "s2", F.struct("size", "root").alias("rank")), "ranks")
+    ranked = written(prefixes.select("token", "s1", "s2", "key", "lot").join(ranks, ["s1", "s2"]), "ranked")
+    most = ranked.groupBy("token").agg(F.max("rank").alias("most"))
+    asks = ranked.join(most, "token").filter("rank < most").select("token", "s1", "s2", "rank", F.col("key").alias("k"), F.col("lot").alias("l"))
     holds = ranked.groupBy("token", "key", "lot").agg(F.max("rank").alias("held"))
-    wanted = asks.join(holds, "token").filter("rank < held").select("s1", "s2", "key", "lot").distinct()
-    second = _asked(members, wanted, percent)
-    roots = contract(first.unionByName(second))
-    return members.select("s1", "s2").join(roots, _label(F.col("s1"), F.col("s2")) == roots["node"]).select("s1", "s2", "root")
+    wanted = asks.join(holds, "token").filter("rank < held and (k <> key or l <> lot)").select("s1", "s2", "key", "lot").distinct()
+    roots = contract(first.unionByName(_asked(members, wanted, percent)))
+    return members.select("s1", "s2", _label(F.col("s1"), F.col("s2")).alias("node")).join(roots, "node").select("s1", "s2", "root")
 
 
 def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
