@@ -39,33 +39,21 @@ LEVELS = 255
 #: Characters of text for a shard of a level, and tokens of a map batch.
 CHARS_1, CHARS_2 = 100_000_000, 25_000_000
 BATCH_TOKENS = 1_000_000
-CACHE_WORDS = 1_000_000
-MASK = (1 << 64) - 1
 END, BEGIN = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word, 7)
-        return h
-
-
-_words = _Words()
-
-
-def hashes(text: str):
-    """Hashes of a text's tokens, the end included."""
+def hashes(texts: list[str]):
+    """Hashes of the tokens of texts in order, an end after each, and the place past each end."""
     import numpy as np
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+    from .words import word_hashes
+
+    h, n = word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in texts])
+    ends = np.cumsum(n + 1)
+    out = np.empty(len(h) + len(texts), np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)] = h
+    out[ends - 1] = END
+    return out, ends
 
 
 def held_out(doc_id) -> bool:
@@ -109,20 +97,18 @@ def _runs(sorted_keys):
 
 def _batches(batches: Iterator) -> Iterator:
     """(hashes, ends) of the training documents, some BATCH_TOKENS at a time."""
-    import numpy as np
-
-    parts, total = [], 0
+    texts, size = [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if held_out(doc):
                 continue
-            parts.append(hashes(text.as_py()))
-            total += len(parts[-1])
-            if total >= BATCH_TOKENS:
-                yield np.concatenate(parts), np.cumsum([len(p) for p in parts])
-                parts, total = [], 0
-    if parts:
-        yield np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            texts.append(text.as_py())
+            size += len(texts[-1]) // 6 + 1
+            if size >= BATCH_TOKENS:
+                yield hashes(texts)
+                texts, size = [], 0
+    if texts:
+        yield hashes(texts)
 
 
 def _blobs(batches: Iterator, level: int, shards: int) -> Iterator:
@@ -141,12 +127,14 @@ def _blobs(batches: Iterator, level: int, shards: int) -> Iterator:
         else:
             u = _before(h, ends)
             pair = _pair_hash(u, h)
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             start, count = _runs(pair[order])
             first = order[start]
-            u, w, pair = u[first], h[first], pair[order][start]
-            shard = _shard(pair, shards)
-            order = np.lexsort((u, shard))
+            u, w = u[first], h[first]
+            shard = _shard(pair[first], shards)
+            # by shard, then context: as one key, and what its last bits leave undone only costs room
+            bits = np.uint64(max(1, int(shards - 1).bit_length()))
+            order = np.argsort((shard << (np.uint64(64) - bits)) | (u >> bits))
             shard, columns = shard[order], {"u": u[order], "w": w[order], "c": count[order]}
         cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
         rows = []
@@ -172,8 +160,7 @@ def _unblob(data: bytes) -> dict:
     x = unpack(data)
     c = x["c"].astype(np.int64)
     c[x["m"]] = x["k"]
-    u = np.repeat(x["u"], x["n"]) if "u" in x else None
-    return {"u": u, "w": x["w"], "c": c}
+    return {k: x[k] for k in ("u", "n", "w") if k in x} | {"c": c}
 
 
 def _quantise(log10p, low: float):
@@ -201,11 +188,11 @@ def _put(path: str, data: bytes) -> None:
 _maps: dict[str, object] = {}
 
 
-def _open(path: str):
-    """The arrays of a file through a memory map; kept for the worker's life."""
+def _open(path: str) -> dict:
+    """The sequences and arrays of a file through a memory map; kept for the worker's life."""
     import mmap
 
-    from .succinct import unpack
+    from .succinct import EliasFano, unpack
 
     if path not in _maps:
         from pyarrow import fs
@@ -222,7 +209,8 @@ def _open(path: str):
                     f.write(block)
                 f.flush()
                 m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        _maps[path] = unpack(memoryview(m))
+        x = unpack(memoryview(m))
+        _maps[path] = {"arrays": x} | {k: EliasFano(x, k) for k in "wcub" if k + "n" in x} | {k: x[k] for k in "p" if k in x}
     return _maps[path]
 
 
@@ -246,8 +234,6 @@ class Model:
         """(id, count, quantised probability) of distinct hashes; id -1, count 0 and that of a new word where there is none."""
         import numpy as np
 
-        from .succinct import EliasFano
-
         ids, count, code = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
         shard = _shard(h, self.shards_1).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -258,9 +244,9 @@ class Model:
             if s not in self.have_1:
                 continue
             x = _open(f"{self.path}/level1-{s}")
-            at, equal = EliasFano(x, "w").successor(h[own])
+            at, equal = x["w"].successor(h[own])
             own, at = own[equal], at[equal]
-            sums = EliasFano(x, "c")
+            sums = x["c"]
             upto = sums.get(at).astype(np.int64)
             count[own] = upto - np.where(at > 0, sums.get(np.maximum(at - 1, 0)).astype(np.int64), 0)
             ids[own] = self.first[s] + at
@@ -275,11 +261,9 @@ class Model:
     # level 2
 
     def pairs_of(self, uh, wh, ui, wi):
-        """Quantised probabilities of distinct pairs (hashes and ids), -1 where a pair is not there."""
+        """Quantised probabilities of distinct pairs (hashes and ids) in the order of contexts, -1 where a pair is not there."""
         import numpy as np
 
-        from .succinct import EliasFano
-
         code = np.full(len(uh), -1, np.int64)
         shard = _shard(_pair_hash(uh, wh), self.shards_2).astype(np.int64)
         shard[(ui < 0) | (wi < 0)] = -1
@@ -291,14 +275,16 @@ class Model:
             if s not in self.have_2:
                 continue
             x = _open(f"{self.path}/level2-{s}")
-            # the context, its range, then the successor search relative to it
-            context, known = EliasFano(x, "u").successor(ui[own].astype(np.uint64))
-            own, context = own[known], context[known]
-            pointers, words = EliasFano(x, "b"), EliasFano(x, "w")
+            pointers, words = x["b"], x["w"]
+            # each context once: its place, its range, and the number that its successors follow
+            head, many = _runs(ui[own])
+            context, known = x["u"].successor(ui[own[head]].astype(np.uint64))
+            own, many, context = own[np.repeat(known, many)], many[known], context[known]
             low, high = pointers.get(context).astype(np.int64), pointers.get(context + 1).astype(np.int64)
             base = np.where(low > 0, words.get(np.maximum(low - 1, 0)), 0).astype(np.uint64)
-            at, equal = words.successor(base + wi[own].astype(np.uint64) + np.uint64(1))
-            hit = equal & (at < high)
+            # the successor search, relative to the context
+            at, equal = words.successor(np.repeat(base, many) + wi[own].astype(np.uint64) + np.uint64(1))
+            hit = equal & (at < np.repeat(high, many))
             code[own[hit]] = x["p"][at[hit]]
         return code
 
@@ -322,7 +308,7 @@ def train(docs: DataFrame, path: str) -> Model:
         parts = [_unblob(d.as_buffer()) for d in table.column("data").combine_chunks()]
         w, c = np.concatenate([x["w"] for x in parts]), np.concatenate([x["c"] for x in parts])
         del parts
-        order = np.argsort(w, kind="stable")
+        order = np.argsort(w)
         w, c = w[order], c[order]
         start, _ = _runs(w)
         w, c = w[start], np.add.reduceat(c, start)
@@ -340,16 +326,16 @@ def train(docs: DataFrame, path: str) -> Model:
         import numpy as np
         import pyarrow as pa
 
-        from .succinct import EliasFano, pack
+        from .succinct import pack
 
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                x = dict(_open(f"{path}/counts-{s}"))
-                sums = EliasFano(x, "c")
+                x = _open(f"{path}/counts-{s}")
+                sums = x["c"]
                 upto = sums.get(np.arange(sums.n)).astype(np.int64)
                 c = np.diff(np.concatenate([[0], upto]))
                 p = np.log10((c + 1) / (model.tokens + model.words + 1))
-                _put(f"{path}/level1-{s}", pack({k: np.asarray(v) for k, v in x.items()} | {"p": _quantise(p, model.low)}))
+                _put(f"{path}/level1-{s}", pack(x["arrays"] | {"p": _quantise(p, model.low)}))
                 _maps.pop(f"{path}/counts-{s}", None)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["shard"])
 
@@ -366,17 +352,19 @@ def train(docs: DataFrame, path: str) -> Model:
 
         s = key[0].as_py()
         parts = [_unblob(d.as_buffer()) for d in table.column("data").combine_chunks()]
-        u, w, c = (np.concatenate([x[k] for x in parts]) for k in "uwc")
+        u, n, w, c = (np.concatenate([x[k] for x in parts]) for k in "unwc")
         del parts
         distinct, back = np.unique(u, return_inverse=True)
         ui, cu, _ = model.words_of(distinct)
         begin = distinct == np.uint64(BEGIN)
         ui[begin], cu[begin] = model.words, model.docs
+        back = np.repeat(back, n)
         u, cu = ui[back], cu[back]
         distinct, back = np.unique(w, return_inverse=True)
         wi, _, code = model.words_of(distinct)
         w, pw = wi[back], (10.0 ** model.log_unigram(code))[back]
-        order = np.lexsort((w, u))
+        # ids below 2^32 make one key with the context
+        order = np.argsort((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)) if model.words < 1 << 32 else np.lexsort((w, u))
         u, w, c, cu, pw = u[order], w[order], c[order], cu[order], pw[order]
         start = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
         c = np.add.reduceat(c, start)
@@ -410,14 +398,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                own, total, first = [], 0, at
-                while at < batch.num_rows and total < BATCH_TOKENS // 2:
-                    own.append(hashes(batch.column(1)[at].as_py()))
-                    total += len(own[-1])
+                own, size, first = [], 0, at
+                while at < batch.num_rows and size < BATCH_TOKENS:
+                    own.append(batch.column(1)[at].as_py())
+                    size += len(own[-1]) // 6 + 1
                     at += 1
-                ends = np.cumsum([len(x) for x in own])
+                h, ends = hashes(own)
                 starts = np.concatenate([[0], ends[:-1]])
-                h = np.concatenate(own)
                 distinct, back = np.unique(h, return_inverse=True)
                 ids, count, code = model.words_of(distinct)
                 logs = model.log_unigram(code)
@@ -436,7 +423,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 full = np.add.reduceat(np.where(found < 0, missing, found * (model.low / LEVELS))[where], starts)
                 part = batch.slice(first, at - first)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([held_out(d) for d in part.column(0).to_pylist()], pa.bool_()), pa.array([len(x) for x in own], pa.int64()), pa.array(known, pa.int64()),
+                    part.column(0), pa.array([held_out(d) for d in part.column(0).to_pylist()], pa.bool_()), pa.array(ends - starts, pa.int64()), pa.array(known, pa.int64()),
                     pa.array([model.tokens] * len(own), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -54,7 +54,8 @@ class EliasFano:
         self.high, self.ones = arrays[prefix + "h"], arrays[prefix + "o"]
         self.n, self.bits = (int(x) for x in arrays[prefix + "n"])
         self.planes = [arrays[f"{prefix}{i}"] for i in range(self.bits // 8)]
-        self.zeros = 64 * np.arange(len(self.ones), dtype=np.int64) - self.ones
+        self.zeros = arrays[prefix + "z"]
+        self.last = int(self.get(np.array([self.n - 1]))[0]) if self.n else -1
 
     @staticmethod
     def build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
@@ -72,7 +73,7 @@ class EliasFano:
             flags[(v >> U64(bits)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view("<u8")
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])[:-1]
-        return out | {prefix + "h": high, prefix + "o": ones.astype(np.int64)}
+        return out | {prefix + "h": high, prefix + "o": ones, prefix + "z": 64 * np.arange(len(ones), dtype=np.int64) - ones}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), U64)
@@ -92,18 +93,34 @@ class EliasFano:
         place = 64 * w + _select_in_word(~self.high[w], h - self.zeros[w])
         return place - h
 
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first number of high half h and of the first one past it."""
+        z = np.maximum(h - 1, 0)
+        w = np.searchsorted(self.zeros, z, "right") - 1
+        place = np.where(h > 0, 64 * w + _select_in_word(~self.high[w], z - self.zeros[w]), -1) + 1  # just behind the zero that ends the bucket before
+        # the ones that follow are the bucket
+        w, s = place >> 6, (place & 63).astype(U64)
+        word = self.high[np.minimum(w, len(self.high) - 1)] >> s
+        after = self.high[np.minimum(w + 1, len(self.high) - 1)]
+        word = np.where(s > 0, word | (after << ((U64(64) - s) & U64(63))), word)
+        gap = ~word
+        size = np.bitwise_count((gap & (~gap + U64(1))) - U64(1)).astype(np.int64)
+        start = place - h
+        end = start + size
+        long = np.flatnonzero(gap == 0)
+        if len(long):
+            end[long] = self._below(h[long])
+        return start, end
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first number of at least x (n where none is), and whether it equals x."""
         x = np.asarray(x, U64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        # beyond the last high half nothing follows
-        last = int(self.get(np.array([self.n - 1]))[0])
-        far = x > U64(last)
+        far = x > U64(self.last)
         h = np.where(far, 0, (x >> U64(self.bits)).astype(np.int64))
         low = x & U64((1 << self.bits) - 1)
-        at = np.where(h > 0, self._below(np.maximum(h - 1, 0)), 0)
-        end = self._below(h)
+        at, end = self._bucket(h)
         equal = np.zeros(len(x), bool)
         live = np.flatnonzero((at < end) & ~far)
         while len(live):
