@@ -10,7 +10,7 @@ from mnemora.functions.dates import days_between
 from mnemora.functions.text import normalize
 from mnemora.functions.weights import edge_weight
 from mnemora.operators import dynamics
-from mnemora.shared import written
+from mnemora.operators.components import contract
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -57,22 +57,9 @@ def related(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id of each connected component, isolated nodes their own.
-
-    Links between roots are contracted until none is left: each root takes the least of its
-    neighbours, twice over. The tables shrink from round to round and end lineage; nothing is gathered.
-    """
-    links = written(adjacency(edges, nodes).select(F.col("node").alias("a"), F.col("neighbor").alias("b")).filter("a <> b").distinct(), "links")
-    roots = nodes.select("id", F.col("id").alias("component"))
-    while links.limit(1).count():
-        up = links.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("up"))
-        up = written(up, "up")
-        top = up.alias("u").join(up.alias("v"), F.col("u.up") == F.col("v.a"), "left").select(F.col("u.a").alias("a"), F.coalesce("v.up", "u.up").alias("up"))
-        top = written(top, "top")
-        roots = written(roots.join(top, roots["component"] == top["a"], "left").select("id", F.coalesce("up", "component").alias("component")), "roots")
-        left = top.withColumnsRenamed({"a": "b", "up": "rb"})
-        links = written(links.join(top, "a").join(left, "b").select(F.col("up").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), "links")
-    return roots
+    """(id, component): the least id of each connected component, isolated nodes their own."""
+    links = adjacency(edges, nodes).select(F.col("node").alias("a"), F.col("neighbor").alias("b"))
+    return nodes.select("id").join(contract(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def cluster_infos(nodes: DataFrame, comps: DataFrame) -> DataFrame:
