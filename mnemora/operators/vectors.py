@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.config import EMBED_BATCH
+from mnemora.shared import ship
 
 
 class EncoderMismatch(ValueError):
@@ -83,6 +84,7 @@ def embed(rows: DataFrame, embedder: Embedder = mock_vectors, provider: str = "m
                     "dimensions": [len(x) for x in v], "provider": provider, "vector_norm": [float((x.astype("float64") ** 2).sum()) ** 0.5 for x in v],
                 })
 
+    ship(rows.sparkSession)
     return rows.select("id", "type", "content").mapInPandas(run, "id string, type string, content string, vector array<float>, dimensions int, provider string, vector_norm double")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -59,3 +60,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows, found by reading no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers that were started elsewhere. On a cluster without the folder, give the package by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep) and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)

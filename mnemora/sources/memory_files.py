@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import claim, source_section, wikilinks
+from mnemora.shared import ship
 
 #: The keys of the front matter, in the order in which they are written.
 KEYS = ("id", "type", "status", "title", "created", "last_reinforced", "reinforcement_count", "importance", "scope", "tags", "links", "source")
@@ -102,6 +103,7 @@ def parsed(raw: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([parse(p, t) for p, t in zip(pdf["path"], pdf["text"], strict=True)], columns=SCHEMA_NAMES)
 
+    ship(raw.sparkSession)
     return raw.mapInPandas(run, SCHEMA)
 
 
@@ -128,4 +130,5 @@ def serialized(files: DataFrame) -> DataFrame:
                 rows.append((x["path"], "---\n" + yaml.safe_dump(head, sort_keys=False, allow_unicode=True) + "---\n" + (x["body"] or "")))
             yield pd.DataFrame(rows, columns=["path", "text"])
 
+    ship(files.sparkSession)
     return files.mapInPandas(run, "path string, text string")

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.dates import file_date
+from mnemora.shared import hadoop, ship
 
 
 def discover(spark: SparkSession, *inputs: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(path, text, hash, modified) of the ``.md`` files under folders, or of single files; inputs that are not there are passed over."""
-    from mnemora.shared import hadoop
-
     there = [p for p in inputs if hadoop(spark, p)[0].exists(hadoop(spark, p)[1])]
     empty = spark.createDataFrame([], "path string, text string, hash string, modified timestamp")
     if not there:
@@ -93,6 +92,7 @@ def sections(files: DataFrame, keep_markup: bool = False) -> DataFrame:
             rows = [(p, s[1], s[0], s[2], s[3], s[4], i) for p, t in zip(pdf["path"], pdf["text"], strict=True) for i, s in enumerate(split_sections(t, keep_markup))]
             yield pd.DataFrame(rows, columns=["file", "section", "heading", "line", "last_line", "content", "section_ord"])
 
+    ship(files.sparkSession)
     return files.select("path", "text").mapInPandas(run, "file string, section string, heading string, line long, last_line long, content string, section_ord long")
 
 
