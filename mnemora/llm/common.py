@@ -6,81 +6,25 @@ repeat both are the same document and get equal results, one result row each.
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.shared import drop_path, hadoop, scratch, shared_dir, ship, small_enough, written
+
+__all__ = ["drop_path", "hadoop", "scratch", "shared_dir", "ship", "small_enough", "written"]
+
 #: ASCII white space: the blank and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="mnemora-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    return path
-
-
-def hadoop(spark: SparkSession, path: str):
-    """(FileSystem, Path) of Hadoop for a path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop(spark, path)
-    fs.delete(p, True)
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may have ended already; the folder is the cluster's to clean then
-            return
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers that were started elsewhere."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep) and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row: Catalyst does not inline what a lambda binds."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -100,11 +44,6 @@ def fingerprint(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows, found by reading no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def boxed(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``row``, a struct of all columns: what an operator adds meets no column of the same name."""
     return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from mnemora.llm import components, jaccard
+from mnemora.llm import jaccard
+from mnemora.operators import components
 
 from .conftest import CLASHING, ODD
 
