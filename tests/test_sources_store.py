@@ -144,3 +144,41 @@ def test_new_captures_stream(spark, tmp_path):
     out = []
     twins.run_once(twins.new_captures(twins.file_stream(spark, str(tmp_path / "in")), gone), lambda b, n: out.extend(r["id"] for r in b.collect()), str(tmp_path / "state"))
     assert out == ["a"]
+
+
+def test_graph_documents(spark, tmp_path):
+    import json
+
+    from mnemora.sources import graph_json
+
+    doc = {
+        "nodes": {"a": {"id": "a", "label": "A", "type": "tool", "aliases": ["x"], "mentionCount": 2, "excerpts": [{"file": "f", "text": "t", "date": "d"}]}, "b": {"id": "b", "label": "B", "type": "tag"}},
+        "edges": {"e": {"id": "e", "source": "a", "target": "b", "type": "explicit", "weight": 0.5, "baseWeight": 1.0}}, "config": {},
+    }
+    (tmp_path / "graph.json").write_text(json.dumps(doc))
+    (tmp_path / "pending.json").write_text(json.dumps([{"source": "a", "target": "b", "type": "co-occurrence", "count": 1, "firstSeen": "d"}]))
+    store = GraphStore(spark, str(tmp_path / "store"))
+    graph_json.migrate(spark, str(tmp_path / "graph.json"), store)
+    assert {r["id"]: (r["label"], r["mention_count"]) for r in store.table("nodes").collect()} == {"a": ("A", 2), "b": ("B", None)}
+    assert store.table("edges").first()["base_weight"] == 1.0
+    assert graph_json.read_pending(spark, str(tmp_path / "pending.json")).first()["first_seen"] == "d"
+    lines = [json.loads(r["line"]) for r in graph_json.documents(store.table("nodes"), store.table("edges")).collect()]
+    assert {x["id"] for x in lines} == {"a", "b", "e"}
+
+
+def test_remember_and_command_line(spark, tmp_path, capsys):
+    from mnemora import cli
+    from mnemora.operators import summaries
+
+    store = GraphStore(spark, str(tmp_path / "store"))
+    items = spark.createDataFrame([("Use the cache", "It is faster.", "lesson", 0.9, ["Redis"]), ("Plain", None, None, None, None)], "title string, content string, type string, importance double, entities array<string>")
+    new = summaries.remembered(items, "2026-01-01")
+    store.upsert(nodes=new["nodes"], edges=new["edges"])
+    assert {r["label"]: r["reinforcement_count"] for r in store.table("nodes").collect()} == {"Use the cache": 3, "Plain": 2} and store.table("edges").count() == 1
+    where = ["--now", "2026-01-05T00:00:00", str(tmp_path / "store")]
+    for command in (["brief"], ["alerts"], ["stats"], ["query", "cache"], ["snapshot", "s1"], ["snapshots"], ["suggest"]):
+        assert cli.main([*where, *command]) == 0
+    out = capsys.readouterr().out
+    assert "Graph: 2 nodes, 1 edges" in out and "Recently active: Use the cache" in out
+    lines = spark.createDataFrame([(0, "cache one"), (1, "cache two"), (2, "cache three"), (3, "other")], "ord int, line string")
+    assert summaries.focused(lines, "CACHE").count() == 3 and summaries.focused(lines, "other").count() == 4
