@@ -206,7 +206,7 @@ def insights_emerging(spark, sf_dir):
     return graph.emerging(nodes, edges, F.lit(EVENT_NOW).cast("timestamp_ntz"), recent_days=16).select("id", "degree", r("velocity", "velocity"))
 
 
-@query(W + f", {AGED} SELECT id, label, degree, round(degree * 0.5 + mention_count * 0.3 + reinforcement_count * 0.2, 6) AS anchor_score FROM aged WHERE degree >= 5 AND mention_count >= 3 ORDER BY round(degree * 0.5 + mention_count * 0.3 + reinforcement_count * 0.2, 9) DESC, id LIMIT 10")
+@query(W + f", {AGED} SELECT id, label, degree, round((degree * 0.5 + mention_count * 0.3 + reinforcement_count * 0.2)::DOUBLE, 6) AS anchor_score FROM aged WHERE degree >= 5 AND mention_count >= 3 ORDER BY round(degree * 0.5 + mention_count * 0.3 + reinforcement_count * 0.2, 9) DESC, id LIMIT 10")
 def insights_anchors(spark, sf_dir):
     g = trade(spark, sf_dir)
     return graph.anchors(g["nodes"], g["edges"], now()).select("id", "label", "degree", r("anchor_score", "anchor_score"))
@@ -397,7 +397,7 @@ def agents(spark, sf_dir):
     return derive._graphs[key]
 
 
-@query(HIVE_SQL + f", {HIVE_NODES} SELECT *, round((mention_count + reinforcement_count) * 0.6, 6) AS hive_weight FROM hive")
+@query(HIVE_SQL + f", {HIVE_NODES} SELECT *, round((mention_count + reinforcement_count) * 0.6::DOUBLE, 6) AS hive_weight FROM hive")
 def hive_nodes(spark, sf_dir):
     m = federation.merge_nodes(agents(spark, sf_dir)["nodes"].drop("aliases"))
     return m.select("id", "label", "mention_count", "reinforcement_count", day("first_seen"), day("last_reinforced"), "source_agents", "endorsements", r("hive_weight", "hive_weight"))
