@@ -37,7 +37,7 @@ from .common import hadoop, scratch, ship, text_of
 PSEUDO = 20.0
 LEVELS = 255
 #: Characters of text for a shard of a level, and tokens of a map batch.
-CHARS_1, CHARS_2 = 100_000_000, 25_000_000
+CHARS_1, CHARS_2 = 60_000_000, 10_000_000
 BATCH_TOKENS = 1_000_000
 END, BEGIN = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 

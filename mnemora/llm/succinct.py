@@ -121,14 +121,17 @@ class EliasFano:
         h = np.where(far, 0, (x >> U64(self.bits)).astype(np.int64))
         low = x & U64((1 << self.bits) - 1)
         at, end = self._bucket(h)
-        equal = np.zeros(len(x), bool)
-        live = np.flatnonzero((at < end) & ~far)
+        # binary search by the low halves: a bucket may be large where the numbers crowd
+        to = end.copy()
+        live = np.flatnonzero((at < to) & ~far)
         while len(live):
-            own = self._low(at[live])
-            equal[live] = own == low[live]
-            on = own < low[live]
-            live = live[on]
-            at[live] += 1
-            live = live[at[live] < end[live]]
+            mid = (at[live] + to[live]) >> 1
+            less = self._low(mid) < low[live]
+            at[live] = np.where(less, mid + 1, at[live])
+            to[live] = np.where(less, to[live], mid)
+            live = live[at[live] < to[live]]
+        equal = np.zeros(len(x), bool)
+        inside = np.flatnonzero((at < end) & ~far)
+        equal[inside] = self._low(at[inside]) == low[inside]
         at[far] = self.n
         return at, equal

@@ -100,6 +100,14 @@ def test_elias_fano(n, top):
     assert (at == np.searchsorted(v, q)).all() and (equal == np.isin(q, v)).all()
 
 
+def test_elias_fano_where_numbers_crowd():
+    v = np.concatenate([np.arange(20_000) * 3, 2**30 + np.arange(50) * 2**34]).astype(np.uint64)
+    e = EliasFano(unpack(pack(EliasFano.build(v, "x"))), "x")
+    q = np.concatenate([v, v + np.uint64(1), np.maximum(v, np.uint64(1)) - np.uint64(1)])
+    at, equal = e.successor(q)
+    assert (at == np.searchsorted(v, q)).all() and (equal == np.isin(q, v)).all() and (e.get(np.arange(len(v))) == v).all()
+
+
 def test_elias_fano_of_one_bucket():
     v = np.arange(5000, dtype=np.uint64)  # no high halves differ, or all do
     for scale in (1, 2**40):
