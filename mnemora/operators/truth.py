@@ -91,3 +91,17 @@ def renamed_ids(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
 def database_only(nodes: DataFrame) -> DataFrame:
     """Memories that no file holds: those that were remembered or captured, without a canonical path."""
     return nodes.filter(F.col("canonical_path").isNull() & F.exists("source_files", lambda f: f.startswith("mcp:") | f.startswith("api:") | f.startswith("sdk:") | f.startswith("capture:")))
+
+
+def replayed(captures: DataFrame, gone: DataFrame, files: DataFrame) -> DataFrame:
+    """Captures that no file holds yet, as candidate nodes; ids may come in more than once, the first counts."""
+    w = Window.partitionBy("id").orderBy("ts", "title")
+    first = captures.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    first = first.join(gone.select("id"), "id", "left_anti").join(files.select("id"), "id", "left_anti")
+    return first.select("id", F.col("title").alias("label"), F.lit("candidate").alias("status"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_reinforced"))
+
+
+def exported(nodes: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id, export_id, path) of memories that only the store holds, as the files they become."""
+    m = database_only(nodes).select(F.col("id").alias("old"), F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat(F.lit("export|"), "id"), 256), 1, 12)).alias("id"), F.col("label").alias("title"), F.lit("global").alias("scope"))
+    return m.join(target_paths(m, taken), "id").select(F.col("old").alias("id"), F.col("id").alias("export_id"), "path")

@@ -56,3 +56,21 @@ def timeline_stack(episodes: DataFrame, share: float = 0.02) -> DataFrame:
         return F.struct(F.when(near, a["anchor"]).otherwise(p).alias("anchor"), k.alias("k"), F.concat(a["out"], F.array(F.struct(m["id"].cast("string").alias("id"), p.alias("position"), k.alias("stack")))).alias("out"))
 
     return span.select("lane", F.explode(F.aggregate("m", start, step)["out"]).alias("x")).select("lane", "x.id", "x.position", "x.stack")
+
+
+def shares(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, share) of each value's part of all rows."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    every = n.agg(F.sum("n").alias("_all"))
+    return n.join(F.broadcast(every), how="cross").select(key, "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
+
+
+def rate_limited(requests: DataFrame, key: str, ts: str, most: int, window: str = "1 minute") -> DataFrame:
+    """(key, start, n, over) of requests in fixed windows; over: those beyond the most that a window allows."""
+    w = requests.groupBy(key, F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(key, F.col("w.start").alias("start"), "n", F.greatest(F.lit(0), F.col("n") - most).alias("over"))
+
+
+def type_cube(nodes: DataFrame) -> DataFrame:
+    """Counts of nodes by type and year first seen, with all subtotals (null: all)."""
+    return nodes.withColumn("year", F.year("first_seen")).cube("type", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("mention_count").alias("mentions"))

@@ -138,3 +138,34 @@ def episode_timeline_stack(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
     lane = e.select(F.col("user_id").alias("lane"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
     return views.timeline_stack(lane).select("lane", "id", r("position", "position"), "stack")
+
+
+@query(f"""WITH {CAP}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, title) AS r FROM captures)
+SELECT id, title AS label, 'candidate' AS status, ts AS first_seen FROM f WHERE r = 1 AND id NOT IN (SELECT id FROM gone) AND substr(id, 5)::INTEGER % 11 <> 0""")
+def capture_replay(spark, sf_dir):
+    c, gone = captures(spark, sf_dir)
+    return truth.replayed(c, gone, c.filter(F.substring("id", 5, 10).cast("int") % 11 == 0)).select("id", "label", "status", "first_seen")
+
+
+@query(W + "SELECT type, count(*) AS n, round(count(*) / (SELECT count(*) FROM nodes)::DOUBLE, 6) AS share FROM nodes GROUP BY type")
+def type_shares(spark, sf_dir):
+    return views.shares(trade(spark, sf_dir)["nodes"], "type").select("type", "n", r("share", "share"))
+
+
+@query(W + "SELECT type, year(first_seen)::INTEGER AS year, count(*) AS n, sum(mention_count)::BIGINT AS mentions FROM nodes GROUP BY CUBE (type, year(first_seen)::INTEGER)")
+def type_cube(spark, sf_dir):
+    return views.type_cube(trade(spark, sf_dir)["nodes"])
+
+
+@query("""WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, n, greatest(0, n - 1) AS over FROM w""")
+def rate_limits(spark, sf_dir):
+    out = views.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", 1, "1 hour")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.col("over").cast("long").alias("over"))
+
+
+@query("""WITH d AS (SELECT DISTINCT label FROM embeddings), e AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT count(*) AS total, count(*) FILTER (vec_id % 3 <> 0) AS embedded, round(100.0 * count(*) FILTER (vec_id % 3 <> 0) / count(*), 6)::DOUBLE AS percent FROM embeddings""")
+def embedding_coverage(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"))
+    return vectors.coverage(e, e.filter(F.col("id").cast("long") % 3 != 0)).select("total", "embedded", r("percent", "percent"))
