@@ -136,18 +136,15 @@ def _blobs(batches: Iterator, level: int, shards: int) -> Iterator:
             bits = np.uint64(max(1, int(shards - 1).bit_length()))
             order = np.argsort((shard << (np.uint64(64) - bits)) | (u >> bits))
             shard, columns = shard[order], {"u": u[order], "w": w[order], "c": count[order]}
-        cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
         rows = []
-        for s in range(shards):
-            own = {k: v[cut[s] : cut[s + 1]] for k, v in columns.items()}
-            if not len(own["c"]):
-                continue
+        for first, k in zip(*_runs(shard), strict=True):
+            own = {name: v[first : first + k] for name, v in columns.items()}
             if level == 2:  # each context once
                 at, n = _runs(own["u"])
                 own |= {"u": own["u"][at], "n": n.astype(np.uint32)}
             many = np.flatnonzero(own["c"] > 255)
             own |= {"c": np.minimum(own["c"], 255).astype(np.uint8), "m": many.astype(np.uint32), "k": own["c"][many].astype(np.int64)}
-            rows.append((s, pack(own)))
+            rows.append((int(shard[first]), pack(own)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "data"])
 
