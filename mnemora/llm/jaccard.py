@@ -40,38 +40,37 @@ GROUP, GROUP_TOKENS = 512, 400_000
 #: Queries compared with a group in one task.
 QUERIES = 512
 BROADCAST_ROWS = 300_000
-CACHE_WORDS = 1_000_000
+#: Characters of text hashed at once.
+BATCH_CHARS = 4_000_000
 FULL = (1 << 64) - 1
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def shingles(text: str, size: int):
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
+def shingle_sets(texts: list[str], size: int) -> list:
+    """For each text the sorted distinct 64-bit hashes of its word shingles; a shorter text is one shingle of all its words."""
     import numpy as np
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    k = min(size, n)
-    h = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h ^ w[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+    from .words import mix, word_hashes
+
+    w, n = word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in texts])
+    h = np.full(len(w), size, np.uint64)
+    for i in range(size):  # the shingle that starts at each word; those that cross a text's end are not read
+        m = max(0, len(w) - i)
+        h[:m] = (h[:m] ^ w[len(w) - m :]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return np.unique(_mix(h, 0xBF58476D1CE4E5B9))
+    h = mix(h)
+    out, at = [], 0
+    for k in n.tolist():
+        if k >= size:
+            out.append(np.unique(h[at : at + k - size + 1]))
+        elif k:
+            own = np.uint64(k)
+            for x in w[at : at + k]:
+                own = mix(np.array([own ^ x]))[0]
+            out.append(np.array([own], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += k
+    return out
 
 
 def _mix(h, k: int):
@@ -93,6 +92,21 @@ def _signature(h) -> tuple[int, int]:
     return tuple(int(_mix(h, k).sum(dtype=np.uint64).astype(np.int64)) for k in (0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
+def _slices(batches: Iterator) -> Iterator:
+    """Batches of at most some BATCH_CHARS of text, or of one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        first, size = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+            if i > first and size + n > BATCH_CHARS:
+                yield batch.slice(first, i - first)
+                first, size = i, 0
+            size += n
+        if batch.num_rows > first:
+            yield batch.slice(first)
+
+
 def sketches(docs: DataFrame, size: int, percent: int, all_tokens: bool = False) -> DataFrame:
     """(doc_id, th, n, s1, s2, tokens) per row of docs (doc_id, th, text); tokens of the sieve or all, as signed numbers."""
     ship(docs.sparkSession)
@@ -103,10 +117,9 @@ def sketches(docs: DataFrame, size: int, percent: int, all_tokens: bool = False)
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             n, s1, s2, parts, ends = [], [], [], [], [0]
-            for text in batch.column(2):
-                h = shingles(text.as_py(), size)
+            for h in shingle_sets(batch.column(2).to_pylist(), size):
                 a, b = _signature(h)
                 own = h if all_tokens else h[: np.searchsorted(h, np.uint64(bound), "right")]
                 n.append(len(h))
