@@ -3,8 +3,9 @@
 Every line with a word is held against three rules; a line that breaks one is removed, and a
 document that loses more than half of the characters of its words is rejected:
 
-* punctuation - the line does not end in closing punctuation, or it has a symbol of
-  ``#*$%&|<>`` or an exclamation mark for every other word or more;
+* punctuation - a line of fewer than 20 words does not end in closing punctuation (a longer one may be
+  prose that was cut), or a line has a symbol of ``#*$%&|<>`` or an exclamation mark for every
+  other word or more;
 * navigation - four or more separators ``| » › • · →`` between its words;
 * boilerplate - at most 30 words, among them a phrase of the list below.
 
@@ -29,6 +30,7 @@ BOILERPLATE_RE = "(?i)(" + "|".join(BOILERPLATE) + ")"
 CLOSING = ".!?:;,\"')]…”»。！？"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·→"
+SHORT = 20
 
 
 def count_chars(text: Column, chars: str) -> Column:
@@ -46,7 +48,7 @@ def line_fails(line: Column) -> Column:
     closing = F.instr(F.lit(CLOSING), F.right(trimmed, F.lit(1))) > 0
     noisy = 2 * count_chars(line, SYMBOLS + "!") >= n
     nav = count_chars(line, SEPARATORS) >= 4
-    return ~closing | noisy | nav | ((n <= 30) & line.rlike(BOILERPLATE_RE))
+    return (~closing & (n < SHORT)) | noisy | nav | ((n <= 30) & line.rlike(BOILERPLATE_RE))
 
 
 def repeated_window_words(words: Column, size: int = 3) -> Column:
@@ -127,7 +129,7 @@ q_split AS (SELECT rid, string_split(text, chr(10)) AS l FROM q_text),
 q_line AS (SELECT rid, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM q_split),
 q_full AS (SELECT rid, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM q_line),
-q_judged AS (SELECT *, n > 0 AND (strpos('{closing}', right(t, 1)) = 0
+q_judged AS (SELECT *, n > 0 AND ((n < 20 AND strpos('{closing}', right(t, 1)) = 0)
     OR 2 * (length(line) - length(translate(line, '#*$%&|<>!', ''))) >= n
     OR length(line) - length(translate(line, '|»›•·→', '')) >= 4
     OR (n <= 30 AND regexp_matches(line, '(?i)({phrases})'))) AS bad FROM q_full),

@@ -42,7 +42,7 @@ def test_odd_rows(odd, nothing):
 
 def test_line_rules(docs_of):
     good = "\n".join(" ".join(f"clean{i}x{j}" for j in range(12)) + "." for i in range(8))
-    furniture = "\n".join(["Home | About | News | Contact | More"] + ["no closing mark here at all " * 3] * 2 + ["Read more about cookies and our privacy policy."])
+    furniture = "\n".join(["Home | About | News | Contact | More"] + ["no closing mark here at all " * 3] * 2 + ["! ".join("shouted so often".split()) + "!"] + ["Read more about cookies and our privacy policy."])
     out = {r["doc_id"]: r["text"] for r in quality.keep_good(docs_of([good, good + "\n" + furniture, furniture * 6])).collect()}
     assert out == {0: good, 1: good}
 
