@@ -1,4 +1,4 @@
-"""Language-model scores by an Elias-Fano bigram trie (operator 4).
+"""Language-model scores by an Elias-Fano trigram trie (operator 4).
 
 Tokens are the words of a text in lower case (A-Z), then one end. The model learns from the training
 documents, all of them:
@@ -8,14 +8,17 @@ documents, all of them:
   probability (c + 1) / (N + V + 1);
 * level 2 has every pair of a word and the one before it: the contexts, monotone pointers to the range of each one's
   successors, the successors' ids made monotone by adding the last number of the range before,
-  and the quantised probability (c(u, w) + K p(w)) / (c(u) + K), a Dirichlet-smoothed estimate.
+  and the quantised probability (c(u, w) + K p(w)) / (c(u) + K), a Dirichlet-smoothed estimate;
+* level 3 has every word after a pair: pointers of the places of level 2 to their successors, these as in level 2, and the
+  monotone sums of the counts. With the probability of level 2 they give (c(t, u, w) + K p(w | u)) / (c(t, u) + K); a document's
+  first word has that of level 2.
 
 A pair is found by a successor search within its context's range; one that is not there has K p(w) /
-(c(u) + K), which sums to 1 with the others. Probabilities are quantised to ``LEVELS`` equal steps
+(c(u) + K), which sums to 1 with the others; so it is in level 3. Probabilities are quantised to ``LEVELS`` equal steps
 of their logarithm.
 
-Both levels are cut into shards by hash - level 2 by the hash of the pair, so a frequent word is spread
-over all shards - built by one task each from counts combined within map batches, and written to
+The levels are cut into shards by hash - levels 2 and 3 by the hash of the pair that is looked up or goes before, so a
+frequent word is spread over all shards, and one shuffle of triples serves both: a pair counts what its triples count - built by one task each from counts combined within map batches, and written to
 the shared folder under a name that is renamed into place. Scoring tasks map the files into memory
 and read only what they look up; other file systems' files are first copied to an unlinked local
 file. Only the shards' sizes and totals reach the driver.
@@ -95,6 +98,23 @@ def _runs(sorted_keys):
     return start, np.diff(np.concatenate([start, [len(sorted_keys)]]))
 
 
+def _planes(name: str, ids, top: int) -> dict:
+    """Ids up to top as one array for each byte, which compress apart."""
+    import numpy as np
+
+    return {f"{name}{i}": (ids >> (8 * i)).astype(np.uint8) for i in range(max(1, -(-int(top).bit_length() // 8)))}
+
+
+def _joined(x: dict, name: str):
+    import numpy as np
+
+    out, i = np.zeros(len(x[f"{name}0"]), np.int64), 0
+    while f"{name}{i}" in x:
+        out |= x[f"{name}{i}"].astype(np.int64) << (8 * i)
+        i += 1
+    return out
+
+
 def _batches(batches: Iterator) -> Iterator:
     """(hashes, ends) of the training documents, some BATCH_TOKENS at a time."""
     texts, size = [], 0
@@ -111,53 +131,80 @@ def _batches(batches: Iterator) -> Iterator:
         yield hashes(texts)
 
 
-def _blobs(batches: Iterator, level: int, shards: int) -> Iterator:
-    """Rows (shard, data) of a map task: the combined counts of each batch for each shard."""
+def _counts(c) -> dict:
+    """Counts as bytes, and the large ones apart."""
+    import numpy as np
+
+    many = np.flatnonzero(c > 255)
+    return {"c": np.minimum(c, 255).astype(np.uint8), "m": many.astype(np.uint32), "k": c[many].astype(np.int64)}
+
+
+def _uncounts(x: dict):
+    import numpy as np
+
+    c = x["c"].astype(np.int64)
+    c[x["m"]] = x["k"]
+    return c
+
+
+def _blobs(batches: Iterator, shards: int, model: Model | None = None) -> Iterator:
+    """Rows (shard, data) of a map task: the combined counts of each batch for each shard, of words or, with the model of them, of triples."""
     import numpy as np
     import pyarrow as pa
 
     from .succinct import pack
 
     for h, ends in _batches(batches):
-        if level == 1:
+        rows = []
+        if model is None:
             key = np.sort(h)
             start, count = _runs(key)
             key = key[start]
-            shard, columns = _shard(key, shards), {"w": key, "c": count}
+            for first, k in zip(*_runs(_shard(key, shards)), strict=True):
+                own = {"w": key[first : first + k]} | _counts(count[first : first + k])
+                rows.append((int(_shard(key[first : first + 1], shards)[0]), pack(own)))
         else:
-            u = _before(h, ends)
-            pair = _pair_hash(u, h)
-            order = np.argsort(pair)
-            start, count = _runs(pair[order])
+            pair = _pair_hash(_before(h, ends), h)
+            # the word after each pair; none after an end
+            after = np.append(h[1:], h[:1])
+            after[ends - 1] = END
+            triple = _pair_hash(pair, after)
+            order = np.argsort(triple)
+            start, count = _runs(triple[order])
             first = order[start]
-            u, w = u[first], h[first]
             shard = _shard(pair[first], shards)
-            # by shard, then context: as one key, and what its last bits leave undone only costs room
-            bits = np.uint64(max(1, int(shards - 1).bit_length()))
-            order = np.argsort((shard << (np.uint64(64) - bits)) | (u >> bits))
-            shard, columns = shard[order], {"u": u[order], "w": w[order], "c": count[order]}
-        rows = []
-        for first, k in zip(*_runs(shard), strict=True):
-            own = {name: v[first : first + k] for name, v in columns.items()}
-            if level == 2:  # each context once
-                at, n = _runs(own["u"])
-                own |= {"u": own["u"][at], "n": n.astype(np.uint32)}
-            many = np.flatnonzero(own["c"] > 255)
-            own |= {"c": np.minimum(own["c"], 255).astype(np.uint8), "m": many.astype(np.uint32), "k": own["c"][many].astype(np.int64)}
-            rows.append((int(shard[first]), pack(own)))
+            distinct, place = np.unique(h, return_inverse=True)
+            ids = np.append(model.words_of(distinct)[0], model.words)
+            # words as places among the distinct ones, the beginning after them
+            prev = np.append(place[:1], place[:-1])
+            prev[np.concatenate([[0], ends[:-1]])] = len(distinct)
+            then = np.append(place[1:], place[:1])
+            then[ends - 1] = np.searchsorted(distinct, np.uint64(END))
+            t, u, w = prev[first], place[first], then[first]
+            bits = np.uint64((len(distinct) + 1).bit_length())
+            if int(shards).bit_length() + 2 * int(bits) <= 64:
+                order = np.argsort((((shard << bits) | t.astype(np.uint64)) << bits) | u.astype(np.uint64))
+            else:
+                order = np.lexsort((u, t, shard))
+            shard, t, u, w, count = shard[order], t[order], u[order], w[order], count[order]
+            for first, k in zip(*_runs(shard), strict=True):
+                own_t, own_u, own_w = (x[first : first + k] for x in (t, u, w))
+                at = np.flatnonzero(np.concatenate([[True], (own_t[1:] != own_t[:-1]) | (own_u[1:] != own_u[:-1])]))
+                n = np.diff(np.append(at, k))
+                head, many = _runs(own_t[at])  # each word once, and each pair
+                own = _planes("t", ids[own_t[at][head]], model.words) | _planes("u", ids[own_u[at]], model.words) | _planes("w", ids[own_w], model.words)
+                own |= {"a": many.astype(np.min_scalar_type(many.max())), "n": n.astype(np.min_scalar_type(n.max()))} | _counts(count[first : first + k])
+                rows.append((int(shard[first]), pack(own)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "data"])
 
 
-def _unblob(data: bytes) -> dict:
+def _monotone(ids, n):
+    """Ids that rise within ranges of n, shifted by the last number of the range before."""
     import numpy as np
 
-    from .succinct import unpack
-
-    x = unpack(data)
-    c = x["c"].astype(np.int64)
-    c[x["m"]] = x["k"]
-    return {k: x[k] for k in ("u", "n", "w") if k in x} | {"c": c}
+    last = ids[np.cumsum(n) - 1] + 1
+    return ids + 1 + np.repeat(np.concatenate([[0], np.cumsum(last)[:-1]]), n)
 
 
 def _quantise(log10p, low: float):
@@ -224,6 +271,7 @@ class Model:
         self.low = -float(np.log10(self.tokens + self.words + 1 + PSEUDO)) or -1.0
         self.have_1 = {s for s, (v, _) in enumerate(n) if v}
         self.have_2: set[int] = set()
+        self.have_3: set[int] = set()
 
     # level 1
 
@@ -255,13 +303,33 @@ class Model:
 
         return np.where(code < 0, -np.log10(self.tokens + self.words + 1), code * (self.low / LEVELS))
 
+    def counts_of(self, ids):
+        """(count, quantised probability) of words by their ids."""
+        import numpy as np
+
+        count, code = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        shard = np.searchsorted(self.first, ids, "right") - 1
+        order = np.argsort(shard, kind="stable")
+        for a, k in zip(*_runs(shard[order]), strict=True):
+            own = order[a : a + k]
+            s = int(shard[own[0]])
+            x = _open(f"{self.path}/level1-{s}")
+            at = ids[own] - self.first[s]
+            count[own] = x["c"].get(at).astype(np.int64) - np.where(at > 0, x["c"].get(np.maximum(at - 1, 0)).astype(np.int64), 0)
+            code[own] = x["p"][at]
+        return count, code
+
     # level 2
 
     def pairs_of(self, uh, wh, ui, wi):
         """Quantised probabilities of distinct pairs (hashes and ids) in the order of contexts, -1 where a pair is not there."""
+        return self.places_of(uh, wh, ui, wi)[0]
+
+    def places_of(self, uh, wh, ui, wi):
+        """(quantised probability, shard, place in it) of distinct pairs, -1 where a pair is not there."""
         import numpy as np
 
-        code = np.full(len(uh), -1, np.int64)
+        code, place = np.full(len(uh), -1, np.int64), np.full(len(uh), -1, np.int64)
         shard = _shard(_pair_hash(uh, wh), self.shards_2).astype(np.int64)
         shard[(ui < 0) | (wi < 0)] = -1
         order = np.argsort(shard, kind="stable")
@@ -283,7 +351,34 @@ class Model:
             at, equal = words.successor(np.repeat(base, many) + wi[own].astype(np.uint64) + np.uint64(1))
             hit = equal & (at < np.repeat(high, many))
             code[own[hit]] = x["p"][at[hit]]
-        return code
+            place[own[hit]] = at[hit]
+        return code, shard, place
+
+    # level 3
+
+    def triples_of(self, shard, place, wi):
+        """(count, count of the pair) of distinct triples: a pair's shard and place, -1 where it is not there, and a word's id; equal pairs stand together."""
+        import numpy as np
+
+        count, total = np.zeros(len(wi), np.int64), np.zeros(len(wi), np.int64)
+        shard = np.where(place < 0, -1, shard)
+        order = np.argsort(shard, kind="stable")
+        for a, k in zip(*_runs(shard[order]), strict=True):
+            own = order[a : a + k]
+            s = int(shard[own[0]])
+            if s not in self.have_3:
+                continue
+            x = _open(f"{self.path}/level3-{s}")
+            pointers, words, sums = x["b"], x["w"], x["c"]
+            upto = lambda at: np.where(at > 0, sums.get(np.maximum(at - 1, 0)), 0).astype(np.int64)
+            head, many = _runs(place[own])
+            low, high = (pointers.get(place[own[head]] + i).astype(np.int64) for i in (0, 1))
+            total[own] = np.repeat(upto(high) - upto(low), many)
+            base = np.where(low > 0, words.get(np.maximum(low - 1, 0)), 0).astype(np.uint64)
+            at, equal = words.successor(np.repeat(base, many) + (wi[own] + 1).astype(np.uint64))
+            hit = equal & (wi[own] >= 0) & (at < np.repeat(high, many))
+            count[own[hit]] = upto(at[hit] + 1) - upto(at[hit])
+        return count, total
 
 
 def train(docs: DataFrame, path: str) -> Model:
@@ -299,11 +394,11 @@ def train(docs: DataFrame, path: str) -> Model:
         import numpy as np
         import pyarrow as pa
 
-        from .succinct import EliasFano, pack
+        from .succinct import EliasFano, pack, unpack
 
         s = key[0].as_py()
-        parts = [_unblob(d.as_buffer()) for d in table.column("data").combine_chunks()]
-        w, c = np.concatenate([x["w"] for x in parts]), np.concatenate([x["c"] for x in parts])
+        parts = [unpack(d.as_buffer()) for d in table.column("data").combine_chunks()]
+        w, c = np.concatenate([x["w"] for x in parts]), np.concatenate([_uncounts(x) for x in parts])
         del parts
         order = np.argsort(w)
         w, c = w[order], c[order]
@@ -313,7 +408,7 @@ def train(docs: DataFrame, path: str) -> Model:
         return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([len(w)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
 
     def counted(batches):
-        yield from _blobs(batches, 1, shards_1)
+        yield from _blobs(batches, shards_1)
 
     sums = docs.mapInArrow(counted, "shard int, data binary").groupBy("shard").applyInArrow(level_1, "shard int, words long, tokens long").collect()
     model = Model(path, shards_1, shards_2, {r["shard"]: (r["words"], r["tokens"]) for r in sums}, n_docs)
@@ -341,51 +436,61 @@ def train(docs: DataFrame, path: str) -> Model:
         for r in sums:
             fs.delete(hadoop(spark, f"{path}/counts-{r['shard']}")[1], False)
 
-    def level_2(key, table):
+    def levels_2_and_3(key, table):
         import numpy as np
         import pyarrow as pa
 
-        from .succinct import EliasFano, pack
+        from .succinct import EliasFano, pack, unpack
 
         s = key[0].as_py()
-        parts = [_unblob(d.as_buffer()) for d in table.column("data").combine_chunks()]
-        u, n, w, c = (np.concatenate([x[k] for x in parts]) for k in "unwc")
-        del parts
+        t, u, w, c = [], [], [], []
+        for d in table.column("data").combine_chunks():
+            x = unpack(d.as_buffer())
+            t.append(np.repeat(np.repeat(_joined(x, "t"), x["a"]), x["n"]))
+            u.append(np.repeat(_joined(x, "u"), x["n"]))
+            w.append(_joined(x, "w"))
+            c.append(_uncounts(x))
+        t, u, w, c = (np.concatenate(x) for x in (t, u, w, c))
+        order = np.lexsort((w, (t.astype(np.uint64) << np.uint64(32)) | u.astype(np.uint64))) if model.words < 1 << 32 else np.lexsort((w, u, t))
+        t, u, w, c = t[order], u[order], w[order], c[order]
+        start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+        c = np.add.reduceat(c, start)
+        t, u, w = t[start], u[start], w[start]
+        # the pairs, and the words after them; no word comes after an end
+        at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (u[1:] != u[:-1])]))
+        follows = u != model.words_of(np.array([END], np.uint64))[0][0]
+        n = np.add.reduceat(follows.astype(np.int64), at)
+        if follows.any():
+            after = EliasFano.build(np.concatenate([[0], np.cumsum(n)]), "b") | EliasFano.build(_monotone(w[follows], n[n > 0]), "w") | EliasFano.build(np.cumsum(c[follows]), "c")
+            _put(f"{path}/level3-{s}", pack(after))
+        triples = int(n.sum())
+        u, w, c = t[at], u[at], np.add.reduceat(c, at)
+        del t, follows
         distinct, back = np.unique(u, return_inverse=True)
-        ui, cu, _ = model.words_of(distinct)
-        begin = distinct == np.uint64(BEGIN)
-        ui[begin], cu[begin] = model.words, model.docs
-        back = np.repeat(back, n)
-        u, cu = ui[back], cu[back]
+        begin = distinct == model.words
+        cu = np.full(len(distinct), model.docs, np.int64)
+        cu[~begin] = model.counts_of(distinct[~begin])[0]
+        cu = cu[back]
         distinct, back = np.unique(w, return_inverse=True)
-        wi, _, code = model.words_of(distinct)
-        w, pw = wi[back], (10.0 ** model.log_unigram(code))[back]
-        # ids below 2^32 make one key with the context
-        order = np.argsort((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)) if model.words < 1 << 32 else np.lexsort((w, u))
-        u, w, c, cu, pw = u[order], w[order], c[order], cu[order], pw[order]
-        start = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        c = np.add.reduceat(c, start)
-        u, w, cu, pw = u[start], w[start], cu[start], pw[start]
+        pw = (10.0 ** model.log_unigram(model.counts_of(distinct)[1]))[back]
         p = _quantise(np.log10((c + PSEUDO * pw) / (cu + PSEUDO)), model.low)
         at, n = _runs(u)
-        # ids within each context, shifted by the last number of the context before
-        last = w[np.append(at[1:], len(w)) - 1] + 1
-        shift = np.concatenate([[0], np.cumsum(last)[:-1]])
-        monotone = w + 1 + np.repeat(shift, n)
+        monotone = _monotone(w, n)
         pointers = np.append(at, len(w))
         _put(f"{path}/level2-{s}", pack(EliasFano.build(u[at], "u") | EliasFano.build(pointers, "b") | EliasFano.build(monotone, "w") | {"p": p}))
-        return pa.table({"shard": pa.array([s], pa.int32()), "pairs": pa.array([len(w)], pa.int64())})
+        return pa.table({"shard": pa.array([s], pa.int32()), "pairs": pa.array([len(w)], pa.int64()), "triples": pa.array([triples], pa.int64())})
 
     def paired(batches):
-        yield from _blobs(batches, 2, shards_2)
+        yield from _blobs(batches, shards_2, model)
 
-    built = docs.mapInArrow(paired, "shard int, data binary").groupBy("shard").applyInArrow(level_2, "shard int, pairs long").collect()
+    built = docs.mapInArrow(paired, "shard int, data binary").groupBy("shard").applyInArrow(levels_2_and_3, "shard int, pairs long, triples long").collect()
     model.have_2 = {r["shard"] for r in built}
+    model.have_3 = {r["shard"] for r in built if r["triples"]}
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (by words and pairs) and trigram_score."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -415,16 +520,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 pairs, where = np.unique(pair, return_inverse=True)
                 u, w = pairs // len(distinct), pairs % len(distinct)
                 uh, ui, cu = np.append(distinct, np.uint64(BEGIN)), np.append(ids, model.words), np.append(count, model.docs)
-                found = model.pairs_of(uh[u], distinct[w], ui[u], ids[w])
+                found, shard, place = model.places_of(uh[u], distinct[w], ui[u], ids[w])
                 missing = np.log10(PSEUDO / (cu[u] + PSEUDO)) + logs[w]
-                full = np.add.reduceat(np.where(found < 0, missing, found * (model.low / LEVELS))[where], starts)
+                by_pair = np.where(found < 0, missing, found * (model.low / LEVELS))
+                full = np.add.reduceat(by_pair[where], starts)
+                # the pair that ends before each word, and the word; a first word keeps its pair's probability
+                later = np.ones(len(h), bool)
+                later[starts] = False
+                later = np.flatnonzero(later)
+                triples, again = np.unique(where[later - 1] * np.int64(len(distinct)) + back[later], return_inverse=True)
+                c, x = triples // len(distinct), triples % len(distinct)
+                seen, of = model.triples_of(shard[c], place[c], ids[x])
+                by_pair_too = np.empty(len(triples))
+                by_pair_too[again] = by_pair[where[later]]
+                by_word = by_pair[where]
+                by_word[later] = np.log10((seen + PSEUDO * 10.0**by_pair_too) / (of + PSEUDO))[again]
+                fuller = np.add.reduceat(by_word, starts)
                 part = batch.slice(first, at - first)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([held_out(d) for d in part.column(0).to_pylist()], pa.bool_()), pa.array(ends - starts, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array([model.tokens] * len(own), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    pa.array([model.tokens] * len(own), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(fuller, pa.float64()),
+                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double")
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:

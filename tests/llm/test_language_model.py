@@ -58,6 +58,34 @@ def test_by_brute_force(documents, monkeypatch):
     assert check(documents.repartition(3), docs, monkeypatch) > 0  # held-out texts are likelier than by single words
 
 
+@pytest.mark.parametrize("name", ["documents", "odd"])
+def test_trigrams_by_brute_force(request, monkeypatch, name):
+    df = request.getfixturevalue(name).select("doc_id", "text")
+    for k, v in {"CHARS_1": 200_000, "CHARS_2": 90_000, "BATCH_TOKENS": 20_000}.items():
+        monkeypatch.setattr(language_model, k, v)
+    docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    one, two, three, after, n = Counter(), Counter(), Counter(), Counter(), 0
+    for i, t in docs:
+        if not out(i):
+            k = ["begin", *tokens(t)]
+            one.update(k[1:])
+            two.update(zip(k, k[1:], strict=False))
+            three.update(zip(k, k[1:], k[2:], strict=False))
+            after.update(zip(k, k[1:-1], strict=False))
+            n += 1
+    total, kinds, c = sum(one.values()), len(one), language_model.PSEUDO
+    gain = 0.0
+    rows = {(r["doc_id"], r["n_tokens"]): r for r in language_model.report(df.repartition(3)).collect()}
+    for i, t in docs:
+        k = ["begin", *tokens(t)]
+        p2 = lambda u, w: (two[u, w] + c * (one[w] + 1) / (total + kinds + 1)) / ((n if u == "begin" else one[u]) + c)
+        full = math.log10(p2(*k[:2])) + sum(math.log10((three[x] + c * p2(x[1], x[2])) / (after[x[:2]] + c)) for x in zip(k, k[1:], k[2:], strict=False))
+        r = rows[i, len(k) - 1]
+        assert abs(r["trigram_score"] - full) <= len(k) * 0.5 * math.log10(total + kinds + 1 + c) / 255 + 1e-6
+        gain += (r["trigram_score"] - r["score"]) * r["held_out"]
+    assert name == "odd" or gain > 0  # held-out texts are likelier than by pairs
+
+
 def test_odd_rows(odd, nothing, monkeypatch):
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
     check(odd, docs, monkeypatch)
