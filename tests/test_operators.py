@@ -188,3 +188,22 @@ def test_formats(spark):
     texts = ['[{"role": "user", "content": "x"}]', '{"messages": [{"role": "user", "content": [{"type": "text"}]}]}', '{"sessionId": "s", "messages": []}', '{"a": 1}\n{"b": 2}']
     got = [r["f"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(conversations.detect_format(F.col("t")).alias("f")).collect()]
     assert got == ["chat", "blocks", "session", "jsonl"]
+
+
+def test_components_of_an_ordered_chain(spark, monkeypatch):
+    """A chain in the order of its ids takes logarithmic rounds, and so do a star and shuffled ids."""
+    from mnemora.operators import components
+
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, label, f=components.written: made.append(label) or f(df, label))
+    n = 10_000
+    ids = list(range(n))
+    random.seed(9)
+    random.shuffle(ids)
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(n, n + i) for i in range(1, 500)] + [(2 * n + ids[i], 2 * n + ids[i + 1]) for i in range(n - 1)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = components.contract(df)
+    assert made.count("up") <= 20
+    assert {r["root"]: r["n"] for r in got.groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: n, n: 500, 2 * n: n}
+    any_root = components.contract(df, least=False)
+    assert sorted(r["n"] for r in any_root.groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()) == [500, n, n]
