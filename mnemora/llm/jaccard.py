@@ -9,11 +9,12 @@ between different sets is lost, and copies are never paired: documents of equal
    room for has no link. This needs no order and drops most classes.
 2. Groups. The remaining classes are partitioned by the token they share with most others, large groups
    further by hash, to at most some ``GROUP`` classes or ``GROUP_TOKENS`` tokens. Pairs inside a group are compared at once.
-3. Matrix. Tokens are ordered by rarity among the remaining classes. Linked classes share a token
-   of their prefixes in this order, so the groups' unions of prefix tokens, stored by token, tell
-   which groups a query may match. A query is sent to those groups; a group is opened only if the
-   overlap of the query with the union of all its tokens allows a link, and then only members of
-   fitting size are compared.
+3. Matrix. Tokens are ordered by rarity among the remaining classes. Linked classes share ``OVERLAP`` tokens
+   (all they need, where that is less) of their prefixes in this order, which are so many tokens longer than what a
+   link may leave unmatched. The matrix stores for each group the union of its members' prefixes, by token; a query's
+   overlap with the unions is summed over its own prefix, and it is sent only to groups that it overlaps in so many
+   tokens. There the group is opened only if the overlap with the union of all its tokens allows a link, and then
+   only members of fitting size are compared.
 4. Rounds. First the queries are central members of groups, one for each token of the matrix, and the
    components found are contracted. Then every class queries those groups that hold a larger component
    than its own. A family of near copies has few groups and is mostly one component after the
@@ -39,6 +40,8 @@ WORDS, PERCENT = 4, 85
 GROUP, GROUP_TOKENS = 512, 400_000
 #: Queries compared with a group in one task.
 QUERIES = 512
+#: Prefix tokens that a query must share with a group's union.
+OVERLAP = 3
 BROADCAST_ROWS = 300_000
 #: Characters of text hashed at once.
 BATCH_CHARS = 4_000_000
@@ -144,10 +147,10 @@ def sieve(marks: DataFrame, percent: int) -> DataFrame:
     """The classes (s1, s2, rep: one of its rows) that may have a link. marks: sketches with sieve tokens."""
     classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min(F.struct("doc_id", "th")).alias("rep"))
     # node: 64 bits are enough here, for classes that meet by chance only pass more often
-    dealt = classes.select(F.col("s1").alias("node"), F.explode("tokens").alias("token")).repartition("token")
-    from pyspark.sql import Window
-
-    shared = dealt.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    dealt = classes.select(F.col("s1").alias("node"), F.explode("tokens").alias("token"))
+    # counts are combined before they are dealt, and a join may be split where a token is hot
+    common = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    shared = dealt.join(common, "token").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
     sizes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first(F.size("tokens")).alias("read"), F.min(F.struct("doc_id", "th")).alias("rep"))
     joined = sizes.join(shared, sizes["s1"] == shared["node"], "left")
     alone = F.col("read") - F.coalesce("m", F.lit(0))
@@ -273,7 +276,8 @@ def _linked(classes: DataFrame, percent: int) -> DataFrame:
     rare = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     known = t.join(rare, "token").groupBy("s1", "s2").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     both = classes.join(known, ["s1", "s2"]).filter(F.size("shared") >= _needed(F.col("n"), percent))
-    room = F.greatest(F.lit(0), F.size("shared") - _needed(F.col("n"), percent) + 1).cast("int")  # prefix length less the tokens of its own
+    # prefix length less the tokens of its own: of a link's common tokens, the first OVERLAP have all the others after them
+    room = F.greatest(F.lit(0), F.size("shared") - _needed(F.col("n"), percent) + F.least(F.lit(OVERLAP), _needed(F.col("n"), percent))).cast("int")
     alive = written(both.select("s1", "s2", "n", "tokens", F.transform(F.slice("shared", 1, room), lambda x: x["token"]).alias("prefix"), F.element_at("shared", -1)["token"].alias("key")), "alive")
 
     # groups
@@ -283,26 +287,28 @@ def _linked(classes: DataFrame, percent: int) -> DataFrame:
     dealt = alive.join(count, "key", "left").withColumn("lot", F.pmod(F.xxhash64("s1", "s2"), F.coalesce("lots", F.lit(1).cast("long"))))
     members = dealt.select("key", "lot", "s1", "s2", "n", "tokens").groupBy("key", "lot").applyInArrow(lambda x: _within(x, percent), MEMBER)
     members = written(members, "members")
-    home = members.select("s1", "s2", "key", "lot", _label(F.col("l1"), F.col("l2")).alias("label"), "central", "reach")
+    overlap = lambda pairs: pairs.groupBy("s1", "s2", "n", "key", "lot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= F.least(F.lit(OVERLAP), _needed(F.col("n"), percent))).select("s1", "s2", "key", "lot")
+    home = members.select("s1", "s2", "n", "key", "lot", _label(F.col("l1"), F.col("l2")).alias("label"), "central", "reach")
     prefixes = written(alive.select("s1", "s2", F.explode("prefix").alias("token")).join(home, ["s1", "s2"]), "prefixes")
 
     # first round: of the central members that have a token, the one with the most links in its group asks all groups that have it
-    ask = prefixes.filter("central").groupBy("token").agg(F.max(F.struct("reach", "s1", "s2", F.col("key").alias("k"), F.col("lot").alias("l"))).alias("q")).select("token", "q.*")
-    wanted = ask.join(prefixes.select("token", "key", "lot").distinct(), "token").filter("k <> key or l <> lot").select("s1", "s2", "key", "lot").distinct()
+    ask = prefixes.filter("central").groupBy("token").agg(F.max(F.struct("reach", "s1", "s2", "n", F.col("key").alias("k"), F.col("lot").alias("l"))).alias("q")).select("token", "q.*")
+    matrix = written(prefixes.select("token", "key", "lot").distinct(), "matrix")
+    wanted = overlap(ask.join(matrix, "token").filter("k <> key or l <> lot"))
     inside = members.filter("l1 <> s1 or l2 <> s2").select(_label(F.col("s1"), F.col("s2")).alias("a"), _label(F.col("l1"), F.col("l2")).alias("b"))
     first = written(inside.unionByName(_asked(members, wanted, percent)), "first")
-    roots = contract(first)
+    roots = contract(first, least=False)
 
     # second round: whoever is not in the largest component that a group has asks it
     named = home.join(roots, home["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label")).drop("node")
     sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     ranks = written(named.join(sizes, "root").select("s1", "s2", F.struct("size", "root").alias("rank")), "ranks")
-    ranked = written(prefixes.select("token", "s1", "s2", "key", "lot").join(ranks, ["s1", "s2"]), "ranked")
+    ranked = written(prefixes.select("token", "s1", "s2", "n", "key", "lot").join(ranks, ["s1", "s2"]), "ranked")
     most = ranked.groupBy("token").agg(F.max("rank").alias("most"))
-    asks = ranked.join(most, "token").filter("rank < most").select("token", "s1", "s2", "rank", F.col("key").alias("k"), F.col("lot").alias("l"))
+    asks = ranked.join(most, "token").filter("rank < most").select("token", "s1", "s2", "n", "rank", F.col("key").alias("k"), F.col("lot").alias("l"))
     holds = ranked.groupBy("token", "key", "lot").agg(F.max("rank").alias("held"))
-    wanted = asks.join(holds, "token").filter("rank < held and (k <> key or l <> lot)").select("s1", "s2", "key", "lot").distinct()
-    roots = contract(first.unionByName(_asked(members, wanted, percent)))
+    wanted = overlap(asks.join(holds, "token").filter("rank < held and (k <> key or l <> lot)"))
+    roots = contract(first.unionByName(_asked(members, wanted, percent)), least=False)
     return members.select("s1", "s2", _label(F.col("s1"), F.col("s2")).alias("node")).join(roots, "node").select("s1", "s2", "root")
 
 
@@ -318,10 +324,12 @@ def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Da
     classes = written(sketches(texts, size, percent, all_tokens=True).select("s1", "s2", "n", "tokens").dropDuplicates(["s1", "s2"]), "classes")
     linked = _linked(classes, percent)
     held = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"))
-    held = held.join(linked, ["s1", "s2"], "left").withColumn("root", F.coalesce("root", _label(F.col("s1"), F.col("s2"))))
-    held = written(held, "held")
-    tops = held.groupBy("root").agg(F.min("least").alias("component_id"), F.min("rep").alias("top"))
-    placed = written(held.join(tops, "root").select("s1", "s2", "component_id", "top"), "placed")
+    held = written(held.join(linked, ["s1", "s2"], "left"), "held")
+    linked = held.filter("root is not null")
+    tops = written(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("rep").alias("top")), "tops")
+    # a component may hold a large share of the classes: its one row is broadcast, or joined by a join that may be split
+    linked = linked.join(F.broadcast(tops) if small_enough(tops, BROADCAST_ROWS) else tops, "root").select("s1", "s2", "component_id", "top")
+    placed = written(linked.unionByName(held.filter("root is null").select("s1", "s2", F.col("least").alias("component_id"), F.col("rep").alias("top"))), "placed")
     base = marks.select("doc_id", "th", F.col("n").alias("n_shingles"), "s1", "s2")
     out = base.join(placed, ["s1", "s2"], "left")
     alone = F.col("n_shingles") == 0
