@@ -1,7 +1,7 @@
 """Personal data by weak supervision (operator 1).
 
 Every whole text is searched for candidate spans: the base matches (email, ip, card, phone), which
-always stay, and wider ones (obfuscated addresses, numbers without a plus sign, IPv6, cards that fail
+always stay, and wider ones (obfuscated addresses, numbers without a plus sign or run into other numbers, IPv6, cards that fail
 the check digit, social security numbers, IBANs, names after a title). Four labelers vote yes, no or
 nothing on each candidate:
 
@@ -12,10 +12,11 @@ nothing on each candidate:
 
 Expectation-maximisation (a two-class model with labelers independent given the class, for each kind)
 estimates their reliabilities and the share of true spans from the counts of all vote patterns of
-the corpus. A logistic classifier over kind, votes and shape is then trained on the resulting soft
-labels of all candidates; wider candidates it gives at least ``THRESHOLD`` are added. The counts by
-pattern are all that reaches the driver, and the number of patterns is fixed by the labelers, not by
-the data.
+the corpus. The final span classifier is a logistic model over the votes, the span itself (its shape, length,
+first characters) and its neighbours (two words before, one after), all hashed to ``SLOTS`` weights. It is trained on the
+label model's soft labels of at most ``SAMPLE`` different candidates, those of the least hashes, and judges
+every candidate of every text; wider candidates it gives at least ``THRESHOLD`` are added. Counts by pattern,
+whose number the labelers fix, and the sample are all that reaches the driver.
 
 Null texts are empty; repeated rows give repeated results; an empty table gives no rows and trains
 nothing. The text is scanned once, with patterns that take linear time; the candidates are a written
@@ -36,6 +37,8 @@ from .common import ship, text_of, written
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name")
 BASE = KINDS[:4]
 THRESHOLD = 0.9
+#: Different candidates that the classifier is trained on at most, and its weights.
+SAMPLE, SLOTS = 100_000, 1 << 14
 BEFORE = 48
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,8 +52,10 @@ NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({](?:dot|DOT)[\])}]) ?[A-Za-z0-9-]{1,63}){1,4}")
-NAMED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?(?![A-Za-z])")
+HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]++)+")
+NAMED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]++(?: [A-Z][a-z]++)?(?![A-Za-z])")
+LAST = re.compile(r"[A-Za-z0-9-]++(?=[^A-Za-z0-9-]*$)")
+GROUPED = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{2,4}){1,3}(?![0-9])")
 
 #: Gazetteers.
 TOP_DOMAINS = frozenset("com org net edu gov int mil io co info biz eu uk de fr es it nl ch at be se no fi dk pl pt ie us ca au nz jp cn in br mx ru".split())
@@ -118,9 +123,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def wider_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates beside the base spans, overlapping neither them nor each other."""
+    from bisect import bisect_left
+
+    used = sorted((s, e) for s, _, e in taken)
     found = []
     if DIGIT.search(text):
         found += [(m.start(), 4, m.end()) for m in SSN.finditer(text)]
+        if "+" in text:
+            for m in GROUPED.finditer(text):
+                i = bisect_left(used, (m.start() + 1, 0))
+                m = GROUPED.match(text, m.start(), used[i][0] if i < len(used) else len(text))  # up to the next base span
+                if m and 9 <= len(digits_of(m[0])) <= 15:
+                    found.append((m.start(), 3, m.end()))
         found += [(m.start(), 3, m.end()) for m in NATIONAL.finditer(text)]
         found += [(m.start(), 5, m.end()) for m in IBAN.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(digits_of(m[0])) <= 19]
@@ -133,9 +147,6 @@ def wider_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         found += [(m.start(), 6, m.end()) for m in NAMED.finditer(text)]
     if not found:
         return []
-    from bisect import bisect_left
-
-    used = sorted((s, e) for s, _, e in taken)
     out = []
     for s, k, e in sorted(found, key=lambda x: (x[0], x[1])):
         i = bisect_left(used, (s, e))
@@ -151,8 +162,8 @@ def votes(text: str, start: int, kind: int, end: int) -> str:
     span, d = text[start:end], ""
     form = book = "0"
     if kind == 0:
-        tail = span.rsplit(".", 1)[-1].strip("])} ").lower()
-        form = "+" if "@" in span and ".." not in span and 2 <= len(tail) <= 24 else ("+" if "@" not in span else "-")
+        tail = LAST.search(span)[0].lower()
+        form = "+" if ".." not in span and 2 <= len(tail) <= 24 and tail.isalpha() else "-"
         book = "+" if tail in TOP_DOMAINS else "-"
     elif kind == 1:
         if ":" in span:
@@ -185,11 +196,26 @@ def votes(text: str, start: int, kind: int, end: int) -> str:
     return f"{KINDS[kind]}:{form}{book}{context}{border}{shape}"
 
 
+SHAPES = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\dA-Z_]+"), "a"), (re.compile(r"[0-9]"), "9"), (re.compile(r"\s"), "_"), (re.compile(r"\|"), "I"))
+NEAR = re.compile(r"\w+|[^\w\s]")
+
+
+def clues(text: str, start: int, kind: int, end: int) -> str:
+    """What the classifier reads of a span and its neighbours: shape, length, first two characters, two words before, one after."""
+    shape = text[start : min(end, start + 200)]
+    for pattern, to in SHAPES:
+        shape = pattern.sub(to, shape)
+    low = lambda x: x[:20].lower().replace("|", "I")
+    before = [low(x) for x in NEAR.findall(text[max(0, start - BEFORE) : start])[-2:]]
+    after = [low(x) for x in NEAR.findall(text[end : end + BEFORE])[:1]]
+    return "|".join([f"s={shape[:40]}", f"n={min(40, end - start)}", f"f={low(text[start : start + 2])}", *(f"b{i}={x}" for i, x in enumerate(reversed(before))), *(f"a={x}" for x in after)])
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-SCHEMA = ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, found array<struct<start:long,kind:int,end:long,base:boolean,votes:string>>"
+SCHEMA = ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, found array<struct<start:long,kind:int,end:long,base:boolean,votes:string,clues:string>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -200,7 +226,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        item = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string())])
+        item = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("clues", pa.string())])
         for batch in batches:
             counts: list[list[int]] = [[] for _ in BASE]
             hashes, found = [], []
@@ -212,7 +238,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     own.append(sum(x[1] == k for x in base))
                 hashes.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 both = sorted([(*x, True) for x in base] + [(*x, False) for x in wide])
-                found.append([{"start": s, "kind": k, "end": e, "base": b, "votes": votes(t, s, k, e)} for s, k, e, b in both])
+                found.append([{"start": s, "kind": k, "end": e, "base": b, "votes": votes(t, s, k, e), "clues": clues(t, s, k, e)} for s, k, e, b in both])
             cols = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(hashes, pa.string()), pa.array(found, pa.list_(item))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "found"])
 
@@ -256,44 +282,83 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
     return out
 
 
-def _features(pattern: str) -> list[float]:
+def _features(key: str) -> list[int]:
+    """Slots of a candidate's features. key: its vote pattern, and its clues where there are any, joined by "|"."""
+    import zlib
+
+    pattern, *words = key.split("|")
     kind, v = pattern.split(":")
-    one = [float(v[j] == c) for j in range(LABELERS) for c in "+-"]
-    return [1.0, *[float(kind == k) for k in KINDS], *one, float(v[LABELERS] == "s"), one[0] * one[2], one[0] * one[4], one[2] * one[4]]
+    names = ["", kind, f"{kind}{v[LABELERS]}", *(f"{kind}{j}{v[j]}" for j in range(LABELERS)), *(f"{j}{v[j]}" for j in range(LABELERS)), f"01{v[:2]}", f"02{v[0]}{v[2]}", f"12{v[1:3]}", *(f"{kind}{w}" for w in words), *(w for w in words if w[0] in "ab")]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names]
+
+
+class Classifier:
+    """A logistic model over hashed features; its probability of a candidate by key."""
 
+    def __init__(self, weights):
+        self.weights = weights
 
-def train(counts: dict[str, int], soft: dict[str, float], ridge: float = 1.0) -> dict[str, float]:
-    """The span classifier: logistic regression by Newton steps on all candidates (as patterns with counts); its probability of each pattern."""
+    def __getitem__(self, key: str) -> float:
+        import math
+
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, float(self.weights[_features(key)].sum())))))
+
+
+def train(counts: dict[str, int], soft: dict[str, float], ridge: float = 1.0, rounds: int = 400) -> Classifier:
+    """The span classifier of candidates (keys with counts) and the soft labels of their vote patterns, by gradient steps of adaptive size."""
     import numpy as np
 
-    names = sorted(counts)
-    if not names:
-        return {}
-    x = np.array([_features(p) for p in names])
-    n, y = np.array([counts[p] for p in names], float), np.array([soft[p] for p in names])
-    b = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
-        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (n * (y - p)) - ridge * b)
-        b += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return dict(zip(names, (1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))).tolist(), strict=True))
+    weights, squares = np.zeros(SLOTS), np.full(SLOTS, 1e-6)
+    keys = sorted(counts)
+    if keys:
+        slots = [_features(k) for k in keys]
+        flat, row = np.concatenate(slots), np.repeat(np.arange(len(keys)), [len(x) for x in slots])
+        n, y = np.array([counts[k] for k in keys], float), np.array([soft[k.split("|")[0]] for k in keys])
+        for _ in range(rounds):
+            z = np.bincount(row, weights[flat], len(keys))
+            miss = n * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+            slope = np.bincount(flat, miss[row], SLOTS) + ridge * weights
+            squares += slope * slope
+            weights -= 0.3 * slope / np.sqrt(squares)
+    return Classifier(weights)
+
+
+def fit(found: DataFrame) -> Classifier:
+    """The classifier of all candidates: the label model from the counts of every vote pattern (at most kinds x 3^4 x 2), the weights from a sample."""
+    each = found.select(F.explode("found").alias("f")).select("f.votes", "f.clues")
+    rows = each.groupBy("votes").count().collect()
+    soft = estimate({r["votes"]: r["count"] for r in rows})
+    keys = each.groupBy(F.concat_ws("|", "votes", "clues").alias("key")).count()
+    some = keys.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+    return train({r["key"]: r["count"] for r in some}, soft)
+
 
+def judged(found: DataFrame, classifier: Classifier) -> DataFrame:
+    """Per document: base counts and hash, and the spans that are base or that the classifier accepts."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known: dict[str, bool] = {}
+
+        def good(c: dict) -> bool:
+            key = f"{c['votes']}|{c['clues']}"
+            if key not in known:
+                if len(known) >= SAMPLE:
+                    known.clear()
+                known[key] = classifier[key] >= THRESHOLD
+            return known[key]
+
+        for batch in batches:
+            spans = [_joined([(c["start"], c["kind"], c["end"]) for c in own if c["base"] or good(c)]) if own else "" for own in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.string())], names=[*batch.schema.names[:-1], "spans"])
 
-def fit(found: DataFrame) -> dict[str, float]:
-    """Probability of every vote pattern among all candidates; the patterns are at most kinds x 3^4 x 2."""
-    rows = found.select(F.explode("found.votes").alias("v")).groupBy("v").count().collect()
-    counts = {r["v"]: r["count"] for r in rows}
-    return train(counts, estimate(counts))
+    columns = ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "found"]
+    kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in columns[:-1])
+    return found.select(*columns).mapInArrow(run, f"{kinds}, spans string")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: base counts, base_sha256 and spans (base and added)."""
     found = written(candidates(docs), "pii")
-    good = [p for p, q in fit(found).items() if q >= THRESHOLD]
-    names = F.array(*[F.lit(k) for k in KINDS])
-    accepted = F.array(*[F.lit(p) for p in good]).cast("array<string>")
-    kept = F.filter("found", lambda c: c["base"] | F.array_contains(accepted, c["votes"]))
-    spans = F.array_join(F.transform(kept, lambda c: F.concat_ws(":", F.get(names, c["kind"]), c["start"].cast("string"), c["end"].cast("string"))), ",")
-    return found.select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", spans.alias("spans"))
+    return judged(found, fit(found))
