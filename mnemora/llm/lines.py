@@ -1,16 +1,23 @@
 """Line dedup with overlapping three-line windows (operator 8), DataFrame functions only.
 
-Lines with a word are lower-cased, their white space is folded to single blanks, and every three
-consecutive ones make a window; windows are known by 128 bits of hash. Windows found more than
-once anywhere are repeated; an occurrence is the first if no other has a smaller
-(doc_id, text fingerprint, place), nulls before all. The lines of every other occurrence are
-covered; covered lines of a document are merged and removed. Each removed line so has an equal
-earlier line, and the earliest stays. A document that loses lines also loses its lines without a
-word. Documents of fewer than three lines with words are left as they are; null texts are empty;
+Windows are made of three consecutive units, in two readings of a text (lower-cased, white space folded to single blanks):
+
+* lines - lines with a word, whatever their length; covered lines are removed whole;
+* clauses - the text without regard to its line breaks, cut after each of ``.!?,;:`` that white space follows, so that
+  passages within long lines or wrapped in another way are found too. Covered clauses that touch are one run, and a run is cut
+  out of its lines where one of its windows has ``LEAST`` characters or more, without the blanks between
+  clauses (three short exclamations meet by chance); line feeds stay.
+
+Windows are known by 96 bits of hash. Windows found more than once anywhere are repeated; an occurrence is the first if
+no other of its reading has a smaller (doc_id, text fingerprint, place), nulls before all. The units of every other
+occurrence are covered; covered positions of a document are merged and removed. Each removed unit so has an equal
+earlier one, and the earliest stays. A document that loses anything also loses its lines without a
+word. Texts of fewer than three units of either reading are left as they are; null texts are empty;
 rows that repeat a document's id and text are one document.
 
-Only hashes and places are shuffled to find repeats: counting is combined before the shuffle, and
-the repeated windows are joined by a key that Spark may split where a window is hot.
+The windows' hashes are computed once and written. Their counts are combined before the shuffle of 64 bits a window;
+only rows of repeated windows are shuffled after that, by a join that Spark may split where a window is hot. Texts are
+moved only if what is to be removed is too large to be broadcast (``BROADCAST_BYTES``, summed over its rows).
 """
 
 from __future__ import annotations
@@ -18,71 +25,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RE, boxed, fingerprint, let, text_of, unboxed
+from .common import WHITE, boxed, fingerprint, let, small_enough, text_of, unboxed, written
 
-SIZE = 3
+SIZE, LEAST = 3, 80
+#: Repeated windows (8 bytes each), and bytes of removals, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+CLAUSE = r"(?s).*?(?:[.!?,;:][\x20\x09-\x0D]+|\z)"
 
 
-def _normal(line: Column) -> Column:
-    return F.regexp_replace(F.btrim(F.lower(line), F.lit(WHITE)), WHITE_RE, " ")
+def _key(reading: int, h: Column, k: Column, long: Column) -> Column:
+    three = [F.get(h, k + i) for i in range(SIZE)]
+    return F.struct(F.xxhash64(F.lit(reading), *three).alias("h"), F.hash(F.lit(reading), *three).alias("g"), long.alias("l"))
 
 
-def _windows(text: Column) -> Column:
-    """array<struct<h1, h2, at>>: at has the 0-based places of the window's lines among all lines."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), _normal(x).alias("t")))
+WINDOWS = "array<struct<h:bigint,g:int,l:boolean>>"
 
-    def of(full: Column) -> Column:
-        def window(k: Column) -> Column:
-            own = F.array_join(F.transform(F.slice(full, k + 1, SIZE), lambda x: x["t"]), "\n")
-            return let(own, lambda w: F.struct(
-                F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), F.transform(F.slice(full, k + 1, SIZE), lambda x: x["i"]).alias("at"),
-            ))
 
-        return F.when(F.size(full) < SIZE, None).otherwise(F.transform(F.sequence(F.lit(0), F.size(full) - SIZE), window))
+def _line_windows(folded: Column) -> Column:
+    """The window at each line with a word. folded: lower-cased text whose white space other than line feeds is single blanks."""
+    lines = F.split(F.btrim(folded, F.lit(" ")), " ?\n ?")
 
-    return let(F.filter(lines, lambda x: x["t"] != ""), of)
+    def of(h: Column) -> Column:
+        return F.when(F.size(h) < SIZE, F.array().cast(WINDOWS)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda k: _key(0, h, k, F.lit(True))))
+
+    return let(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)), of)
+
+
+def _clause_windows(folded: Column) -> Column:
+    """The window at each clause."""
+    text = F.btrim(F.regexp_replace(folded, " ?\n[ \n]*", " "), F.lit(" "))
+
+    def of(c: Column) -> Column:
+        h, n = c["h"], c["n"]
+        long = lambda k: F.get(n, k) + F.get(n, k + 1) + F.get(n, k + 2) >= LEAST
+        return F.when(F.size(h) < SIZE, F.array().cast(WINDOWS)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda k: _key(1, h, k, long(k))))
+
+    both = lambda u: F.struct(F.transform(u, lambda x: F.xxhash64(x)).alias("h"), F.transform(u, lambda x: F.length(x)).alias("n"))
+    return let(let(F.split(text, "(?<=[.!?,;:]) "), both), of)
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, drop): the 0-based lines to remove of each document that has any. docs: doc_id, text, th."""
-    w = docs.select("doc_id", "th", F.explode(_windows(F.col("text"))).alias("w")).select("doc_id", "th", "w.*")
-    place = F.struct("doc_id", "th", F.element_at("at", 1).alias("at"))
-    repeated = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
-    later = w.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("drop"))
+    """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
+    folded = F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    both = let(folded, lambda t: F.struct(_line_windows(t).alias("a"), _clause_windows(t).alias("b")))
+    own = written(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
+    every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", "n", "at", "w.h", "w.g", "w.l")
+    repeated = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeated")
+    rows = every.join(F.broadcast(repeated) if small_enough(repeated, BROADCAST_ROWS) else repeated, "h")
+    rows = written(rows, "occurrences")
+    place = F.struct("doc_id", "th", "at")
+    first = rows.groupBy("h", "g").agg(F.min(place).alias("first"))
+    later = rows.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
+    gone = later.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("at", "l"))).alias("w"))
+    lines, clauses = F.transform(F.filter("w", lambda x: x["at"] < F.col("n")), lambda x: x["at"]), F.filter("w", lambda x: x["at"] >= F.col("n"))
+    clauses = F.transform(let(clauses, _long_runs), lambda x: x["at"] - F.col("n"))
+    return gone.select("doc_id", "th", lines.alias("lines"), clauses.alias("clauses")).filter((F.size("lines") > 0) | (F.size("clauses") > 0))
+
+
+def _long_runs(w: Column) -> Column:
+    """Of the windows (at, l) in order those whose run of touching windows has a long one."""
+    first = lambda j: (j == 0) | (F.get(w, j)["at"] - F.get(w, j - 1)["at"] > SIZE)
+    starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), first)
+
+    def runs(s: Column) -> Column:
+        each = F.transform(s, lambda j, t: F.slice(w, j + 1, F.coalesce(F.get(s, t + 1), F.size(w)) - j))
+        return F.flatten(F.filter(each, lambda r: F.exists(r, lambda x: x["l"])))
+
+    return F.when(F.size(w) == 0, w).otherwise(let(starts, runs))
+
+
+def _units(windows: Column) -> Column:
+    """The merged places of windows' units."""
+    return F.array_distinct(F.flatten(F.transform(windows, lambda k: F.sequence(k, k + SIZE - 1))))
 
 
 def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with struct ``d``: text (cleaned), n_lines (with a word), n_removed."""
+    """docs with struct ``d``: text (cleaned), n_lines (with a word), n_removed (lines), n_cut (clauses)."""
     text, th = text_of(docs, text_col), fingerprint(text_of(docs, text_col))
     own = docs.select("doc_id", text.alias("text")).withColumn("th", fingerprint(F.col("text")))
-    gone = removals(own).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
-    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_id"]) & (th == gone["_th"]), "left")
+    gone = removals(own).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.struct(_units(F.col("lines")).alias("l"), _units(F.col("clauses")).alias("c")).alias("_drop"))
+    gone = written(gone, "removals")
+    moved = gone.agg(F.coalesce(F.sum(40 + 4 * (F.size("_drop.l") + F.size("_drop.c"))), F.lit(0))).first()[0]
+    out = docs.join(F.broadcast(gone) if moved <= BROADCAST_BYTES else gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_id"]) & (th == gone["_th"]), "left")
     lines = F.split(text, "\n")
     blank = lambda x: F.btrim(x, F.lit(WHITE)) == ""
 
-    def cleaned(l: Column) -> Column:
-        full = F.filter(F.sequence(F.lit(0), F.size(l) - 1), lambda i: ~blank(F.get(l, i)))
-        return F.array_join(F.transform(F.array_except(full, F.col("_drop")), lambda i: F.get(l, i)), "\n")
+    def cut(pieces: Column) -> Column:
+        """The text with covered clauses left out, their line feeds kept."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_drop.c"))
+        every = F.concat(F.transform(stay, lambda i: F.struct(i.alias("i"), F.get(pieces, i).alias("p"))), F.transform("_drop.c", lambda i: F.struct(i.alias("i"), F.regexp_replace(F.get(pieces, i), "[^\n]+", "").alias("p"))))
+        return F.array_join(F.transform(F.sort_array(every), lambda x: x["p"]), "")
+
+    def cleaned(own: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: ~blank(F.get(own, i)))
+        stay = let(full, lambda f: F.array_except(f, F.transform("_drop.l", lambda i: F.get(f, i))))
+        rest = F.when(F.size("_drop.c") == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)), cut))
+        return let(F.split(rest, "\n"), lambda r: F.array_join(F.filter(F.transform(stay, lambda i: F.get(r, i)), lambda x: ~blank(x)), "\n"))
 
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     d = F.struct(
         F.when(F.col("_drop").isNull(), text).otherwise(let(lines, cleaned)).alias("text"),
         F.size(F.filter(lines, lambda x: ~blank(x))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.l")).alias("n_removed"),
+        F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.c")).alias("n_cut"),
     )
     return out.withColumn("d", d).drop("_id", "_th", "_drop")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return dedup(docs.select("doc_id", "text")).select("doc_id", "d.n_lines", "d.n_removed", "d.text")
+    return dedup(docs.select("doc_id", "text")).select("doc_id", "d.n_lines", "d.n_removed", "d.n_cut", "d.text")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs in their own columns with repeated lines removed."""
+    """docs in their own columns with repeated lines and clauses removed."""
     return unboxed(dedup(boxed(docs)), docs.columns, F.col("d.text"))
 
 
-#: The lines of table {docs} and what goes; l_all has a row for each document.
+#: The lines and clauses of table {docs} and what goes; l_all has a row for each document.
 DEDUP_SQL = r"""
 l_doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {docs}),
 l_split AS (SELECT rid, doc_id, string_split(text, chr(10)) AS l FROM l_doc),
@@ -92,9 +151,21 @@ l_near AS (SELECT rid, doc_id, i, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w
     FROM l_full WHERE t <> '' WINDOW w AS (PARTITION BY rid ORDER BY i)),
 l_rank AS (SELECT rid, i, i1, i2, row_number() OVER (PARTITION BY t, t1, t2 ORDER BY doc_id, i) AS rn FROM l_near WHERE t2 IS NOT NULL),
 l_gone AS (SELECT DISTINCT rid, unnest([i, i1, i2]) AS i FROM l_rank WHERE rn > 1),
-l_left AS (SELECT f.rid, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY f.i) FILTER (g.i IS NULL), '') AS clean
-    FROM l_full f LEFT JOIN l_gone g ON f.rid = g.rid AND f.i = g.i WHERE t <> '' GROUP BY f.rid),
-l_all AS (SELECT d.rid, doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
-    CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE clean END AS clean FROM l_doc d LEFT JOIN l_left USING (rid))
+l_cut AS (SELECT rid, doc_id, list_filter(regexp_extract_all(text, '(?s).*?(?:[.!?,;:][\x20\x09-\x0D]+|\z)'), lambda x: x <> '') AS c FROM l_doc),
+l_piece AS (SELECT rid, doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS piece FROM l_cut),
+l_clause AS (SELECT *, regexp_replace(trim(lower(piece), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM l_piece),
+l_close AS (SELECT rid, doc_id, i, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2 FROM l_clause WINDOW w AS (PARTITION BY rid ORDER BY i)),
+l_order AS (SELECT rid, i, length(t) + length(t1) + length(t2) >= 80 AS long, row_number() OVER (PARTITION BY t, t1, t2 ORDER BY doc_id, i) AS rn FROM l_close WHERE t2 IS NOT NULL),
+l_start AS (SELECT rid, i, long, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 3 THEN 0 ELSE 1 END AS start FROM l_order WHERE rn > 1),
+l_run AS (SELECT rid, i, long, sum(start) OVER (PARTITION BY rid ORDER BY i) AS run FROM l_start),
+l_long AS (SELECT rid, run FROM l_run GROUP BY rid, run HAVING bool_or(long)),
+l_over AS (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS i FROM l_run JOIN l_long USING (rid, run)),
+l_rest AS (SELECT p.rid, count(o.i) AS n_cut, string_split(string_agg(CASE WHEN o.i IS NULL THEN piece ELSE regexp_replace(piece, '[^\n]+', '', 'g') END, '' ORDER BY p.i), chr(10)) AS l
+    FROM l_piece p LEFT JOIN l_over o ON p.rid = o.rid AND p.i = o.i GROUP BY p.rid),
+l_left AS (SELECT f.rid, count(*) AS n_lines, count(g.i) AS n_removed, any_value(n_cut) AS n_cut,
+    coalesce(string_agg(r.l[f.i], chr(10) ORDER BY f.i) FILTER (g.i IS NULL AND regexp_matches(r.l[f.i], '[^\x20\x09-\x0D]')), '') AS clean
+    FROM l_full f JOIN l_rest r ON r.rid = f.rid LEFT JOIN l_gone g ON f.rid = g.rid AND f.i = g.i WHERE t <> '' GROUP BY f.rid),
+l_all AS (SELECT d.rid, doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_cut, 0)::BIGINT AS n_cut,
+    CASE WHEN coalesce(n_removed, 0) + coalesce(n_cut, 0) = 0 THEN text ELSE clean END AS clean FROM l_doc d LEFT JOIN l_left USING (rid))
 """
-SQL = "WITH " + DEDUP_SQL.replace("{docs}", "documents") + "SELECT doc_id, n_lines, n_removed, clean AS text FROM l_all"
+SQL = "WITH " + DEDUP_SQL.replace("{docs}", "documents") + "SELECT doc_id, n_lines, n_removed, n_cut, clean AS text FROM l_all"
