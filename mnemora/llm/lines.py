@@ -38,12 +38,20 @@ def _key(reading: int, h: Column, k: Column, long: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(reading), *three).alias("h"), F.hash(F.lit(reading), *three).alias("g"), long.alias("l"))
 
 
+def _folded(text: Column) -> Column:
+    """The text with its white space, but for line feeds, as single blanks; most texts are so already, which is cheaper to see than to make."""
+    odd = text.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | text.contains(c)
+    return F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(text)
+
+
 WINDOWS = "array<struct<h:bigint,g:int,l:boolean>>"
 
 
 def _line_windows(folded: Column) -> Column:
     """The window at each line with a word. folded: lower-cased text whose white space other than line feeds is single blanks."""
-    lines = F.split(F.btrim(folded, F.lit(" ")), " ?\n ?")
+    lines = F.transform(F.split(folded, "\n"), lambda x: F.btrim(x, F.lit(" ")))
 
     def of(h: Column) -> Column:
         return F.when(F.size(h) < SIZE, F.array().cast(WINDOWS)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda k: _key(0, h, k, F.lit(True))))
@@ -53,7 +61,7 @@ def _line_windows(folded: Column) -> Column:
 
 def _clause_windows(folded: Column) -> Column:
     """The window at each clause."""
-    text = F.btrim(F.regexp_replace(folded, " ?\n[ \n]*", " "), F.lit(" "))
+    text = let(F.replace(folded, F.lit("\n"), F.lit(" ")), lambda t: F.btrim(F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t), F.lit(" ")))
 
     def of(c: Column) -> Column:
         h, n = c["h"], c["n"]
@@ -66,8 +74,7 @@ def _clause_windows(folded: Column) -> Column:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
-    folded = F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    both = let(folded, lambda t: F.struct(_line_windows(t).alias("a"), _clause_windows(t).alias("b")))
+    both = let(let(F.lower("text"), _folded), lambda t: F.struct(_line_windows(t).alias("a"), _clause_windows(t).alias("b")))
     own = written(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
     every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", "n", "at", "w.h", "w.g", "w.l")
     repeated = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeated")
