@@ -4,15 +4,20 @@ A document word is hit when it lies inside an occurrence of a window: 13 consecu
 benchmark item, or the whole item where it has fewer (but some) words.
 
 Winnowing keeps, of every 6 consecutive 8-gram hashes, the smallest. 6 + 8 - 1 = 13, so any
-shared span of 13 words selects the same 8-gram on both sides: joining the fingerprints finds
-every such span, and hits are then extended and compared word by word. Items shorter than 13 words
-have no such guarantee; for each of their lengths n (at most 12) the documents' n-grams are joined
-directly.
-
-Fingerprints of the benchmark are broadcast only if a count proves them few (``BROADCAST_ROWS``);
-beyond it the same joins are shuffled. Documents' fingerprints are never gathered: they stream
-through the join and only hits remain. Null texts have no words; null ids are ordinary values; item
-rows that repeat count once; an empty benchmark hits nothing.
+shared span of 13 words selects the same 8-gram on both sides, at the same place of the span: joining the fingerprints
+finds every such span. An item shorter than 13 words has one fingerprint, the hash of all its words, which is held against
+the documents' grams of its length (at most 12 lengths, in the same pass).
+
+1. One pass over all documents joins their fingerprints with the items'; the documents that share one are touched.
+2. The touched documents' grams, with their places, are joined with the items' fingerprints and their places. The
+   difference of the places is a diagonal on which document and item may agree.
+3. Each diagonal is extended: words are compared one by one along it, and runs of 13 equal words or more (all
+   words of a short item) are hits.
+
+The items' fingerprints (a number each) are broadcast only if a count proves them few (``BROADCAST_ROWS``), their words only
+if a sum proves them small (``BROADCAST_BYTES``); beyond that the same joins are shuffled. Documents' fingerprints are never
+gathered: they stream through the join and only hits remain. Null texts have no words; null ids are ordinary values; items of
+equal words are compared once, item rows that repeat count once; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -24,15 +29,29 @@ from .common import LOWER, UPPER, fingerprint, let, small_enough, text_of, writt
 
 WINDOW, GRAM = 13, 8
 SPAN = WINDOW - GRAM + 1
-#: Benchmark rows that may be broadcast: some 16 MB of fingerprints.
-BROADCAST_ROWS = 500_000
+#: Rows of one or two numbers that may be broadcast, and bytes of benchmark words.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 SPLIT_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same with A-Z, for texts that are not lower-cased.
+EITHER_RE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _split(text: Column, pattern: str) -> Column:
+    """The parts between separators; one at either end leaves an empty string there, and nowhere else, which is cut off."""
+
+    def inner(p: Column) -> Column:
+        lead = (F.get(p, F.lit(0)) == "").cast("int")
+        n = F.size(p) - lead - (F.element_at(p, -1) == "").cast("int")
+        return F.when(n <= 0, F.array().cast("array<string>")).otherwise(F.slice(p, lead + 1, F.greatest(n, F.lit(0))))
+
+    return let(F.split(text, pattern), inner)
 
 
 def tokens(text: Column) -> Column:
     """Words of lower-cased (A-Z) text; an array without empty strings."""
-    parts = F.split(F.translate(text, UPPER, LOWER), SPLIT_RE)
-    return F.filter(parts, lambda w: w != "")
+    # of ASCII alone both give the same, and lower is faster
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return _split(low, SPLIT_RE)
 
 
 def _hashes(words: Column) -> Column:
@@ -53,78 +72,87 @@ def _minima(h: Column, span: int = SPAN) -> Column:
     )
 
 
-def fingerprints(words: Column) -> Column:
-    """The distinct winnowed 8-gram hashes of an array of words."""
-    return let(_hashes(words), lambda wh: let(_grams(wh, GRAM), lambda h: F.array_distinct(_minima(h))))
+def fingerprints(words: Column, short: list[int] | None = None) -> Column:
+    """The distinct winnowed 8-gram hashes of an array of words, and its distinct grams of the short lengths."""
 
+    def own(wh: Column) -> Column:
+        every = [let(_grams(wh, GRAM), lambda g: _minima(g)), *(_grams(wh, n) for n in short or [])]
+        return F.array_distinct(F.concat(*every) if short else every[0])
 
-def _all_grams(words: Column, n: int) -> Column:
-    return let(_hashes(words), lambda wh: F.array_distinct(_grams(wh, n)))
+    return let(_hashes(words), own)
 
 
-def _placed(words: Column, n: int) -> Column:
-    """Every n-gram with its place (0-based)."""
-    places = F.when(F.size(words) < n, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(words) - n))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
+def _placed(words: Column, lengths: list[int]) -> Column:
+    """Every gram of the lengths with its place (0-based)."""
+    each = lambda wh, n: F.transform(_grams(wh, n), lambda h, i: F.struct(h.alias("fp"), i.alias("at")))
+    return let(_hashes(words), lambda wh: F.concat(*[each(wh, n) for n in lengths]))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, gram): every distinct window of each item as its words joined by blanks, and how many they are."""
-    w = benchmark.select("item_id", tokens(text_of(benchmark)).alias("w")).filter(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(WINDOW))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice(F.col("w"), i + 1, n), " "))
-    return w.select("item_id", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram")).distinct()
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item_id, cid, v): the words of each item that has any; items of equal words have one cid."""
+    w = benchmark.select("item_id", tokens(text_of(benchmark)).alias("v")).filter(F.size("v") > 0)
+    return w.withColumn("cid", F.sha2(F.array_join("v", " "), 256)).distinct()
 
 
 def _small(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, th, at, n, item_id): each place (0-based word) at which a window of an item occurs. docs: doc_id, text, th."""
-    few = small_enough(windows, BROADCAST_ROWS)
-    long_items = windows.filter(F.col("n") == WINDOW)
-    marks = long_items.select(F.explode(fingerprints(F.split("gram", " "))).alias("fp")).distinct()
-    short = [r["n"] for r in windows.filter(F.col("n") < WINDOW).select("n").distinct().collect()]  # at most 12 numbers
+def _runs(equal: Column, least: Column) -> Column:
+    """The places of an array of booleans that lie in runs of true of at least so many."""
+
+    def of(t: Column) -> Column:
+        first = lambda j: (j == 0) | (F.get(t, j) - F.get(t, j - 1) > 1)
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), first)
+        each = lambda s: F.transform(s, lambda j, k: F.slice(t, j + 1, F.coalesce(F.get(s, k + 1), F.size(t)) - j))
+        return F.when(F.size(t) == 0, F.array().cast("array<int>")).otherwise(let(starts, lambda s: F.flatten(F.filter(each(s), lambda r: F.size(r) >= least))))
+
+    return let(F.filter(F.transform(equal, lambda x, i: F.when(x, i)), lambda x: x.isNotNull()), of)
+
+
+def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, th, cid, hits): the 0-based words of a document in occurrences of an item's windows. docs: doc_id, text, th; items: cid, v, distinct."""
+    size = F.size("v")
+    short = sorted(r["n"] for r in items.select(size.alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # at most 12 numbers
+    # an item's fingerprints with their places: winnowed 8-grams, or all words of a short one
+    long_prints = F.when(size >= WINDOW, let(_hashes(F.col("v")), lambda wh: let(_grams(wh, GRAM), lambda g: let(F.array_distinct(_minima(g)), lambda m: F.filter(
+        F.transform(g, lambda h, i: F.struct(h.alias("fp"), i.alias("at"))), lambda x: F.array_contains(m, x["fp"])
+    )))))
+    whole = [F.when(size == n, _placed(F.col("v"), [n])) for n in short]
+    prints = written(items.select("cid", F.explode(F.coalesce(long_prints, *whole)).alias("p")).select("cid", F.col("p.fp").alias("fp"), F.col("p.at").alias("j")), "prints")
+    few = small_enough(prints, BROADCAST_ROWS)
 
     base = docs.select("doc_id", "th", "text")
-    streams = []
-    prints = base.select("doc_id", "th", F.explode(fingerprints(tokens(F.col("text")))).alias("fp"))
-    streams.append(prints.join(_small(marks, few), "fp").select("doc_id", "th"))
-    for n in sorted(short):
-        # the item's n-gram hash, found among the documents' n-gram hashes
-        keys = windows.filter(F.col("n") == n).select(F.explode(_all_grams(F.split("gram", " "), n)).alias("fp")).distinct()
-        own = base.select("doc_id", "th", F.explode(_all_grams(tokens(F.col("text")), n)).alias("fp"))
-        streams.append(own.join(_small(keys, few), "fp").select("doc_id", "th"))
-    touched = streams[0]
-    for s in streams[1:]:
-        touched = touched.unionByName(s)
-    touched = written(touched.distinct(), "touched")
-
-    # extend: whole windows of the touched documents, compared as words
+    own = base.select("doc_id", "th", F.explode(fingerprints(tokens(F.col("text")), short)).alias("fp"))
+    touched = written(own.join(_small(prints.select("fp").distinct(), few), "fp", "left_semi").select("doc_id", "th").distinct(), "touched")
+
     pick = _small(touched, small_enough(touched, BROADCAST_ROWS))
     same = base["doc_id"].eqNullSafe(pick["doc_id"]) & (base["th"] == pick["th"])
-    hit = base.join(pick, same, "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", tokens(F.col("text")).alias("w"))
-    found = None
-    for n in [WINDOW, *sorted(short)]:
-        grams = hit.select("doc_id", "th", F.explode(_placed(F.col("w"), n)).alias("g"))
-        part = grams.select("doc_id", "th", F.col("g.at").alias("at"), F.col("g.gram").alias("gram")).join(_small(windows.filter(F.col("n") == n), few), "gram")
-        part = part.select("doc_id", "th", "at", "n", "item_id")
-        found = part if found is None else found.unionByName(part)
-    return found
+    hit = written(base.join(pick, same, "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", tokens(F.col("text")).alias("w")), "texts")
+    grams = hit.select("doc_id", "th", F.explode(_placed(F.col("w"), [GRAM, *(n for n in short if n != GRAM)])).alias("g")).select("doc_id", "th", F.col("g.fp").alias("fp"), F.col("g.at").alias("at"))
+    diagonals = written(grams.join(_small(prints, few), "fp").select("doc_id", "th", "cid", (F.col("at") - F.col("j")).alias("d")).distinct(), "diagonals")
+
+    weight = items.agg(F.coalesce(F.sum(F.length(F.array_join("v", " ")) + 100 + 16 * size), F.lit(0))).first()[0]
+    rows = diagonals.withColumnsRenamed({"doc_id": "_id", "th": "_th"}).join(_small(items.select("cid", "v"), weight <= BROADCAST_BYTES), "cid")
+    rows = rows.join(hit, rows["_id"].eqNullSafe(hit["doc_id"]) & (rows["_th"] == hit["th"]))
+    lo = F.greatest(F.lit(0), F.col("d"))
+    n = F.least(F.size("w"), F.col("d") + size) - lo
+    equal = F.zip_with(F.slice("w", lo + 1, n), F.slice("v", lo - F.col("d") + 1, n), lambda a, b: a == b)
+    places = F.transform(_runs(equal, F.least(size, F.lit(WINDOW))), lambda k: k + lo)
+    return rows.select("doc_id", "th", "cid", places.alias("hits")).filter(F.size("hits") > 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated."""
     own = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", fingerprint(F.col("text")))
-    windows = written(item_windows(benchmark), "windows")
-    hits = occurrences(own, windows)
-    per_doc = hits.groupBy("doc_id", "th").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1))))).cast("long").alias("n_hit"),
-        F.collect_set(F.col("item_id").cast("string")).alias("items"),
-    )
-    r = per_doc.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_hit", "items")
-    counted = own.select("doc_id", "th", F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    named = written(item_words(benchmark), "items")
+    hits = written(occurrences(own, named.select("cid", "v").distinct()), "hits")
+    words = hits.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
+    ids = hits.select("doc_id", "th", "cid").distinct().join(named.select("cid", F.col("item_id").cast("string").alias("i")).distinct(), "cid")
+    ids = ids.groupBy("doc_id", "th").agg(F.collect_set("i").alias("items"))
+    ids = ids.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h"), "items")
+    r = words.join(ids, words["doc_id"].eqNullSafe(ids["_i"]) & (words["th"] == ids["_h"])).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_hit", "items")
+    counted = own.select("doc_id", "th", F.size(_split(F.col("text"), EITHER_RE)).cast("long").alias("n_words"))
     out = counted.join(r, counted["doc_id"].eqNullSafe(r["_id"]) & (counted["th"] == r["_th"]), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
