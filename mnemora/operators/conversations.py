@@ -28,31 +28,35 @@ def token_estimate(text: Column, role: Column) -> Column:
 def chunks(messages: DataFrame, max_messages: int = CHUNK_MESSAGES, max_tokens: int = CHUNK_TOKENS, gap_minutes: int = CHUNK_GAP_MINUTES) -> DataFrame:
     """Messages (conv_id, turn, role, text, optional ts) with ``chunk``: the rules are applied message by message within each conversation.
 
-    A gap ends a chunk; so does a full one, by messages or tokens, but an answer right after a question still joins it. The fold
-    carries only counters, so a long conversation costs one pass.
+    A gap ends a chunk; so does a full one, by messages or tokens, but an answer right after a question still joins it. What a message
+    joins depends on all before it, so each conversation is folded in order, in one pass over its sizes, roles and times; no text is moved.
     """
-    ts = F.col("ts").cast("timestamp_ntz") if "ts" in messages.columns else F.lit(None).cast("timestamp_ntz")
-    rows = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", token_estimate(F.col("text"), F.col("role")).alias("size"), ts.alias("ts")))).alias("m"))
-    start = F.struct(
-        F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit("").alias("role"), F.lit(None).cast("timestamp_ntz").alias("ts"),
-        F.array().cast("array<int>").alias("out"),
-    )
-
-    def step(a: Column, m: Column) -> Column:
-        late = (a["n"] > 0) & F.coalesce(F.timestamp_diff("MICROSECOND", a["ts"], m["ts"]) > gap_minutes * 60_000_000, F.lit(False))
-        chunk, n, chars = a["chunk"] + late.cast("int"), F.when(late, 0).otherwise(a["n"]), F.when(late, 0).otherwise(a["chars"])
-        full = (n >= max_messages) | ((n > 0) & (F.ceil((chars + m["size"]) / CHARS_PER_TOKEN) > max_tokens))
-        answer = full & (n > 0) & (m["role"] == "assistant") & (a["role"] == "user")
-        # an answer is drawn into the full chunk, which ends after it; other messages begin the next one
-        own = chunk + (full & ~answer).cast("int")
-        return F.struct(
-            (own + answer.cast("int")).alias("chunk"), F.when(answer, 0).when(full, 1).otherwise(n + 1).alias("n"),
-            F.when(answer, 0).when(full, m["size"]).otherwise(chars + m["size"]).alias("chars"), m["role"].alias("role"), m["ts"].alias("ts"),
-            F.concat(a["out"], F.array(own)).alias("out"),
-        )
-
-    at = rows.select("conv_id", "m", F.aggregate("m", start, step)["out"].alias("c"))
-    placed = at.select("conv_id", F.explode(F.arrays_zip("m", "c")).alias("x")).select("conv_id", F.col("x.m.turn").alias("turn"), F.col("x.c").alias("chunk"))
+    ts = F.unix_micros(F.col("ts").cast("timestamp_ntz").cast("timestamp")) if "ts" in messages.columns else F.lit(None).cast("long")
+    sizes = messages.select("conv_id", "turn", "role", token_estimate(F.col("text"), F.col("role")).cast("long").alias("size"), ts.alias("at"))
+    gap = gap_minutes * 60_000_000
+
+    def fold(table):
+        import pyarrow as pa
+
+        table = table.sort_by("turn")
+        out, chunk, n, chars, asked, last = [], 0, 0, 0, False, None
+        for role, size, at in zip(*(table.column(c).to_pylist() for c in ("role", "size", "at")), strict=True):
+            if n and last is not None and at is not None and at - last > gap:
+                chunk, n, chars = chunk + 1, 0, 0
+            full = n >= max_messages or (n > 0 and -(-(chars + (size or 0)) // CHARS_PER_TOKEN) > max_tokens)
+            if full and n > 0 and role == "assistant" and asked:  # an answer is drawn into the full chunk, which ends after it
+                out.append(chunk)
+                chunk, n, chars = chunk + 1, 0, 0
+            else:
+                if full:
+                    chunk, n, chars = chunk + 1, 0, 0
+                out.append(chunk)
+                n, chars = n + 1, chars + (size or 0)
+            asked, last = role == "user", at
+        return pa.table([table.column("conv_id"), table.column("turn"), pa.array(out, pa.int32())], names=["conv_id", "turn", "chunk"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
+    placed = sizes.groupBy("conv_id").applyInArrow(fold, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, chunk int")
     return messages.join(placed, ["conv_id", "turn"])
 
 

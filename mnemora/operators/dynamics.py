@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.config import DEFAULT, EVIDENCE, GraphConfig
@@ -37,6 +37,13 @@ def with_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("source_label", F.coalesce("_sl", "source")).withColumn("target_label", F.coalesce("_tl", "target")).drop("_s", "_sl", "_t", "_tl")
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], n: int, what: Column, name: str) -> DataFrame:
+    """(keys, name): an array of the first n rows of each key. The rank is limited before the shuffle, so a hot key sends n rows a task."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    few = rows.select(*keys, F.struct(*order).alias("_o"), what.alias("_w"), F.row_number().over(w).alias("_r")).filter(F.col("_r") <= n)
+    return few.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_w"))), lambda x: x["_w"]).alias(name))
+
+
 def graduate(observations: DataFrame, config: GraphConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(edges, pending) of pair observations (source, target, file, section, ord, date, context), in closed form.
 
@@ -44,20 +51,19 @@ def graduate(observations: DataFrame, config: GraphConfig = DEFAULT) -> tuple[Da
     with its first g sightings as evidence and later ones while there are fewer than 20.
     """
     g = config.graduation
-    seen = F.sort_array(F.collect_list(F.struct("file", "section", "ord", "date", "context")))
-    grouped = observations.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), seen.alias("seen"))
-    evidence = lambda s: F.transform(s, lambda x: F.struct(x["file"].alias("file"), x["date"].alias("date"), x["context"].alias("context")))
+    order = F.struct("file", "section", "ord")
+    one = F.struct("file", "date", "context")
+    seen = first_rows(observations, ["source", "target"], ["file", "section", "ord"], EVIDENCE, one, "evidence")
+    grouped = observations.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.min_by("date", order).alias("first"), F.max_by("date", order).alias("last"))
+    grouped = grouped.join(seen, ["source", "target"])
     base = config.base_weights["co-occurrence"]
     rc = F.col("n") - g
     edges = grouped.filter(F.col("n") >= g).select(
         F.concat_ws("--", "source", "target", F.lit("co-occurrence")).alias("id"), "source", "target", F.lit("co-occurrence").alias("type"), F.lit(False).alias("directed"),
-        F.lit(base).alias("weight"), F.lit(base).alias("base_weight"), rc.alias("reinforcement_count"), F.get("seen", F.lit(0))["date"].alias("first_formed"),
-        F.element_at("seen", -1)["date"].alias("last_reinforced"), F.when(rc == 0, F.lit(1.0)).otherwise(stability(rc, config)).alias("stability"),
-        evidence(F.slice("seen", 1, EVIDENCE)).alias("evidence"),
+        F.lit(base).alias("weight"), F.lit(base).alias("base_weight"), rc.alias("reinforcement_count"), F.col("first").alias("first_formed"),
+        F.col("last").alias("last_reinforced"), F.when(rc == 0, F.lit(1.0)).otherwise(stability(rc, config)).alias("stability"), "evidence",
     )
-    pending = grouped.filter(F.col("n") < g).select(
-        "source", "target", F.lit("co-occurrence").alias("type"), F.col("n").alias("count"), F.get("seen", F.lit(0))["date"].alias("first_seen"), evidence(F.col("seen")).alias("evidence")
-    )
+    pending = grouped.filter(F.col("n") < g).select("source", "target", F.lit("co-occurrence").alias("type"), F.col("n").alias("count"), F.col("first").alias("first_seen"), "evidence")
     return edges, pending
 
 

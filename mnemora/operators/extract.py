@@ -17,15 +17,22 @@ KNOWN_TOOLS = (
     "Bun", "Webpack", "ESLint", "Prettier", "D3.js", "SQLite", "WebGL", "Esbuild", "tsup", "remark", "unified", "Hono", "Express", "Prisma",
 )
 CAUSAL_RE = r"(?i)(led to|because of|resulted in|caused by|due to|which meant|this meant)\s"
-NOISE_RE = (
-    r"^(/|\./|\.\./|~|https?://|file://|MEDIA:)|/|\s--|\s-[a-zA-Z]|^\d+\.\d+\.\d+\.\d+(:\d+)?\z|localhost:\d+|127\.0\.0\.1|:rw|:ro|[{}()=<>&|$+^~]|^\\."
-)
+#: What makes a code token no name.
+NOISE = {
+    "path or address": r"^(/|\./|\.\./|~|https?://|file://|MEDIA:)|/",
+    "command with flags": r"\s--|\s-[a-zA-Z]",
+    "network address": r"^\d+\.\d+\.\d+\.\d+(:\d+)?\z|localhost:\d+|127\.0\.0\.1|172\.17\.",
+    "mount": r":rw|:ro",
+    "code or a pattern": r"[{}()=<>&|$+^~]|^\\.",
+}
+#: In chats a statement's end is noise too.
+CHAT_NOISE = NOISE | {"statement": r";"}
 WORD_EDGE = "(^|[^A-Za-z0-9_])"
 
 
-def noisy(token: Column) -> Column:
+def noisy(token: Column, rules: dict[str, str] = NOISE) -> Column:
     """Whether a code token is a path, an address, a command or the like."""
-    return token.rlike(NOISE_RE)
+    return token.rlike("|".join(f"(?:{x})" for x in rules.values()))
 
 
 def _found(text: Column, pattern: str, kind: str, confidence: float, prefix: str = "") -> Column:

@@ -138,8 +138,11 @@ def search(nodes: DataFrame, terms: list[str]) -> DataFrame:
     t = nodes.sparkSession.createDataFrame([(i, x) for i, x in enumerate(terms)], "i int, term string").select("i", normalize(F.col("term")).alias("term"))
     m = names.withColumn("name", normalize(F.col("name"))).join(F.broadcast(t), how="cross")  # a stated list of terms against all names
     name, term = F.col("name"), F.col("term")
-    far = F.levenshtein(term, name) / F.greatest(F.length(term), F.length(name), F.lit(1))
-    one = F.when(name == term, 1.0).when(name.contains(term), 0.8).when(term.contains(name), 0.6).when(far <= 0.3, 0.4 * (1 - far)).otherwise(0.0)
+    longer = F.greatest(F.length(term), F.length(name), F.lit(1))
+    far = F.levenshtein(term, name) / longer
+    # lengths alone rule most names out before any distance is computed
+    near = (F.abs(F.length(term) - F.length(name)) <= 0.3 * longer) & (far <= 0.3)
+    one = F.when(name == term, 1.0).when(name.contains(term), 0.8).when(term.contains(name), 0.6).when(near, 0.4 * (1 - far)).otherwise(0.0)
     best = m.groupBy("id", "label", "i").agg(F.max(one).alias("s"))
     return best.groupBy("id", "label").agg((F.sum("s") / len(terms)).alias("match_score")).filter("match_score > 0")
 

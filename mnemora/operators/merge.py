@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from mnemora.config import DEFAULT, EVIDENCE, EXCERPTS, TEMPORAL_PER_FILE, GraphConfig
 from mnemora.functions.text import edge_id
 from mnemora.functions.weights import stability
-from mnemora.operators.dynamics import graduate
+from mnemora.operators.dynamics import first_rows, graduate
 
 
 def roll_up(sightings: DataFrame) -> DataFrame:
     """Nodes of sightings (node_id, label, type, file, section, ord, date, excerpt): every deduplicated mention is a sighting."""
     order = F.struct("file", "section", "ord")
-    seen = F.sort_array(F.collect_list(F.struct("file", "section", "ord", "excerpt", "date")))
-    return sightings.groupBy(F.col("node_id").alias("id")).agg(
+    one = F.struct(F.col("file"), F.col("excerpt").alias("text"), F.col("date"))
+    excerpts = first_rows(sightings.filter("excerpt is not null"), ["node_id"], ["file", "section", "ord"], EXCERPTS, one, "excerpts")
+    nodes = sightings.groupBy("node_id").agg(
         F.min_by("label", order).alias("label"), F.min_by("type", order).alias("type"), F.count(F.lit(1)).alias("mention_count"),
         (F.count(F.lit(1)) - 1).alias("reinforcement_count"), F.min_by("date", order).alias("first_seen"), F.max_by("date", order).alias("last_reinforced"),
         F.sort_array(F.collect_set("file")).alias("source_files"),
-        F.transform(F.slice(F.filter(seen, lambda x: x["excerpt"].isNotNull()), 1, EXCERPTS), lambda x: F.struct(x["file"].alias("file"), x["excerpt"].alias("text"), x["date"].alias("date"))).alias("excerpts"),
     )
+    none = F.array().cast(excerpts.schema["excerpts"].dataType)
+    return nodes.join(excerpts, "node_id", "left").withColumn("excerpts", F.coalesce("excerpts", none)).withColumnRenamed("node_id", "id")
 
 
 def section_pairs(sightings: DataFrame) -> DataFrame:
@@ -55,29 +57,45 @@ def temporal(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
 
     sightings: also section_ord.
     """
-    run = Window.partitionBy("node_id").orderBy("file", "section_ord", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    counted = sightings.withColumn("so_far", F.count(F.lit(1)).over(run))
-    m = counted.groupBy("file", "section_ord", "node_id").agg(F.min("ord").alias("ord"), F.max("so_far").alias("so_far"), F.min("date").alias("date"))
-    a = m.select("file", F.col("section_ord").alias("si"), F.col("node_id").alias("x"), F.col("ord").alias("oi"), F.col("so_far").alias("cx"), "date")
-    b = m.select("file", F.col("section_ord").alias("sj"), F.col("node_id").alias("y"), F.col("ord").alias("oj"), F.col("so_far").alias("cy"))
-    p = a.join(b, "file").filter("si < sj and x <> y and cx >= 2 and cy >= 2")
-    p = p.select("file", F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "si", "sj", "oi", "oj", "date")
-    first = p.groupBy("file", "source", "target").agg(F.min(F.struct("si", "sj", "oi", "oj")).alias("at"), F.min("date").alias("date"))
-    w = Window.partitionBy("file").orderBy("at", "source", "target")
-    kept = first.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= TEMPORAL_PER_FILE)
-    return _edges(kept.select("source", "target", "file", F.lit("").alias("section"), "date"), "temporal", config)
+    place = F.struct("file", "section_ord", "ord")
+    # a node counts from its second sighting on: the least place, and the least one after it, are combined before the shuffle
+    first = sightings.groupBy("node_id").agg(F.min(place).alias("_first"))
+    second = sightings.join(first, "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_second"))
+    m = sightings.groupBy("file", "section_ord", "node_id").agg(F.min("ord").alias("ord"), F.max(place).alias("_last"), F.min("date").alias("date"))
+    m = m.join(second, "node_id").filter(F.col("_last") >= F.col("_second")).select("file", "section_ord", "node_id", "ord", "date")
+
+    def form(table):
+        """The first pairs of a file in reading order: section, later section, place in the one, place in the other."""
+        import pyarrow as pa
+
+        sections: dict = {}
+        for row in table.sort_by([("section_ord", "ascending"), ("ord", "ascending"), ("node_id", "ascending")]).to_pylist():
+            sections.setdefault(row["section_ord"], []).append((row["node_id"], row["ord"], row["date"]))
+        order, found = sorted(sections), {}
+        pairs = ((x, y) for i, a in enumerate(order) for b in order[i + 1 :] for x in sections[a] for y in sections[b] if x[0] != y[0])
+        for (x, _, date), (y, _, other) in pairs:
+            found.setdefault((min(x, y), max(x, y)), min(d for d in (date, other) if d is not None) if date or other else None)
+            if len(found) == TEMPORAL_PER_FILE:
+                break
+        file = table.column("file")[0].as_py()
+        return pa.table([pa.array([file] * len(found), pa.string()), *(pa.array([p[k] for p in found], pa.string()) for k in (0, 1)), pa.array(list(found.values()), pa.string())], names=["file", "source", "target", "date"])
+
+    text = m.select(F.col("file").cast("string"), F.col("section_ord").cast("long"), F.col("node_id").cast("string"), F.col("ord").cast("long"), F.col("date").cast("string"))
+    kept = text.groupBy("file").applyInArrow(form, "file string, source string, target string, date string")
+    return _edges(kept.withColumn("section", F.lit("")).withColumn("date", F.col("date").cast(sightings.schema["date"].dataType)), "temporal", config)
 
 
 def _edges(pairs: DataFrame, kind: str, config: GraphConfig, directed: bool = False) -> DataFrame:
     base = config.base_weights[kind]
-    seen = F.sort_array(F.collect_list(F.struct("file", "section", "date")))
-    g = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), seen.alias("seen"))
+    order = F.struct("file", "section", "date")
+    one = F.struct(F.col("file"), F.col("date"), F.col("section").alias("context"))
+    evidence = first_rows(pairs, ["source", "target"], ["file", "section", "date"], EVIDENCE, one, "evidence")
+    g = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.min_by("date", order).alias("first"), F.max_by("date", order).alias("last")).join(evidence, ["source", "target"])
     rc = F.col("n") - 1
     return g.select(
         edge_id(F.col("source"), F.col("target"), F.lit(kind), F.lit(directed)).alias("id"), "source", "target", F.lit(kind).alias("type"), F.lit(directed).alias("directed"),
-        F.lit(base).alias("weight"), F.lit(base).alias("base_weight"), rc.alias("reinforcement_count"), F.get("seen", F.lit(0))["date"].alias("first_formed"),
-        F.element_at("seen", -1)["date"].alias("last_reinforced"), F.when(rc == 0, F.lit(1.0)).otherwise(stability(rc, config)).alias("stability"),
-        F.transform(F.slice("seen", 1, EVIDENCE), lambda x: F.struct(x["file"].alias("file"), x["date"].alias("date"), x["section"].alias("context"))).alias("evidence"),
+        F.lit(base).alias("weight"), F.lit(base).alias("base_weight"), rc.alias("reinforcement_count"), F.col("first").alias("first_formed"),
+        F.col("last").alias("last_reinforced"), F.when(rc == 0, F.lit(1.0)).otherwise(stability(rc, config)).alias("stability"), "evidence",
     )
 
 

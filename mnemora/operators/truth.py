@@ -22,13 +22,13 @@ def to_promote(captures: DataFrame, gone: DataFrame, files: DataFrame, promoted:
 
 
 def target_paths(memories: DataFrame, taken: DataFrame) -> DataFrame:
-    """(id, path) of new files: the slug of the title in the directory of the scope, with -2 to -99 where that is taken."""
+    """(id, path) of new files: the slug of the title in the directory of the scope, with -2 to -99 where that is taken. A memory for which none of these is free has a null path: it is reported, not dropped."""
     m = memories.withColumn("stem", F.concat_ws("/", F.coalesce("scope", F.lit("global")), F.coalesce(slug(F.col("title")), F.lit("memory"))))
     old = taken.select(F.regexp_replace("path", r"(-\d+)?\.md\z", "").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("used"))
     w = Window.partitionBy("stem").orderBy("id")
     n = m.withColumn("r", F.row_number().over(w)).join(old, "stem", "left").withColumn("k", F.col("r") + F.coalesce("used", F.lit(0)))
     path = F.concat("stem", F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    return n.filter("k <= 99").select("id", path.alias("path"))
+    return n.select("id", F.when(F.col("k") <= 99, path).alias("path"))
 
 
 def compiled(files: DataFrame, gone: DataFrame) -> DataFrame:

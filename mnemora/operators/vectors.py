@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -70,7 +71,10 @@ Embedder = Callable[[list[str]], list]
 
 
 def embed(rows: DataFrame, embedder: Embedder = mock_vectors, provider: str = "mock") -> DataFrame:
-    """Embedding rows of (id, type, content), some at a time; the embedder may be any function from texts to vectors."""
+    """Embedding rows of (id, type, content), some at a time; the embedder may be any function from texts to vectors.
+
+    A batch that the embedder fails on has no rows, and the others go on; ``stale`` finds its contents for the next run.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -78,7 +82,11 @@ def embed(rows: DataFrame, embedder: Embedder = mock_vectors, provider: str = "m
         for pdf in batches:
             for i in range(0, len(pdf), EMBED_BATCH):
                 part = pdf.iloc[i : i + EMBED_BATCH]
-                v = embedder(part["content"].fillna("").tolist())
+                try:
+                    v = embedder(part["content"].fillna("").tolist())
+                except Exception as error:
+                    logging.getLogger(__name__).warning("no embeddings for %d rows: %s", len(part), error)
+                    continue
                 yield pd.DataFrame({
                     "id": part["id"].to_numpy(), "type": part["type"].to_numpy(), "content": part["content"].to_numpy(), "vector": [x.tolist() for x in v],
                     "dimensions": [len(x) for x in v], "provider": provider, "vector_norm": [float((x.astype("float64") ** 2).sum()) ** 0.5 for x in v],

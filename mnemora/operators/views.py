@@ -41,21 +41,31 @@ def age_stats(aged: DataFrame) -> DataFrame:
 
 
 def timeline_stack(episodes: DataFrame, share: float = 0.02) -> DataFrame:
-    """(id, position, stack): marks that lie within a share of the axis from the first of their pile are stacked on it.
+    """(lane, id, position, stack): marks that lie within a share of the axis from the first of their pile are stacked on it.
 
-    A pile is anchored at its first mark, so the fold goes in order; it is made within each ``lane``, a column of the episodes.
+    A pile is anchored at its first mark, so the marks of a ``lane``, a column of the episodes, are folded in order, in one pass.
     """
-    span = episodes.groupBy("lane").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sort_array(F.collect_list(F.struct("at", "id"))).alias("m"))
-    span = span.withColumn("width", F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo")).cast("double")))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("k"), F.array().cast("array<struct<id:string,position:double,stack:int>>").alias("out"))
-
-    def step(a: Column, m: Column) -> Column:
-        p = (m["at"] - F.col("lo")).cast("double") / F.col("width")
-        near = F.coalesce(p - a["anchor"] < share, F.lit(False))
-        k = F.when(near, a["k"] + 1).otherwise(0)
-        return F.struct(F.when(near, a["anchor"]).otherwise(p).alias("anchor"), k.alias("k"), F.concat(a["out"], F.array(F.struct(m["id"].cast("string").alias("id"), p.alias("position"), k.alias("stack")))).alias("out"))
-
-    return span.select("lane", F.explode(F.aggregate("m", start, step)["out"]).alias("x")).select("lane", "x.id", "x.position", "x.stack")
+    lane = episodes.schema["lane"].dataType.simpleString()
+
+    def fold(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
+        at = table.column("at").to_pylist()
+        lo, width = (at[0], max(1.0, float(at[-1] - at[0]))) if at else (0, 1.0)
+        positions, stacks, anchor, k = [], [], None, 0
+        for x in at:
+            p = float(x - lo) / width
+            near = anchor is not None and p - anchor < share
+            k = k + 1 if near else 0
+            anchor = anchor if near else p
+            positions.append(p)
+            stacks.append(k)
+        ids = [None if i is None else str(i) for i in table.column("id").to_pylist()]
+        return pa.table([table.column("lane"), pa.array(ids, pa.string()), pa.array(positions, pa.float64()), pa.array(stacks, pa.int32())], names=["lane", "id", "position", "stack"])
+
+    marks = episodes.select("lane", "at", "id").filter("at is not null")
+    return marks.groupBy("lane").applyInArrow(fold, f"lane {lane}, id string, position double, stack int")
 
 
 def shares(rows: DataFrame, key: str) -> DataFrame:
