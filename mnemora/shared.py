@@ -52,12 +52,17 @@ def _sweep() -> None:
             return
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, lost executors cost nothing before it."""
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path: to be dropped once nothing reads it any more."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage ends there, lost executors cost nothing before it."""
+    return kept(df, label)[0]
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
