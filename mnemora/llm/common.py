@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.shared import drop_path, hadoop, scratch, shared_dir, ship, small_enough, written
+from mnemora.shared import drop_path, hadoop, kept, scratch, shared_dir, ship, small_enough, written
 
-__all__ = ["drop_path", "hadoop", "scratch", "shared_dir", "ship", "small_enough", "written"]
+__all__ = ["drop_path", "hadoop", "kept", "scratch", "shared_dir", "ship", "small_enough", "written"]
 
 #: ASCII white space: the blank and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"

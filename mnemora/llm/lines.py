@@ -15,7 +15,7 @@ earlier one, and the earliest stays. A document that loses anything also loses i
 word. Texts of fewer than three units of either reading are left as they are; null texts are empty;
 rows that repeat a document's id and text are one document.
 
-The windows' hashes are computed once and written. Their counts are combined before the shuffle of 64 bits a window;
+The windows' hashes are computed once, written, and removed once their repeats are. Their counts are combined before the shuffle of 64 bits a window;
 only rows of repeated windows are shuffled after that, by a join that Spark may split where a window is hot. Texts are
 moved only if what is to be removed is too large to be broadcast (``BROADCAST_BYTES``, summed over its rows).
 """
@@ -25,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, boxed, fingerprint, let, small_enough, text_of, unboxed, written
+from .common import WHITE, boxed, drop_path, fingerprint, kept, let, text_of, unboxed, written
 
 SIZE, LEAST = 3, 80
-#: Repeated windows (8 bytes each), and bytes of removals, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Bytes of removals that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 CLAUSE = r"(?s).*?(?:[.!?,;:][\x20\x09-\x0D]+|\z)"
 
 
@@ -75,14 +75,15 @@ def _clause_windows(folded: Column) -> Column:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
     both = let(let(F.lower("text"), _folded), lambda t: F.struct(_line_windows(t).alias("a"), _clause_windows(t).alias("b")))
-    own = written(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
+    own, places = kept(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
     every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", "n", "at", "w.h", "w.g", "w.l")
     repeated = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeated")
-    rows = every.join(F.broadcast(repeated) if small_enough(repeated, BROADCAST_ROWS) else repeated, "h")
-    rows = written(rows, "occurrences")
+    # both sides of either join come from tables, so that Spark may split what a hot window holds
+    rows = written(every.join(repeated, "h"), "occurrences")
+    drop_path(docs.sparkSession, places)
     place = F.struct("doc_id", "th", "at")
-    first = rows.groupBy("h", "g").agg(F.min(place).alias("first"))
-    later = rows.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
+    first = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "g", "first")
+    later = rows.join(written(first, "first"), ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("at", "l"))).alias("w"))
     lines, clauses = F.transform(F.filter("w", lambda x: x["at"] < F.col("n")), lambda x: x["at"]), F.filter("w", lambda x: x["at"] >= F.col("n"))
     clauses = F.transform(let(clauses, _long_runs), lambda x: x["at"] - F.col("n"))

@@ -80,7 +80,6 @@ def test_passages_within_lines(docs_of):
 
 def test_shuffled_joins(documents, monkeypatch):
     """Nothing broadcast gives the same."""
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
     some = documents.limit(60)
     texts = [(r["doc_id"], r["text"]) for r in some.collect()]
