@@ -51,12 +51,13 @@ WINDOWS = "array<struct<h:bigint,g:int,l:boolean>>"
 
 def _line_windows(folded: Column) -> Column:
     """The window at each line with a word. folded: lower-cased text whose white space other than line feeds is single blanks."""
-    lines = F.transform(F.split(folded, "\n"), lambda x: F.btrim(x, F.lit(" ")))
+    text = F.btrim(folded, F.lit(" \n"))  # so no part is empty, and none but the blank at its end is left to trim
+    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n[ \n]*"))
 
     def of(h: Column) -> Column:
         return F.when(F.size(h) < SIZE, F.array().cast(WINDOWS)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda k: _key(0, h, k, F.lit(True))))
 
-    return let(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)), of)
+    return let(F.transform(lines, lambda x: F.xxhash64(F.rtrim(x))), of)
 
 
 def _clause_windows(folded: Column) -> Column:
@@ -133,7 +134,7 @@ def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     d = F.struct(
         F.when(F.col("_drop").isNull(), text).otherwise(let(lines, cleaned)).alias("text"),
-        F.size(F.filter(lines, lambda x: ~blank(x))).cast("long").alias("n_lines"),
+        let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\n[\x20\x09-\x0D]*")))).cast("long").alias("n_lines"),
         F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.l")).alias("n_removed"),
         F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.c")).alias("n_cut"),
     )
