@@ -63,7 +63,7 @@ def mock_vectors(texts: list[str], dimensions: int = 64):
             h = to32(h ^ (h >> 15))
             vec[i] = (h & 0xFFFF) / 0x10000 - 0.5
         norm = float(np.sqrt((vec.astype(np.float64) ** 2).sum()))
-        out.append((vec / norm).astype(np.float32) if norm > 0 else vec)
+        out.append((vec.astype(np.float64) / norm).astype(np.float32) if norm > 0 else vec)
     return out
 
 

@@ -135,7 +135,14 @@ def entity_resolution_fuzzy(spark, sf_dir):
     return resolve.fuzzy(n.select(normalize(F.col("label")).alias("name")), known)
 
 
-@query()
+@query(f"""WITH RECURSIVE names AS (SELECT {NORM.format(x='p_name')} AS name, min(p_partkey) AS ord FROM part GROUP BY 1),
+o AS (SELECT name, row_number() OVER (ORDER BY ord) AS k FROM names),
+f AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS name, NULL::VARCHAR AS leader, []::VARCHAR[] AS leads UNION ALL
+  SELECT k, name, coalesce(hit, name), CASE WHEN hit IS NULL THEN list_append(leads, name) ELSE leads END FROM (SELECT o.k, o.name, leads, list_filter(leads, lambda x:
+    CASE WHEN length(o.name) <= 15 AND length(x) <= 15 THEN levenshtein(o.name, x) <= 2
+    ELSE len(list_intersect(string_split(o.name, ' '), string_split(x, ' '))) / greatest(len(list_distinct(string_split(o.name, ' '))), len(list_distinct(string_split(x, ' '))))::DOUBLE >= 0.5 END)[1] AS hit
+    FROM f JOIN o ON o.k = f.k + 1))
+SELECT name, leader FROM f WHERE k > 0""")
 def leader_resolution(spark, sf_dir):
     names = table(spark, sf_dir, "part").groupBy(normalize(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("ord"))
     return resolve.leaders(names)
@@ -170,7 +177,12 @@ def messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT conv_id, turn, role, length(text) + length(role) + 2 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, turn, k, 0 AS chunk, 0 AS next, 1 AS n, size AS chars, role FROM m WHERE k = 1 UNION ALL
+  SELECT conv_id, turn, k, own, own + answer::INTEGER, CASE WHEN answer THEN 0 WHEN whole THEN 1 ELSE n + 1 END, CASE WHEN answer THEN 0 WHEN whole THEN size ELSE chars + size END, role FROM (
+    SELECT *, next + (whole AND NOT answer)::INTEGER AS own FROM (SELECT *, whole AND n > 0 AND role = 'assistant' AND before = 'user' AS answer FROM (
+      SELECT m.*, f.next, f.n, f.chars, f.role AS before, f.n >= 3 OR (f.n > 0 AND ceil((f.chars + m.size) / 4.0) > 4000) AS whole FROM f JOIN m ON m.conv_id = f.conv_id AND m.k = f.k + 1))))
+SELECT conv_id, turn, chunk FROM f""")
 def conversation_chunks(spark, sf_dir):
     return conversations.chunks(messages(spark, sf_dir), max_messages=3).select("conv_id", "turn", "chunk")
 

@@ -127,15 +127,34 @@ def rename_nodes(spark, sf_dir):
     return truth.renamed_edges(g["edges"], names).select("id", "source", "target")
 
 
-@query()
+_I32 = "(((({x}) + 2147483648) & 4294967295) - 2147483648)"
+#: The hash of the UTF-16 units, 64 steps of mixing (a product is rounded to a double first), and the norm of the scaled vector in single precision.
+MOCK = f"""WITH RECURSIVE t AS (SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END)), lambda x: x::BIGINT)),
+  lambda h, x: {_I32.format(x='h * 31 + x')}) AS h FROM t WHERE text <> '' UNION ALL SELECT id, 0::BIGINT FROM t WHERE text = ''),
+s AS (SELECT id, 0 AS i, h::BIGINT AS h, 0.0::FLOAT AS x FROM u UNION ALL SELECT id, i + 1, h, ((h & 65535) / 65536.0::DOUBLE - 0.5)::FLOAT FROM (
+  SELECT id, i, xor(b, floor(b / 32768.0)::BIGINT) AS h FROM (SELECT id, i, (((a::DOUBLE * 1540483477.0::DOUBLE)::HUGEINT + 170141183460469231722463931679029329920) % 4294967296)::BIGINT AS c,
+    {_I32.format(x='c')} AS b FROM (SELECT id, i, xor({_I32.format(x='h * 8192')}, h) AS a FROM s WHERE i < 64)))),
+n AS (SELECT id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM s WHERE i > 0 GROUP BY id)
+SELECT id, 'episode' AS type, count(*)::INTEGER AS dimensions, round(sqrt(sum((x::DOUBLE / norm)::FLOAT::DOUBLE * (x::DOUBLE / norm)::FLOAT::DOUBLE)), 6) AS vector_norm,
+  round(max(CASE WHEN i = 1 THEN (x::DOUBLE / norm)::FLOAT END)::DOUBLE, 6) AS first_value, round(max(CASE WHEN i = 64 THEN (x::DOUBLE / norm)::FLOAT END)::DOUBLE, 6) AS last_value FROM s JOIN n USING (id) WHERE i > 0 GROUP BY id"""
+
+
+@query(MOCK)
 def mock_embeddings(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("episode").alias("type"), F.col("text").alias("content"))
-    return vectors.embed(rows).select("id", "type", "dimensions", r("vector_norm", "vector_norm"))
+    at = lambda k: r(F.get("vector", F.lit(k)).cast("double"), "first_value" if k == 0 else "last_value")
+    return vectors.embed(rows).select("id", "type", "dimensions", r("vector_norm", "vector_norm"), at(0), at(63))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS lane, event_id AS id, epoch_us(ts) AS "at" FROM events),
+w AS (SELECT *, min("at") OVER (PARTITION BY lane) AS lo, greatest(1, max("at") OVER (PARTITION BY lane) - min("at") OVER (PARTITION BY lane))::DOUBLE AS width, row_number() OVER (PARTITION BY lane ORDER BY "at", id) AS k FROM e),
+p AS (SELECT lane, id, k, ("at" - lo)::DOUBLE / width AS position FROM w),
+f AS (SELECT lane, id, k, position, position AS anchor, 0 AS stack FROM p WHERE k = 1 UNION ALL
+  SELECT p.lane, p.id, p.k, p.position, CASE WHEN p.position - anchor < 0.02 THEN anchor ELSE p.position END, CASE WHEN p.position - anchor < 0.02 THEN stack + 1 ELSE 0 END FROM f JOIN p ON p.lane = f.lane AND p.k = f.k + 1)
+SELECT lane, id::VARCHAR AS id, round(position, 6) AS position, stack FROM f""")
 def episode_timeline_stack(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    e = table(spark, sf_dir, "events")
     lane = e.select(F.col("user_id").alias("lane"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
     return views.timeline_stack(lane).select("lane", "id", r("position", "position"), "stack")
 
