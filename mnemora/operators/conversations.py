@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.config import CHARS_PER_TOKEN, CHUNK_GAP_MINUTES, CHUNK_MESSAGES, CHUNK_TOKENS
-from mnemora.functions.text import trim_all
+from mnemora.functions.text import normalize, trim_all
 
 #: (conv_id, turn, role, text[, ts, name, tool_name])
 MESSAGE = "conv_id, turn, role, text"
@@ -89,6 +89,40 @@ def chunk_episodes(chunked: DataFrame) -> DataFrame:
     )
 
 
+def chat_entities(chunked: DataFrame, aliases: dict[str, str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """Entities of chunks (conv_id, chunk, turn, role, text[, name, tool_name]): conv_id, chunk, name, label, type, confidence, speakers, excerpts.
+
+    System messages name nothing; a tool's name and a user's name are entities too. Of each normalised name in a chunk the most confident
+    mention counts, the first of equals, with all who mention it; excerpts are the first three messages of the chunk that contain it.
+    """
+    from mnemora.operators import extract
+
+    given = lambda c: F.col(c) if c in chunked.columns else F.lit(None).cast("string")
+    m = chunked.select("conv_id", "chunk", "turn", "role", "text", given("name").alias("_n"), given("tool_name").alias("_t"))
+    said = m.filter("role <> 'system'").withColumn("speaker", F.coalesce("_n", "role"))
+    whose = F.struct("conv_id", "chunk", "turn", "speaker")
+    sections = said.select(whose.alias("file"), F.lit("").alias("section"), F.lit("notes").alias("heading"), F.lit(0).cast("long").alias("line"), F.col("text").alias("content"))
+    found = extract.structural(sections, extract.CHAT_NOISE).unionByName(extract.custom(sections, extract.CHAT_TOOLS)).filter("type <> 'tag'")
+    rank = F.when((F.col("extractor") == "custom") & (F.col("type") == "tool") & (F.col("confidence") == 0.9), 0).when(F.col("extractor") == "structural", 1).otherwise(2)
+    columns = ["file.*", "text", "type", "confidence"]
+    rows = found.select(*columns, rank.alias("k"), "ord")
+    extra = lambda condition, c, kind: said.filter(condition).select(whose.alias("file"), F.col(c).alias("text"), F.lit(kind).alias("type"), F.lit(0.95).alias("confidence")).select(*columns, F.lit(3).alias("k"), F.lit(0).cast("long").alias("ord"))
+    rows = rows.unionByName(extra("role = 'tool' and _t is not null", "_t", "tool")).unionByName(extra("role = 'user' and _n is not null", "_n", "person"))
+    key = normalize(F.col("text"))
+    rows = rows.filter(~key.isin(*extract.CHAT_STOPWORDS, *(x.lower() for x in ignore or [])))
+    if aliases:
+        rows = rows.withColumn("text", F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[key], F.col("text")))
+    rows = rows.withColumn("name", normalize(F.col("text"))).filter("name <> ''")
+    order = F.struct((-F.col("confidence")).alias("c"), "turn", "k", "ord")
+    best = rows.groupBy("conv_id", "chunk", "name").agg(F.min_by(F.struct("text", "type", "confidence"), order).alias("b"), F.min(F.struct("turn", "k", "ord")).alias("first"), F.sort_array(F.collect_set("speaker")).alias("speakers"))
+    best = best.select("conv_id", "chunk", "name", F.col("b.text").alias("label"), "b.type", "b.confidence", "first", "speakers")
+    # a chunk has few messages, so its names are held against all of them
+    near = best.select("conv_id", "chunk", "name", normalize(F.col("label")).alias("n")).join(m.select("conv_id", "chunk", "turn", "text"), ["conv_id", "chunk"]).filter(F.lower("text").contains(F.col("n")))
+    w = Window.partitionBy("conv_id", "chunk", "name").orderBy("turn")
+    near = near.withColumn("r", F.row_number().over(w)).filter("r <= 3").groupBy("conv_id", "chunk", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.substring("text", 1, 200).alias("t")))), lambda x: x["t"]).alias("excerpts"))
+    return best.join(near, ["conv_id", "chunk", "name"], "left").withColumn("excerpts", F.coalesce("excerpts", F.array().cast("array<string>")))
+
+
 def content_hash(messages: DataFrame) -> DataFrame:
     """(conv_id, content_hash) of whole conversations."""
     line = F.concat_ws(":", "role", "text")

@@ -16,6 +16,16 @@ KNOWN_TOOLS = (
     "Claude Code", "Codex", "Vite", "tmux", "Three.js", "VS Code", "Git", "Docker", "Playwright", "TypeScript", "JavaScript", "Node.js", "npm", "React", "Next.js",
     "Bun", "Webpack", "ESLint", "Prettier", "D3.js", "SQLite", "WebGL", "Esbuild", "tsup", "remark", "unified", "Hono", "Express", "Prisma",
 )
+#: Names of tools that are known at sight in chats.
+CHAT_TOOLS = (
+    "Claude Code", "Codex", "Vite", "tmux", "Three.js", "VS Code", "Git", "Docker", "Playwright", "TypeScript", "JavaScript", "Node.js", "npm", "React", "Next.js",
+    "Bun", "Webpack", "ESLint", "Prettier", "SQLite", "WebGL", "tsup", "Hono", "Express", "Prisma", "Python", "Rust", "Go", "PostgreSQL", "Redis", "Kubernetes", "AWS", "Terraform",
+)
+#: Words of chats that name no entity.
+CHAT_STOPWORDS = (
+    "the it this that a an is was are were be been being have has had also just very good great well much big day today "
+    "yes no ok okay sure thanks thank please hello hi hey bye yeah yep nope right let me"
+).split()
 CAUSAL_RE = r"(?i)(led to|because of|resulted in|caused by|due to|which meant|this meant)\s"
 #: What makes a code token no name.
 NOISE = {
@@ -46,11 +56,11 @@ def _rows(sections: DataFrame, found: Column, extractor: str, base: int) -> Data
     return out.select("file", "section", "line", "x.text", "x.type", "x.confidence", F.lit(extractor).alias("extractor"), (F.col("p") + base).cast("long").alias("ord"))
 
 
-def structural(sections: DataFrame) -> DataFrame:
+def structural(sections: DataFrame, noise: dict[str, str] = NOISE) -> DataFrame:
     """Mentions of sections (file, section, heading, line, content): wikilinks, bold, code and headings."""
     c = F.col("content")
     bold = F.filter(_found(c, r"\*\*([^*]+)\*\*", "concept", 0.7), lambda x: F.length(x["text"]) > 2)
-    code = F.filter(_found(c, r"`([^`]+)`", "tool", 0.7), lambda x: (F.length(x["text"]) > 1) & (F.length(x["text"]) <= 40) & ~noisy(x["text"]))
+    code = F.filter(_found(c, r"`([^`]+)`", "tool", 0.7), lambda x: (F.length(x["text"]) > 1) & (F.length(x["text"]) <= 40) & ~noisy(x["text"], noise))
     h = trim_all(F.lower("heading"))
     head = F.when(~h.isin(*GENERIC_HEADINGS) & (F.length(h) > 2), F.array(F.struct(F.col("heading").alias("text"), F.lit("concept").alias("type"), F.lit(0.6).alias("confidence"))))
     empty = F.array().cast("array<struct<text:string,type:string,confidence:double>>")

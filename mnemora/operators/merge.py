@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.config import DEFAULT, EVIDENCE, EXCERPTS, TEMPORAL_PER_FILE, GraphConfig
-from mnemora.functions.text import edge_id
+from mnemora.functions.text import edge_id, node_id
 from mnemora.functions.weights import stability
 from mnemora.operators.dynamics import first_rows, graduate
 
@@ -104,3 +104,52 @@ def build(sightings: DataFrame, causal_sections: DataFrame, config: GraphConfig
     co, pending = graduate(section_pairs(sightings), config)
     edges = co.unionByName(explicit(sightings, config)).unionByName(causal(sightings, causal_sections, config)).unionByName(temporal(sightings, config))
     return {"nodes": roll_up(sightings), "edges": edges, "pending": pending}
+
+
+def ingested(entities: DataFrame, nodes: DataFrame, edges: DataFrame, at: str) -> dict[str, DataFrame]:
+    """Nodes and edges after new chunks' entities (conv_id, chunk, source, label, type, excerpts), only those that the chunks touch.
+
+    Every chunk that names a node adds a mention and a reinforcement, the first one of a new node only a mention; what the store has of it
+    (label, type, aliases, first sight, excerpts) stays. Every chunk with both ends of an edge reinforces it; a new edge begins at weight 0.3.
+    An edge's first formation, weight and base weight stay. Excerpts are filled up to 10, evidence to 20.
+    """
+    e = entities.select(node_id(F.col("label")).alias("id"), "conv_id", "chunk", "source", "label", "type", "excerpts").dropDuplicates(["id", "conv_id", "chunk"])
+    chunk = F.struct("conv_id", "chunk")
+    delta = e.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("label", "type", "source"), chunk).alias("new"), F.min(chunk).alias("head"))
+    old = nodes.select("id", F.struct(*[F.col(c) for c in nodes.columns]).alias("old"))
+    d = delta.join(old, "id", "left")
+    first = d.select("id", "head", F.col("old").isNull().alias("is_new"))
+    texts = e.join(first, "id").select("id", "conv_id", "chunk", "source", F.posexplode(F.slice("excerpts", F.lit(1), F.when(F.col("is_new") & chunk.eqNullSafe(F.col("head")), 3).otherwise(1))).alias("p", "text"))
+    seen = first_rows(texts, ["id"], ["conv_id", "chunk", "p"], EXCERPTS, F.struct(F.col("source").alias("file"), F.col("text"), F.lit(at).alias("date")), "seen")
+    d = d.join(seen, "id", "left")
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    own = lambda c: F.col(f"old.{c}") if c in kinds else F.lit(None)
+    known = F.col("old").isNotNull()
+    none = F.array().cast("array<struct<file:string,text:string,date:string>>")
+    added = {
+        "id": F.col("id"), "label": F.coalesce(own("label"), "new.label"), "type": F.coalesce(own("type"), "new.type"), "aliases": F.coalesce(own("aliases"), F.array().cast("array<string>")),
+        "first_seen": F.coalesce(own("first_seen").cast("string"), F.lit(at)), "last_reinforced": F.lit(at), "mention_count": F.coalesce(own("mention_count"), F.lit(0)) + F.col("c"),
+        "reinforcement_count": F.when(known, F.coalesce(own("reinforcement_count"), F.lit(0)) + F.col("c")).otherwise(F.col("c") - 1),
+        "source_files": F.when(known, own("source_files")).otherwise(F.array("new.source")), "excerpts": F.slice(F.concat(F.coalesce(own("excerpts").cast("array<struct<file:string,text:string,date:string>>"), none), F.coalesce("seen", none)), 1, EXCERPTS),
+    }
+    rest = [own(c).alias(c) for c in nodes.columns if c not in added]
+    new_nodes = d.select(*[v.alias(k) for k, v in added.items()], *rest)
+
+    a, b = e.select("conv_id", "chunk", "source", F.col("id").alias("x")), e.select("conv_id", "chunk", F.col("id").alias("y"))
+    pairs = a.join(b, ["conv_id", "chunk"]).filter("x < y")  # the names of one chunk
+    kind = "co-occurrence"
+    pairs = pairs.select(F.concat_ws("--", "x", "y", F.lit(kind)).alias("id"), F.col("x").alias("source"), F.col("y").alias("target"), "conv_id", "chunk", F.col("source").alias("file"))
+    more = pairs.groupBy("id", "source", "target").agg(F.count(F.lit(1)).alias("n"))
+    proof = first_rows(pairs, ["id"], ["conv_id", "chunk"], EVIDENCE, F.struct("file", F.lit(at).alias("date"), F.lit("co-mentioned in conversation").alias("context")), "proof")
+    was = edges.select("id", F.struct(*[F.col(c) for c in edges.columns]).alias("old"))
+    g = more.join(proof, "id").join(was, "id", "left")
+    kinds = {f.name: f.dataType for f in edges.schema}
+    rc = F.coalesce(own("reinforcement_count") + F.col("n"), F.col("n") - 1)
+    evidence = F.array().cast("array<struct<file:string,date:string,context:string>>")
+    new_edges = g.select(
+        "id", "source", "target", F.lit(kind).alias("type"), F.coalesce(own("directed"), F.lit(False)).alias("directed"), F.coalesce(own("weight"), F.lit(0.3)).alias("weight"),
+        F.coalesce(own("base_weight"), F.lit(0.3)).alias("base_weight"), rc.cast("long").alias("reinforcement_count"), F.coalesce(own("first_formed").cast("string"), F.lit(at)).alias("first_formed"),
+        F.lit(at).alias("last_reinforced"), F.when(rc == 0, F.lit(1.0)).otherwise(stability(rc)).alias("stability"),
+        F.slice(F.concat(F.coalesce(own("evidence").cast("array<struct<file:string,date:string,context:string>>"), evidence), "proof"), 1, EVIDENCE).alias("evidence"),
+    )
+    return {"nodes": new_nodes, "edges": new_edges}

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.config import DEFAULT, GraphConfig
-from mnemora.operators import conversations, dynamics, extract, merge, resolve
+from mnemora.functions.text import node_id
+from mnemora.operators import conversations, dynamics, extract, merge, resolve, vectors
 from mnemora.shared import written
 from mnemora.sources import notes as notes_source
 from mnemora.store import GraphStore
@@ -49,22 +50,25 @@ def consolidate(store: GraphStore, files: DataFrame, now: Column, config: GraphC
     )
 
 
-def ingest(store: GraphStore, messages: DataFrame, at: str) -> int:
-    """Adds conversations that are new: their chunks as episodes, their entities as nodes, and edges among a chunk's entities."""
+def ingest(store: GraphStore, messages: DataFrame, at: str, aliases: dict[str, str] | None = None, ignore: list[str] | None = None, embedder: vectors.Embedder | None = None, provider: str = "mock", extractor=conversations.chat_entities) -> int:
+    """Adds conversations that are new: their chunks as episodes, and their entities to the nodes and edges that are there.
+
+    extractor: any function from chunked messages to entities; embedder: embeds the episodes' contents, a failing batch is left out.
+    """
     done = store.table("meta").filter(F.col("key").startswith("conversation:")).select(F.substring("key", 14, 100).alias("conv_id"), F.col("value").alias("content_hash"))
     new = written(conversations.new_conversations(messages, done), "new-conversations")
     m = messages.join(new.select("conv_id"), "conv_id", "left_semi")
     chunked = written(conversations.chunks(m), "chunks")
     name = F.concat_ws("#", F.col("conv_id").cast("string"), F.col("chunk").cast("string"))
     eps = conversations.chunk_episodes(chunked).select(F.concat(F.lit("ep_conv_"), F.substring(F.sha2(name, 256), 1, 12)).alias("id"), name.alias("source"), "type", "title", "summary", "content", "importance", F.lit(at).alias("timestamp"))
-    text = chunked.filter("role <> 'system'").select(name.alias("file"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("section"), F.lit("notes").alias("heading"), F.col("turn").cast("long").alias("line"), F.col("text").alias("content"))
-    seen = resolve.resolve(mentions_of(text).drop("name"), store.table("nodes"))
-    s = seen.select("node_id", F.col("text").alias("label"), "type", "file", F.lit("chunk").alias("section"), F.lit(0).alias("section_ord"), "ord", F.lit(at).alias("date"), F.lit(None).cast("string").alias("excerpt"), F.lit(False).alias("is_link"))
-    s = written(s, "sightings")
-    pairs = merge.section_pairs(s)
-    nodes = merge.roll_up(s)
-    edges = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    edges = edges.select(F.concat_ws("--", "source", "target", F.lit("co-occurrence")).alias("id"), "source", "target", F.lit("co-occurrence").alias("type"), F.lit(False).alias("directed"), F.lit(0.3).alias("weight"), F.lit(0.3).alias("base_weight"), (F.col("n") - 1).alias("reinforcement_count"), F.lit(at).alias("first_formed"), F.lit(at).alias("last_reinforced"), F.lit(1.0).alias("stability"))
-    links = s.join(eps.select(F.col("id").alias("episode_id"), F.col("source").alias("file")), "file").select("episode_id", "node_id", F.when(F.col("type") == "person", "participant").otherwise("mentioned").alias("role")).distinct()
+    eps = written(eps, "episodes")
+    named = extractor(chunked, aliases, ignore)
+    s = written(named.withColumn("source", name), "entities")
+    after = merge.ingested(s, store.table("nodes"), store.table("edges"), at)
+    kinds = F.when(F.col("type") == "person", F.array(F.lit("mentioned"), F.lit("participant"))).otherwise(F.array(F.lit("mentioned")))
+    links = s.join(eps.select(F.col("id").alias("episode_id"), "source"), "source").select("episode_id", node_id(F.col("label")).alias("node_id"), F.explode(kinds).alias("role")).distinct()
     marks = new.select(F.concat(F.lit("conversation:"), F.col("conv_id").cast("string")).alias("key"), F.col("content_hash").alias("value"))
-    return store.upsert(nodes=nodes, edges=edges, episodes=eps, episode_entities=links, meta=marks)
+    tables = {"nodes": after["nodes"], "edges": after["edges"], "episodes": eps, "episode_entities": links, "meta": marks}
+    if embedder:
+        tables["embeddings"] = vectors.embed(eps.select("id", F.lit("episode").alias("type"), "content"), embedder, provider)
+    return store.upsert(**tables)

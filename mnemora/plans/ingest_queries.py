@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import normalize
-from mnemora.operators import conversations, dynamics, extract, merge, resolve
+from mnemora.operators import conversations, dynamics, extract, merge, resolve, store_ops
 from mnemora.plans.catalog import query, r
 from mnemora.plans.derive import table
 
@@ -205,3 +205,53 @@ def ingest_dedup(spark, sf_dir):
     m = messages(spark, sf_dir)
     seen = m.filter(F.col("conv_id") % 7 == 0).select("conv_id").distinct().withColumn("content_hash", F.lit(""))  # every seventh was ingested under another content
     return conversations.new_conversations(m, seen)
+
+
+#: Conversations that name things: every message names its first two words of four letters or more, as a link and as code.
+TALK_SQL = """talk AS (SELECT conv_id, turn, role, text || ' [[' || coalesce(regexp_extract_all(text, '[a-z]{4,}')[1], '') || ']] `' || coalesce(regexp_extract_all(text, '[a-z]{4,}')[2], '') || '`' AS text FROM conversations)"""
+_TALK_TOOLS = " UNION ALL ".join(
+    f"SELECT conv_id, turn, 0 AS k, {i} AS ord, 'tool' AS type, 0.9::DOUBLE AS confidence, '{t.lower()}' AS name FROM said WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){t.replace('.', chr(92) + '.')}([^A-Za-z0-9_]|$)')" for i, t in enumerate(extract.CHAT_TOOLS)
+)
+INGEST_SQL = f"""WITH {TALK_SQL}, said AS (SELECT * FROM talk WHERE role <> 'system'),
+hit AS ({_TALK_TOOLS} UNION ALL SELECT conv_id, turn, 1, 0, 'concept', 0.9, unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) FROM said
+  UNION ALL SELECT conv_id, turn, 1, 1, 'tool', 0.7, x FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '`([^`]+)`', 1)) AS x FROM said) WHERE length(x) BETWEEN 2 AND 40),
+best AS (SELECT conv_id, name, arg_min(type, (-confidence, turn, k, ord)) AS type FROM hit WHERE name NOT IN ({', '.join(repr(x) for x in extract.CHAT_STOPWORDS)}) GROUP BY ALL),
+near AS (SELECT b.conv_id, name, least(3, count(*)) AS n FROM best b JOIN talk t ON t.conv_id = b.conv_id AND contains(lower(t.text), name) GROUP BY ALL),
+ent AS (SELECT substr(sha256(name), 1, 16) AS id, name, b.conv_id, type, n, CASE WHEN b.conv_id % 2 = 0 THEN '2026-01-01' ELSE '2026-02-01' END AS day,
+  row_number() OVER (PARTITION BY name ORDER BY b.conv_id % 2, b.conv_id) AS k FROM best b JOIN near USING (conv_id, name))"""
+
+
+def talk(spark, sf_dir):
+    w = F.regexp_extract_all("text", F.lit("([a-z]{4,})"), F.lit(1))
+    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    m = messages(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" [["), word(0), F.lit("]] `"), word(1), F.lit("`")))
+    return conversations.chat_entities(m.withColumn("chunk", F.lit(0))).withColumn("source", F.col("conv_id").cast("string"))
+
+
+def ingested_twice(spark, sf_dir):
+    """Nodes and edges after the even conversations, then the odd ones."""
+    from mnemora.schemas import EDGES, NODES
+    from mnemora.shared import written
+    from mnemora.store import _full
+
+    e = written(talk(spark, sf_dir), "entities")
+    now = {"nodes": spark.createDataFrame([], NODES), "edges": spark.createDataFrame([], EDGES)}
+    for odd, at in ((0, "2026-01-01"), (1, "2026-02-01")):
+        new = merge.ingested(e.filter(F.col("conv_id") % 2 == odd), now["nodes"], now["edges"], at)
+        now = {t: written(store_ops.upsert(now[t], _full(new[t], t), ["id"]), t) for t in now}
+    return now
+
+
+@query(INGEST_SQL + """ SELECT id, arg_min(type, k) AS type, count(*) AS mention_count, count(*) - 1 AS reinforcement_count, min(day) AS first_seen, max(day) AS last_reinforced,
+  least(10, sum(CASE WHEN k = 1 THEN n ELSE 1 END))::BIGINT AS excerpts FROM ent GROUP BY id""")
+def ingest_nodes(spark, sf_dir):
+    n = ingested_twice(spark, sf_dir)["nodes"]
+    return n.select("id", "type", "mention_count", "reinforcement_count", "first_seen", "last_reinforced", F.size("excerpts").cast("long").alias("excerpts"))
+
+
+@query(INGEST_SQL + """, p AS (SELECT a.id AS source, b.id AS target, a.day FROM ent a JOIN ent b ON a.conv_id = b.conv_id AND a.id < b.id)
+SELECT source || '--' || target || '--co-occurrence' AS id, count(*) - 1 AS reinforcement_count, min(day) AS first_formed, max(day) AS last_reinforced, least(20, count(*)) AS evidence,
+  round(CASE WHEN count(*) = 1 THEN 1 ELSE 1 + 1.5 * ln(count(*)) END, 6)::DOUBLE AS stability FROM p GROUP BY source, target""")
+def ingest_edges(spark, sf_dir):
+    e = ingested_twice(spark, sf_dir)["edges"]
+    return e.select("id", "reinforcement_count", "first_formed", "last_reinforced", F.size("evidence").cast("long").alias("evidence"), r("stability", "stability"))
