@@ -30,7 +30,10 @@ from .common import WHITE, boxed, drop_path, fingerprint, kept, let, text_of, un
 SIZE, LEAST = 3, 80
 #: Bytes of removals that may be broadcast.
 BROADCAST_BYTES = 32 << 20
-CLAUSE = r"(?s).*?(?:[.!?,;:][\x20\x09-\x0D]+|\z)"
+#: A clause with the white space after it; nothing is tried twice.
+CLAUSE = r"(?:[^.!?,;:]|[.!?,;:](?![\x20\x09-\x0D]))*+(?:[.!?,;:][\x20\x09-\x0D]++)?"
+#: Added to the places of lines, which so come before those of clauses.
+LINES = -(1 << 30)
 
 
 def _key(reading: int, h: Column, k: Column, long: Column) -> Column:
@@ -77,7 +80,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
     both = let(let(F.lower("text"), _folded), lambda t: F.struct(_line_windows(t).alias("a"), _clause_windows(t).alias("b")))
     own, places = kept(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
-    every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", "n", "at", "w.h", "w.g", "w.l")
+    at = F.when(F.col("at") < F.col("n"), F.col("at") + LINES).otherwise(F.col("at") - F.col("n"))
+    every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", at.alias("at"), "w.h", "w.g", "w.l")
     repeated = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeated")
     # both sides of either join come from tables, so that Spark may split what a hot window holds
     rows = written(every.join(repeated, "h"), "occurrences")
@@ -85,9 +89,9 @@ def removals(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "th", "at")
     first = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "g", "first")
     later = rows.join(written(first, "first"), ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
-    gone = later.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("at", "l"))).alias("w"))
-    lines, clauses = F.transform(F.filter("w", lambda x: x["at"] < F.col("n")), lambda x: x["at"]), F.filter("w", lambda x: x["at"] >= F.col("n"))
-    clauses = F.transform(let(clauses, _long_runs), lambda x: x["at"] - F.col("n"))
+    gone = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("at", "l"))).alias("w"))
+    lines = F.transform(F.filter("w", lambda x: x["at"] < 0), lambda x: x["at"] - LINES)
+    clauses = F.transform(let(F.filter("w", lambda x: x["at"] >= 0), _long_runs), lambda x: x["at"])
     return gone.select("doc_id", "th", lines.alias("lines"), clauses.alias("clauses")).filter((F.size("lines") > 0) | (F.size("clauses") > 0))
 
 

@@ -93,3 +93,9 @@ def test_odd_rows(odd, nothing):
     assert all(r["text"] == expected[r["doc_id"]] for r in got if r["doc_id"] is not None)
     out = lines.without_repeats(odd)
     assert out.columns == odd.columns and all(r[c] == f"own {c}" for r in out.collect() for c in CLASHING)
+
+
+def test_long_texts_without_white_space(docs_of):
+    texts = ["1,2.3;" * 60_000 + " and so on, as it goes, in the very same words, to the end of all.", "1,2.3;" * 60_000 + " and so on, as it goes, in the very same words, to the end of all.\n"]
+    got = {r["doc_id"]: r["text"] for r in lines.report(docs_of(texts)).collect()}
+    assert got == plain(list(enumerate(texts))) and got[1] == ""
