@@ -39,5 +39,16 @@ def file_date(name: Column) -> Column:
     return F.when(found != "", found)
 
 
+def slider_value(at: Column, first: Column, last: Column) -> Column:
+    """Percent of the way from first to last, rounded; 100 where they are one."""
+    span = _micros(last, first)
+    return F.when(span <= 0, F.lit(100)).otherwise(F.floor(_micros(at, first) / span * 100 + 0.5)).cast("long")
+
+
+def slider_date(value: Column, first: Column, last: Column) -> Column:
+    """The instant at some percent of the way, in whole milliseconds."""
+    return F.timestamp_add("MILLISECOND", F.floor(value / 100 * _micros(last, first) / 1000).cast("long"), first.cast("timestamp_ntz"))
+
+
 def days_ago(days: Column) -> Column:
     return F.when(days == 0, "today").when(days == 1, "yesterday").otherwise(F.concat(days.cast("string"), F.lit("d ago")))

@@ -46,5 +46,20 @@ def node_size(degree: Column, mentions: Column) -> Column:
     return F.least(F.lit(18.0), F.lit(3.0) + 1.5 * F.log2(degree + 1.0) + 0.8 * F.log2(mentions + 1.0))
 
 
+def node_opacity(strongest: Column) -> Column:
+    return F.lit(0.3) + F.least(strongest, F.lit(1.0)) * 0.7
+
+
+def edge_width(weight: Column, base: Column, thin: float = 0.3, thick: float = 2.5) -> Column:
+    """Between two widths by the part of its base weight that an edge has left."""
+    left = F.when(base > 0, weight / base).otherwise(F.lit(0.0))
+    return F.lit(thin) + (thick - thin) * F.least(left, F.lit(1.0))
+
+
+def depth(days: Column) -> Column:
+    """The place on the time axis of a view: two units back for each day."""
+    return -2.0 * days
+
+
 def origin_factor(private_nodes: Column, configured: float = 0.6) -> Column:
     return F.when(private_nodes < 50, 0.9).when(private_nodes < 100, 0.75).otherwise(configured)

@@ -100,6 +100,19 @@ def node_scores(nodes: DataFrame, edges: DataFrame, now: Column, recent_days: in
     return nodes.select("id", "label", "type", score.alias("score"), days.alias("days_since")).join(d, "id").withColumnRenamed("degree", "edge_count")
 
 
+def insight_scores(nodes: DataFrame, now: Column, recent_days: int = 7) -> DataFrame:
+    """(id, label, score) as insights rank nodes: counts, and a bonus within the recent days."""
+    recent = days_between(F.col("last_reinforced"), now) <= recent_days
+    return nodes.select("id", "label", (F.col("mention_count") * 0.3 + F.col("reinforcement_count") * 0.3 + F.when(recent, 4.0).otherwise(0.0)).alias("score"))
+
+
+def details(nodes: DataFrame, edges: DataFrame, node: str, n: int = 20) -> DataFrame:
+    """(neighbor, label, type, weight): the strongest edges of a node with the label at their other end (its id where there is none)."""
+    adj = adjacency(edges).filter(F.col("node") == node).dropDuplicates(["edge_id"])
+    named = adj.join(nodes.select(F.col("id").alias("neighbor"), "label"), "neighbor", "left").withColumn("label", F.coalesce("label", "neighbor"))
+    return named.orderBy(F.desc("weight"), "edge_id").limit(n).select("neighbor", "label", "type", "weight")
+
+
 def orphans(nodes: DataFrame, edges: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     """Nodes without an edge whose stored weight reaches the threshold."""
     active = edges.filter(F.col("weight") >= config.visibility_threshold)
@@ -132,8 +145,12 @@ def stats(nodes: DataFrame, edges: DataFrame, config: GraphConfig = DEFAULT) ->
     return out.unionByName(row(total_e, "average_weight", F.lit(""), F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(0.0))))
 
 
-def search(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, label, match_score > 0): the mean over the terms of the best match with a name (label or alias)."""
+def search(nodes: DataFrame, terms: list[str], kind: str | None = None, since_days: int | None = None, now: Column | None = None) -> DataFrame:
+    """(id, label, match_score > 0): the mean over the terms of the best match with a name (label or alias); of a type, reinforced so few days ago."""
+    if kind is not None:
+        nodes = nodes.filter(F.col("type") == kind)
+    if since_days is not None:
+        nodes = nodes.filter(days_between(F.col("last_reinforced"), now) <= since_days)
     names = nodes.select("id", "label", F.explode(F.array_distinct(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
     t = nodes.sparkSession.createDataFrame([(i, x) for i, x in enumerate(terms)], "i int, term string").select("i", normalize(F.col("term")).alias("term"))
     m = names.withColumn("name", normalize(F.col("name"))).join(F.broadcast(t), how="cross")  # a stated list of terms against all names

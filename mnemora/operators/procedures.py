@@ -24,6 +24,18 @@ def listed(procedures: DataFrame, kind: str | None = None, confidence: float | N
     return p.orderBy(F.desc("confidence"), "id")
 
 
+def merged(own: DataFrame, hive: DataFrame) -> DataFrame:
+    """Procedures of both by id; a private one hides a shared one."""
+    return own.unionByName(hive.join(own.select("id"), "id", "left_anti").select(own.columns))
+
+
+def health(procedures: DataFrame) -> DataFrame:
+    """One row: procedures, flagged ones, average confidence, and those under 0.3."""
+    return procedures.agg(
+        F.count(F.lit(1)).alias("procedures"), F.count_if(F.col("flagged_for_review")).alias("flagged"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"), F.count_if(F.col("confidence") < 0.3).alias("weak"),
+    )
+
+
 def match(procedures: DataFrame, terms: list[str], contexts: list[str], now: Column, limit: int = 5, least: float = 0.3) -> DataFrame:
     """(id, statement, score, matched_keywords): share of triggers met, by confidence and how lately the procedure was applied."""
     t = F.array(*[F.lit(x) for x in terms]).cast("array<string>")

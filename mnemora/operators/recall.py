@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.config import DEFAULT, RECALL, GraphConfig, RecallConfig
 from mnemora.functions.dates import days_between
+from mnemora.functions.text import query_terms
 from mnemora.functions.weights import origin_factor
-from mnemora.operators import graph
+from mnemora.operators import graph, vectors
 
 
 def semantic_scores(node_hits: DataFrame, episode_hits: DataFrame, links: DataFrame, config: RecallConfig = RECALL) -> DataFrame:
-    """(id, semantic): the best of a node's own similarity and, discounted, that of episodes it takes part in."""
+    """(id, semantic): the best of a node's own similarity and, discounted, that of episodes it takes part in; never below 0."""
     via = episode_hits.join(links, episode_hits["id"] == links["episode_id"]).select(F.col("node_id").alias("id"), (F.col("similarity") * config.episode_discount).alias("s"))
-    return node_hits.select("id", F.col("similarity").alias("s")).unionByName(via).groupBy("id").agg(F.max("s").alias("semantic"))
+    return node_hits.select("id", F.col("similarity").alias("s")).unionByName(via).groupBy("id").agg(F.greatest(F.lit(0.0), F.max("s")).alias("semantic"))
 
 
 def seeds(nodes: DataFrame, terms: list[str], config: RecallConfig = RECALL) -> DataFrame:
@@ -54,6 +57,33 @@ def recall(nodes: DataFrame, edges: DataFrame, terms: list[str], now: Column, no
     return rank(nodes, semantic_scores(node_hits, episode_hits, links, config), walked, now, config, **filters)
 
 
+def search_and_recall(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, links: DataFrame, text: str, vector: list[float] | None, now: Column, config: RecallConfig = RECALL, graph_config: GraphConfig = DEFAULT, **filters) -> DataFrame:
+    """Recall from the query's text and vector: three times the limit of node hits, the limit of episode hits, then ranking.
+
+    embeddings: id, type (node or episode), vector. Without a vector the graph alone finds candidates. The text's terms are few and are worked out on the driver.
+    """
+    terms = nodes.sparkSession.range(1).select(query_terms(F.lit(text)).alias("t")).first()["t"]
+    if vector is None:
+        none = embeddings.select("id", F.lit(0.0).alias("similarity")).filter("false")
+        return recall(nodes, edges, terms, now, none, none, links, config, graph_config, **filters)
+    hits = vectors.search(embeddings, vector, 3 * config.limit, kind="node"), vectors.search(embeddings, vector, config.limit, kind="episode")
+    return recall(nodes, edges, terms, now, *hits, links, config, graph_config, **filters)
+
+
+def recall_at(snapshots: DataFrame, load: Callable[[str], dict[str, DataFrame]], live: dict[str, DataFrame], moment: str, ranked: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Recall on the graph of the last snapshot at or before a moment, the live graph where there is none. ranked: from nodes and edges to results; decay is that of the present."""
+    one = as_of(snapshots, snapshots.sparkSession.createDataFrame([(moment,)], "at string")).first()  # one row
+    g = load(one["snapshot_id"]) if one["snapshot_id"] is not None else live
+    return ranked(g["nodes"], g["edges"])
+
+
+def with_verbatim(results: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Results with the claim and the source section of their canonical files, null where they have none. files: path, claim, source_text."""
+    at = nodes.select("id", F.col("canonical_path").alias("_path"))
+    own = files.select(F.col("path").alias("_path"), F.col("claim").alias("verbatim_claim"), F.col("source_text").alias("verbatim_source"))
+    return results.join(at, "id", "left").join(own, "_path", "left").drop("_path")
+
+
 def connections(results: DataFrame, nodes: DataFrame, edges: DataFrame, config: RecallConfig = RECALL) -> DataFrame:
     """(id, neighbor, label, relationship, weight): the strongest edges of each result; a self-loop counts once."""
     adj = graph.adjacency(edges).join(results.select(F.col("id").alias("node")), "node").dropDuplicates(["node", "edge_id"])

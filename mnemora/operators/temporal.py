@@ -33,6 +33,18 @@ def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select(F.coalesce("a_id", "b_id").alias("id"), change.alias("change")).filter("change is not null")
 
 
+def pinned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, id): everything that two differences touch, once."""
+    return nodes.select(F.lit("node").alias("kind"), "id").unionByName(edges.select(F.lit("edge").alias("kind"), "id")).distinct()
+
+
+def links_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id): edges with either end among ids."""
+    own = ids.select(F.col("id").alias("_n")).distinct()
+    ends = edges.select("id", F.explode(F.array("source", "target")).alias("_n"))
+    return ends.join(own, "_n", "left_semi").select("id").distinct()
+
+
 def diff_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts of two differences, and the net change."""
     n = nodes.agg(*[F.count_if(F.col("change") == c).alias(f"nodes_{c}") for c in ("added", "removed", "changed")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.config import EMBED_BATCH
@@ -101,6 +101,34 @@ def stale(rows: DataFrame, embeddings: DataFrame) -> DataFrame:
     return rows.join(embeddings.select("id", "content"), ["id", "content"], "left_anti")
 
 
+def node_text(label: Column, excerpts: Column) -> Column:
+    """What is embedded of a node: its label and the texts of its excerpts."""
+    return F.concat(label, F.lit(" — "), F.array_join(F.transform(F.coalesce(excerpts, F.array().cast("array<struct<file:string,text:string,date:string>>")), lambda x: x["text"]), ". "))
+
+
+def from_bytes(column: Column) -> Column:
+    """Vectors that other stores keep as little-endian single-precision bytes, without Python: sign, exponent and fraction of each."""
+    places = F.sequence(F.lit(0), (F.octet_length(column) / 4).cast("int") - 1)
+
+    def one(i: Column) -> Column:
+        byte = lambda k: F.conv(F.hex(F.substring(column, i * 4 + k, F.lit(1))), 16, 10).cast("long")
+        bits = byte(1) + byte(2) * 256 + byte(3) * 65536 + byte(4) * 16777216
+        sign, exponent, fraction = F.when(bits >= 1 << 31, -1.0).otherwise(1.0), F.floor(bits / (1 << 23)) % 256, bits % (1 << 23)
+        whole = F.when(exponent == 0, fraction * 2.0**-149).otherwise((fraction + (1 << 23)) * F.pow(F.lit(2.0), exponent - 150))
+        return (sign * whole).cast("float")
+
+    return F.when(F.octet_length(column) >= 4, F.transform(places, one)).otherwise(F.array().cast("array<float>"))
+
+
+def counts_by_type(embeddings: DataFrame) -> DataFrame:
+    return embeddings.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def missing(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(id, label) of nodes without an embedding."""
+    return nodes.join(embeddings.select("id"), "id", "left_anti").select("id", "label")
+
+
 def coverage(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row: nodes, embedded ones, percent."""
     have = nodes.select("id").join(embeddings.select(F.col("id"), F.lit(1).alias("e")).distinct(), "id", "left")

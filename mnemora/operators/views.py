@@ -68,6 +68,14 @@ def timeline_stack(episodes: DataFrame, share: float = 0.02) -> DataFrame:
     return marks.groupBy("lane").applyInArrow(fold, f"lane {lane}, id string, position double, stack int")
 
 
+def centroid(positions: DataFrame) -> DataFrame:
+    """One row: the mean of the positions (x, y, z) that are known, how many, and the largest distance from it (0 where there is none)."""
+    p = positions.filter("x is not null and y is not null and z is not null")
+    c = p.agg(*[F.coalesce(F.avg(k), F.lit(0.0)).alias(f"c{k}") for k in "xyz"], F.count(F.lit(1)).alias("n"))
+    far = p.join(F.broadcast(c), how="cross").agg(F.max(F.sqrt(sum((F.col(k) - F.col(f"c{k}")) ** 2 for k in "xyz"))).alias("spread"))  # one row
+    return c.join(far, how="cross").select("cx", "cy", "cz", "n", F.coalesce("spread", F.lit(0.0)).alias("spread"))
+
+
 def shares(rows: DataFrame, key: str) -> DataFrame:
     """(key, n, share) of each value's part of all rows."""
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

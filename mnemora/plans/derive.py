@@ -117,3 +117,21 @@ def ctes(p: str = "", until: str | None = None, agent: int | None = None) -> str
 {p}degree AS (SELECT n.id, count(node) AS degree FROM {p}nodes n LEFT JOIN {p}adj ON node = n.id GROUP BY n.id),
 {p}pending AS (SELECT source, target, n AS count, first AS first_seen FROM {p}pairs WHERE n < 2)
 """
+
+
+_I32 = "(((({x}) + 2147483648) & 4294967295) - 2147483648)"
+
+
+def mock_vectors(rows: str) -> str:
+    """SQL of ``mock`` (id, i from 1 to 64, x), the mock encoder's vectors of rows (id, text).
+
+    The hash runs over UTF-16 units; 64 steps mix it, where a product is rounded to a double first; the vector is scaled in doubles and kept in single precision.
+    """
+    units = "flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END))"
+    return f"""mock_t AS ({rows}),
+mock_u AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform({units}, lambda x: x::BIGINT)), lambda h, x: {_I32.format(x='h * 31 + x')}) AS h FROM mock_t WHERE text <> '' UNION ALL SELECT id, 0::BIGINT FROM mock_t WHERE text = ''),
+mock_s AS (SELECT id, 0 AS i, h::BIGINT AS h, 0.0::FLOAT AS x FROM mock_u UNION ALL SELECT id, i + 1, h, ((h & 65535) / 65536.0::DOUBLE - 0.5)::FLOAT FROM (
+  SELECT id, i, xor(b, floor(b / 32768.0)::BIGINT) AS h FROM (SELECT id, i, (((a::DOUBLE * 1540483477.0::DOUBLE)::HUGEINT + 170141183460469231722463931679029329920) % 4294967296)::BIGINT AS c,
+    {_I32.format(x='c')} AS b FROM (SELECT id, i, xor({_I32.format(x='h * 8192')}, h) AS a FROM mock_s WHERE i < 64)))),
+mock_n AS (SELECT id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM mock_s WHERE i > 0 GROUP BY id),
+mock AS (SELECT id, i, (x::DOUBLE / norm)::FLOAT AS x FROM mock_s JOIN mock_n USING (id) WHERE i > 0)"""

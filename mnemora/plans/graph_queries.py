@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from mnemora.functions.weights import edge_weight
 from mnemora.operators import dynamics, federation, graph, recall, temporal, vectors, views
 from mnemora.plans.catalog import day, query, r
-from mnemora.plans.derive import TRADE_NOW, ctes, days, edges_of, graph as trade, mentions, nodes_of, now, pairs_of, snapshot, table, weight
+from mnemora.plans.derive import TRADE_NOW, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
+from mnemora.sources import memory_files
 
 AT = f"TIMESTAMP '{TRADE_NOW}'"
 W = "WITH RECURSIVE " + ctes()
@@ -269,35 +270,118 @@ def graph_walk_scores(spark, sf_dir):
     return graph.walk(g["nodes"], g["edges"], top_seeds(g), now()).select("id", r("score", "score"))
 
 
-SEMANTIC = "semantic AS (SELECT id, 1 - (row_number() OVER (ORDER BY id) - 1) / 30.0::DOUBLE AS s FROM nodes ORDER BY id LIMIT 30)"
-RECALL_SQL = f"""{WALK}, {SEMANTIC},
-cand AS (SELECT n.*, coalesce(s, 0.0) AS semantic, coalesce(score, 0.0) AS graph, mention_count + n.reinforcement_count AS m FROM nodes n LEFT JOIN semantic x ON x.id = n.id LEFT JOIN walked w ON w.id = n.id WHERE s IS NOT NULL OR score IS NOT NULL),
-ranked AS (SELECT id, label, semantic, graph, greatest(0.0, 1 - {days('last_reinforced', AT)} / 365.0) AS recency, least(1.0, m / greatest(1, max(m) OVER ())::DOUBLE) AS importance FROM cand),
-best AS (SELECT *, 0.4 * semantic + 0.3 * graph + 0.2 * recency + 0.1 * importance AS score FROM ranked ORDER BY round(0.4 * semantic + 0.3 * graph + 0.2 * recency + 0.1 * importance, 9) DESC, id LIMIT 10)"""
+#: The text recalled by the queries below. Nodes are embedded by their labels, episodes (orders) by priority and status.
+RECALL_TEXT = "blue gear, steel rod"
+RECALL_TERMS = ["blue", "gear", "steel", "rod"]
 
 
-def _semantic(g):
-    """A stand-in for the vector hits of a query: the thirty least ids, in falling similarity."""
-    from pyspark.sql import Window
+def _search_sql(terms: list[str], nodes: str = "nodes", where: str = "true") -> str:
+    """SQL of ``found`` (id, label, match_score) of a search."""
+    return f"""found_names AS (SELECT id, label, lower(label) AS name FROM {nodes} WHERE {where} UNION SELECT id, label, regexp_replace(lower(alias), '[.,;:!?]+$', '') FROM {nodes} WHERE {where}),
+found_terms AS (SELECT unnest({terms}) AS term),
+found_best AS (SELECT id, label, term, max(CASE WHEN name = term THEN 1.0 WHEN contains(name, term) THEN 0.8 WHEN contains(term, name) THEN 0.6
+  WHEN levenshtein(term, name) / greatest(length(term), length(name))::DOUBLE <= 0.3 THEN 0.4 * (1 - levenshtein(term, name) / greatest(length(term), length(name))::DOUBLE) ELSE 0.0 END::DOUBLE) AS s
+  FROM found_names, found_terms GROUP BY id, label, term),
+found AS (SELECT id, label, sum(s) / {len(terms)} AS match_score FROM found_best GROUP BY id, label HAVING sum(s) > 0)"""
+
+
+def _recall_sql(p: str = "", where: str = "true") -> str:
+    """SQL of ``best``, the ten results, over the tables with a prefix; where filters the candidates after the largest count is known."""
+    walk = WALK[WALK.index("wadj AS"):].replace("FROM adj", f"FROM {p}adj")
+    vector = """SELECT 'n:' || label AS id, label AS text FROM (SELECT DISTINCT label FROM {p}nodes) UNION ALL SELECT DISTINCT 'e:' || o_orderpriority || ' ' || o_orderstatus, o_orderpriority || ' ' || o_orderstatus FROM orders
+  UNION ALL SELECT 'q', '{q}'""".replace("{p}", p).replace("{q}", RECALL_TEXT)
+    return f"""{_search_sql(RECALL_TERMS, p + "nodes")}, seed AS (SELECT id FROM found ORDER BY match_score DESC, id LIMIT 5), {walk}, {mock_vectors(vector)},
+sim AS (SELECT a.id, sum(a.x::DOUBLE * q.x::DOUBLE) / (sqrt(sum(a.x::DOUBLE * a.x::DOUBLE)) * sqrt(sum(q.x::DOUBLE * q.x::DOUBLE))) AS s FROM mock a JOIN mock q ON q.id = 'q' AND q.i = a.i GROUP BY a.id),
+nhit AS (SELECT n.id, s FROM {p}nodes n JOIN sim ON sim.id = 'n:' || label ORDER BY round(s, 12) DESC, n.id LIMIT 30),
+ehit AS (SELECT o_orderkey, s FROM orders JOIN sim ON sim.id = 'e:' || o_orderpriority || ' ' || o_orderstatus ORDER BY round(s, 12) DESC, o_orderkey::VARCHAR LIMIT 10),
+semantic AS (SELECT id, greatest(0.0, max(s)) AS s FROM (SELECT id, s FROM nhit UNION ALL SELECT substr(sha256('part:' || part), 1, 16), 0.8 * s FROM ehit JOIN mentions ON section = o_orderkey) GROUP BY id),
+cand AS (SELECT n.*, coalesce(s, 0.0) AS semantic, coalesce(score, 0.0) AS graph, mention_count + n.reinforcement_count AS m FROM {p}nodes n LEFT JOIN semantic x ON x.id = n.id LEFT JOIN walked w ON w.id = n.id WHERE s IS NOT NULL OR score IS NOT NULL),
+ranked AS (SELECT *, greatest(0.0, 1 - {days('last_reinforced', AT)} / 365.0) AS recency, least(1.0, m / greatest(1, max(m) OVER ())::DOUBLE) AS importance FROM cand),
+best AS (SELECT * FROM (SELECT *, 0.4 * semantic + 0.3 * graph + 0.2 * recency + 0.1 * importance AS score FROM ranked) WHERE {where} ORDER BY round(score, 9) DESC, id LIMIT 10)"""
+
+
+def _embedded(spark, sf_dir, nodes):
+    """Vectors of nodes and episodes, each content embedded once."""
+    n = nodes.select("id", F.lit("node").alias("type"), F.col("label").alias("content"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("episode").alias("type"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("content"))
+    every = n.unionByName(o)
+    v = vectors.embed(every.groupBy("content").agg(F.min("id").alias("id"), F.min("type").alias("type"))).select("content", "vector")
+    return every.join(v, "content").select("id", "type", "vector")
 
-    few = g["nodes"].select("id").orderBy("id").limit(30)
-    return few.withColumn("semantic", 1 - (F.row_number().over(Window.orderBy("id")) - 1) / F.lit(30.0))
 
+def _recalled(spark, sf_dir, nodes, edges, **filters):
+    links = mentions(spark, sf_dir).select(F.col("section").cast("string").alias("episode_id"), part_id(F.col("l_partkey")).alias("node_id"))
+    vector = [float(x) for x in vectors.mock_vectors([RECALL_TEXT])[0]]
+    return recall.search_and_recall(nodes, edges, _embedded(spark, sf_dir, nodes), links, RECALL_TEXT, vector, now(), **filters)
 
-def _recalled(g):
-    return recall.rank(g["nodes"], _semantic(g), graph.walk(g["nodes"], g["edges"], top_seeds(g), now()), now())
 
+_RESULT = "SELECT id, label, round(score, 6) AS score, round(semantic, 6) AS semantic, round(graph, 6) AS graph, round(recency, 6) AS recency, round(importance, 6) AS importance FROM best"
 
-@query(W + f", {RECALL_SQL} SELECT id, label, round(score, 6) AS score, round(semantic, 6) AS semantic, round(graph, 6) AS graph, round(recency, 6) AS recency, round(importance, 6) AS importance FROM best")
+
+def _result(df):
+    return df.select("id", "label", *[r(c, c) for c in ("score", "semantic", "graph", "recency", "importance")])
+
+
+@query(W + f", {_recall_sql()} {_RESULT}")
 def hybrid_recall(spark, sf_dir):
-    return _recalled(trade(spark, sf_dir)).select("id", "label", *[r(c, c) for c in ("score", "semantic", "graph", "recency", "importance")])
+    g = trade(spark, sf_dir)
+    return _result(_recalled(spark, sf_dir, g["nodes"], g["edges"]))
+
+
+FILTERED = "type IN ('tool', 'concept') AND score >= 0.2 AND last_reinforced >= TIMESTAMP '2000-01-01'"
+
+
+@query(W + f", {_recall_sql(where=FILTERED)} {_RESULT}")
+def recall_filtered(spark, sf_dir):
+    g = trade(spark, sf_dir)
+    return _result(_recalled(spark, sf_dir, g["nodes"], g["edges"], types=["tool", "concept"], since="2000-01-01", least=0.2))
+
+
+@query(W + f", {ctes('b_', SNAP_B)}, {_recall_sql('b_')} {_RESULT}")
+def recall_as_of_ranked(spark, sf_dir):
+    snaps = spark.createDataFrame([(d, d) for d in (SNAP_A, SNAP_B, SNAP_C)], "id string, created_at string")
+    out = recall.recall_at(snaps, lambda d: snapshot(spark, sf_dir, d), trade(spark, sf_dir), "2001-03-15", lambda n, e: _recalled(spark, sf_dir, n, e))
+    return _result(out)
 
 
-@query(W + f""", {RECALL_SQL}, top AS (SELECT b.id, neighbor, edge_id, weight, row_number() OVER (PARTITION BY b.id ORDER BY weight DESC, edge_id) AS k FROM best b JOIN adj ON node = b.id)
+@query(W + f""", {_recall_sql()}, top AS (SELECT b.id, neighbor, edge_id, weight, row_number() OVER (PARTITION BY b.id ORDER BY weight DESC, edge_id) AS k FROM best b JOIN adj ON node = b.id)
 SELECT t.id, neighbor, n.label, round(weight, 6) AS weight FROM top t JOIN nodes n ON n.id = neighbor WHERE k <= 5""")
 def recall_connections(spark, sf_dir):
     g = trade(spark, sf_dir)
-    return recall.connections(_recalled(g), g["nodes"], g["edges"]).select("id", "neighbor", "label", r("weight", "weight"))
+    found = _recalled(spark, sf_dir, g["nodes"], g["edges"])
+    return recall.connections(found, g["nodes"], g["edges"]).select("id", "neighbor", "label", r("weight", "weight"))
+
+
+@query(W + f", {_recall_sql()} SELECT id, CASE WHEN mention_count % 2 = 0 THEN label || ' is a ' || type END AS claim, CASE WHEN mention_count % 2 = 0 THEN 'seen ' || mention_count END AS source FROM best")
+def recall_verbatim(spark, sf_dir):
+    g = trade(spark, sf_dir)
+    path = F.when(F.col("mention_count") % 2 == 0, F.concat(F.lit("parts/"), "id", F.lit(".md")))
+    nodes = g["nodes"].withColumn("canonical_path", path)
+    body = F.concat("label", F.lit(" is a "), "type", F.lit("\n\n## Source\nseen "), F.col("mention_count").cast("string"), F.lit("\n"))
+    files = memory_files.with_claims(nodes.filter("canonical_path is not null").select(F.col("canonical_path").alias("path"), body.alias("body")))
+    out = recall.with_verbatim(_recalled(spark, sf_dir, g["nodes"], g["edges"]), nodes, files)
+    return out.select("id", F.col("verbatim_claim").alias("claim"), F.col("verbatim_source").alias("source"))
+
+
+RECENT_TOOLS = f"type = 'tool' AND {days('last_reinforced', AT)} <= 200"
+
+
+@query(W + f", {_search_sql(['blue gear', 'anvl'], where=RECENT_TOOLS)} SELECT id, label, round(match_score, 6) AS match_score FROM found")
+def search_filtered(spark, sf_dir):
+    found = graph.search(trade(spark, sf_dir)["nodes"], ["blue gear", "anvl"], kind="tool", since_days=200, now=now())
+    return found.select("id", "label", r("match_score", "match_score"))
+
+
+@query(W + f", h AS (SELECT id FROM nodes ORDER BY mention_count DESC, id LIMIT 1) SELECT neighbor, label, type, round(weight, 6) AS weight FROM (SELECT a.*, n.label FROM adj a JOIN h ON a.node = h.id LEFT JOIN nodes n ON n.id = neighbor ORDER BY weight DESC, edge_id LIMIT 20)")
+def node_details(spark, sf_dir):
+    g = trade(spark, sf_dir)
+    top = g["nodes"].orderBy(F.desc("mention_count"), "id").first()["id"]
+    return graph.details(g["nodes"], g["edges"], top).select("neighbor", "label", "type", r("weight", "weight"))
+
+
+@query(W + f", s AS (SELECT id, label, 0.3 * mention_count + 0.3 * reinforcement_count + CASE WHEN {days('last_reinforced', AT)} <= 7 THEN 4 ELSE 0 END AS score FROM nodes) SELECT id, label, round(score, 6)::DOUBLE AS score FROM s")
+def insight_scores(spark, sf_dir):
+    return graph.insight_scores(trade(spark, sf_dir)["nodes"], now()).select("id", "label", r("score", "score"))
 
 
 SNAPS = "snaps AS (SELECT 's' || strftime(m, '%Y%m') AS id, strftime(m, '%Y-%m-%d') AS created_at FROM (SELECT DISTINCT date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS m FROM orders))"
@@ -345,6 +429,17 @@ def diff_stats(spark, sf_dir):
     return temporal.diff_stats(*_diffs(spark, sf_dir))
 
 
+@query(DIFF_SQL + " SELECT 'node' AS kind, id FROM dn WHERE change IS NOT NULL UNION ALL SELECT 'edge', id FROM de WHERE change IS NOT NULL")
+def pinned_ids(spark, sf_dir):
+    return temporal.pinned(*_diffs(spark, sf_dir))
+
+
+@query(DIFF_SQL + ", t AS (SELECT id FROM dn WHERE change = 'changed' AND id LIKE '0%') SELECT id FROM b_edges WHERE source IN (SELECT id FROM t) OR target IN (SELECT id FROM t)")
+def links_of_changed(spark, sf_dir):
+    n, _ = _diffs(spark, sf_dir)
+    return temporal.links_at(snapshot(spark, sf_dir, SNAP_B)["edges"], n.filter("change = 'changed' and id like '0%'"))
+
+
 HISTORY = "WITH " + ",".join(ctes(f"{p}_", d) for p, d in (("a", SNAP_A), ("b", SNAP_B), ("c", SNAP_C)))
 
 

@@ -9,105 +9,135 @@ from mnemora.operators import conversations, dynamics, extract, merge, resolve,
 from mnemora.plans.catalog import query, r
 from mnemora.plans.derive import table
 
-#: Literal notes: (file, section, heading, line, content, date).
-NOTES = [
-    ("2026-01-13.md", "## Search", "Search", 3, "We moved [[Search Index]] to SQLite because of slow scans. See `ripgrep` and **fast path**. #performance", "2026-01-13"),
-    ("2026-01-13.md", "## Deploy", "Deploy", 9, "Docker build for [[Search Index]] and [[Web Shell]] with `make -j` and `docker compose`; github.com/acme/shell", "2026-01-13"),
-    ("2026-01-14.md", "## Notes", "Notes", 1, "The [[Web Shell]] outage resulted in a new @acme/retry package. Git and git bisect helped. `/etc/hosts` `127.0.0.1`", "2026-01-14"),
-    ("2026-01-15.md", "## Review", "Review", 2, "[[Search Index]] again: TypeScript types, [[web shell]] and the [[Search Index]]. This meant less code. #review #performance", "2026-01-15"),
-    ("2026-01-15.md", "## Plan", "Plan", 8, "No causes here; [[Web Shell]] and [[Search Index]] by `tsup`, **ab** and **Bold Plan** only.", "2026-01-15"),
-]
-_VALUES = ", ".join("(" + ", ".join(repr(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in NOTES)
-NOTES_SQL = f"notes AS (SELECT * FROM (VALUES {_VALUES}) v(file, section, heading, line, content, date))"
+#: Notes over the tables: a file for each customer, a section for each order, its lines named in turn by link, bold and code.
+NOTES_SQL = """notes AS (SELECT 'customer-' || o_custkey || '.md' AS file, '## ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderkey AS section, 'Order ' || o_orderkey AS heading, o_orderkey AS line,
+  string_agg(CASE l_linenumber % 3 WHEN 1 THEN '[[' || p_name || ']]' WHEN 2 THEN '**' || p_type || '**' ELSE '`' || p_brand || '`' END, ', ' ORDER BY l_linenumber, l_partkey)
+    || CASE o_orderstatus WHEN 'F' THEN ' due to stock' ELSE '' END || ' #' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) || CASE WHEN o_orderkey % 5 = 0 THEN ' by Docker' ELSE '' END
+    || CASE WHEN o_orderkey % 7 = 0 THEN ' github.com/acme/shop' || o_custkey % 10 ELSE '' END AS content,
+  strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_orderpriority)"""
 NORM = "regexp_replace(regexp_replace(trim(lower({x})), '\\s+', ' ', 'g'), '[.,;:!?]+$', '')"
 
 
-def notes(spark):
-    return spark.createDataFrame(NOTES, "file string, section string, heading string, line long, content string, date string")
+def notes(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    k = F.col("l_linenumber") % 3
+    named = F.when(k == 1, F.concat(F.lit("[["), "p_name", F.lit("]]"))).when(k == 2, F.concat(F.lit("**"), "p_type", F.lit("**"))).otherwise(F.concat(F.lit("`"), "p_brand", F.lit("`")))
+    lines = l.join(p, l["l_partkey"] == p["p_partkey"]).groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", named.alias("t")))), lambda x: x["t"]), ", ").alias("t"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    day, key, cust = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey"), F.col("o_custkey")
+    ends = [F.when(F.col("o_orderstatus") == "F", " due to stock").otherwise(""), F.lit(" #"), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")), F.when(key % 5 == 0, " by Docker").otherwise(""), F.when(key % 7 == 0, F.concat(F.lit(" github.com/acme/shop"), (cust % 10).cast("string"))).otherwise("")]
+    return o.select(
+        F.concat(F.lit("customer-"), cust.cast("string"), F.lit(".md")).alias("file"), F.concat(F.lit("## "), day, F.lit(" "), key.cast("string")).alias("section"), F.concat(F.lit("Order "), key.cast("string")).alias("heading"),
+        key.alias("line"), F.concat("t", *ends).alias("content"), day.alias("date"),
+    )
 
 
-def _hits(pattern: str, kind: str, p: float, prefix: str = "", where: str = "true") -> str:
-    return f"SELECT file, section, '{prefix}' || trim(x) AS text, '{kind}' AS type, {p}::DOUBLE AS confidence FROM (SELECT file, section, unnest(regexp_extract_all(content, '{pattern}', 1)) AS x FROM notes) WHERE {where}"
+def _hits(pattern: str, kind: str, p: float, k: int, prefix: str = "", where: str = "true") -> str:
+    """Matches of a kind with their order: of extractors and kinds (k) first, then of places."""
+    return f"SELECT file, section, '{prefix}' || trim(x) AS text, '{kind}' AS type, {p}::DOUBLE AS confidence, {k} * 1000000 + i AS ord FROM (SELECT file, section, unnest(m) AS x, unnest(range(len(m))) AS i FROM (SELECT file, section, regexp_extract_all(content, '{pattern}', 1) AS m FROM notes)) WHERE {where}"
 
 
+_COLUMNS = "SELECT file, section, text, type, confidence FROM"
 STRUCTURAL = (
-    _hits(r"\[\[([^\]]+)\]\]", "concept", 0.9) + " UNION ALL " + _hits(r"\*\*([^*]+)\*\*", "concept", 0.7, where="length(trim(x)) > 2") + " UNION ALL "
-    + _hits("`([^`]+)`", "tool", 0.7, where=r"length(trim(x)) BETWEEN 2 AND 40 AND NOT contains(x, '/') AND NOT regexp_matches(x, '\s-[a-zA-Z]|\s--|^\d+\.\d+\.\d+\.\d+$|[{}()=<>&|$+^~]')")
-    + f" UNION ALL SELECT file, section, heading, 'concept', 0.6::DOUBLE FROM notes WHERE lower(heading) NOT IN ({', '.join(repr(h) for h in extract.GENERIC_HEADINGS)})"
+    _hits(r"\[\[([^\]]+)\]\]", "concept", 0.9, 0) + " UNION ALL " + _hits(r"\*\*([^*]+)\*\*", "concept", 0.7, 1, where="length(trim(x)) > 2") + " UNION ALL "
+    + _hits("`([^`]+)`", "tool", 0.7, 2, where=r"length(trim(x)) BETWEEN 2 AND 40 AND NOT contains(x, '/') AND NOT regexp_matches(x, '\s-[a-zA-Z]|\s--|^\d+\.\d+\.\d+\.\d+$|172\.17\.|[{}()=<>&|$+^~]')")
+    + f" UNION ALL SELECT file, section, heading, 'concept', 0.6::DOUBLE, 3000000 FROM notes WHERE lower(heading) NOT IN ({', '.join(repr(h) for h in extract.GENERIC_HEADINGS)})"
 )
 
 
-@query(f"WITH {NOTES_SQL} {STRUCTURAL}")
-def extract_structural(spark, sf_dir):
-    return extract.structural(notes(spark)).select("file", "section", "text", "type", "confidence")
+@query(f"WITH {NOTES_SQL} {_COLUMNS} ({STRUCTURAL})")
+def extract_structural(spark, sf_dir, own=None):
+    return extract.structural(notes(spark, sf_dir) if own is None else own).select("file", "section", "text", "type", "confidence")
 
 
 _TOOLS = " UNION ALL ".join(
-    f"SELECT file, section, '{t}' AS text, 'tool' AS type, 0.9::DOUBLE AS confidence FROM notes WHERE regexp_matches(content, '(?i)(^|[^A-Za-z0-9_]){t.replace('.', chr(92) + '.')}([^A-Za-z0-9_]|$)')" for t in extract.KNOWN_TOOLS
+    f"SELECT file, section, '{t}' AS text, 'tool' AS type, 0.9::DOUBLE AS confidence, {4_000_000 + i} AS ord FROM notes WHERE regexp_matches(content, '(?i)(^|[^A-Za-z0-9_]){t.replace('.', chr(92) + '.')}([^A-Za-z0-9_]|$)')" for i, t in enumerate(extract.KNOWN_TOOLS)
 )
-CUSTOM = _TOOLS + " UNION ALL " + _hits(r"github\.com/([a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+)", "project", 0.9) + " UNION ALL " + _hits("#([a-zA-Z][A-Za-z0-9_]+)", "tag", 0.8) + " UNION ALL " + _hits("@([a-z0-9_-]+/[a-z0-9_-]+)", "tool", 0.8, "@")
+CUSTOM = _TOOLS + " UNION ALL " + _hits(r"github\.com/([a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+)", "project", 0.9, 5) + " UNION ALL " + _hits("#([a-zA-Z][A-Za-z0-9_]+)", "tag", 0.8, 6) + " UNION ALL " + _hits("@([a-z0-9_-]+/[a-z0-9_-]+)", "tool", 0.8, 7, "@")
 
 
-@query(f"WITH {NOTES_SQL} {CUSTOM}")
-def extract_custom(spark, sf_dir):
-    return extract.custom(notes(spark)).select("file", "section", "text", "type", "confidence")
+@query(f"WITH {NOTES_SQL} {_COLUMNS} ({CUSTOM})")
+def extract_custom(spark, sf_dir, own=None):
+    return extract.custom(notes(spark, sf_dir) if own is None else own).select("file", "section", "text", "type", "confidence")
 
 
 @query(f"WITH {NOTES_SQL} SELECT file, section FROM notes WHERE regexp_matches(content, '(?i)(led to|because of|resulted in|caused by|due to|which meant|this meant)\\s')")
-def causal_sections(spark, sf_dir):
-    return extract.causal(notes(spark)).select("file", "section")
+def causal_sections(spark, sf_dir, own=None):
+    return extract.causal(notes(spark, sf_dir) if own is None else own).select("file", "section")
 
 
-def mentions_of(spark):
-    return extract.structural(notes(spark)).unionByName(extract.custom(notes(spark)))
+def mentions_of(own):
+    return extract.structural(own).unionByName(extract.custom(own))
 
 
-MENTIONS = f"WITH {NOTES_SQL}, s AS ({STRUCTURAL}), c AS ({CUSTOM}), every AS (SELECT * FROM s UNION ALL SELECT * FROM c), named AS (SELECT *, {NORM.format(x='text')} AS name FROM every), best AS (SELECT file, section, name, max(confidence) AS confidence FROM named GROUP BY ALL)"
+MENTIONS = f"""WITH {NOTES_SQL}, s AS ({STRUCTURAL}), c AS ({CUSTOM}), every AS (SELECT * FROM s UNION ALL SELECT * FROM c), named AS (SELECT *, {NORM.format(x='text')} AS name FROM every),
+best AS (SELECT file, section, name, max(confidence) AS confidence, arg_min(text, (-confidence, ord)) AS text, arg_min(ord, (-confidence, ord)) AS ord FROM named GROUP BY file, section, name)"""
 
 
-@query(MENTIONS + " SELECT * FROM best")
-def mention_dedup(spark, sf_dir):
-    return extract.strongest(mentions_of(spark)).select("file", "section", "name", "confidence")
+@query(MENTIONS + " SELECT file, section, name, confidence FROM best")
+def mention_dedup(spark, sf_dir, own=None):
+    return extract.strongest(mentions_of(notes(spark, sf_dir) if own is None else own)).select("file", "section", "name", "confidence")
 
 
-def sightings(spark):
+def sightings(own):
     """Resolved notes: every name its own node."""
+    from pyspark.sql import Window
+
     from mnemora.functions.text import node_id
 
-    m = extract.strongest(mentions_of(spark)).join(notes(spark).select("file", "section", "date", "content"), ["file", "section"])
-    return m.select("file", "section", "ord", "date", F.col("name"), node_id(F.col("name")).alias("node_id"), F.col("text").alias("label"), "type", F.substring("content", 1, 80).alias("excerpt"), (F.col("confidence") == 0.9).alias("is_link"), F.dense_rank().over(_order()).alias("section_ord"))
+    about = own.select("file", "section", "date", "content", F.dense_rank().over(Window.partitionBy("file").orderBy("section")).alias("section_ord"))
+    m = extract.strongest(mentions_of(own)).join(about, ["file", "section"])
+    return m.select("file", "section", "ord", "date", F.col("name"), node_id(F.col("name")).alias("node_id"), F.col("text").alias("label"), "type", F.substring("content", 1, 80).alias("excerpt"), (F.col("confidence") == 0.9).alias("is_link"), "section_ord")
 
 
-def _order():
-    from pyspark.sql import Window
+def _seen(spark, sf_dir, own):
+    from mnemora.shared import written
 
-    return Window.partitionBy("file").orderBy("section")
+    return sightings(written(notes(spark, sf_dir), "notes") if own is None else own)
 
 
 NOTE_NODES = MENTIONS + ", m AS (SELECT b.*, date, substr(sha256(name), 1, 16) AS node_id FROM best b JOIN notes USING (file, section))"
 
 
+@query(NOTE_NODES + """ SELECT node_id AS id, arg_min(text, (file, section, ord)) AS label, count(*) AS mention_count, count(*) - 1 AS reinforcement_count, arg_min(date, (file, section, ord)) AS first_seen,
+  arg_max(date, (file, section, ord)) AS last_reinforced, count(DISTINCT file) AS files, least(10, count(*)) AS excerpts FROM m GROUP BY node_id""")
+def note_nodes(spark, sf_dir, own=None):
+    n = merge.roll_up(_seen(spark, sf_dir, own))
+    return n.select("id", "label", "mention_count", "reinforcement_count", "first_seen", "last_reinforced", F.size("source_files").cast("long").alias("files"), F.size("excerpts").cast("long").alias("excerpts"))
+
+
 @query(NOTE_NODES + """, p AS (SELECT a.file, a.section, a.date, a.node_id AS source, b.node_id AS target FROM m a JOIN m b ON a.file = b.file AND a.section = b.section AND a.node_id < b.node_id),
-g AS (SELECT source, target, count(*) AS n, min(date) AS first, max(date) AS last FROM p GROUP BY ALL)
+g AS (SELECT source, target, count(*) AS n, arg_min(date, (file, section)) AS first, arg_max(date, (file, section)) AS last FROM p GROUP BY source, target)
 SELECT source || '--' || target || '--co-occurrence' AS id, n - 2 AS reinforcement_count, first AS first_formed, last AS last_reinforced, least(n, 20) AS evidence FROM g WHERE n >= 2""")
-def note_cooccurrence(spark, sf_dir):
-    e, _ = dynamics.graduate(merge.section_pairs(sightings(spark)))
+def note_cooccurrence(spark, sf_dir, own=None):
+    e, _ = dynamics.graduate(merge.section_pairs(_seen(spark, sf_dir, own)))
     return e.select("id", "reinforcement_count", "first_formed", "last_reinforced", F.size("evidence").cast("long").alias("evidence"))
 
 
 @query(NOTE_NODES + """, l AS (SELECT file, section, node_id FROM m WHERE confidence = 0.9),
 p AS (SELECT least(a.node_id, b.node_id) AS source, greatest(a.node_id, b.node_id) AS target FROM l a JOIN m b ON a.file = b.file AND a.section = b.section AND a.node_id <> b.node_id)
 SELECT source || '--' || target || '--explicit' AS id, count(*) - 1 AS reinforcement_count FROM p GROUP BY source, target""")
-def explicit_edges(spark, sf_dir):
-    return merge.explicit(sightings(spark)).select("id", "reinforcement_count")
+def explicit_edges(spark, sf_dir, own=None):
+    return merge.explicit(_seen(spark, sf_dir, own)).select("id", "reinforcement_count")
+
+
+@query(NOTE_NODES + """, q AS (SELECT file, section, date FROM notes WHERE regexp_matches(content, '(?i)(led to|because of|resulted in|caused by|due to|which meant|this meant)\\s')),
+k AS (SELECT m.*, row_number() OVER (PARTITION BY file, section ORDER BY ord, node_id) AS k FROM m SEMI JOIN q ON q.file = m.file AND q.section = m.section),
+p AS (SELECT a.node_id AS source, b.node_id AS target FROM k a JOIN k b ON a.file = b.file AND a.section = b.section AND a.k = 1 AND b.k = 2)
+SELECT source || '--' || target || '--causal' AS id, count(*) - 1 AS reinforcement_count FROM p GROUP BY source, target""")
+def causal_edges(spark, sf_dir, own=None):
+    own = notes(spark, sf_dir) if own is None else own
+    return merge.causal(sightings(own), extract.causal(own)).select("id", "reinforcement_count")
 
 
 @query(NOTE_NODES + """, o AS (SELECT *, dense_rank() OVER (PARTITION BY file ORDER BY section) AS si FROM m),
 r AS (SELECT *, count(*) OVER (PARTITION BY node_id ORDER BY file, si) AS so_far FROM o),
-p AS (SELECT DISTINCT a.file, least(a.node_id, b.node_id) AS source, greatest(a.node_id, b.node_id) AS target FROM r a JOIN r b ON a.file = b.file AND a.si < b.si AND a.node_id <> b.node_id AND a.so_far >= 2 AND b.so_far >= 2)
-SELECT source || '--' || target || '--temporal' AS id, count(*) - 1 AS reinforcement_count FROM p GROUP BY source, target""")
-def temporal_edges_capped(spark, sf_dir):
-    return merge.temporal(sightings(spark)).select("id", "reinforcement_count")
+p AS (SELECT a.file, least(a.node_id, b.node_id) AS source, greatest(a.node_id, b.node_id) AS target, min((a.si, b.si, a.ord, b.ord)) AS at FROM r a JOIN r b ON a.file = b.file AND a.si < b.si AND a.node_id <> b.node_id AND a.so_far >= 2 AND b.so_far >= 2 GROUP BY 1, 2, 3),
+cap AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY p."at") AS k FROM p)
+SELECT source || '--' || target || '--temporal' AS id, count(*) - 1 AS reinforcement_count FROM cap WHERE k <= 50 GROUP BY source, target""".replace("AS at FROM", 'AS "at" FROM'))
+def temporal_edges_capped(spark, sf_dir, own=None):
+    return merge.temporal(_seen(spark, sf_dir, own)).select("id", "reinforcement_count")
 
 
 # resolution over part names

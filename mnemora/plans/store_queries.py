@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemora.operators import dynamics, procedures, store_ops, truth, vectors, views
+from mnemora.functions import dates, weights
+from mnemora.operators import dynamics, graph, procedures, store_ops, truth, vectors, views
 from mnemora.plans.catalog import day, query, r
-from mnemora.plans.derive import ctes, graph as trade, mentions, now, part_id, table
+from mnemora.plans.derive import ctes, graph as trade, mentions, mock_vectors, now, part_id, table
 
 W = "WITH " + ctes()
 EP = "ep AS (SELECT o_orderkey AS id, o_orderdate AS timestamp, CASE o_orderstatus WHEN 'F' THEN 'decision' WHEN 'O' THEN 'event' ELSE 'observation' END AS type FROM orders)"
@@ -127,17 +128,8 @@ def rename_nodes(spark, sf_dir):
     return truth.renamed_edges(g["edges"], names).select("id", "source", "target")
 
 
-_I32 = "(((({x}) + 2147483648) & 4294967295) - 2147483648)"
-#: The hash of the UTF-16 units, 64 steps of mixing (a product is rounded to a double first), and the norm of the scaled vector in single precision.
-MOCK = f"""WITH RECURSIVE t AS (SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS text FROM conversations),
-u AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END)), lambda x: x::BIGINT)),
-  lambda h, x: {_I32.format(x='h * 31 + x')}) AS h FROM t WHERE text <> '' UNION ALL SELECT id, 0::BIGINT FROM t WHERE text = ''),
-s AS (SELECT id, 0 AS i, h::BIGINT AS h, 0.0::FLOAT AS x FROM u UNION ALL SELECT id, i + 1, h, ((h & 65535) / 65536.0::DOUBLE - 0.5)::FLOAT FROM (
-  SELECT id, i, xor(b, floor(b / 32768.0)::BIGINT) AS h FROM (SELECT id, i, (((a::DOUBLE * 1540483477.0::DOUBLE)::HUGEINT + 170141183460469231722463931679029329920) % 4294967296)::BIGINT AS c,
-    {_I32.format(x='c')} AS b FROM (SELECT id, i, xor({_I32.format(x='h * 8192')}, h) AS a FROM s WHERE i < 64)))),
-n AS (SELECT id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM s WHERE i > 0 GROUP BY id)
-SELECT id, 'episode' AS type, count(*)::INTEGER AS dimensions, round(sqrt(sum((x::DOUBLE / norm)::FLOAT::DOUBLE * (x::DOUBLE / norm)::FLOAT::DOUBLE)), 6) AS vector_norm,
-  round(max(CASE WHEN i = 1 THEN (x::DOUBLE / norm)::FLOAT END)::DOUBLE, 6) AS first_value, round(max(CASE WHEN i = 64 THEN (x::DOUBLE / norm)::FLOAT END)::DOUBLE, 6) AS last_value FROM s JOIN n USING (id) WHERE i > 0 GROUP BY id"""
+MOCK = f"""WITH RECURSIVE {mock_vectors("SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS text FROM conversations")}
+SELECT id, 'episode' AS type, count(*)::INTEGER AS dimensions, round(sqrt(sum(x::DOUBLE * x::DOUBLE)), 6) AS vector_norm, round(max(x) FILTER (i = 1)::DOUBLE, 6) AS first_value, round(max(x) FILTER (i = 64)::DOUBLE, 6) AS last_value FROM mock GROUP BY id"""
 
 
 @query(MOCK)
@@ -188,3 +180,61 @@ SELECT count(*) AS total, count(*) FILTER (vec_id % 3 <> 0) AS embedded, round(1
 def embedding_coverage(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"))
     return vectors.coverage(e, e.filter(F.col("id").cast("long") % 3 != 0)).select("total", "embedded", r("percent", "percent"))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES ('p1', 0.8, false, 0), ('p2', 0.6, false, 0), ('p3', 0.4, false, 0), ('p4', 0.9, true, 0), ('p4', 0.1, false, 1), ('p5', 0.2, true, 1)) v(id, confidence, flagged, k)),
+m AS (SELECT id, arg_min(confidence, k) AS confidence, arg_min(flagged, k) AS flagged FROM p GROUP BY id)
+SELECT count(*) AS procedures, count(*) FILTER (flagged) AS flagged, round(avg(confidence), 6)::DOUBLE AS average_confidence, count(*) FILTER (confidence < 0.3) AS weak FROM m""")
+def procedures_merged(spark, sf_dir):
+    own = procs(spark).select("id", "confidence", "flagged_for_review")
+    hive = spark.createDataFrame([("p4", 0.1, False), ("p5", 0.2, True)], "id string, confidence double, flagged_for_review boolean")
+    return procedures.health(procedures.merged(own, hive)).withColumn("average_confidence", F.round("average_confidence", 6))
+
+
+@query(W + ", d AS (SELECT n.id, mention_count, degree, coalesce(max(weight), 0) AS w FROM nodes n JOIN degree USING (id) LEFT JOIN adj ON node = n.id GROUP BY ALL) SELECT id, round(least(18, 3 + 1.5 * log2(degree + 1) + 0.8 * log2(mention_count + 1)), 6)::DOUBLE AS size, round(0.3 + 0.7 * least(w, 1), 6)::DOUBLE AS opacity FROM d")
+def node_look(spark, sf_dir):
+    g = trade(spark, sf_dir)
+    n = graph.viz_projection(g["nodes"], g["edges"])["nodes"]
+    return n.select("id", r(weights.node_size(F.col("degree"), F.col("mention_count")), "size"), r(weights.node_opacity(F.col("max_weight")), "opacity"))
+
+
+@query(W + "SELECT id, round(0.3 + 2.2 * least(1, weight / base_weight), 6)::DOUBLE AS width FROM edges")
+def edge_look(spark, sf_dir):
+    return trade(spark, sf_dir)["edges"].select("id", r(weights.edge_width(F.col("weight"), F.col("base_weight")), "width"))
+
+
+@query(W + """, s AS (SELECT min(first_seen) AS a, max(first_seen) AS b FROM nodes), v AS (SELECT id, a, b, floor((epoch_us(first_seen) - epoch_us(a))::DOUBLE / (epoch_us(b) - epoch_us(a)) * 100 + 0.5)::BIGINT AS value,
+  -2.0 * abs(floor((epoch_us(TIMESTAMP '2001-09-01') - epoch_us(first_seen)) / 86400000000.0)) AS depth FROM nodes, s)
+SELECT id, value, strftime(make_timestamp(epoch_us(a) + floor(value / 100.0::DOUBLE * (epoch_us(b) - epoch_us(a)) / 1000)::BIGINT * 1000), '%Y-%m-%d %H:%M') AS back, depth::DOUBLE AS depth FROM v""")
+def time_axis(spark, sf_dir):
+    n = trade(spark, sf_dir)["nodes"]
+    span = n.agg(F.min("first_seen").alias("a"), F.max("first_seen").alias("b"))  # one row
+    n = n.join(F.broadcast(span), how="cross").withColumn("value", dates.slider_value(F.col("first_seen"), F.col("a"), F.col("b")))
+    back = F.date_format(dates.slider_date(F.col("value"), F.col("a"), F.col("b")), "yyyy-MM-dd HH:mm")
+    return n.select("id", "value", back.alias("back"), weights.depth(dates.days_floored(now(), F.col("first_seen"))).cast("double").alias("depth"))
+
+
+@query("""WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE vec_id % 7 <> 0), c AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, count(*) AS n FROM p)
+SELECT round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, n, (SELECT round(max(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)), 6) FROM p, c) AS spread FROM c""")
+def layout_centroid(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    at = [F.when(F.col("vec_id") % 7 != 0, F.get("embedding", F.lit(k)).cast("double")).alias(c) for k, c in enumerate("xyz")]
+    return views.centroid(e.select(*at)).select(*[r(c, c) for c in ("cx", "cy", "cz")], "n", r("spread", "spread"))
+
+
+@query("SELECT 'l' || label AS type, count(*) AS n FROM embeddings GROUP BY label")
+def embedding_types(spark, sf_dir):
+    return vectors.counts_by_type(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("type")))
+
+
+@query(W + ", e AS (SELECT id FROM nodes WHERE mention_count % 3 <> 0) SELECT id, label FROM nodes WHERE id NOT IN (SELECT id FROM e)")
+def embedding_missing(spark, sf_dir):
+    n = trade(spark, sf_dir)["nodes"]
+    return vectors.missing(n, n.filter(F.col("mention_count") % 3 != 0))
+
+
+@query(W + "SELECT id, sha256(label || ' — ' || concat_ws('. ', alias, type)) AS text_sha256 FROM nodes")
+def node_texts(spark, sf_dir):
+    n = trade(spark, sf_dir)["nodes"]
+    e = lambda c: F.struct(F.lit("f").alias("file"), c.alias("text"), F.lit("d").alias("date"))
+    return n.select("id", F.sha2(vectors.node_text(F.col("label"), F.array(e(F.get("aliases", F.lit(0))), e(F.col("type")))), 256).alias("text_sha256"))

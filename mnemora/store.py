@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mnemora.operators import store_ops, truth
+from mnemora.operators import store_ops, truth, vectors
 from mnemora.schemas import EDGES, NODES, SNAPSHOTS, TABLES
 from mnemora.shared import hadoop
 
@@ -82,6 +82,39 @@ class GraphStore:
         }
         return self.commit({t: _full(d, t) for t, d in out.items()})
 
+    # embeddings
+
+    def clear_embeddings(self) -> int:
+        """Drops all vectors and the stamp of their encoder; how many there were."""
+        n = self.table("embeddings").count()
+        self.commit({"embeddings": self.table("embeddings").filter("false"), "meta": self.table("meta").filter(~F.col("key").startswith("embedding_"))})
+        return n
+
+    def set_provider(self, provider: str, dimensions: int) -> int:
+        """Stamps the encoder that the index is for; another one than before clears the index. The number of vectors cleared."""
+        stamp = {r["key"]: r["value"] for r in self.table("meta").filter(F.col("key").startswith("embedding_")).collect()}  # two rows at most
+        new = {"embedding_provider": provider, "embedding_dimensions": str(dimensions)}
+        cleared = self.clear_embeddings() if stamp and stamp != new else 0
+        self.upsert(meta=self.spark.createDataFrame(list(new.items()), "key string, value string"))
+        return cleared
+
+    def put_embeddings(self, rows: DataFrame) -> int:
+        """Adds vectors; raises where they are of another encoder than the index."""
+        have, new = vectors.fingerprint(self.table("embeddings")), vectors.fingerprint(rows)
+        if have and new and have != new:
+            raise vectors.EncoderMismatch(f"the index holds {have}, not {new}")
+        return self.upsert(embeddings=rows)
+
+    def unlink(self, links: DataFrame) -> int:
+        """Removes links (episode_id, node_id) in all roles."""
+        return self.commit({"episode_entities": self.table("episode_entities").join(links.select("episode_id", "node_id"), ["episode_id", "node_id"], "left_anti").select(self.table("episode_entities").columns)})
+
+    def list_snapshots(self, since: str | None = None, until: str | None = None, limit: int | None = None) -> DataFrame:
+        s = self.table("snapshots")
+        s = s if since is None else s.filter(F.col("created_at") >= since)
+        s = (s if until is None else s.filter(F.col("created_at") <= until)).orderBy(F.desc("created_at"), "id")
+        return s if limit is None else s.limit(limit)
+
     # snapshots: full copies, by partition
 
     def create_snapshot(self, snapshot_id: str, at: str, trigger: str = "manual") -> int:
