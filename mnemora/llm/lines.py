@@ -107,6 +107,15 @@ def _long_runs(w: Column) -> Column:
     return F.when(F.size(w) == 0, w).otherwise(let(starts, runs))
 
 
+def _n_lines(trimmed: Column) -> Column:
+    """How many lines have a word. Where no line is blank, and none begins with white space, line feeds are counted by what is left without them."""
+    blank = trimmed.contains("\n\n")
+    for c in " \t\x0b\x0c\r":
+        blank = blank | trimmed.contains("\n" + c)
+    feeds = F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit("\n"), F.lit("")))
+    return F.when(trimmed == "", F.lit(0)).when(blank, F.size(F.split(trimmed, r"\n[\x20\x09-\x0D]*"))).otherwise(feeds + 1)
+
+
 def _units(windows: Column) -> Column:
     """The merged places of windows' units."""
     return F.array_distinct(F.flatten(F.transform(windows, lambda k: F.sequence(k, k + SIZE - 1))))
@@ -138,7 +147,7 @@ def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     d = F.struct(
         F.when(F.col("_drop").isNull(), text).otherwise(let(lines, cleaned)).alias("text"),
-        let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\n[\x20\x09-\x0D]*")))).cast("long").alias("n_lines"),
+        let(F.btrim(text, F.lit(WHITE)), _n_lines).cast("long").alias("n_lines"),
         F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.l")).alias("n_removed"),
         F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.c")).alias("n_cut"),
     )
