@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.config import DEFAULT, GraphConfig
+from mnemora.config import DEFAULT, EVIDENCE, EXCERPTS, GraphConfig
 from mnemora.functions.text import node_id
-from mnemora.operators import conversations, dynamics, extract, merge, resolve, vectors
+from mnemora.functions.weights import stability
+from mnemora.operators import conversations, dynamics, extract, merge, resolve, store_ops, vectors
 from mnemora.shared import written
 from mnemora.sources import notes as notes_source
-from mnemora.store import GraphStore
+from mnemora.store import GraphStore, full
 
 
 def mentions_of(sections: DataFrame) -> DataFrame:
@@ -29,25 +30,80 @@ def sightings_of(sections: DataFrame, nodes: DataFrame, aliases: dict[str, str]
     )
 
 
-def consolidate(store: GraphStore, files: DataFrame, now: Column, config: GraphConfig = DEFAULT, aliases: dict[str, str] | None = None, ignore: list[str] | None = None) -> int:
-    """Brings the graph up to date with notes (path, text, hash, modified): the graph of all current notes is built anew, decayed and committed.
+def consolidate(store: GraphStore, files: DataFrame, now: Column, config: GraphConfig = DEFAULT, aliases: dict[str, str] | None = None, ignore: list[str] | None = None, embedder: vectors.Embedder | None = None, provider: str = "mock") -> int:
+    """Brings the graph up to date with notes (path, text, hash, modified) and commits it, decayed; where no note is new, changed or gone, nothing is done.
 
-    Notes whose hashes the ledger has, all of them, change nothing.
+    Only new and changed notes are read: the store keeps every note's resolved sightings, and the graph is summed up from those. What other
+    sources added to a node or edge stays: counts move by the difference of the sums before and after. New contents of nodes and
+    episodes are embedded where an embedder is given.
     """
-    status = notes_source.changes(files, store.table("file_ledger"))
-    if not status.filter("status <> 'unchanged'").limit(1).count():
+    ledger = store.table("file_ledger")
+    status = written(notes_source.changes(files, ledger), "status")
+    gone = ledger.join(files.select("path"), "path", "left_anti")
+    if not status.filter("status <> 'unchanged'").limit(1).count() and not gone.limit(1).count():
         return store.version()["n"]
-    dated = files.withColumn("date", notes_source.document_date(F.col("path"), F.col("text"), F.col("modified")))
-    sections = written(notes_source.sections(files).join(dated.select(F.col("path").alias("file"), "date"), "file"), "sections")
-    known = store.table("nodes").filter("false")
-    seen = written(sightings_of(sections, known, aliases, ignore), "sightings")
-    built = merge.build(seen, extract.causal(sections), config)
+    todo = files.join(status.filter("status <> 'unchanged'").select("path"), "path", "left_semi")
+    dated = todo.withColumn("date", notes_source.document_date(F.col("path"), F.col("text"), F.col("modified")))
+    sections = written(notes_source.sections(todo).join(dated.select(F.col("path").alias("file"), "date"), "file"), "sections")
+    replaced = todo.select(F.col("path").alias("file")).unionByName(gone.select(F.col("path").alias("file")))
+    rest = lambda t, key="file": store.table(t).join(replaced.withColumnRenamed("file", key), key, "left_anti").select(store.table(t).columns)
+
+    before = store.table("sightings")
+    fresh = sightings_of(sections, store.table("nodes"), aliases, ignore)
+    columns = before.columns
+    seen = written(rest("sightings").unionByName(fresh.select(*[F.col(c).cast(before.schema[c].dataType) for c in columns])), "sightings")
+    causes = written(rest("causes").unionByName(extract.causal(sections).select("file", "section").distinct()), "causes")
+    built, was = merge.build(seen, causes, config), merge.build(before, store.table("causes"), config)
+    nodes = _moved(store.table("nodes"), was["nodes"].select("id", F.col("mention_count").alias("_n")), built["nodes"], F.col("mention_count"), ("mention_count", "reinforcement_count"), "first_seen", "excerpts", EXCERPTS)
+    ends = F.col("reinforcement_count") + 1
+    edges = _moved(store.table("edges"), was["edges"].select("id", ends.alias("_n")), built["edges"], ends, ("reinforcement_count",), "first_formed", "evidence", EVIDENCE)
+    edges = edges.withColumn("stability", F.when(F.col("reinforcement_count") <= 0, F.lit(1.0)).otherwise(stability(F.col("reinforcement_count"), config)))
+
     episodes = extract.episodes(sections)
-    links = seen.join(episodes.select(F.col("id").alias("episode_id"), F.col("source").alias("file"), "section"), ["file", "section"])
-    return store.replace(
-        nodes=built["nodes"], edges=dynamics.decayed(built["edges"], now, config), pending=built["pending"], episodes=episodes,
-        episode_entities=links.select("episode_id", "node_id", extract.role(F.col("type")).alias("role")).distinct(), file_ledger=files.select("path", "hash"),
-    )
+    links = fresh.join(episodes.select(F.col("id").alias("episode_id"), F.col("source").alias("file"), "section"), ["file", "section"])
+    links = links.select("episode_id", "node_id", extract.role(F.col("type")).alias("role")).distinct()
+    dropped = store.table("episodes").join(replaced.withColumnRenamed("file", "source"), "source", "left_semi").select(F.col("id").alias("episode_id"))
+    kept_links = store.table("episode_entities").join(dropped, "episode_id", "left_anti").select("episode_id", "node_id", "role")
+    every = rest("episodes", "source").unionByName(full(episodes, "episodes"))
+    tables = {
+        "nodes": nodes, "edges": dynamics.decayed(edges, now, config), "pending": built["pending"], "episodes": every, "episode_entities": kept_links.unionByName(links),
+        "file_ledger": files.select("path", "hash"), "sightings": seen, "causes": causes,
+    }
+    if embedder:
+        n = written(nodes.select("id", F.lit("node").alias("type"), vectors.node_text(F.col("label"), F.col("excerpts")).alias("content")).unionByName(every.select("id", F.lit("episode").alias("type"), "content")), "contents")
+        have = store.table("embeddings")
+        new = vectors.embed(vectors.stale(n, have), embedder, provider)
+        tables["embeddings"] = store_ops.upsert(have, full(new, "embeddings"), ["id"])
+    return store.replace(**tables)
+
+
+def _moved(stored: DataFrame, was: DataFrame, built: DataFrame, total: Column, counts: tuple[str, ...], first: str, proofs: str, most: int) -> DataFrame:
+    """Stored rows with what notes say of them now in place of what they said before (was: id, _n), rows that only notes held gone with them, and new rows."""
+    s = stored.select("id", F.struct(*[F.col(c) for c in stored.columns]).alias("_s"))
+    b = built.select("id", F.struct(*[F.col(c) for c in built.columns], total.alias("_t")).alias("_b"))
+    j = s.join(b, "id", "full_outer").join(was, "id", "left")
+    old, new = F.coalesce("_n", F.lit(0)), F.coalesce("_b._t", F.lit(0))
+    lead = counts[0]
+    # what others added: the stored total less the notes' share of it
+    base = F.coalesce(F.col(f"_s.{lead}"), F.lit(0)) + (1 if lead == "reinforcement_count" else 0) - old
+    others = F.when(F.col("_s").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), base))
+    out = []
+    for f in stored.schema:
+        c = f.name
+        have, said = F.col(f"_s.{c}"), (F.col(f"_b.{c}") if c in built.columns else F.lit(None).cast(f.dataType))
+        if c == "id":
+            v = F.col("id")
+        elif c in counts:
+            v = F.when(others > 0, have + new - old).otherwise(said)
+        elif c == first:
+            v = F.when(others > 0, F.least(have, said.cast(f.dataType))).otherwise(said)
+        elif c == proofs:
+            none = F.array().cast(f.dataType)
+            v = F.slice(F.array_distinct(F.concat(F.coalesce(said.cast(f.dataType), none), F.when(others > 0, F.coalesce(have, none)).otherwise(none))), 1, most)
+        else:
+            v = F.coalesce(said, have)
+        out.append(v.cast(f.dataType).alias(c))
+    return j.filter((new > 0) | (others > 0)).select(*out)
 
 
 def ingest(store: GraphStore, messages: DataFrame, at: str, aliases: dict[str, str] | None = None, ignore: list[str] | None = None, embedder: vectors.Embedder | None = None, provider: str = "mock", extractor=conversations.chat_entities) -> int:

@@ -243,7 +243,7 @@ _TALK_TOOLS = " UNION ALL ".join(
     f"SELECT conv_id, turn, 0 AS k, {i} AS ord, 'tool' AS type, 0.9::DOUBLE AS confidence, '{t.lower()}' AS name FROM said WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){t.replace('.', chr(92) + '.')}([^A-Za-z0-9_]|$)')" for i, t in enumerate(extract.CHAT_TOOLS)
 )
 INGEST_SQL = f"""WITH {TALK_SQL}, said AS (SELECT * FROM talk WHERE role <> 'system'),
-hit AS ({_TALK_TOOLS} UNION ALL SELECT conv_id, turn, 1, 0, 'concept', 0.9, unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) FROM said
+hit AS ({_TALK_TOOLS} UNION ALL SELECT conv_id, turn, 1, 0, 'concept', 0.9, unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1)) FROM said
   UNION ALL SELECT conv_id, turn, 1, 1, 'tool', 0.7, x FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '`([^`]+)`', 1)) AS x FROM said) WHERE length(x) BETWEEN 2 AND 40),
 best AS (SELECT conv_id, name, arg_min(type, (-confidence, turn, k, ord)) AS type FROM hit WHERE name NOT IN ({', '.join(repr(x) for x in extract.CHAT_STOPWORDS)}) GROUP BY ALL),
 near AS (SELECT b.conv_id, name, least(3, count(*)) AS n FROM best b JOIN talk t ON t.conv_id = b.conv_id AND contains(lower(t.text), name) GROUP BY ALL),
@@ -262,13 +262,13 @@ def ingested_twice(spark, sf_dir):
     """Nodes and edges after the even conversations, then the odd ones."""
     from mnemora.schemas import EDGES, NODES
     from mnemora.shared import written
-    from mnemora.store import _full
+    from mnemora.store import full
 
     e = written(talk(spark, sf_dir), "entities")
     now = {"nodes": spark.createDataFrame([], NODES), "edges": spark.createDataFrame([], EDGES)}
     for odd, at in ((0, "2026-01-01"), (1, "2026-02-01")):
         new = merge.ingested(e.filter(F.col("conv_id") % 2 == odd), now["nodes"], now["edges"], at)
-        now = {t: written(store_ops.upsert(now[t], _full(new[t], t), ["id"]), t) for t in now}
+        now = {t: written(store_ops.upsert(now[t], full(new[t], t), ["id"]), t) for t in now}
     return now
 
 

@@ -58,10 +58,10 @@ class GraphStore:
 
     def upsert(self, **deltas: DataFrame) -> int:
         """Rows by key; the last row of a key that comes in is not defined, so give each once."""
-        return self.commit({t: store_ops.upsert(self.table(t), _full(d, t), TABLES[t][1]) for t, d in deltas.items()})
+        return self.commit({t: store_ops.upsert(self.table(t), full(d, t), TABLES[t][1]) for t, d in deltas.items()})
 
     def replace(self, **tables: DataFrame) -> int:
-        return self.commit({t: _full(d, t) for t, d in tables.items()})
+        return self.commit({t: full(d, t) for t, d in tables.items()})
 
     def delete(self, table: str, ids: DataFrame) -> int:
         key = TABLES[table][1][0]
@@ -80,7 +80,7 @@ class GraphStore:
             "nodes": truth.renamed_ids(self.table("nodes"), "id", names), "edges": truth.renamed_edges(self.table("edges"), names),
             "embeddings": truth.renamed_ids(self.table("embeddings"), "id", names), "episode_entities": truth.renamed_ids(self.table("episode_entities"), "node_id", names),
         }
-        return self.commit({t: _full(d, t) for t, d in out.items()})
+        return self.commit({t: full(d, t) for t, d in out.items()})
 
     # embeddings
 
@@ -141,6 +141,6 @@ class GraphStore:
             self.table(name).createOrReplaceTempView(name)
 
 
-def _full(df: DataFrame, table: str) -> DataFrame:
+def full(df: DataFrame, table: str) -> DataFrame:
     """The columns of a table, those not given as nulls."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[table][0])])

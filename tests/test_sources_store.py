@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from mnemora.operators import truth
+from mnemora.operators import truth, vectors
 from mnemora.plans import consolidate
-from mnemora.plans.ingest_queries import NOTES
 from mnemora.sources import captures, memory_files, notes
 from mnemora.store import GraphStore
 from mnemora.streaming import twins
 
+from .five_notes import NOTES
+
 NOTE = """---
 date: 2026-02-03
 ---
@@ -182,3 +185,71 @@ def test_remember_and_command_line(spark, tmp_path, capsys):
     assert "Graph: 2 nodes, 1 edges" in out and "Recently active: Use the cache" in out
     lines = spark.createDataFrame([(0, "cache one"), (1, "cache two"), (2, "cache three"), (3, "other")], "ord int, line string")
     assert summaries.focused(lines, "CACHE").count() == 3 and summaries.focused(lines, "other").count() == 4
+
+
+def test_notes_are_read_once_and_counts_move_by_what_changed(spark, tmp_path):
+    folder, store = tmp_path / "notes", GraphStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "2026-01-01.md").write_text("## A\n[[Search Index]] and [[Web Shell]]\n## B\n[[Search Index]] with [[Web Shell]]\n")
+    (folder / "2026-01-02.md").write_text("## C\n[[Search Index]] alone\n")
+    now = F.lit("2026-02-01").cast("timestamp_ntz")
+    state = lambda: {r["label"]: (r["mention_count"], r["reinforcement_count"], r["first_seen"]) for r in store.table("nodes").collect()}
+    run = lambda: consolidate.consolidate(store, notes.discover(spark, str(folder)), now, embedder=vectors.mock_vectors)
+    run()
+    assert state()["Search Index"] == (3, 2, "2026-01-01") and state()["Web Shell"] == (2, 1, "2026-01-01")
+    n = store.table("embeddings").count()
+    assert n == store.table("nodes").count() + store.table("episodes").count()
+    talk = lambda i, t: spark.createDataFrame([(i, 0, "user", t)], "conv_id int, turn int, role string, text string")
+    consolidate.ingest(store, talk(1, "Is [[Search Index]] with [[Web Shell]] or [[Cache Layer]]?"), "2026-01-20")
+    consolidate.ingest(store, talk(2, "Again [[Search Index]] with [[Web Shell]]."), "2026-01-25")
+    assert state() == state() | {"Search Index": (5, 4, "2026-01-01"), "Web Shell": (4, 3, "2026-01-01"), "Cache Layer": (1, 0, "2026-01-20")}
+    edge = store.table("edges").filter("type = 'co-occurrence' and reinforcement_count = 2").first()
+    assert (edge["first_formed"], edge["last_reinforced"]) == ("2026-01-01", "2026-01-25") and len(edge["evidence"]) == 4
+    # a changed note: two more sightings of one node, none of the other; what the talks said stays
+    (folder / "2026-01-02.md").write_text("## C\n[[Search Index]] alone\n## D\n[[Search Index]]\n## E\n[[Search Index]] and [[Old Name]]\n")
+    run()
+    assert state() == state() | {"Search Index": (7, 6, "2026-01-01"), "Web Shell": (4, 3, "2026-01-01"), "Cache Layer": (1, 0, "2026-01-20"), "Old Name": (1, 0, "2026-01-02")}
+    (folder / "2026-01-02.md").unlink()
+    run()
+    assert state()["Search Index"][:2] == (4, 3) and "Old Name" not in state() and "Cache Layer" in state()
+    last = store.version()["n"]
+    assert run() == last
+
+
+def test_settings_and_graph_paths(spark, tmp_path):
+    import json
+
+    from mnemora.sources import settings
+
+    base = f"file://{tmp_path}"
+    (tmp_path / "g.json").write_text(json.dumps({"nodes": {"a": {"id": "a", "label": "A", "type": "tool"}}, "edges": {}}))
+    (tmp_path / "bad.json").write_text("no json")
+    (tmp_path / "mnemora.config.json").write_text(json.dumps({"memory": {"dir": "mem"}}))
+    (tmp_path / "map.json").write_text(json.dumps({"aliases": {"a": "b"}, "ignore": ["x"]}))
+    assert settings.load_graph(spark, f"{base}/g")["nodes"].count() == 1 and settings.load_graph(spark, f"{base}/g.json")["nodes"].count() == 1
+    GraphStore(spark, f"{base}/s").replace(nodes=spark.createDataFrame([("z", "Z")], "id string, label string"))
+    assert settings.load_graph(spark, f"{base}/s")["nodes"].first()["id"] == "z"
+    with pytest.raises(FileNotFoundError):
+        settings.load_graph(spark, f"{base}/none")
+    assert settings.entity_map(spark, f"{base}/map.json") == ({"a": "b"}, ["x"]) and settings.entity_map(spark, f"{base}/bad.json") == ({}, [])
+    assert settings.memory_dir(spark, f"{base}/g") == f"{base}/mem" and settings.load_config(spark, None) == {}
+    assert settings.within("/a/b", "c/d") and not settings.within("/a/b", "../x") and not settings.within("/a/b", "/etc") and settings.within("/a/b", "")
+
+
+def test_embeddings_of_one_encoder(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", "node", "A"), ("b", "node", None)], "id string, type string, content string")
+    assert store.set_provider("mock", 64) == 0
+    store.put_embeddings(vectors.embed(rows))
+    with pytest.raises(vectors.EncoderMismatch):
+        store.put_embeddings(vectors.embed(rows, lambda t: [np.ones(3, np.float32) for _ in t], "other"))
+    assert store.set_provider("mock", 64) == 0 and store.table("embeddings").count() == 2
+    assert store.set_provider("other", 3) == 2 and store.table("embeddings").count() == 0
+
+    def failing(texts):
+        raise OSError("down")
+
+    assert vectors.embed(rows, failing).count() == 0
+    raw = spark.createDataFrame([(bytearray(np.array([1.5, -0.25, 0.0, 3e-40, 1e30], "<f4").tobytes()),), (bytearray(),)], "b binary")
+    got = [r["v"] for r in raw.select(vectors.from_bytes(F.col("b")).alias("v")).collect()]
+    assert np.array_equal(np.array(got[0], np.float32), np.array([1.5, -0.25, 0.0, 3e-40, 1e30], np.float32)) and got[1] == []
