@@ -12,7 +12,7 @@ ENTRY = "kind string, id string, ts string, title string, content string, import
 
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """entries, tombstones and errors (file, line) of a spool, in the order of file name and line."""
-    raw = spark.read.text(folder, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value"))
+    raw = spark.read.text(folder, pathGlobFilter="*.json*", recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value"))
     raw = raw.filter(F.trim("value") != "")
     rows = raw.withColumn("x", F.from_json("value", ENTRY + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("x._corrupt").isNotNull() | F.col("x.id").isNull() | F.col("x.ts").isNull()

@@ -253,3 +253,44 @@ def test_embeddings_of_one_encoder(spark, tmp_path):
     raw = spark.createDataFrame([(bytearray(np.array([1.5, -0.25, 0.0, 3e-40, 1e30], "<f4").tobytes()),), (bytearray(),)], "b binary")
     got = [r["v"] for r in raw.select(vectors.from_bytes(F.col("b")).alias("v")).collect()]
     assert np.array_equal(np.array(got[0], np.float32), np.array([1.5, -0.25, 0.0, 3e-40, 1e30], np.float32)) and got[1] == []
+
+
+def test_truth_layer(spark, tmp_path):
+    from mnemora.plans import truth_layer
+
+    folder, store = tmp_path / "memory", GraphStore(spark, str(tmp_path / "store"))
+    (folder / "global").mkdir(parents=True)
+    (folder / ".capture").mkdir()
+    memory = lambda i, body: f"---\nid: mem_{i:012x}\ntype: decision\ncreated: '2026-01-0{i}'\ntitle: Memory {i}\n---\n{body}\n"
+    (folder / "global/one.md").write_text(memory(1, "We use [[SQLite]] and [[Redis]]."))
+    (folder / "global/two.md").write_text(memory(2, "All of [[Redis]]."))
+    entry = '{"id": "mem_%012x", "ts": "2026-01-05T00:00:00", "title": "%s", "content": "%s"}\n'
+    (folder / ".capture/2026-01-05.jsonl").write_text(entry % (10, "Prefer tabs", "Tabs over spaces") + entry % (11, "Gone", "x") + '{"kind": "tombstone", "id": "mem_00000000000b", "ts": "2026-01-06"}\n')
+    run = lambda: truth_layer.consolidate_truth(store, str(folder))
+    out = run()
+    assert out["promoted"]["files"] == 1 and out["compiled"]["errors"].count() == 0 and (folder / "global/prefer-tabs.md").exists()
+    labels = lambda: {r["label"]: r["type"] for r in store.table("nodes").collect()}
+    assert labels() == {"Memory 1": "decision", "Memory 2": "decision", "Prefer tabs": "concept", "SQLite": "concept", "Redis": "concept"}
+    assert store.table("edges").count() == 3
+    # salience goes back to the file, an edited link's edge goes, a deleted file's memory goes, a broken file's stays
+    store.upsert(nodes=store.table("nodes").filter("label = 'Memory 1'").withColumn("reinforcement_count", F.lit(4).cast("long")))
+    (folder / "global/two.md").write_text(memory(2, "None now."))
+    (folder / "global/prefer-tabs.md").unlink()
+    assert run()["salience"] == 1 and "reinforcement_count: 4" in (folder / "global/one.md").read_text()
+    assert set(labels()) == {"Memory 1", "Memory 2", "SQLite", "Redis"} and store.table("edges").count() == 2
+    assert not (folder / "global/prefer-tabs.md").exists()  # promoted once, not again
+    (folder / "global/two.md").write_text("broken")
+    assert run()["compiled"]["errors"].count() == 1 and "Memory 2" in labels()
+    with pytest.raises(truth_layer.NotCompiled):
+        truth_layer.rebuild(spark, str(folder), str(tmp_path / "again"))
+    assert GraphStore(spark, str(tmp_path / "again")).version()["n"] == 0
+    (folder / "global/two.md").write_text(memory(2, "Whole."))
+    truth_layer.rebuild(spark, str(folder), str(tmp_path / "again"))
+    again = {r["label"]: r["status"] for r in GraphStore(spark, str(tmp_path / "again")).table("nodes").collect()}
+    assert set(again) == {"Memory 1", "Memory 2", "SQLite", "Redis", "Prefer tabs"} and again["Prefer tabs"] == "candidate"
+    with pytest.raises(FileExistsError):
+        truth_layer.rebuild(spark, str(folder), str(tmp_path / "again"))
+    # what the store forgets goes into the spool
+    store.forget(spark.createDataFrame([("mem_000000000001",)], "id string"), "2026-02-01")
+    truth_layer.migrate_tombstones(store, str(folder))
+    assert "mem_000000000001" in {r["id"] for r in truth_layer._spool(spark, str(folder))["tombstones"].collect()}
