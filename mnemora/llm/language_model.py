@@ -20,8 +20,9 @@ of their logarithm.
 The levels are cut into shards by hash - levels 2 and 3 by the hash of the pair that is looked up or goes before, so a
 frequent word is spread over all shards, and one shuffle of triples serves both: a pair counts what its triples count - built by one task each from counts combined within map batches, and written to
 the shared folder under a name that is renamed into place. Scoring tasks map the files into memory
-and read only what they look up; other file systems' files are first copied to an unlinked local
-file. Only the shards' sizes and totals reach the driver.
+and read only what they look up; files of file systems that can't be mapped are read into memory, the
+last ``CACHE`` bytes of them; nothing is copied to a worker's disk. Tasks carry the model's path and totals; the numbers of
+words before each shard of level 1 are a file like the others. The driver sees three numbers for each such shard.
 
 Defined cases: a null text is empty (one end token); a null id counts as the text ""; repeated rows count and are scored each;
 with no training documents every probability is 1 / (N + V + 1) = 1; an empty table gives no rows.
@@ -29,19 +30,20 @@ with no training documents every probability is 1 / (N + V + 1) = 1; an empty ta
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hadoop, scratch, ship, text_of
+from .common import drop_path, hadoop, scratch, ship, text_of
 
 PSEUDO = 20.0
 LEVELS = 255
 #: Characters of text for a shard of a level, and tokens of a map batch.
 CHARS_1, CHARS_2 = 60_000_000, 10_000_000
 BATCH_TOKENS = 1_000_000
+#: Files that a worker keeps open, and bytes of those that it can't map.
+MAPS, CACHE = 4096, 512 << 20
 END, BEGIN = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
@@ -59,8 +61,9 @@ def hashes(texts: list[str]):
     return out, ends
 
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is not learnt from: by its id as Spark writes it, of whatever type."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
 def _pair_hash(u, w):
@@ -119,8 +122,8 @@ def _batches(batches: Iterator) -> Iterator:
     """(hashes, ends) of the training documents, some BATCH_TOKENS at a time."""
     texts, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if held_out(doc):
+        for held, text in zip(batch.column(2).to_pylist(), batch.column(1), strict=True):
+            if held:
                 continue
             texts.append(text.as_py())
             size += len(texts[-1]) // 6 + 1
@@ -229,49 +232,61 @@ def _put(path: str, data: bytes) -> None:
     system.move(draft, p)
 
 
-_maps: dict[str, object] = {}
+_maps: dict[str, tuple] = {}
 
 
-def _open(path: str) -> dict:
-    """The sequences and arrays of a file through a memory map; kept for the worker's life."""
+def _open(path: str) -> dict | None:
+    """The sequences and arrays of a file through a memory map, None where there is no such file; the latest are kept for the worker's next batches."""
     import mmap
 
     from .succinct import EliasFano, unpack
 
-    if path not in _maps:
-        from pyarrow import fs
+    if path in _maps:
+        _maps[path] = _maps.pop(path)  # the latest used is the last
+        return _maps[path][1]
+    from pyarrow import fs
 
-        system, p = fs.FileSystem.from_uri(path)
+    system, p = fs.FileSystem.from_uri(path)
+    size, found = 0, None
+    try:
         if isinstance(system, fs.LocalFileSystem):
             with open(p, "rb") as f:
-                m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         else:
-            import tempfile
-
-            with tempfile.TemporaryFile() as f, system.open_input_stream(p) as source:
-                while block := source.read(1 << 22):
-                    f.write(block)
-                f.flush()
-                m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        x = unpack(memoryview(m))
-        _maps[path] = {"arrays": x} | {k: EliasFano(x, k) for k in "wcub" if k + "n" in x} | {k: x[k] for k in "p" if k in x}
-    return _maps[path]
+            with system.open_input_stream(p) as source:
+                data = source.read()
+            size = len(data)
+        x = unpack(memoryview(data))
+        found = {"arrays": x} | {k: EliasFano(x, k) for k in "wcub" if k + "n" in x} | {k: x[k] for k in "pf" if k in x}
+    except FileNotFoundError:
+        pass
+    _maps[path] = (size, found)
+    while len(_maps) > 1 and (len(_maps) > MAPS or sum(n for n, _ in _maps.values()) > CACHE):
+        _maps.pop(next(iter(_maps)))
+    return found
+
+
+def _driver_put(spark, path: str, data: bytes) -> None:
+    """Writes a file from the driver."""
+    fs, p = hadoop(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
 
 
 class Model:
-    """What every task needs of a model: its folder and the shards' totals."""
+    """What every task needs of a model: its folder, the numbers of shards and the totals."""
 
-    def __init__(self, path: str, shards_1: int, shards_2: int, sizes: dict[int, tuple[int, int]], docs: int):
+    def __init__(self, path: str, shards_1: int, shards_2: int, words: int, tokens: int, docs: int):
         import numpy as np
 
-        self.path, self.shards_1, self.shards_2, self.docs = path, shards_1, shards_2, docs
-        n = [sizes.get(s, (0, 0)) for s in range(shards_1)]
-        self.first = np.concatenate([[0], np.cumsum([v for v, _ in n])]).astype(np.int64)
-        self.words, self.tokens = int(self.first[-1]), sum(c for _, c in n)
+        self.path, self.shards_1, self.shards_2, self.docs, self.words, self.tokens = path, shards_1, shards_2, docs, words, tokens
         self.low = -float(np.log10(self.tokens + self.words + 1 + PSEUDO)) or -1.0
-        self.have_1 = {s for s, (v, _) in enumerate(n) if v}
-        self.have_2: set[int] = set()
-        self.have_3: set[int] = set()
+
+    @property
+    def first(self):
+        """The number of words before each shard of level 1, and of all."""
+        return _open(f"{self.path}/first")["f"]
 
     # level 1
 
@@ -286,9 +301,9 @@ class Model:
         for a, k in zip(start, n, strict=True):
             own = order[a : a + k]
             s = int(shard[own[0]])
-            if s not in self.have_1:
-                continue
             x = _open(f"{self.path}/level1-{s}")
+            if x is None:
+                continue
             at, equal = x["w"].successor(h[own])
             own, at = own[equal], at[equal]
             sums = x["c"]
@@ -337,9 +352,9 @@ class Model:
         for a, k in zip(start, n, strict=True):
             own = order[a : a + k]
             s = int(shard[own[0]])
-            if s not in self.have_2:
+            x = _open(f"{self.path}/level2-{s}") if s >= 0 else None
+            if x is None:
                 continue
-            x = _open(f"{self.path}/level2-{s}")
             pointers, words = x["b"], x["w"]
             # each context once: its place, its range, and the number that its successors follow
             head, many = _runs(ui[own])
@@ -366,9 +381,9 @@ class Model:
         for a, k in zip(*_runs(shard[order]), strict=True):
             own = order[a : a + k]
             s = int(shard[own[0]])
-            if s not in self.have_3:
+            x = _open(f"{self.path}/level3-{s}") if s >= 0 else None
+            if x is None:
                 continue
-            x = _open(f"{self.path}/level3-{s}")
             pointers, words, sums = x["b"], x["w"], x["c"]
             upto = lambda at: np.where(at > 0, sums.get(np.maximum(at - 1, 0)), 0).astype(np.int64)
             head, many = _runs(place[own])
@@ -382,13 +397,14 @@ class Model:
 
 
 def train(docs: DataFrame, path: str) -> Model:
-    """Builds the model of the training documents (doc_id, text) in a folder."""
+    """Builds the model of the documents (doc_id, text) that are not held out in a folder."""
     spark = docs.sparkSession
-    learns = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
-    n_docs, chars = docs.filter(learns).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    docs = docs.select("doc_id", "text", held_out(docs["doc_id"]).alias("held"))
+    n_docs, chars = docs.filter(~F.col("held")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards_1, shards_2 = 1 + chars // CHARS_1, 1 + chars // CHARS_2
     fs, p = hadoop(spark, path)
     fs.mkdirs(p)
+    fs.mkdirs(hadoop(spark, f"{path}/counts")[1])
 
     def level_1(key, table):
         import numpy as np
@@ -404,14 +420,25 @@ def train(docs: DataFrame, path: str) -> Model:
         w, c = w[order], c[order]
         start, _ = _runs(w)
         w, c = w[start], np.add.reduceat(c, start)
-        _put(f"{path}/counts-{s}", pack(EliasFano.build(w, "w") | EliasFano.build(np.cumsum(c), "c")))
+        _put(f"{path}/counts/{s}", pack(EliasFano.build(w, "w") | EliasFano.build(np.cumsum(c), "c")))
         return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([len(w)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
 
     def counted(batches):
         yield from _blobs(batches, shards_1)
 
-    sums = docs.mapInArrow(counted, "shard int, data binary").groupBy("shard").applyInArrow(level_1, "shard int, words long, tokens long").collect()
-    model = Model(path, shards_1, shards_2, {r["shard"]: (r["words"], r["tokens"]) for r in sums}, n_docs)
+    import numpy as np
+
+    from .succinct import pack
+
+    sums = docs.mapInArrow(counted, "shard int, data binary").groupBy("shard").applyInArrow(level_1, "shard int, words long, tokens long")
+    own = np.zeros(shards_1 + 1, np.int64)
+    tokens = 0
+    for r in sums.toLocalIterator():
+        own[r["shard"] + 1] = r["words"]
+        tokens += r["tokens"]
+    first = np.cumsum(own)
+    _driver_put(spark, f"{path}/first", pack({"f": first}))
+    model = Model(path, shards_1, shards_2, int(first[-1]), tokens, n_docs)
 
     def finished(batches):
         """Adds the quantised probabilities, which need the totals, to level 1."""
@@ -422,19 +449,19 @@ def train(docs: DataFrame, path: str) -> Model:
 
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                x = _open(f"{path}/counts-{s}")
+                x = _open(f"{path}/counts/{s}")
+                if x is None:
+                    continue
                 sums = x["c"]
                 upto = sums.get(np.arange(sums.n)).astype(np.int64)
                 c = np.diff(np.concatenate([[0], upto]))
                 p = np.log10((c + 1) / (model.tokens + model.words + 1))
                 _put(f"{path}/level1-{s}", pack(x["arrays"] | {"p": _quantise(p, model.low)}))
-                _maps.pop(f"{path}/counts-{s}", None)
+                _maps.pop(f"{path}/counts/{s}", None)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["shard"])
 
-    if sums:
-        spark.createDataFrame([(r["shard"],) for r in sums], "shard int").repartition(len(sums), "shard").mapInArrow(finished, "shard int").collect()
-        for r in sums:
-            fs.delete(hadoop(spark, f"{path}/counts-{r['shard']}")[1], False)
+    spark.range(0, shards_1, 1, shards_1).mapInArrow(finished, "shard long").count()
+    drop_path(spark, f"{path}/counts")
 
     def levels_2_and_3(key, table):
         import numpy as np
@@ -483,15 +510,14 @@ def train(docs: DataFrame, path: str) -> Model:
     def paired(batches):
         yield from _blobs(batches, shards_2, model)
 
-    built = docs.mapInArrow(paired, "shard int, data binary").groupBy("shard").applyInArrow(levels_2_and_3, "shard int, pairs long, triples long").collect()
-    model.have_2 = {r["shard"] for r in built}
-    model.have_3 = {r["shard"] for r in built if r["triples"]}
+    docs.mapInArrow(paired, "shard int, data binary").groupBy("shard").applyInArrow(levels_2_and_3, "shard int, pairs long, triples long").count()
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (by words and pairs) and trigram_score."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", held_out(docs["doc_id"]).alias("held"))
 
     def run(batches):
         import numpy as np
@@ -538,7 +564,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 fuller = np.add.reduceat(by_word, starts)
                 part = batch.slice(first, at - first)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([held_out(d) for d in part.column(0).to_pylist()], pa.bool_()), pa.array(ends - starts, pa.int64()), pa.array(known, pa.int64()),
+                    part.column(0), part.column(2), pa.array(ends - starts, pa.int64()), pa.array(known, pa.int64()),
                     pa.array([model.tokens] * len(own), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(fuller, pa.float64()),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"])
 

@@ -152,3 +152,30 @@ def test_word_hashes(monkeypatch, window):
     flat = [w for t in texts for w in t.split()]
     assert n.tolist() == [len(t.split()) for t in texts] and len(h) == len(flat)
     assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_ids_of_other_types_are_held_out_as_spark_writes_them(spark):
+    """Learning and scoring take one view of an id, whatever its type."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(40).select((F.col("id") % 3 == 0).alias("a"), (F.col("id") / 7).alias("b"), F.timestamp_seconds(F.col("id") * 1000).alias("c"), F.col("id").cast("string").alias("d"))
+    for c in "abcd":
+        docs = ids.select(F.col(c).alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("d")).alias("text"))
+        rows = docs.select(language_model.held_out(F.col("doc_id")).alias("h"), F.col("text")).collect()
+        got = {(r["held_out"], r["train_tokens"]) for r in language_model.report(docs).collect()}
+        assert {h for h, _ in got} == {r["h"] for r in rows} and {n for _, n in got} == {sum(3 for r in rows if not r["h"])}
+
+
+def test_few_open_files_give_the_same(spark, documents, monkeypatch):
+    """A worker that may keep one file scores as one that keeps all."""
+    for k, v in {"CHARS_1": 100_000, "CHARS_2": 50_000}.items():
+        monkeypatch.setattr(language_model, k, v)
+    docs = documents.limit(40)
+    model = language_model.train(docs.select("doc_id", "text"), language_model.scratch(spark, "lm"))
+    some = np.unique(language_model.hashes([r["text"] or "" for r in docs.collect()])[0])
+    language_model._maps.clear()
+    whole = model.words_of(some)
+    monkeypatch.setattr(language_model, "MAPS", 1)
+    language_model._maps.clear()
+    assert all((a == b).all() for a, b in zip(whole, model.words_of(some), strict=True)) and len(language_model._maps) == 1
+    assert language_model._open(f"{model.path}/level1-999999") is None
