@@ -76,9 +76,10 @@ def _clause_windows(folded: Column) -> Column:
     return let(let(F.split(text, "(?<=[.!?,;:]) "), both), of)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, clauses: bool = True) -> DataFrame:
     """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
-    both = let(let(F.lower("text"), _folded), lambda t: F.struct(_line_windows(t).alias("a"), _clause_windows(t).alias("b")))
+    own_clauses = _clause_windows if clauses else lambda t: F.array().cast(WINDOWS)
+    both = let(let(F.lower("text"), _folded), lambda t: F.struct(_line_windows(t).alias("a"), own_clauses(t).alias("b")))
     own, places = kept(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
     at = F.when(F.col("at") < F.col("n"), F.col("at") + LINES).otherwise(F.col("at") - F.col("n"))
     every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", at.alias("at"), "w.h", "w.g", "w.l")
@@ -91,8 +92,8 @@ def removals(docs: DataFrame) -> DataFrame:
     later = rows.join(written(first, "first"), ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("at", "l"))).alias("w"))
     lines = F.transform(F.filter("w", lambda x: x["at"] < 0), lambda x: x["at"] - LINES)
-    clauses = F.transform(let(F.filter("w", lambda x: x["at"] >= 0), _long_runs), lambda x: x["at"])
-    return gone.select("doc_id", "th", lines.alias("lines"), clauses.alias("clauses")).filter((F.size("lines") > 0) | (F.size("clauses") > 0))
+    runs = F.transform(let(F.filter("w", lambda x: x["at"] >= 0), _long_runs), lambda x: x["at"])
+    return gone.select("doc_id", "th", lines.alias("lines"), runs.alias("clauses")).filter((F.size("lines") > 0) | (F.size("clauses") > 0))
 
 
 def _long_runs(w: Column) -> Column:
@@ -121,11 +122,11 @@ def _units(windows: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(windows, lambda k: F.sequence(k, k + SIZE - 1))))
 
 
-def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with struct ``d``: text (cleaned), n_lines (with a word), n_removed (lines), n_cut (clauses)."""
+def dedup(docs: DataFrame, text_col: str = "text", clauses: bool = True) -> DataFrame:
+    """docs with struct ``d``: text (cleaned), n_lines (with a word), n_removed (lines), n_cut (clauses). clauses: whether the second reading is used."""
     text, th = text_of(docs, text_col), fingerprint(text_of(docs, text_col))
     own = docs.select("doc_id", text.alias("text")).withColumn("th", fingerprint(F.col("text")))
-    gone = removals(own).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.struct(_units(F.col("lines")).alias("l"), _units(F.col("clauses")).alias("c")).alias("_drop"))
+    gone = removals(own, clauses).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.struct(_units(F.col("lines")).alias("l"), _units(F.col("clauses")).alias("c")).alias("_drop"))
     gone = written(gone, "removals")
     moved = gone.agg(F.coalesce(F.sum(40 + 4 * (F.size("_drop.l") + F.size("_drop.c"))), F.lit(0))).first()[0]
     out = docs.join(F.broadcast(gone) if moved <= BROADCAST_BYTES else gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_id"]) & (th == gone["_th"]), "left")
@@ -158,9 +159,9 @@ def report(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select("doc_id", "d.n_lines", "d.n_removed", "d.n_cut", "d.text")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs in their own columns with repeated lines and clauses removed."""
-    return unboxed(dedup(boxed(docs)), docs.columns, F.col("d.text"))
+def without_repeats(docs: DataFrame, clauses: bool = True) -> DataFrame:
+    """docs in their own columns with repeated lines, and clauses if asked for, removed."""
+    return unboxed(dedup(boxed(docs), clauses=clauses), docs.columns, F.col("d.text"))
 
 
 #: The lines and clauses of table {docs} and what goes; l_all has a row for each document.

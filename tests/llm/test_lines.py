@@ -36,10 +36,10 @@ def pieces(text):
     return [x for x in re.findall(r"(?s).*?(?:[.!?,;:][ \t-\r]+|\Z)", text) if x]
 
 
-def plain(docs):
+def plain(docs, clauses=True):
     """Texts after dedup; docs: (id, text) in order."""
     gone = later(docs, lambda t: [(k, key(x)) for k, x in enumerate(t.split("\n")) if x.strip(WHITE)], 0)
-    cut = later(docs, lambda t: [(k, key(x)) for k, x in enumerate(pieces(t))], 80)
+    cut = later(docs, lambda t: [(k, key(x)) for k, x in enumerate(pieces(t))], 80) if clauses else {}
     out = {}
     for i, text in docs:
         own = (text or "").split("\n")
@@ -83,6 +83,7 @@ def test_shuffled_joins(documents, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
     some = documents.limit(60)
     texts = [(r["doc_id"], r["text"]) for r in some.collect()]
+    assert {r["doc_id"]: r["text"] for r in lines.without_repeats(some, clauses=False).collect()} == plain(texts, False)
     assert {r["doc_id"]: r["text"] for r in lines.report(some).collect()} == plain(texts)
 
 
