@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go; a document left without a word stays, empty."""
-    return lines.without_repeats(docs)
+    """Later occurrences of repeated three-line windows go; a document left without a word stays, empty. Clauses are left, so near copies of whole documents reach the next stage as they are."""
+    return lines.without_repeats(docs, clauses=False)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
