@@ -41,11 +41,10 @@ def word_chars(text: Column) -> Column:
     return F.length(F.translate(text, WHITE, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule."""
-    trimmed = F.btrim(line, F.lit(WHITE))
-    n = F.size(words_of(line))
-    closing = F.instr(F.lit(CLOSING), F.right(trimmed, F.lit(1))) > 0
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether a line with words breaks a rule."""
+    n = F.size(words)
+    closing = F.instr(F.lit(CLOSING), F.right(F.element_at(words, -1), F.lit(1))) > 0
     noisy = 2 * count_chars(line, SYMBOLS + "!") >= n
     nav = count_chars(line, SEPARATORS) >= 4
     return (~closing & (n < SHORT)) | noisy | nav | ((n <= 30) & line.rlike(BOILERPLATE_RE))
@@ -83,9 +82,11 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.size(words).cast("long").alias("n_words"), repeated_window_words(words).cast("long").alias("n_repeat_words"))
 
     def of_lines(lines: Column) -> Column:
-        full = F.filter(lines, lambda x: F.btrim(x, F.lit(WHITE)) != "")
-        judged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(F.btrim(x, F.lit(WHITE)) == "", F.lit(False)).otherwise(line_fails(x)).alias("bad")))
+        """Of lines with their words, which are split once: the counts of all words, and the judged lines."""
+        full = F.transform(F.filter(lines, lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
+        judged = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.when(F.size(x["w"]) == 0, F.lit(False)).otherwise(line_fails(x["line"], x["w"])).alias("bad")))
         return F.struct(
+            let(F.flatten(F.transform(lines, lambda x: x["w"])), of_words).alias("words"),
             let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup_lines"),
             let(judged, lambda j: F.struct(
                 F.aggregate(F.filter(j, lambda x: x["bad"]), F.lit(0).cast("long"), lambda a, x: a + word_chars(x["line"])).alias("lost"),
@@ -93,14 +94,15 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             )).alias("c"),
         )
 
-    out = df.withColumn("_w", let(words_of(text), of_words)).withColumn("_l", let(F.split(text, "\n"), of_lines))
-    n, chars = F.col("_w.n_words"), word_chars(text).cast("long")
-    failed = (n < 50) | (100 * F.col("_w.n_repeat_words") > 50 * n)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("w")))
+    out = df.withColumn("_l", let(lines, of_lines))
+    n, chars = F.col("_l.words.n_words"), word_chars(text).cast("long")
+    failed = (n < 50) | (100 * F.col("_l.words.n_repeat_words") > 50 * n)
     q = F.struct(
         n.alias("n_words"), chars.alias("word_chars"), count_chars(text, SYMBOLS).cast("long").alias("n_symbols"), F.col("_l.n_dup_lines").alias("n_dup_lines"),
-        F.col("_w.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"), F.col("_l.c.lost").alias("lost_chars"), F.col("_l.c.text").alias("text"),
+        F.col("_l.words.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"), F.col("_l.c.lost").alias("lost_chars"), F.col("_l.c.text").alias("text"),
     )
-    out = out.withColumn("q", q).drop("_w", "_l")
+    out = out.withColumn("q", q).drop("_l")
     return out.withColumn("q", F.col("q").withField("kept", ~F.col("q.base_failed") & (2 * F.col("q.lost_chars") <= F.col("q.word_chars"))))
 
 
