@@ -8,14 +8,14 @@ Windows are made of three consecutive units, in two readings of a text (lower-ca
   out of its lines where one of its windows has ``LEAST`` characters or more, without the blanks between
   clauses (three short exclamations meet by chance); line feeds stay.
 
-Windows are known by 96 bits of hash. Windows found more than once anywhere are repeated; an occurrence is the first if
+Windows are known by 96 bits of hash over 64 bits of each unit. Windows found more than once anywhere are repeated; an occurrence is the first if
 no other of its reading has a smaller (doc_id, text fingerprint, place), nulls before all. The units of every other
 occurrence are covered; covered positions of a document are merged and removed. Each removed unit so has an equal
 earlier one, and the earliest stays. A document that loses anything also loses its lines without a
 word. Texts of fewer than three units of either reading are left as they are; null texts are empty;
 rows that repeat a document's id and text are one document.
 
-The windows' hashes are computed once, written, and removed once their repeats are. Their counts are combined before the shuffle of 64 bits a window;
+The units' hashes are computed once, written, and removed once the repeats are. The windows' counts are combined before the shuffle of 64 bits a window;
 only rows of repeated windows are shuffled after that, by a join that Spark may split where a window is hot. Texts are
 moved only if what is to be removed is too large to be broadcast (``BROADCAST_BYTES``, summed over its rows).
 """
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, boxed, drop_path, fingerprint, kept, let, text_of, unboxed, written
 
-SIZE, LEAST = 3, 80
+#: A clause's length counts up to LONGEST, which is more than LEAST.
+SIZE, LEAST, LONGEST = 3, 80, 127
 #: Bytes of removals that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: A clause with the white space after it; nothing is tried twice.
@@ -36,11 +37,6 @@ CLAUSE = r"(?:[^.!?,;:]|[.!?,;:](?![\x20\x09-\x0D]))*+(?:[.!?,;:][\x20\x09-\x0D]
 LINES = -(1 << 30)
 
 
-def _key(reading: int, h: Column, k: Column, long: Column) -> Column:
-    three = [F.get(h, k + i) for i in range(SIZE)]
-    return F.struct(F.xxhash64(F.lit(reading), *three).alias("h"), F.hash(F.lit(reading), *three).alias("g"), long.alias("l"))
-
-
 def _folded(text: Column) -> Column:
     """The text with its white space, but for line feeds, as single blanks; most texts are so already, which is cheaper to see than to make."""
     odd = text.contains("  ")
@@ -49,40 +45,36 @@ def _folded(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(text)
 
 
-WINDOWS = "array<struct<h:bigint,g:int,l:boolean>>"
-
-
-def _line_windows(folded: Column) -> Column:
-    """The window at each line with a word. folded: lower-cased text whose white space other than line feeds is single blanks."""
+def _lines(folded: Column) -> Column:
+    """Hashes of the lines with a word. folded: lower-cased text whose white space other than line feeds is single blanks."""
     text = F.btrim(folded, F.lit(" \n"))  # so no part is empty, and none but the blank at its end is left to trim
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n[ \n]*"))
-
-    def of(h: Column) -> Column:
-        return F.when(F.size(h) < SIZE, F.array().cast(WINDOWS)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda k: _key(0, h, k, F.lit(True))))
-
-    return let(F.transform(lines, lambda x: F.xxhash64(F.rtrim(x))), of)
+    return F.transform(lines, lambda x: F.xxhash64(F.rtrim(x)))
 
 
-def _clause_windows(folded: Column) -> Column:
-    """The window at each clause."""
+def _clauses(folded: Column) -> Column:
+    """Of each clause 57 bits of hash, and in the low bits its length, or LONGEST where it is longer."""
     text = let(F.replace(folded, F.lit("\n"), F.lit(" ")), lambda t: F.btrim(F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t), F.lit(" ")))
+    return F.transform(F.split(text, "(?<=[.!?,;:]) "), lambda x: F.xxhash64(x).bitwiseAND(~LONGEST).bitwiseOR(F.least(F.length(x), F.lit(LONGEST)).cast("long")))
 
-    def of(c: Column) -> Column:
-        h, n = c["h"], c["n"]
-        long = lambda k: F.get(n, k) + F.get(n, k + 1) + F.get(n, k + 2) >= LEAST
-        return F.when(F.size(h) < SIZE, F.array().cast(WINDOWS)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda k: _key(1, h, k, long(k))))
 
-    both = lambda u: F.struct(F.transform(u, lambda x: F.xxhash64(x)).alias("h"), F.transform(u, lambda x: F.length(x)).alias("n"))
-    return let(let(F.split(text, "(?<=[.!?,;:]) "), both), of)
+def _windows(own: DataFrame, units: str, reading: int, first: int, long: Column) -> DataFrame:
+    """(doc_id, th, at, h, g, l): the windows of an array of units, made of it and of itself shifted; hashes are computed on rows, not within arrays."""
+    n = F.greatest(F.size(units) - (SIZE - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(units, i + 1, n).alias(f"u{i}") for i in range(SIZE)])
+    names = [f"w.{f.name}" for f in own.select(zipped.alias("w")).schema["w"].dataType.elementType]
+    rows = own.filter(F.size(units) >= SIZE).select("doc_id", "th", F.posexplode(zipped).alias("at", "w")).select("doc_id", "th", "at", *[F.col(c).alias(f"u{i}") for i, c in enumerate(names)])
+    three = [F.lit(reading), *(F.col(f"u{i}") for i in range(SIZE))]
+    return rows.select("doc_id", "th", (F.col("at") + first).alias("at"), F.xxhash64(*three).alias("h"), F.hash(*three).alias("g"), long.alias("l"))
 
 
 def removals(docs: DataFrame, clauses: bool = True) -> DataFrame:
     """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
-    own_clauses = _clause_windows if clauses else lambda t: F.array().cast(WINDOWS)
-    both = let(let(F.lower("text"), _folded), lambda t: F.struct(_line_windows(t).alias("a"), own_clauses(t).alias("b")))
-    own, places = kept(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", F.size("w.a").alias("n"), F.concat("w.a", "w.b").alias("w")), "windows")
-    at = F.when(F.col("at") < F.col("n"), F.col("at") + LINES).otherwise(F.col("at") - F.col("n"))
-    every = own.select("doc_id", "th", "n", F.posexplode("w").alias("at", "w")).select("doc_id", "th", at.alias("at"), "w.h", "w.g", "w.l")
+    readings = lambda t: F.struct(_lines(t).alias("a"), (_clauses(t) if clauses else F.array().cast("array<bigint>")).alias("b"))
+    both = let(let(F.lower("text"), _folded), readings)
+    own, places = kept(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", "w.a", "w.b"), "units")
+    length = sum((F.col(f"u{i}").bitwiseAND(LONGEST) for i in range(1, SIZE)), F.col("u0").bitwiseAND(LONGEST))
+    every = _windows(own, "a", 0, LINES, F.lit(True)).unionByName(_windows(own, "b", 1, 0, length >= LEAST))
     repeated = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeated")
     # both sides of either join come from tables, so that Spark may split what a hot window holds
     rows = written(every.join(repeated, "h"), "occurrences")
