@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mnemora.config import DEFAULT
 from mnemora.functions.weights import stability
 from mnemora.operators import dynamics
-from mnemora.shared import written
+from mnemora.shared import drop_path, hadoop, kept
 
 TRADE_NOW = "2001-09-01"
 TYPE_OF = {"MEDIUM": "concept", "STANDARD": "tool", "LARGE": "project", "PROMO": "event", "SMALL": "person", "ECONOMY": "decision"}
@@ -37,54 +37,116 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_orderkey").alias("section"), "l_partkey", F.col("o_orderdate").alias("date"), F.col("o_custkey").alias("customer"))
 
 
-def nodes_of(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFrame:
-    c = m.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("mention_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_reinforced"))
+def nodes_of(spark: SparkSession, sf_dir: str, m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes of mentions; by: columns of the mentions that keep graphs apart."""
+    c = m.groupBy(*by, "l_partkey").agg(F.count(F.lit(1)).alias("mention_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_reinforced"))
+    return named_nodes(spark, sf_dir, c, by)
+
+
+def named_nodes(spark: SparkSession, sf_dir: str, c: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of parts (l_partkey, mention_count, first_seen, last_reinforced) as nodes."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     kind = F.create_map(*[F.lit(x) for kv in TYPE_OF.items() for x in kv])[F.col("p_type")]
     return c.join(p, c["l_partkey"] == p["p_partkey"]).select(
-        part_id(F.col("p_partkey")).alias("id"), F.col("p_name").alias("label"), kind.alias("type"), F.array("p_brand").alias("aliases"), "first_seen", "last_reinforced",
+        *by, part_id(F.col("p_partkey")).alias("id"), F.col("p_name").alias("label"), kind.alias("type"), F.array("p_brand").alias("aliases"), "first_seen", "last_reinforced",
         "mention_count", (F.col("mention_count") - 1).alias("reinforcement_count"),
     )
 
 
-def pairs_of(m: DataFrame) -> DataFrame:
+def seen_together(m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, date): two parts of one section, by their keys."""
+    a, b = m.select(*by, "section", F.col("l_partkey").alias("x"), "date"), m.select("section", F.col("l_partkey").alias("y"))
+    return a.join(b, "section").filter("x < y")
+
+
+def pairs_of(m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Observed pairs by the parts' keys; the ids are made after the counts, once a pair."""
-    a, b = m.select("section", F.col("l_partkey").alias("x"), "date"), m.select("section", F.col("l_partkey").alias("y"))
-    p = a.join(b, "section").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
-    ids = p.select("n", "first", "last", part_id(F.col("x")).alias("i"), part_id(F.col("y")).alias("j"))
-    return ids.select(F.least("i", "j").alias("source"), F.greatest("i", "j").alias("target"), "n", "first", "last")
+    p = seen_together(m, by).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return named_pairs(p, by)
+
+
+def named_pairs(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    ids = p.select(*by, "n", "first", "last", part_id(F.col("x")).alias("i"), part_id(F.col("y")).alias("j"))
+    return ids.select(*by, F.least("i", "j").alias("source"), F.greatest("i", "j").alias("target"), "n", "first", "last")
 
 
-def edges_of(pairs: DataFrame, at: Column) -> DataFrame:
+def edges_of(pairs: DataFrame, at: Column, by: tuple[str, ...] = ()) -> DataFrame:
     base, g = DEFAULT.base_weights["co-occurrence"], DEFAULT.graduation
     e = pairs.filter(F.col("n") >= g).select(
-        F.concat_ws("--", "source", "target", F.lit("co-occurrence")).alias("id"), "source", "target", F.lit("co-occurrence").alias("type"), F.lit(False).alias("directed"),
+        *by, F.concat_ws("--", "source", "target", F.lit("co-occurrence")).alias("id"), "source", "target", F.lit("co-occurrence").alias("type"), F.lit(False).alias("directed"),
         F.lit(base).alias("weight"), F.lit(base).alias("base_weight"), (F.col("n") - g).alias("reinforcement_count"), F.col("first").alias("first_formed"), F.col("last").alias("last_reinforced"),
     )
     return dynamics.decayed(e.withColumn("stability", stability(F.col("reinforcement_count"))), at)
 
 
-_graphs: dict[tuple[str, str], dict[str, DataFrame]] = {}
+#: Graphs of this session by the tables' folder and state, with the paths of their tables.
+_graphs: dict[tuple, tuple[dict[str, DataFrame], list[str]]] = {}
+SNAPSHOT_DATES = ("1999-12-31", "2000-12-31", "2001-06-30")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What changes when the tables do."""
+    out = []
+    for name in ("lineitem", "orders", "part"):
+        fs, p = hadoop(spark, f"{sf_dir}/{name}.parquet")
+        out += [fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()]
+    return tuple(out)
+
+
+def cached(spark: SparkSession, sf_dir: str, kind: str, build) -> dict[str, DataFrame]:
+    """Tables built once for the state that a folder is in; those of an earlier state are dropped. build: from a function that writes a table to tables by name."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, _state(spark, sf_dir))
+    if key not in _graphs:
+        for old in [k for k in _graphs if k[:3] == key[:3]]:
+            _release(spark, old)
+        paths: list[str] = []
+
+        def write(df: DataFrame, label: str) -> DataFrame:
+            out, path = kept(df, label)
+            paths.append(path)
+            return out
+
+        _graphs[key] = (build(write), paths)
+    return _graphs[key][0]
+
+
+def _release(spark: SparkSession, key: tuple) -> None:
+    for path in _graphs.pop(key)[1]:
+        drop_path(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Drops all graphs of the session and their tables."""
+    for key in [k for k in _graphs if k[0] == spark.sparkContext.applicationId]:
+        _release(spark, key)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """nodes, edges (weights decayed to the evaluation time) and pending of the trade graph."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs:
+
+    def build(write) -> dict[str, DataFrame]:
         m = mentions(spark, sf_dir)
-        pairs = written(pairs_of(m), "trade-pairs")
+        pairs = write(pairs_of(m), "trade-pairs")
         pending = pairs.filter(F.col("n") < DEFAULT.graduation).select("source", "target", F.lit("co-occurrence").alias("type"), F.col("n").alias("count"), F.col("first").alias("first_seen"))
-        _graphs[key] = {"nodes": written(nodes_of(spark, sf_dir, m), "trade-nodes"), "edges": written(edges_of(pairs, now()), "trade-edges"), "pending": pending}
-    return _graphs[key]
+        return {"nodes": write(nodes_of(spark, sf_dir, m), "trade-nodes"), "edges": write(edges_of(pairs, now()), "trade-edges"), "pending": pending}
+
+    return cached(spark, sf_dir, "trade", build)
 
 
 def snapshot(spark: SparkSession, sf_dir: str, at: str) -> dict[str, DataFrame]:
-    """The trade graph of the orders up to a date, as it stood then."""
-    key = (spark.sparkContext.applicationId, sf_dir + "@" + at)
-    if key not in _graphs:
-        m = mentions(spark, sf_dir).filter(F.col("date") <= F.lit(at).cast("timestamp_ntz"))
-        _graphs[key] = {"nodes": written(nodes_of(spark, sf_dir, m), "snapshot-nodes"), "edges": written(edges_of(pairs_of(m), F.lit(at).cast("timestamp_ntz")), "snapshot-edges")}
-    return _graphs[key]
+    """The trade graph of the orders up to one of ``SNAPSHOT_DATES``, as it stood then. All dates are counted in one pass."""
+    days = [F.lit(d).cast("timestamp_ntz") for d in SNAPSHOT_DATES]
+    counts = [x for k, d in enumerate(days) for x in (F.count_if(F.col("date") <= d).alias(f"n{k}"), F.max(F.when(F.col("date") <= d, F.col("date"))).alias(f"last{k}"))]
+
+    def build(write) -> dict[str, DataFrame]:
+        m = mentions(spark, sf_dir)
+        first = F.min("date").alias("first")
+        return {"parts": write(m.groupBy("l_partkey").agg(first, *counts), "snapshot-parts"), "pairs": write(seen_together(m).groupBy("x", "y").agg(first, *counts), "snapshot-pairs")}
+
+    wide, k = cached(spark, sf_dir, "snapshots", build), SNAPSHOT_DATES.index(at)
+    parts = wide["parts"].filter(F.col(f"n{k}") > 0).select("l_partkey", F.col(f"n{k}").alias("mention_count"), F.col("first").alias("first_seen"), F.col(f"last{k}").alias("last_reinforced"))
+    pairs = wide["pairs"].filter(F.col(f"n{k}") > 0).select("x", "y", F.col(f"n{k}").alias("n"), "first", F.col(f"last{k}").alias("last"))
+    return {"nodes": named_nodes(spark, sf_dir, parts), "edges": edges_of(named_pairs(pairs), days[k])}
 
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_OF.items())

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from mnemora.functions.weights import edge_weight
 from mnemora.operators import dynamics, federation, graph, recall, temporal, vectors, views
 from mnemora.plans.catalog import day, query, r
-from mnemora.plans.derive import TRADE_NOW, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
+from mnemora.plans.derive import SNAPSHOT_DATES, TRADE_NOW, cached, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
 from mnemora.sources import memory_files
 
 AT = f"TIMESTAMP '{TRADE_NOW}'"
 W = "WITH RECURSIVE " + ctes()
 TERMS = ["blue gear", "steel rod", "anvl"]
-SNAP_A, SNAP_B, SNAP_C = "1999-12-31", "2000-12-31", "2001-06-30"
+SNAP_A, SNAP_B, SNAP_C = SNAPSHOT_DATES
 BASE_WEIGHT = "0.3"
 
 
@@ -476,20 +476,15 @@ HIVE_NODES = """hive AS (SELECT id, min_by(label, ord) AS label, sum(mention_cou
 
 
 def agents(spark, sf_dir):
-    from mnemora.plans import derive
-    from mnemora.shared import written
-
-    key = (spark.sparkContext.applicationId, sf_dir + "@agents")
-    if key not in derive._graphs:
-        nodes = edges = None
-        every = mentions(spark, sf_dir)
-        for k in range(3):
-            m = every.filter(F.col("customer") % 3 == k)
-            who = [F.lit(k).alias("agent_ord"), F.lit(f"agent{k}").alias("agent")]
-            n, e = nodes_of(spark, sf_dir, m).select(*who, "*"), edges_of(pairs_of(m), now()).select(*who, "*")
-            nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-        derive._graphs[key] = {"nodes": written(nodes, "agent-nodes"), "edges": written(edges, "agent-edges")}
-    return derive._graphs[key]
+    """Nodes and edges of three agents' graphs, counted in one pass with the agent as a key."""
+
+    def build(write):
+        by = ("agent_ord", "agent")
+        k = F.col("customer") % 3
+        m = mentions(spark, sf_dir).withColumns({"agent_ord": k.cast("int"), "agent": F.concat(F.lit("agent"), k.cast("string"))})
+        return {"nodes": write(nodes_of(spark, sf_dir, m, by), "agent-nodes"), "edges": write(edges_of(pairs_of(m, by), now(), by), "agent-edges")}
+
+    return cached(spark, sf_dir, "agents", build)
 
 
 @query(HIVE_SQL + f", {HIVE_NODES} SELECT *, round((mention_count + reinforcement_count) * 0.6::DOUBLE, 6) AS hive_weight FROM hive")
