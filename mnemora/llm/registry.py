@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language_model, lines, packing, pages, pii, quality, secrets, shards
+from . import decontaminate, fill_in_middle, jaccard, language_model, lines, packing, pages, pii, quality, secrets, shards
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -69,4 +74,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.SQL,
     "op8_line_dedup": lines.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }

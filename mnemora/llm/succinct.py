@@ -135,3 +135,38 @@ class EliasFano:
         equal[inside] = self._low(at[inside]) == low[inside]
         at[far] = self.n
         return at, equal
+
+
+class BitVector:
+    """Packed bits; ones are counted before every block of 512 and, within a block, before every word."""
+
+    def __init__(self, flags: np.ndarray):
+        bits = np.zeros(-(-max(len(flags), 1) // 512) * 64, np.uint8)
+        packed = np.packbits(flags, bitorder="little")
+        bits[: len(packed)] = packed
+        self.n, self.words = len(flags), bits.view("<u8")
+        counts = np.bitwise_count(self.words).reshape(-1, 8).astype(np.int64)
+        self.inner = (np.cumsum(counts, axis=1) - counts).astype(np.uint16)
+        self.before = np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
+        self.ones = int(self.before[-1])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """How many ones stand before places i."""
+        i = np.asarray(i, np.int64)
+        w = np.minimum(i >> 6, len(self.words) - 1)
+        left = (i - 64 * w).astype(U64)
+        mask = np.where(left > 63, ~U64(0), (U64(1) << (left & U64(63))) - U64(1))
+        return self.before[w >> 3] + self.inner.ravel()[w] + np.bitwise_count(self.words[w] & mask).astype(np.int64)
+
+    def select(self, r: np.ndarray) -> np.ndarray:
+        """Places of the r-th ones (from 0); the length where there are no more than r."""
+        r = np.asarray(r, np.int64)
+        out = np.full(len(r), self.n, np.int64)
+        there = np.flatnonzero(r < self.ones)
+        q = r[there]
+        block = np.searchsorted(self.before, q, "right") - 1
+        q = q - self.before[block]
+        word = (self.inner[block] <= q[:, None]).sum(axis=1) - 1
+        at = 8 * block + word
+        out[there] = 64 * at + _select_in_word(self.words[at], q - self.inner[block, word])
+        return out
