@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fill_in_middle, jaccard, language_model, lines, neighbours, packing, pages, pii, quality, secrets, shards
+from . import decontaminate, fill_in_middle, jaccard, language_model, lines, neighbours, packing, pages, pii, quality, secrets, shards, whitening
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
