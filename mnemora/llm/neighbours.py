@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch, ship, written
 
@@ -36,8 +37,10 @@ BLOCK, CHUNK = 256, 65536
 def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """Distinct (id, v, dim, key) of the rows that take part."""
     v = F.col("v")
+    kind = vectors.schema[col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # floats move as floats
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    own = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[col].cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & fine)
+    own = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[col].cast("array<float>" if single else "array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & fine)
     return own.distinct().select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("key"))
 
 
@@ -52,6 +55,7 @@ def _unit(v):
     """Rows scaled by powers of two to a largest entry below one, their norms, and the unit rows."""
     import numpy as np
 
+    v = v.astype(float)
     v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
     norm = np.sqrt(np.einsum("ij,ij->i", v, v))
     return v, norm, v / norm[:, None]
