@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
+from mnemora import keyed
 from mnemora.functions import dates, weights
 from mnemora.operators import dynamics, graph, procedures, store_ops, truth, vectors, views
 from mnemora.plans.catalog import day, query, r
 from mnemora.plans.derive import ctes, graph as trade, mentions, mock_vectors, now, part_id, table
+from mnemora.shared import scratch
 
 W = "WITH " + ctes()
 EP = "ep AS (SELECT o_orderkey AS id, o_orderdate AS timestamp, CASE o_orderstatus WHEN 'F' THEN 'decision' WHEN 'O' THEN 'event' ELSE 'observation' END AS type FROM orders)"
@@ -238,3 +242,38 @@ def node_texts(spark, sf_dir):
     n = trade(spark, sf_dir)["nodes"]
     e = lambda c: F.struct(F.lit("f").alias("file"), c.alias("text"), F.lit("d").alias("date"))
     return n.select("id", F.sha2(vectors.node_text(F.col("label"), F.array(e(F.get("aliases", F.lit(0))), e(F.col("type")))), 256).alias("text_sha256"))
+
+
+DELTAS = """o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderkey % 7 AS u, o_orderkey % 11 AS g FROM orders),
+kept AS (SELECT o_orderkey, o_orderstatus, round(o_totalprice + CASE WHEN u BETWEEN 1 AND 5 THEN u ELSE 0 END, 2)::DOUBLE AS o_totalprice FROM o
+  WHERE CASE WHEN u BETWEEN 1 AND 5 AND g BETWEEN 1 AND 5 THEN u >= g WHEN u BETWEEN 1 AND 5 THEN true WHEN g BETWEEN 1 AND 5 THEN false ELSE o_orderkey % 3 <> 0 END)"""
+
+
+def order_table(spark, sf_dir) -> tuple[keyed.KeyedTable, keyed.State]:
+    """Orders by key: two thirds of them as the base, then five deltas that write some anew and delete others."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    t = keyed.KeyedTable(spark, scratch(spark, "orders"), "orders", StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double"), ("o_orderkey",))
+    state = t.replaced(o.filter("o_orderkey % 3 <> 0"))
+    for k in range(1, 6):
+        new = o.filter(F.col("o_orderkey") % 7 == k).withColumn("o_totalprice", F.col("o_totalprice") + k)
+        state = t.changed(state, new, o.filter(F.col("o_orderkey") % 11 == k))
+    return t, state
+
+
+@query(f"WITH {DELTAS} SELECT * FROM kept")
+def orders_in_deltas(spark, sf_dir):
+    t, state = order_table(spark, sf_dir)
+    return t.rows(state).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query(f"WITH {DELTAS} SELECT * FROM kept")
+def orders_in_deltas_compacted(spark, sf_dir):
+    t, state = order_table(spark, sf_dir)
+    return t.rows(t.compacted(state, all_of_it=True)).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query(f"""WITH {DELTAS} SELECT * FROM kept WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)""")
+def orders_looked_up(spark, sf_dir):
+    t, state = order_table(spark, sf_dir)
+    keys = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t.lookup(state, keys).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
