@@ -1,7 +1,7 @@
 """Tables by key as a sorted base and small deltas: upserts and deletes write what changes, reads merge, compaction folds in.
 
 A run is an immutable Parquet folder of whole rows with two more columns: ``_p``, the partition that Spark's own hash
-partitioning gives the key among ``parts``, and ``_gone``, true where the row only says that its key is deleted. The
+partitioning gives the key (or the part of it that rows are dealt by) among ``parts``, and ``_gone``, true where the row only says that its key is deleted. The
 files of a run hold contiguous ranges of ``_p`` and are sorted by it and the key; a base also has a list of its
 files with their ranges, so that a key opens one file. The newest run that names a key decides it.
 
@@ -35,10 +35,11 @@ def runs(state: State) -> list[dict]:
 
 
 class KeyedTable:
-    """One table's runs. schema: what reads give; keys: columns that tell rows apart; upgrade(rows, version): rows of an older schema brought to the present one."""
+    """One table's runs. schema: what reads give; keys: columns that tell rows apart; by: those of them that rows are dealt and looked up by (all of them, if not given); upgrade(rows, version): rows of an older schema brought to the present one."""
 
-    def __init__(self, spark: SparkSession, folder: str, name: str, schema: StructType, keys: tuple[str, ...], version: int = 0, upgrade: Callable[[DataFrame, int], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, name: str, schema: StructType, keys: tuple[str, ...], version: int = 0, upgrade: Callable[[DataFrame, int], DataFrame] | None = None, by: tuple[str, ...] = ()):
         self.spark, self.folder, self.name, self.schema, self.keys = spark, folder, name, schema, tuple(keys)
+        self.by = tuple(by) or self.keys
         self.version, self.upgrade = version, upgrade or (lambda rows, version: rows)
 
     # writing
@@ -50,9 +51,9 @@ class KeyedTable:
     def _run(self, rows: DataFrame, sizes: bool = False) -> dict:
         parts = self._parts()
         path = f"{self.folder}/{self.name}-{uuid.uuid4().hex}"
-        p = F.pmod(F.hash(*self.keys), F.lit(parts))
+        p = F.pmod(F.hash(*self.by), F.lit(parts))
         # adaptive execution joins neighbouring partitions to files of its advisory size, so each has a contiguous range
-        rows.withColumn("_p", p).repartition(*self.keys).sortWithinPartitions("_p", *self.keys).write.parquet(path)
+        rows.withColumn("_p", p).repartition(*self.by).sortWithinPartitions("_p", *self.by, *[k for k in self.keys if k not in self.by]).write.parquet(path)
         fs, at = hadoop(self.spark, path)
         run = {"path": path, "parts": parts, "bytes": fs.getContentSummary(at).getLength(), "schema": self.version}
         if sizes:
@@ -105,9 +106,10 @@ class KeyedTable:
             out = p if out is None else out.unionByName(p)
         return out
 
-    def _keys_equal(self, a: DataFrame, b: DataFrame) -> Column:
+    @staticmethod
+    def _equal(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> Column:
         out = F.lit(True)
-        for k in self.keys:
+        for k in keys:
             out = out & a[k].eqNullSafe(b[k])
         return out
 
@@ -122,7 +124,7 @@ class KeyedTable:
         if base is None:
             return live
         named = new.select(*self.keys)
-        return base.join(named, self._keys_equal(base, named), "left_anti").filter("not _gone").select(*columns).unionByName(live)
+        return base.join(named, self._equal(base, named, self.keys), "left_anti").filter("not _gone").select(*columns).unionByName(live)
 
     def rows(self, state: State) -> DataFrame:
         """All rows. The base is not shuffled while Spark finds the deltas small enough to broadcast their keys."""
@@ -133,15 +135,15 @@ class KeyedTable:
         base = state["base"]
         if not base or "files" not in base:
             return None
-        p = keys.select(F.pmod(F.hash(*[F.col(k).cast(self.schema[k].dataType) for k in self.keys]), F.lit(base["parts"])).alias("_p")).distinct()
+        p = keys.select(F.pmod(F.hash(*[F.col(k).cast(self.schema[k].dataType) for k in self.by]), F.lit(base["parts"])).alias("_p")).distinct()
         ranges = self.spark.read.parquet(base["files"]).select("file", F.explode(F.sequence("low", "high")).alias("_p"))
         found = ranges.join(p, "_p").select("file").distinct().limit(LOOKED_UP + 1).collect()
         return None if len(found) > LOOKED_UP else [r["file"] for r in found]
 
     def lookup(self, state: State, keys: DataFrame) -> DataFrame:
-        """The rows of some keys (a table with the key columns)."""
-        wanted = keys.select(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys]).distinct()
-        only = lambda df: df.join(wanted, self._keys_equal(df, wanted), "left_semi")
+        """The rows that have some values in the columns that rows are dealt by (a table with these columns)."""
+        wanted = keys.select(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.by]).distinct()
+        only = lambda df: df.join(wanted, self._equal(df, wanted, self.by), "left_semi")
         base, files = None, self.files_of(state, wanted)
         if files is None and state["base"]:
             base = only(self._raw(state["base"]))

@@ -35,21 +35,28 @@ def section_pairs(sightings: DataFrame) -> DataFrame:
 
 def explicit(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     """Edges from links to all other nodes of their section; a pair seen n times, from either end, is reinforced n - 1 times. sightings: also is_link."""
+    return _edges(explicit_pairs(sightings), "explicit", config)
+
+
+def explicit_pairs(sightings: DataFrame) -> DataFrame:
     m = sightings.groupBy("file", "section", "node_id").agg(F.max(F.col("is_link").cast("int")).alias("link"), F.min("date").alias("date"))
     a = m.filter("link = 1").select("file", "section", F.col("node_id").alias("x"), "date")
     b = m.select("file", "section", F.col("node_id").alias("y"))
-    p = a.join(b, ["file", "section"]).filter("x <> y").select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "file", "section", "date")
-    return _edges(p, "explicit", config)
+    return a.join(b, ["file", "section"]).filter("x <> y").select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "file", "section", "date")
 
 
 def causal(sightings: DataFrame, sections: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     """Directed edges between the first two nodes of each causal section (file, section)."""
+    return _edges(causal_pairs(sightings, sections), "causal", config, directed=True)
+
+
+def causal_pairs(sightings: DataFrame, sections: DataFrame) -> DataFrame:
     m = sightings.join(sections.select("file", "section").distinct(), ["file", "section"], "left_semi").groupBy("file", "section", "node_id").agg(F.min("ord").alias("ord"), F.min("date").alias("date"))
     w = Window.partitionBy("file", "section").orderBy("ord", "node_id")
     two = m.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("file", "section").agg(
         F.min_by("node_id", "r").alias("source"), F.max_by("node_id", "r").alias("target"), F.count(F.lit(1)).alias("n"), F.min("date").alias("date")
     )
-    return _edges(two.filter("n = 2").drop("n"), "causal", config, directed=True)
+    return two.filter("n = 2").drop("n")
 
 
 def temporal(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
@@ -60,12 +67,28 @@ def temporal(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     place = F.struct("file", "section_ord", "ord")
     # a node counts from its second sighting on: the least place, and the least one after it, are combined before the shuffle
     first = sightings.groupBy("node_id").agg(F.min(place).alias("_first"))
-    second = sightings.join(first, "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_second"))
+    second = sightings.join(first, "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_s")).select("node_id", "_s.*")
+    kept = temporal_pairs(counted(sightings, second))
+    return _edges(kept.withColumn("section", F.lit("")).withColumn("date", F.col("date").cast(sightings.schema["date"].dataType)), "temporal", config)
+
+
+def counted(sightings: DataFrame, second: DataFrame) -> DataFrame:
+    """(file, section_ord, node_id, ord, date) of nodes in sections at or after their second place (node_id, file, section_ord, ord)."""
+    place = F.struct("file", "section_ord", "ord")
     m = sightings.groupBy("file", "section_ord", "node_id").agg(F.min("ord").alias("ord"), F.max(place).alias("_last"), F.min("date").alias("date"))
-    m = m.join(second, "node_id").filter(F.col("_last") >= F.col("_second")).select("file", "section_ord", "node_id", "ord", "date")
+    m = m.join(second.select("node_id", place.alias("_second")), "node_id").filter(F.col("_last") >= F.col("_second"))
+    return m.select("file", "section_ord", "node_id", "ord", "date")
+
+
+def temporal_pairs(m: DataFrame) -> DataFrame:
+    """(file, source, target, date): the first different pairs of a file in reading order: section, later section, place in the one, place in the other.
+
+    A pair first meets where the node that begins earlier does, at the other's first section; two that begin in one section meet there and at the
+    first of their second sections. So two sections of every node are all that the walk needs, and a pair comes up four times at most before 50
+    different ones are found, however often a file repeats its nodes.
+    """
 
     def form(table):
-        """The first pairs of a file in reading order: section, later section, place in the one, place in the other."""
         import pyarrow as pa
 
         sections: dict = {}
@@ -80,9 +103,10 @@ def temporal(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
         file = table.column("file")[0].as_py()
         return pa.table([pa.array([file] * len(found), pa.string()), *(pa.array([p[k] for p in found], pa.string()) for k in (0, 1)), pa.array(list(found.values()), pa.string())], names=["file", "source", "target", "date"])
 
+    begin = Window.partitionBy("file", "node_id").orderBy("section_ord")
+    m = m.withColumn("_k", F.row_number().over(begin)).filter("_k <= 2")
     text = m.select(F.col("file").cast("string"), F.col("section_ord").cast("long"), F.col("node_id").cast("string"), F.col("ord").cast("long"), F.col("date").cast("string"))
-    kept = text.groupBy("file").applyInArrow(form, "file string, source string, target string, date string")
-    return _edges(kept.withColumn("section", F.lit("")).withColumn("date", F.col("date").cast(sightings.schema["date"].dataType)), "temporal", config)
+    return text.groupBy("file").applyInArrow(form, "file string, source string, target string, date string")
 
 
 def _edges(pairs: DataFrame, kind: str, config: GraphConfig, directed: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from pyspark.sql.types import StructType
 
 from mnemora import keyed
 from mnemora.operators import truth, vectors
-from mnemora.schemas import EDGES, NODES, SCHEMA_VERSION, SNAPSHOTS, TABLES, upgraded
+from mnemora.schemas import DEALT_BY, EDGES, NODES, SCHEMA_VERSION, SNAPSHOTS, TABLES, upgraded
 from mnemora.shared import hadoop
 
+#: Tables of one commit that are written at the same time.
+AT_ONCE = 8
+
 
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str):
@@ -43,11 +47,10 @@ class GraphStore:
         """
         now = self.version()
         states = {t: self._state(t, now) for t in now["tables"]}
-        for name, df in (tables or {}).items():
-            states[name] = self._keyed(name).replaced(df)
-        for name, (rows, gone) in (changes or {}).items():
-            t = self._keyed(name)
-            states[name] = t.compacted(t.changed(self._state(name, now), rows, gone))
+        jobs = {name: (lambda t, df=df: t.replaced(df)) for name, df in (tables or {}).items()}
+        jobs |= {name: (lambda t, c=c, name=name: t.compacted(t.changed(self._state(name, now), *c))) for name, c in (changes or {}).items()}
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # many tables change little: their jobs share the cluster
+            states |= dict(zip(jobs, pool.map(lambda name: jobs[name](self._keyed(name)), jobs), strict=True))
         self._point(now["n"], states)
         return now["n"] + 1
 
@@ -65,7 +68,7 @@ class GraphStore:
 
     def _keyed(self, name: str) -> keyed.KeyedTable:
         ddl, keys = TABLES[name]
-        return keyed.KeyedTable(self.spark, f"{self.path}/tables", name, StructType.fromDDL(ddl), keys, SCHEMA_VERSION, lambda rows, version: upgraded(rows, name, version))
+        return keyed.KeyedTable(self.spark, f"{self.path}/tables", name, StructType.fromDDL(ddl), keys, SCHEMA_VERSION, lambda rows, version: upgraded(rows, name, version), DEALT_BY.get(name, ()))
 
     def _state(self, name: str, version: dict | None = None) -> keyed.State:
         """A table's runs. Stores of before had one path a table, and the version of the schema for all."""
@@ -77,13 +80,14 @@ class GraphStore:
         return self._keyed(name).rows(self._state(name))
 
     def lookup(self, table: str, keys: DataFrame) -> DataFrame:
-        """The rows of some keys, out of the files that may hold them."""
+        """The rows of some keys (for some tables, of a part of the key: DEALT_BY), out of the files that may hold them."""
         return self._keyed(table).lookup(self._state(table), keys)
 
     def get(self, table: str, *key: str) -> dict | None:
         """The row of one key."""
         names = TABLES[table][1]
-        row = self.lookup(table, self.spark.createDataFrame([key], ", ".join(f"{k} string" for k in names))).first()
+        one = self.spark.createDataFrame([key], ", ".join(f"{k} string" for k in names))
+        row = self.lookup(table, one).join(one, list(names), "left_semi").first()
         return row.asDict(recursive=True) if row else None
 
     def compact(self, *names: str) -> int:
