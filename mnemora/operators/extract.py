@@ -73,7 +73,9 @@ def custom(sections: DataFrame, tools: tuple[str, ...] = KNOWN_TOOLS, projects:
     c = F.col("content")
     known = [(n, "tool", 0.9, "(?i)") for n in tools] + [(n, "project", 0.9, "(?i)") for n in projects] + [(n, "person", 0.95, "") for n in people]
     tests = [F.when(c.rlike(f"{f}{WORD_EDGE}{re.escape(n)}([^A-Za-z0-9_]|\\z)"), F.struct(F.lit(n).alias("text"), F.lit(k).alias("type"), F.lit(p).alias("confidence"))) for n, k, p, f in known]
-    names = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<struct<text:string,type:string,confidence:double>>")
+    names = none = F.array().cast("array<struct<text:string,type:string,confidence:double>>")
+    if tests:  # one pattern of all names first: few texts have any
+        names = F.when(c.rlike("(?i)" + "|".join(re.escape(n) for n, *_ in known)), F.array_compact(F.array(*tests))).otherwise(none)
     rest = F.concat(
         _found(c, r"github\.com/([a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+)", "project", 0.9), _found(c, r"#([a-zA-Z][A-Za-z0-9_]+)", "tag", 0.8), _found(c, r"@([a-z0-9_-]+/[a-z0-9_-]+)", "tool", 0.8, "@")
     )

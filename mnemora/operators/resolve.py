@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.config import NEW_NODE_CONFIDENCE
@@ -62,28 +62,73 @@ def fuzzy(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.groupBy("name").agg(F.min("id").alias("id"))
 
 
-def leaders(labels: DataFrame) -> DataFrame:
+#: Pairs that one task settles in order, and rounds between two such tasks for each component.
+IN_ORDER, ROUNDS = 200_000, 3
+
+
+def leaders(labels: DataFrame, in_order: int = IN_ORDER) -> DataFrame:
     """(name, leader) of new labels (name, ord): in order, each joins the first earlier leader it matches loosely, or leads.
 
-    What a label may join depends on the labels before it, so the chain is followed in rounds over the
-    table of matching pairs: a label is settled once all its earlier matches are.
+    Whether a label leads depends on the matching labels before it alone. All that no open label precedes lead at once, and what
+    they match follows; what is then left of each component is settled in order inside a task, its first ``in_order`` pairs at a time, so a chain
+    in the worst order costs no rounds of its own.
     """
-    from mnemora.shared import written
+    from mnemora.shared import small_enough, written
 
     l = written(labels.groupBy("name").agg(F.min("ord").alias("ord")), "labels")
     p = fuzzy_pairs(l, l).filter("name <> other")
     o = l.select(F.col("name").alias("other"), F.col("ord").alias("other_ord"))
     before = written(p.join(l, "name").join(o, "other").filter("other_ord < ord").select("name", "ord", "other", "other_ord"), "before")
-    lead = l.join(before.select("name").distinct(), "name", "left_anti").select("name", F.col("name").alias("leader"))
-    lead = written(lead, "leaders")
-    open_ = l.join(lead, "name", "left_anti")
-    while open_.limit(1).count():
-        known = before.join(open_.select("name"), "name", "left_semi").join(lead.withColumnsRenamed({"name": "other", "leader": "of"}), "other", "left")
-        done = known.groupBy("name").agg(F.count_if(F.col("of").isNull()).alias("waiting"), F.min(F.when(F.col("of") == F.col("other"), F.struct("other_ord", "other"))).alias("first"))
-        ready = done.filter("waiting = 0").select("name", F.coalesce("first.other", "name").alias("leader"))
-        lead = written(lead.unionByName(ready), "leaders")
-        open_ = l.join(lead, "name", "left_anti")
-    return lead
+    open_, pairs, lead = l.select("name"), before, []
+    while True:
+        new = written(open_.join(pairs.select("name").distinct(), "name", "left_anti"), "leaders")  # no open label matches them earlier
+        lead.append(new)
+        if small_enough(pairs, in_order):
+            lead.append(written(_settled(pairs.withColumn("root", F.lit(0))), "leaders"))
+            break
+        if len(lead) % ROUNDS == 0:
+            lead.append(written(_settled(_first_pairs(pairs, in_order)), "leaders"))
+            new = new.unionByName(lead[-1])
+        follow = pairs.join(new.withColumnRenamed("name", "other"), "other", "left_semi").select("name").distinct()
+        gone = written(new.unionByName(follow).distinct(), "settled")
+        open_ = written(open_.join(gone, "name", "left_anti"), "open")
+        pairs = written(pairs.join(gone, "name", "left_anti").join(gone.withColumnRenamed("name", "other"), "other", "left_anti"), "pairs")
+    every = lead[0]
+    for more in lead[1:]:
+        every = every.unionByName(more)
+    every = written(every, "leaders")
+    joined = before.join(every, "name", "left_anti").join(every.withColumnRenamed("name", "other"), "other", "left_semi")
+    followed = joined.groupBy("name").agg(F.min(F.struct("other_ord", "other"))["other"].alias("leader"))
+    return every.select("name", F.col("name").alias("leader")).unionByName(followed)
+
+
+def _first_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """Pairs with ``root`` of each component's first labels in order, so many pairs in all (or one label's)."""
+    from mnemora.operators.components import contract
+
+    root = contract(pairs.select(F.col("name").alias("a"), F.col("other").alias("b")), least=False).withColumnRenamed("node", "name")
+    by = Window.partitionBy("root").orderBy("ord", "name")
+    size = pairs.groupBy("name", "ord").agg(F.count(F.lit(1)).alias("_n")).join(root, "name").withColumn("_sum", F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return pairs.join(size.filter((F.col("_sum") <= most) | (F.col("_sum") == F.col("_n"))).select("name", "root"), "name")
+
+
+def _settled(pairs: DataFrame) -> DataFrame:
+    """The labels that lead among those of pairs (root, name, ord, other), settled in order; an ``other`` that is no name of its root leads."""
+
+    def walk(table):
+        import pyarrow as pa
+
+        lead, names = set(), table.column("name").to_pylist()
+        at: dict = {}
+        for name, ord_, other in zip(names, table.column("ord").to_pylist(), table.column("other").to_pylist(), strict=True):
+            at.setdefault(name, (ord_, []))[1].append(other)
+        place = lambda o: tuple(o.values()) if isinstance(o, dict) else o
+        for name in sorted(at, key=lambda n: (place(at[n][0]), n)):
+            if not any(o in lead or o not in at for o in at[name][1]):
+                lead.add(name)
+        return pa.table({"name": pa.array(sorted(lead), pa.string())})
+
+    return pairs.select("root", "name", "ord", "other").groupBy("root").applyInArrow(walk, "name string")
 
 
 def resolve(mentions: DataFrame, nodes: DataFrame, aliases: dict[str, str] | None = None, ignore: list[str] | None = None) -> DataFrame:

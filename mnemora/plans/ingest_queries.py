@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import normalize
-from mnemora.operators import conversations, dynamics, extract, merge, resolve, store_ops
-from mnemora.plans.catalog import query, r
-from mnemora.plans.derive import table
+from mnemora.operators import conversations, dynamics, extract, increments, merge, resolve, store_ops
+from mnemora.plans.catalog import ORACLES, query, r
+from mnemora.plans.derive import cached, table
+from mnemora.shared import written
 
 #: Notes over the tables: a file for each customer, a section for each order, its lines named in turn by link, bold and code.
 NOTES_SQL = """notes AS (SELECT 'customer-' || o_custkey || '.md' AS file, '## ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderkey AS section, 'Order ' || o_orderkey AS heading, o_orderkey AS line,
@@ -92,9 +93,10 @@ def sightings(own):
 
 
 def _seen(spark, sf_dir, own):
-    from mnemora.shared import written
-
-    return sightings(written(notes(spark, sf_dir), "notes") if own is None else own)
+    """Sightings of the notes; those of the tables are written once."""
+    if own is not None:
+        return sightings(own)
+    return cached(spark, sf_dir, "sightings", lambda write: {"sightings": write(sightings(write(notes(spark, sf_dir), "notes")), "sightings")})["sightings"]
 
 
 NOTE_NODES = MENTIONS + ", m AS (SELECT b.*, date, substr(sha256(name), 1, 16) AS node_id FROM best b JOIN notes USING (file, section))"
@@ -140,6 +142,41 @@ def temporal_edges_capped(spark, sf_dir, own=None):
     return merge.temporal(_seen(spark, sf_dir, own)).select("id", "reinforcement_count")
 
 
+def _changed(spark, sf_dir, own):
+    """Sightings before some files changed, those of the changed files (file) now, and these files: a tenth of the files are new, another tenth had half of their sections."""
+    seen = _seen(spark, sf_dir, own)
+    lot = F.pmod(F.xxhash64("file"), F.lit(10))
+    old = seen.filter((lot != 4) & ((lot != 3) | (F.pmod(F.xxhash64("section"), F.lit(2)) == 0)))
+    fresh = seen.filter(lot.isin(3, 4))
+    return old, fresh, seen.filter(lot.isin(3, 4)).select("file").distinct()
+
+
+@query(ORACLES["note_nodes"])
+def note_nodes_after_changes(spark, sf_dir, own=None):
+    """Nodes kept up as files change: those that the changed files name are summed anew of their parts, the others stay as they were."""
+    old, fresh, files = _changed(spark, sf_dir, own)
+    parts = written(increments.node_parts(old), "parts")
+    stored = increments.nodes_of(parts)
+    ids = fresh.select("node_id").unionByName(old.join(files, "file", "left_semi").select("node_id")).distinct()
+    now = parts.join(ids, "node_id", "left_semi").join(files, "file", "left_anti").select(parts.columns).unionByName(increments.node_parts(fresh))
+    n = stored.join(ids.withColumnRenamed("node_id", "id"), "id", "left_anti").unionByName(increments.nodes_of(now).select(stored.columns))
+    return n.select("id", "label", "mention_count", "reinforcement_count", "first_seen", "last_reinforced", F.size("source_files").cast("long").alias("files"), F.size("excerpts").cast("long").alias("excerpts"))
+
+
+@query(ORACLES["note_cooccurrence"])
+def note_cooccurrence_after_changes(spark, sf_dir, own=None):
+    """Co-occurrence edges kept up likewise, by the pairs that the changed files name."""
+    old, fresh, files = _changed(spark, sf_dir, own)
+    none = fresh.select("file", "section").filter("false")
+    parts = written(increments.pair_parts(old, none).filter("type = 'co-occurrence'"), "parts")
+    new = written(increments.pair_parts(fresh, none).filter("type = 'co-occurrence'"), "new-parts")
+    named = new.select(*increments.PAIR).unionByName(parts.join(files, "file", "left_semi").select(*increments.PAIR)).distinct()
+    now = parts.join(named, increments.PAIR, "left_semi").join(files, "file", "left_anti").select(parts.columns).unionByName(new.select(parts.columns))
+    pairs = increments.pairs_of(parts.join(named, increments.PAIR, "left_anti").select(parts.columns)).unionByName(increments.pairs_of(now))
+    e, _ = increments.edges_of(pairs)
+    return e.select("id", "reinforcement_count", "first_formed", "last_reinforced", F.size("evidence").cast("long").alias("evidence"))
+
+
 # resolution over part names
 
 NAMES = "names AS (SELECT DISTINCT p_name AS label FROM part), known AS (SELECT label, substr(sha256(label), 1, 16) AS id FROM names WHERE ascii(substr(sha256(label), 1, 1)) % 2 = 0)"

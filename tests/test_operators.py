@@ -51,6 +51,17 @@ def test_leaders_follow_the_order(spark):
     assert {r["name"]: r["leader"] for r in resolve.leaders(df).collect()} == expected
 
 
+@pytest.mark.parametrize("in_order", [resolve.IN_ORDER, 600])
+def test_leaders_of_a_chain(spark, monkeypatch, in_order):
+    """2000 labels, each like the one before only: rounds alone would settle them link by link."""
+    names = [f"word{i:08d} word{i + 1:08d}" for i in range(2000)]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord long")
+    tasks, settled = [], resolve._settled
+    monkeypatch.setattr(resolve, "_settled", lambda p: tasks.append(1) or settled(p))
+    assert {r["name"]: r["leader"] for r in resolve.leaders(df, in_order).collect()} == {n: names[i - i % 2] for i, n in enumerate(names)}
+    assert len(tasks) == (1 if in_order > 2000 else len(tasks)) and len(tasks) <= 5
+
+
 def plain_chunks(messages, most, tokens, gap=30 * 60):
     out, current = [], []
     size = lambda ms: -(-sum(len(m[3]) + len(m[2]) + 2 for m in ms) // 4)
