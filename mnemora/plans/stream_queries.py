@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.plans.catalog import query
-from mnemora.streaming import sessions, twins
+from mnemora.shared import scratch
+from mnemora.streaming import late, sessions, twins
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -24,3 +25,14 @@ SELECT user_id, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS st
 def stream_sessions(spark, sf_dir):
     out = twins.finished(spark, sf_dir, "events", sessions.gap_sessions)
     return out.select("user_id", "events", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"))
+
+
+@query("""SELECT user_id::VARCHAR AS key, count(DISTINCT event_id) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_reinforced,
+  max(ts) + INTERVAL 3 DAY < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS dormant FROM events GROUP BY user_id""")
+def stream_late_events(spark, sf_dir):
+    """Every user's sightings out of a change log that each file of the stream corrects; users silent for three days at the watermark are dormant."""
+    events = twins.file_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts")
+    path = scratch(spark, "late-log")
+    late.keep(late.change_log(events, "7 days", "3 days"), path, scratch(spark, "late-state"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return late.holding(spark, path).select("key", "n", at("first_seen"), at("last_reinforced"), "dormant")
