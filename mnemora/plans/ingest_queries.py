@@ -177,6 +177,39 @@ def note_cooccurrence_after_changes(spark, sf_dir, own=None):
     return e.select("id", "reinforcement_count", "first_formed", "last_reinforced", F.size("evidence").cast("long").alias("evidence"))
 
 
+#: A note a customer, of blocks of all kinds: a section an order, its heading underlined for odd keys; what stands in code and quotes begins none.
+MARKDOWN = """notes AS (SELECT o_custkey, o_orderkey, string_agg(p_name, chr(10) ORDER BY l_linenumber, l_partkey) AS names, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
+
+
+def markdown_notes(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    names = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))), lambda x: F.concat(F.lit("- **"), x["p_name"], F.lit("**\n")))
+    own = l.join(p, l["l_partkey"] == p["p_partkey"]).groupBy("l_orderkey").agg(F.array_join(names, "").alias("items")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    key = F.col("o_orderkey").cast("string")
+    head = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("## Order "), key, F.lit("\n"))).otherwise(F.concat(F.lit("Order "), key, F.lit("\n---\n")))
+    section = F.concat(head, F.lit("```\n## code\n```\n"), "items", F.lit("\n> ## quoted\n> - by Docker\n\n    ## indented\n\n"))
+    notes = own.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", section.alias("s")))), lambda x: x["s"]), "").alias("text"))
+    return notes.select(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+@query(f"""WITH {MARKDOWN} SELECT 'customer-' || o_custkey || '.md' AS file, 'Order ' || o_orderkey AS heading, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS section_ord,
+  names || chr(10) || 'quoted' || chr(10) || 'by Docker' AS content FROM notes""")
+def markdown_sections(spark, sf_dir):
+    from mnemora.sources.notes import sections
+
+    return sections(markdown_notes(spark, sf_dir)).select("file", "heading", "section_ord", "content")
+
+
+@query(f"""WITH {MARKDOWN}, k AS (SELECT o_custkey, o_orderkey, lines, unnest(['heading', 'code', 'list', 'item', 'paragraph', 'quote', 'heading', 'list', 'item', 'paragraph', 'code']) AS kind, unnest([0, 0, 0, 1, 2, 0, 1, 1, 2, 3, 0]) AS depth, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) AS i FROM notes)
+SELECT 'customer-' || o_custkey || '.md' AS path, kind, depth, sum(CASE WHEN i IN (4, 5) THEN lines ELSE 1 END)::BIGINT AS n FROM k GROUP BY ALL""")
+def markdown_blocks(spark, sf_dir):
+    from mnemora.sources.markdown import blocks
+
+    return blocks(markdown_notes(spark, sf_dir)).groupBy("path", "kind", F.col("depth").cast("int").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # resolution over part names
 
 NAMES = "names AS (SELECT DISTINCT p_name AS label FROM part), known AS (SELECT label, substr(sha256(label), 1, 16) AS id FROM names WHERE ascii(substr(sha256(label), 1, 1)) % 2 = 0)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.dates import file_date
 from mnemora.shared import hadoop, ship
+from mnemora.sources import markdown
 
 
 def discover(spark: SparkSession, *inputs: str, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -44,42 +45,32 @@ def document_date(path: Column, text: Column, modified: Column) -> Column:
     return F.coalesce(F.when(own != "", own), file_date(path), F.date_format(modified, "yyyy-MM-dd"))
 
 
-FENCE = re.compile(r"^\s*(```|~~~)")
-HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-
-
 def split_sections(text: str, keep_markup: bool = False) -> list[tuple[str, str, int, int, str]]:
     """(heading, heading path, first line, last line, content) of the second-level sections of a note.
 
-    Text before the first is ``(intro)``; sections without text are dropped; a note with none is one
-    section. Fenced code is left out; bold marks go unless kept; list items keep their lines.
+    A section begins at a heading of the second level that stands in no quote, list or code, of either form (``##`` or underlined). Text before the
+    first is ``(intro)``; sections without text are dropped; a note with none is one section. Code and HTML are left out; inline marks go unless kept.
     """
-    body = re.sub(r"\A---\n.*?\n---\n", lambda m: "\n" * m[0].count("\n"), text or "", flags=re.S)
-    out, heading, first, lines, fence = [], "(intro)", 1, [], False
+    out, heading, first, parts = [], "(intro)", 1, []
 
     def close(last: int) -> None:
-        content = "\n".join(lines).strip()
+        content = "\n".join(parts).strip()
         if content:
-            path = "(intro)" if heading == "(intro)" else f"## {heading}"
-            out.append((heading, path, first, last, content))
-        lines.clear()
-
-    n = 0
-    for n, line in enumerate(body.split("\n"), 1):
-        if FENCE.match(line):
-            fence = not fence
-            continue
-        if fence:
-            continue
-        h = HEADING.match(line)
-        if h and len(h[1]) == 2:
-            close(n - 1)
-            heading, first = h[2], n
-            continue
-        own = h[2] if h else re.sub(r"^\s*(?:[-*+]|\d+[.)])\s+|^\s*>\s?", "", line)
-        lines.append(own if keep_markup else own.replace("**", "").replace("__", ""))
-    close(n)
-    return out or ([("(intro)", "(intro)", 1, n, (text or "").strip())] if (text or "").strip() else [])
+            out.append((heading, "(intro)" if heading == "(intro)" else f"## {heading}", first, max(last, first), content))
+        parts.clear()
+
+    found = markdown.document(text or "")
+    for b in found:
+        if b.kind == "heading" and b.level == 2:
+            close(b.first - 1)
+            heading, first = b.text().replace("\n", " "), b.first
+        else:
+            own = b.text(keep_markup)
+            if own.strip():
+                parts.append(own)
+    close(found[-1].last if found else 1)
+    whole = (text or "").strip()
+    return out or ([("(intro)", "(intro)", 1, text.count("\n") + 1, whole)] if whole else [])
 
 
 def sections(files: DataFrame, keep_markup: bool = False) -> DataFrame:
