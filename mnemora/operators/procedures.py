@@ -36,8 +36,8 @@ def health(procedures: DataFrame) -> DataFrame:
     )
 
 
-def match(procedures: DataFrame, terms: list[str], contexts: list[str], now: Column, limit: int = 5, least: float = 0.3) -> DataFrame:
-    """(id, statement, score, matched_keywords): share of triggers met, by confidence and how lately the procedure was applied."""
+def match(procedures: DataFrame, terms: list[str], contexts: list[str], now: Column, limit: int | None = 5, least: float = 0.3) -> DataFrame:
+    """(id, statement, score, matched_keywords): share of triggers met, by confidence and how lately the procedure was applied; the best ones first, or all where there is no limit."""
     t = F.array(*[F.lit(x) for x in terms]).cast("array<string>")
     c = F.array(*[F.lit(x.lower()) for x in contexts]).cast("array<string>")
     hits = F.filter("trigger_keywords", lambda k: F.exists(t, lambda q: k.contains(q) | q.contains(k)))
@@ -45,4 +45,5 @@ def match(procedures: DataFrame, terms: list[str], contexts: list[str], now: Col
     score = (F.size(hits) / F.greatest(F.size("trigger_keywords"), F.lit(1)) * 0.7 + F.size(met) / F.greatest(F.size("trigger_contexts"), F.lit(1)) * 0.3) * F.col("confidence")
     late = F.greatest(F.lit(0.5), 1 - days_between(instant(F.col("last_applied")), now) / 365)
     p = procedures.select("id", "statement", (score * F.when(F.col("last_applied").isNotNull(), late).otherwise(F.lit(1.0))).alias("score"), F.array_join(hits, ",").alias("matched_keywords"))
-    return p.filter(F.col("score") >= least).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    p = p.filter(F.col("score") >= least)
+    return p if limit is None else p.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)

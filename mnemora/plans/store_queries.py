@@ -46,29 +46,52 @@ def episode_roles(spark, sf_dir):
     return p.select("id", F.array_join("participants", ",").alias("participants"), F.array_join("topics", ",").alias("topics"))
 
 
-PROCS = [
-    ("p1", "run tests before pushing", ["tests", "push"], ["ci"], 0.8, None, 0, False), ("p2", "prefer small commits", ["commit", "small", "review"], ["git"], 0.6, "2001-03-01", 1, False),
-    ("p3", "rotate the tokens", ["token", "rotate"], [], 0.4, "1999-01-01", 2, False), ("p4", "index before search", ["index", "search"], ["db", "ci"], 0.9, None, 0, True),
-]
-PROC_SCHEMA = "id string, statement string, trigger_keywords array<string>, trigger_contexts array<string>, confidence double, last_applied string, contradictions long, flagged_for_review boolean"
-
+#: A procedure a conversation, of its first assistant's turn: its longer words trigger it.
+PROCS = """procs AS (SELECT conv_id, 'proc-' || conv_id AS id, text AS statement, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS kw, ['topic' || conv_id % 7, 'ci'][1:1 + conv_id % 2] AS ctx,
+  round(0.3 + (conv_id * 7 % 60) / 100.0, 2)::DOUBLE AS confidence, CASE WHEN conv_id % 3 > 0 THEN conv_id * 5 % 400 END AS age, conv_id % 3 AS contradictions, conv_id % 11 = 0 AS flagged
+  FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id))"""
+
+
+def procs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null").groupBy("conv_id").agg(F.min_by("text", "turn").alias("statement"))
+    n = F.col("conv_id")
+    at = F.date_format(F.date_sub(now().cast("date"), (n * 5 % 400).cast("int")), "yyyy-MM-dd")
+    return c.select(
+        F.concat(F.lit("proc-"), n.cast("string")).alias("id"), "statement", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("statement"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("trigger_keywords"),
+        F.slice(F.array(F.concat(F.lit("topic"), (n % 7).cast("string")), F.lit("ci")), F.lit(1), (1 + n % 2).cast("int")).alias("trigger_contexts"), F.round(0.3 + (n * 7 % 60) / 100, 2).alias("confidence"),
+        F.when(n % 3 > 0, at).alias("last_applied"), (n % 3).cast("long").alias("contradictions"), (n % 11 == 0).alias("flagged_for_review"), F.lit(1.0).alias("stability"), F.lit(0).cast("long").alias("applications"), F.lit("preference").alias("type"),
+    )
+
+
+@query(f"""WITH {PROCS}, h AS (SELECT *, len(list_filter(kw, lambda k: contains(k, 'tion') OR contains(k, 'her') OR contains('restoring', k))) AS hits, len(list_filter(ctx, lambda x: x IN ('ci', 'topic3'))) AS met FROM procs),
+s AS (SELECT id, statement, (hits / greatest(len(kw), 1)::DOUBLE * 0.7 + met / greatest(len(ctx), 1)::DOUBLE * 0.3) * confidence * CASE WHEN age IS NULL THEN 1 ELSE greatest(0.5, 1 - age / 365.0::DOUBLE) END AS score FROM h)
+SELECT id, statement, round(score, 6)::DOUBLE AS score FROM s WHERE score >= 0.05""")
+def procedure_match(spark, sf_dir):
+    p = procs(spark, sf_dir)
+    return procedures.match(p, ["tion", "her", "restoring"], ["CI", "topic3"], now(), limit=None, least=0.05).select("id", "statement", r("score", "score"))
 
-def procs(spark):
-    return spark.createDataFrame(PROCS, PROC_SCHEMA).withColumns({"stability": F.lit(1.0), "applications": F.lit(0).cast("long"), "type": F.lit("preference")})
 
+@query(f"""WITH {PROCS}, h AS (SELECT *, len(list_filter(kw, lambda k: contains(k, 'tion'))) AS hits FROM procs), s AS (SELECT id, hits / greatest(len(kw), 1)::DOUBLE * 0.7 * confidence * CASE WHEN age IS NULL THEN 1 ELSE greatest(0.5, 1 - age / 365.0::DOUBLE) END AS score FROM h)
+SELECT id, round(score, 6)::DOUBLE AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS place FROM s WHERE score > 0 ORDER BY place LIMIT 10""")
+def procedure_top(spark, sf_dir):
+    from pyspark.sql import Window
 
-@query("""WITH s(id, statement, kw, ctx, c, d) AS (VALUES ('p1', 'run tests before pushing', 1 / 2.0, 1 / 1.0, 0.8, 1.0), ('p4', 'index before search', 2 / 2.0, 1 / 2.0, 0.9, 1.0))
-SELECT id, statement, round((kw * 0.7 + ctx * 0.3) * c * d, 6)::DOUBLE AS score FROM s""")
-def procedure_match(spark, sf_dir):
-    return procedures.match(procs(spark), ["search", "indexes", "testing", "tests"], ["CI"], now()).select("id", "statement", r("score", "score"))
+    p = procedures.match(procs(spark, sf_dir), ["tion"], [], now(), limit=10, least=1e-12)
+    return p.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).cast("long")).select("id", r("score", "score"), "place")  # ten rows
 
 
-@query("""SELECT * FROM (VALUES ('p1', round(0.8 + 0.1 * 0.2, 6)::DOUBLE, 1, 0, false), ('p2', 0.6::DOUBLE, 0, 1, false), ('p3', round(0.4 * 0.8 * 0.8, 6)::DOUBLE, 0, 4, true), ('p4', round((0.9 + 0.01) * 0.8, 6)::DOUBLE, 1, 1, true)) v(id, confidence, applications, contradictions, flagged)""")
+@query(f"""WITH RECURSIVE {PROCS}, fb AS (SELECT id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS f, row_number() OVER (PARTITION BY id ORDER BY event_id) AS k FROM events JOIN procs ON conv_id = user_id),
+x AS (SELECT id, 0::BIGINT AS k, confidence AS c, 1.0::DOUBLE AS s, 0 AS a, contradictions::INTEGER AS n, flagged FROM procs UNION ALL
+  SELECT id, k, c, s, a, n, flagged OR (f < 0 AND n >= 3 AND c < 0.3) FROM (SELECT x.id, fb.k, f, flagged, CASE f WHEN 1 THEN least(0.99, c + 0.1 * (1 - c)) WHEN -1 THEN greatest(0.01, c * 0.8) ELSE c END AS c,
+    CASE f WHEN 1 THEN least(2.0, s + 0.1) ELSE s END AS s, CASE f WHEN 1 THEN a + 1 ELSE a END AS a, CASE f WHEN -1 THEN n + 1 ELSE n END AS n FROM x JOIN fb ON fb.id = x.id AND fb.k = x.k + 1))
+SELECT id, round(arg_max(c, k), 6)::DOUBLE AS confidence, round(arg_max(s, k), 6)::DOUBLE AS stability, arg_max(a, k)::INTEGER AS applications, arg_max(n, k)::INTEGER AS contradictions, arg_max(flagged, k) AS flagged FROM x GROUP BY id""")
 def procedure_feedback_fold(spark, sf_dir):
-    f = [("p1", 1, "positive"), ("p1", 2, "neutral"), ("p3", 1, "negative"), ("p3", 2, "negative"), ("p4", 1, "positive"), ("p4", 2, "negative")]
-    fb = spark.createDataFrame([(*x, "2001-08-01") for x in f], "procedure_id string, ord long, feedback string, at string")
-    p = dynamics.apply_feedback(procs(spark), fb)
-    return p.select("id", r("confidence", "confidence"), F.col("applications").cast("int").alias("applications"), F.col("contradictions").cast("int").alias("contradictions"), F.col("flagged_for_review").alias("flagged"))
+    """Every event of a user is a verdict on the procedure of the same number: purchases praise, errors blame."""
+    kind = F.when(F.col("event_type") == "purchase", "positive").when(F.col("event_type") == "error", "negative").otherwise("neutral")
+    fb = table(spark, sf_dir, "events").select(F.concat(F.lit("proc-"), F.col("user_id").cast("string")).alias("procedure_id"), F.col("event_id").cast("long").alias("ord"), kind.alias("feedback"), F.col("ts").cast("string").alias("at"))
+    p = dynamics.apply_feedback(procs(spark, sf_dir), fb)
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    return p.select("id", r("confidence", "confidence"), r("stability", "stability"), whole("applications"), whole("contradictions"), F.col("flagged_for_review").alias("flagged"))
 
 
 @query(W + """, n AS (SELECT id, CASE WHEN mention_count % 3 = 0 THEN 0.5 WHEN mention_count % 3 = 1 THEN -0.5 ELSE 0 END AS rating FROM nodes),
@@ -186,12 +209,14 @@ def embedding_coverage(spark, sf_dir):
     return vectors.coverage(e, e.filter(F.col("id").cast("long") % 3 != 0)).select("total", "embedded", r("percent", "percent"))
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('p1', 0.8, false, 0), ('p2', 0.6, false, 0), ('p3', 0.4, false, 0), ('p4', 0.9, true, 0), ('p4', 0.1, false, 1), ('p5', 0.2, true, 1)) v(id, confidence, flagged, k)),
+@query(f"""WITH {PROCS}, p AS (SELECT id, confidence, flagged, 0 AS k FROM procs WHERE conv_id % 3 > 0 UNION ALL SELECT id, confidence / 2, NOT flagged, 1 FROM procs WHERE conv_id % 2 = 0),
 m AS (SELECT id, arg_min(confidence, k) AS confidence, arg_min(flagged, k) AS flagged FROM p GROUP BY id)
 SELECT count(*) AS procedures, count(*) FILTER (flagged) AS flagged, round(avg(confidence), 6)::DOUBLE AS average_confidence, count(*) FILTER (confidence < 0.3) AS weak FROM m""")
 def procedures_merged(spark, sf_dir):
-    own = procs(spark).select("id", "confidence", "flagged_for_review")
-    hive = spark.createDataFrame([("p4", 0.1, False), ("p5", 0.2, True)], "id string, confidence double, flagged_for_review boolean")
+    """Two stores' procedures: those of the own one hide those of the shared one."""
+    p = procs(spark, sf_dir).select("id", "confidence", "flagged_for_review", F.substring("id", 6, 20).cast("long").alias("n"))
+    own = p.filter("n % 3 > 0").drop("n")
+    hive = p.filter("n % 2 = 0").select("id", (F.col("confidence") / 2).alias("confidence"), (~F.col("flagged_for_review")).alias("flagged_for_review"))
     return procedures.health(procedures.merged(own, hive)).withColumn("average_confidence", F.round("average_confidence", 6))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemora.operators import conversations, dynamics, extract, federation, graph, resolve, temporal, vectors
+from mnemora.operators import conversations, dynamics, extract, federation, graph, procedures, resolve, temporal, vectors
 
 
 def lev(a, b):
@@ -218,3 +218,20 @@ def test_components_of_an_ordered_chain(spark, monkeypatch):
     assert {r["root"]: r["n"] for r in got.groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: n, n: 500, 2 * n: n}
     any_root = components.contract(df, least=False)
     assert sorted(r["n"] for r in any_root.groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()) == [500, n, n]
+
+
+def test_few_procedures(spark):
+    """Matches and feedback on procedures small enough to follow by hand."""
+    schema = "id string, statement string, trigger_keywords array<string>, trigger_contexts array<string>, confidence double, last_applied string, contradictions long, flagged_for_review boolean"
+    rows = [
+        ("p1", "run tests before pushing", ["tests", "push"], ["ci"], 0.8, None, 0, False), ("p2", "prefer small commits", ["commit", "small", "review"], ["git"], 0.6, "2001-03-01", 1, False),
+        ("p3", "rotate the tokens", ["token", "rotate"], [], 0.4, "1999-01-01", 2, False), ("p4", "index before search", ["index", "search"], ["db", "ci"], 0.9, None, 0, True),
+    ]
+    p = spark.createDataFrame(rows, schema).withColumns({"stability": F.lit(1.0), "applications": F.lit(0).cast("long"), "type": F.lit("preference")})
+    now = F.lit("2001-09-01").cast("timestamp_ntz")
+    got = {r["id"]: round(r["score"], 6) for r in procedures.match(p, ["search", "indexes", "testing", "tests"], ["CI"], now).collect()}
+    assert got == {"p1": round((0.5 * 0.7 + 0.3) * 0.8, 6), "p4": round((0.7 + 0.15) * 0.9, 6)}
+    f = [("p1", 1, "positive"), ("p1", 2, "neutral"), ("p3", 1, "negative"), ("p3", 2, "negative"), ("p4", 1, "positive"), ("p4", 2, "negative")]
+    after = dynamics.apply_feedback(p, spark.createDataFrame([(*x, "2001-08-01") for x in f], "procedure_id string, ord long, feedback string, at string"))
+    got = {r["id"]: (round(r["confidence"], 6), r["applications"], r["contradictions"], r["flagged_for_review"]) for r in after.collect()}
+    assert got == {"p1": (0.82, 1, 0, False), "p2": (0.6, 0, 1, False), "p3": (0.256, 0, 4, True), "p4": (0.728, 1, 1, True)}
