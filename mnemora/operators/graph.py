@@ -145,22 +145,53 @@ def stats(nodes: DataFrame, edges: DataFrame, config: GraphConfig = DEFAULT) ->
     return out.unionByName(row(total_e, "average_weight", F.lit(""), F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(0.0))))
 
 
-def search(nodes: DataFrame, terms: list[str], kind: str | None = None, since_days: int | None = None, now: Column | None = None) -> DataFrame:
-    """(id, label, match_score > 0): the mean over the terms of the best match with a name (label or alias); of a type, reinforced so few days ago."""
+def _grams(text: Column, singles: Column | bool) -> Column:
+    """Distinct pairs of neighbouring characters, and the characters themselves where ``singles`` says so."""
+    n = F.length(text)
+    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    one = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_distinct(F.concat(pairs, F.when(F.lit(singles) if isinstance(singles, bool) else singles, one).otherwise(F.array().cast("array<string>"))))
+
+
+def name_grams(nodes: DataFrame, singles: bool = False) -> DataFrame:
+    """An inverted index of names (labels and aliases): gram, id, label, name (normalised), grams (how many the name has). Names of one character, and with ``singles`` all, are also found by single characters."""
+    names = nodes.select("id", "label", F.explode(F.array_distinct(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
+    names = names.withColumn("name", normalize(F.col("name"))).distinct()
+    g = _grams(F.col("name"), (F.length("name") == 1) | F.lit(singles))
+    return names.withColumn("_g", g).select("id", "label", "name", F.size("_g").alias("grams"), F.explode("_g").alias("gram"))
+
+
+def search(nodes: DataFrame, terms: list[str], kind: str | None = None, since_days: int | None = None, now: Column | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(id, label, match_score > 0): the mean over the terms of the best match with a name (label or alias); of a type, reinforced so few days ago.
+
+    Terms meet names through shared pairs of characters (index: name_grams of the nodes, if it is kept). A match within k edits keeps all but 2k of a term's pairs, a
+    name inside a term has all of its own there, so counts of shared pairs rule most names out before any distance is computed. A blank term meets every name.
+    """
     if kind is not None:
         nodes = nodes.filter(F.col("type") == kind)
     if since_days is not None:
         nodes = nodes.filter(days_between(F.col("last_reinforced"), now) <= since_days)
-    names = nodes.select("id", "label", F.explode(F.array_distinct(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
     t = nodes.sparkSession.createDataFrame([(i, x) for i, x in enumerate(terms)], "i int, term string").select("i", normalize(F.col("term")).alias("term"))
-    m = names.withColumn("name", normalize(F.col("name"))).join(F.broadcast(t), how="cross")  # a stated list of terms against all names
+    sizes = [(r["i"], r["n"]) for r in t.select("i", F.length("term").alias("n")).collect()]  # a stated list
+    short, blank = any(n == 1 for _, n in sizes), [i for i, n in sizes if n == 0]
+    every = name_grams(nodes, short) if index is None or short else index.join(nodes.select("id"), "id", "left_semi")
+    asked = t.withColumn("_g", _grams(F.col("term"), True)).withColumn("pairs", F.size(_grams(F.col("term"), F.length("term") == 1))).select("i", "term", "pairs", F.explode("_g").alias("gram"))
+    met = every.join(F.broadcast(asked), "gram").groupBy("id", "label", "name", "grams", "i", "term", "pairs").agg(F.count(F.lit(1)).alias("shared"))
     name, term = F.col("name"), F.col("term")
     longer = F.greatest(F.length(term), F.length(name), F.lit(1))
+    met = met.filter((F.col("shared") >= F.col("pairs") - 2 * F.floor(0.3 * longer + 1e-9)) | (F.col("shared") >= F.col("grams")))
     far = F.levenshtein(term, name) / longer
-    # lengths alone rule most names out before any distance is computed
     near = (F.abs(F.length(term) - F.length(name)) <= 0.3 * longer) & (far <= 0.3)
     one = F.when(name == term, 1.0).when(name.contains(term), 0.8).when(term.contains(name), 0.6).when(near, 0.4 * (1 - far)).otherwise(0.0)
-    best = m.groupBy("id", "label", "i").agg(F.max(one).alias("s"))
+    scored = met.select("id", "label", "i", one.alias("s"))
+    names = nodes.select("id", "label", F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("n"))
+    empty = F.exists("n", lambda x: normalize(x) == "")
+    for i in blank:
+        scored = scored.unionByName(names.select("id", "label", F.lit(i).alias("i"), F.when(empty, 1.0).otherwise(0.8).alias("s")))
+    others = [i for i, n in sizes if n]
+    if others:  # a blank name stands in every term
+        scored = scored.unionByName(names.filter(empty).select("id", "label", F.explode(F.array(*[F.lit(i) for i in others])).alias("i"), F.lit(0.6).alias("s")))
+    best = scored.groupBy("id", "label", "i").agg(F.max("s").alias("s"))
     return best.groupBy("id", "label").agg((F.sum("s") / len(terms)).alias("match_score")).filter("match_score > 0")
 
 

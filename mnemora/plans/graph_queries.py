@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions.weights import edge_weight
-from mnemora.operators import dynamics, federation, graph, recall, temporal, vectors, views
+from mnemora.operators import dynamics, federation, graph, pairs, recall, temporal, vectors, views
 from mnemora.plans.catalog import day, query, r
 from mnemora.plans.derive import SNAPSHOT_DATES, TRADE_NOW, cached, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
 from mnemora.sources import memory_files
@@ -155,6 +155,16 @@ def search_nodes(spark, sf_dir):
     return graph.search(trade(spark, sf_dir)["nodes"], TERMS).select("id", "label", r("match_score", "match_score"))
 
 
+@query(W + f""", names AS (SELECT id, label, lower(label) AS name FROM nodes UNION SELECT id, label, regexp_replace(lower(alias), '[.,;:!?]+$', '') FROM nodes),
+m AS (SELECT id, label, term, max(CASE WHEN name = term THEN 1.0 WHEN contains(name, term) THEN 0.8 WHEN contains(term, name) THEN 0.6
+  WHEN levenshtein(term, name) / greatest(length(term), length(name))::DOUBLE <= 0.3 THEN 0.4 * (1 - levenshtein(term, name) / greatest(length(term), length(name))::DOUBLE) ELSE 0.0 END::DOUBLE) AS s
+  FROM names, (SELECT unnest(['x', '', 'larg brushed']) AS term) GROUP BY id, label, term)
+SELECT id, label, round(sum(s) / 3, 6) AS match_score FROM m GROUP BY id, label HAVING sum(s) > 0""")
+def search_short_terms(spark, sf_dir):
+    """Terms of one character, of none, and with an edit."""
+    return graph.search(trade(spark, sf_dir)["nodes"], ["x", " ", "larg brushed"]).select("id", "label", r("match_score", "match_score"))
+
+
 @query(W + "SELECT source, target, least(count / 2.0, 0.95)::DOUBLE AS confidence FROM pending")
 def suggest_pending(spark, sf_dir):
     g = trade(spark, sf_dir)
@@ -192,8 +202,8 @@ def event_graph(spark, sf_dir):
     ident = lambda c: F.concat(F.lit("user-"), F.col(c).cast("string"))
     nodes = n.select(ident("user_id").alias("id"), ident("user_id").alias("label"), "first_seen", "last_reinforced", "mention_count", (F.col("mention_count") - 1).alias("reinforcement_count"))
     h = e.select(ident("user_id").alias("u"), F.date_trunc("hour", "ts").alias("hour")).distinct()
-    p = h.withColumnRenamed("u", "source").join(h.withColumnRenamed("u", "target"), "hour").filter("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    return nodes, p.filter("n >= 2").select(F.concat_ws("--", "source", "target").alias("id"), "source", "target")
+    p = pairs.counted(h.select(F.col("u").alias("item"), F.col("hour").alias("group")), 2)
+    return nodes, p.select(F.concat_ws("--", "source", "target").alias("id"), "source", "target")
 
 
 @query(f"""WITH n AS (SELECT 'user-' || user_id AS id, min(ts) AS first_seen, count(*) AS mention_count FROM events GROUP BY user_id),
@@ -434,10 +444,10 @@ def pinned_ids(spark, sf_dir):
     return temporal.pinned(*_diffs(spark, sf_dir))
 
 
-@query(DIFF_SQL + ", t AS (SELECT id FROM dn WHERE change = 'changed' AND id LIKE '0%') SELECT id FROM b_edges WHERE source IN (SELECT id FROM t) OR target IN (SELECT id FROM t)")
+@query(DIFF_SQL + ", t AS (SELECT id FROM dn WHERE change = 'changed') SELECT id FROM b_edges WHERE source IN (SELECT id FROM t) OR target IN (SELECT id FROM t)")
 def links_of_changed(spark, sf_dir):
     n, _ = _diffs(spark, sf_dir)
-    return temporal.links_at(snapshot(spark, sf_dir, SNAP_B)["edges"], n.filter("change = 'changed' and id like '0%'"))
+    return temporal.links_at(snapshot(spark, sf_dir, SNAP_B)["edges"], n.filter("change = 'changed'"))
 
 
 HISTORY = "WITH " + ",".join(ctes(f"{p}_", d) for p, d in (("a", SNAP_A), ("b", SNAP_B), ("c", SNAP_C)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import normalize
-from mnemora.operators import conversations, dynamics, extract, increments, merge, resolve, store_ops
+from mnemora.operators import conversations, dynamics, extract, increments, merge, pairs, resolve, store_ops
 from mnemora.plans.catalog import ORACLES, query, r
 from mnemora.plans.derive import cached, table
 from mnemora.shared import written
@@ -262,9 +262,15 @@ def event_sessions(spark, sf_dir):
 @query("""WITH h AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS hour FROM events)
 SELECT a.user_id AS source, b.user_id AS target, count(*) AS n FROM h a JOIN h b ON a.hour = b.hour AND a.user_id < b.user_id GROUP BY 1, 2""")
 def event_pairs(spark, sf_dir):
-    h = table(spark, sf_dir, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour")).distinct()
-    a, b = h.withColumnRenamed("user_id", "source"), h.withColumnRenamed("user_id", "target")
-    return a.join(b, "hour").filter("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    h = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.date_trunc("hour", "ts").alias("group"))
+    return pairs.counted(h)
+
+
+@query("""WITH h AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS hour FROM events)
+SELECT a.user_id AS source, b.user_id AS target, count(*) AS n FROM h a JOIN h b ON a.hour = b.hour AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) >= 3""")
+def event_pairs_often(spark, sf_dir):
+    h = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.date_trunc("hour", "ts").alias("group"))
+    return pairs.counted(h, 3)
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages) SELECT page_id, target, count(*) AS n FROM l GROUP BY ALL""")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemora.operators import conversations, dynamics, extract, federation, graph, procedures, resolve, temporal, vectors
+from mnemora.operators import conversations, dynamics, extract, federation, graph, pairs, procedures, resolve, temporal, vectors
 
 
 def lev(a, b):
@@ -235,3 +235,56 @@ def test_few_procedures(spark):
     after = dynamics.apply_feedback(p, spark.createDataFrame([(*x, "2001-08-01") for x in f], "procedure_id string, ord long, feedback string, at string"))
     got = {r["id"]: (round(r["confidence"], 6), r["applications"], r["contradictions"], r["flagged_for_review"]) for r in after.collect()}
     assert got == {"p1": (0.82, 1, 0, False), "p2": (0.6, 0, 1, False), "p3": (0.256, 0, 4, True), "p4": (0.728, 1, 1, True)}
+
+
+def plain_score(name, term):
+    longer = max(len(name), len(term), 1)
+    far = lev(term, name) / longer
+    return 1.0 if name == term else 0.8 if term in name else 0.6 if name in term else 0.4 * (1 - far) if abs(len(name) - len(term)) <= 0.3 * longer and far <= 0.3 else 0.0
+
+
+def test_search_finds_what_a_scan_finds(spark):
+    random.seed(11)
+    words = ["".join(random.choice("abcd ") for _ in range(random.randint(0, 9))).strip() for _ in range(150)] + ["a", "b", "aa", "abc", "aaaa", "abab", "éa", ""]
+    nodes = [(f"n{i}", w, [random.choice(words)] if i % 3 else None) for i, w in enumerate(words)]
+    df = spark.createDataFrame(nodes, "id string, label string, aliases array<string>")
+    kept = graph.name_grams(df)
+    for terms in (["abc", "aabb"], ["a"], ["", "abcd"], ["dcbaabcd", "ab", "éa"], ["zzzz"]):
+        want = {}
+        for i, label, aliases in nodes:
+            names = {" ".join(x.split()) for x in [label, *(aliases or [])]}
+            s = sum(max(plain_score(n, t) for n in names) for t in terms) / len(terms)
+            if s > 0:
+                want[i] = round(s, 9)
+        for index in (None, kept):
+            assert {r["id"]: round(r["match_score"], 9) for r in graph.search(df, terms, index=index).collect()} == want
+    plan = graph.search(df, ["abc", "aabb"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_pairs_with_a_hot_group(spark, least):
+    random.seed(least)
+    rows = [(i, "hot") for i in range(60)] + [(random.randint(0, 90), f"g{random.randint(0, 30)}") for _ in range(250)] + [(None, "hot"), (1, None), (1, "hot")]
+    groups: dict = {}
+    for i, g in rows:
+        if i is not None and g is not None:
+            groups.setdefault(g, set()).add(i)
+    want: dict = {}
+    for items in groups.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "item int, group string")
+    got = pairs.counted(df, least, block=7)
+    assert {(r["source"], r["target"]): r["n"] for r in got.collect()} == {k: n for k, n in want.items() if n >= least}
+
+
+def test_a_hot_group_proposes_nothing_and_is_many_cells(spark):
+    """With a least count of two, a group that every item is in makes no pairs; counted alone, its pairs spread over cells."""
+    rows = spark.range(400).select(F.col("id").alias("item"), F.lit("hot").alias("group")).unionByName(spark.range(400).select(F.col("id").alias("item"), F.floor(F.col("id") / 2).cast("string").alias("group")))
+    got = {(r["source"], r["target"], r["n"]) for r in pairs.counted(rows, 2, block=50).collect()}
+    assert got == {(i, i + 1, 2) for i in range(0, 400, 2)}
+    cells = pairs.together(rows.filter("group = 'hot'"), block=50).groupBy(F.spark_partition_id()).count()
+    assert cells.agg(F.sum("count")).first()[0] == 400 * 399 // 2 and cells.count() > 1
