@@ -3,21 +3,18 @@
 A document word is hit when it lies inside an occurrence of a window: 13 consecutive words of a
 benchmark item, or the whole item where it has fewer (but some) words.
 
-Winnowing keeps, of every 6 consecutive 8-gram hashes, the smallest. 6 + 8 - 1 = 13, so any
-shared span of 13 words selects the same 8-gram on both sides, at the same place of the span: joining the fingerprints
-finds every such span. An item shorter than 13 words has one fingerprint, the hash of all its words, which is held against
-the documents' grams of its length (at most 12 lengths, in the same pass).
+Winnowing keeps, of every 6 consecutive 8-gram hashes, the smallest. 6 + 8 - 1 = 13, so every window of 13 words has one
+fingerprint, the smallest of its 6, and any shared span of 13 words shares it. An item shorter than 13 words has one
+fingerprint, the hash of all its words, which is held against the documents' grams of its length (at most 12 lengths, in the same pass).
 
 1. One pass over all documents joins their fingerprints with the items'; the documents that share one are touched.
-2. The touched documents' grams, with their places, are joined with the items' fingerprints and their places. The
-   difference of the places is a diagonal on which document and item may agree.
-3. Each diagonal is extended: words are compared one by one along it, and runs of 13 equal words or more (all
-   words of a short item) are hits.
-
-The items' fingerprints (a number each) are broadcast only if a count proves them few (``BROADCAST_ROWS``), their words only
-if a sum proves them small (``BROADCAST_BYTES``); beyond that the same joins are shuffled. Documents' fingerprints are never
-gathered: they stream through the join and only hits remain. Null texts have no words; null ids are ordinary values; items of
-equal words are compared once, item rows that repeat count once; an empty benchmark hits nothing.
+2. A shared fingerprint is extended to the window around it: the touched documents' windows, each with its fingerprint and the hash of
+   all its words, are joined with the items' windows by both. What matches are hits; overlapping ones make the shared spans.
+
+A window meets an item once however often the item repeats it, so the work grows with the words of both, also where texts repeat themselves.
+The items' windows (a few numbers each) are broadcast only if a count proves them few (``BROADCAST_ROWS``); beyond that the same joins are
+shuffled. Documents' fingerprints are never gathered: they stream through the join and only hits remain. Null texts have no
+words; null ids are ordinary values; items of equal words are compared once, item rows that repeat count once; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +26,8 @@ from .common import LOWER, UPPER, fingerprint, let, small_enough, text_of, writt
 
 WINDOW, GRAM = 13, 8
 SPAN = WINDOW - GRAM + 1
-#: Rows of one or two numbers that may be broadcast, and bytes of benchmark words.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 500_000
 SPLIT_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same with A-Z, for texts that are not lower-cased.
 EITHER_RE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -82,10 +79,17 @@ def fingerprints(words: Column, short: list[int] | None = None) -> Column:
     return let(_hashes(words), own)
 
 
-def _placed(words: Column, lengths: list[int]) -> Column:
-    """Every gram of the lengths with its place (0-based)."""
-    each = lambda wh, n: F.transform(_grams(wh, n), lambda h, i: F.struct(h.alias("fp"), i.alias("at")))
-    return let(_hashes(words), lambda wh: F.concat(*[each(wh, n) for n in lengths]))
+def _windows(words: Column, long: bool, short: list[int]) -> Column:
+    """(fp, wh, i, n): the windows of 13 words of an array of words, and its grams of the short lengths, with fingerprint, hash, place (0-based) and length."""
+    one = lambda fp, h, i, n: F.struct(fp.alias("fp"), h.alias("wh"), i.alias("i"), F.lit(n).alias("n"))
+
+    def of(wh: Column) -> Column:
+        least = lambda g, i: F.least(*[F.get(g, i + k) for k in range(SPAN)])
+        own = [let(_grams(wh, GRAM), lambda g: F.transform(_grams(wh, WINDOW), lambda h, i: one(least(g, i), h, i, WINDOW)))] if long else []
+        whole = lambda n: F.transform(_grams(wh, n), lambda h, i: one(h, h, i, n))
+        return F.concat(*own, *[whole(n) for n in short])
+
+    return let(_hashes(words), of)
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
@@ -98,28 +102,15 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def _runs(equal: Column, least: Column) -> Column:
-    """The places of an array of booleans that lie in runs of true of at least so many."""
-
-    def of(t: Column) -> Column:
-        first = lambda j: (j == 0) | (F.get(t, j) - F.get(t, j - 1) > 1)
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), first)
-        each = lambda s: F.transform(s, lambda j, k: F.slice(t, j + 1, F.coalesce(F.get(s, k + 1), F.size(t)) - j))
-        return F.when(F.size(t) == 0, F.array().cast("array<int>")).otherwise(let(starts, lambda s: F.flatten(F.filter(each(s), lambda r: F.size(r) >= least))))
-
-    return let(F.filter(F.transform(equal, lambda x, i: F.when(x, i)), lambda x: x.isNotNull()), of)
-
-
 def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, th, cid, hits): the 0-based words of a document in occurrences of an item's windows. docs: doc_id, text, th; items: cid, v, distinct."""
+    """(doc_id, th, cid, i, n): the places and lengths of windows of items in documents. docs: doc_id, text, th; items: cid, v, distinct."""
     size = F.size("v")
     short = sorted(r["n"] for r in items.select(size.alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # at most 12 numbers
-    # an item's fingerprints with their places: winnowed 8-grams, or all words of a short one
-    long_prints = F.when(size >= WINDOW, let(_hashes(F.col("v")), lambda wh: let(_grams(wh, GRAM), lambda g: let(F.array_distinct(_minima(g)), lambda m: F.filter(
-        F.transform(g, lambda h, i: F.struct(h.alias("fp"), i.alias("at"))), lambda x: F.array_contains(m, x["fp"])
-    )))))
-    whole = [F.when(size == n, _placed(F.col("v"), [n])) for n in short]
-    prints = written(items.select("cid", F.explode(F.coalesce(long_prints, *whole)).alias("p")).select("cid", F.col("p.fp").alias("fp"), F.col("p.at").alias("j")), "prints")
+    own_windows = F.when(size >= WINDOW, _windows(F.col("v"), True, []))
+    for n in short:
+        own_windows = own_windows.when(size == n, _windows(F.col("v"), False, [n]))
+    prints = items.select("cid", F.explode(own_windows).alias("p")).select("cid", "p.fp", "p.wh", "p.n").distinct()
+    prints = written(prints, "prints")
     few = small_enough(prints, BROADCAST_ROWS)
 
     base = docs.select("doc_id", "th", "text")
@@ -128,18 +119,9 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     pick = _small(touched, small_enough(touched, BROADCAST_ROWS))
     same = base["doc_id"].eqNullSafe(pick["doc_id"]) & (base["th"] == pick["th"])
-    hit = written(base.join(pick, same, "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", tokens(F.col("text")).alias("w")), "texts")
-    grams = hit.select("doc_id", "th", F.explode(_placed(F.col("w"), [GRAM, *(n for n in short if n != GRAM)])).alias("g")).select("doc_id", "th", F.col("g.fp").alias("fp"), F.col("g.at").alias("at"))
-    diagonals = written(grams.join(_small(prints, few), "fp").select("doc_id", "th", "cid", (F.col("at") - F.col("j")).alias("d")).distinct(), "diagonals")
-
-    weight = items.agg(F.coalesce(F.sum(F.length(F.array_join("v", " ")) + 100 + 16 * size), F.lit(0))).first()[0]
-    rows = diagonals.withColumnsRenamed({"doc_id": "_id", "th": "_th"}).join(_small(items.select("cid", "v"), weight <= BROADCAST_BYTES), "cid")
-    rows = rows.join(hit, rows["_id"].eqNullSafe(hit["doc_id"]) & (rows["_th"] == hit["th"]))
-    lo = F.greatest(F.lit(0), F.col("d"))
-    n = F.least(F.size("w"), F.col("d") + size) - lo
-    equal = F.zip_with(F.slice("w", lo + 1, n), F.slice("v", lo - F.col("d") + 1, n), lambda a, b: a == b)
-    places = F.transform(_runs(equal, F.least(size, F.lit(WINDOW))), lambda k: k + lo)
-    return rows.select("doc_id", "th", "cid", places.alias("hits")).filter(F.size("hits") > 0)
+    hit = base.join(pick, same, "left_semi").dropDuplicates(["doc_id", "th"])
+    windows = hit.select("doc_id", "th", F.explode(_windows(tokens(F.col("text")), True, short)).alias("g")).select("doc_id", "th", "g.*")
+    return windows.join(_small(prints, few), ["fp", "wh", "n"]).select("doc_id", "th", "cid", "i", "n")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -147,7 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", fingerprint(F.col("text")))
     named = written(item_words(benchmark), "items")
     hits = written(occurrences(own, named.select("cid", "v").distinct()), "hits")
-    words = hits.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
+    places = F.transform(F.collect_set(F.struct("i", "n")), lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1))
+    words = hits.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_hit"))
     ids = hits.select("doc_id", "th", "cid").distinct().join(named.select("cid", F.col("item_id").cast("string").alias("i")).distinct(), "cid")
     ids = ids.groupBy("doc_id", "th").agg(F.collect_set("i").alias("items"))
     ids = ids.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h"), "items")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -66,3 +67,17 @@ def test_odd_rows(odd, nothing, benchmark, spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     left = decontaminate.keep_clean(odd, bench)
     assert left.columns == odd.columns and left.count() == odd.count() - 4 and all(r[c] == f"own {c}" for r in left.collect() for c in CLASHING)
+
+
+def test_long_and_repetitive_texts_take_linear_time(spark, docs_of):
+    """One document and one item of n words, all equal, in a short cycle, or all different: twice the words take no more than some twice the time."""
+    texts = {"equal": lambda n: "same " * n, "cycle": lambda n: " ".join(f"c{i % 7}" for i in range(n)), "different": lambda n: " ".join(f"d{i}" for i in range(n))}
+    for kind, text in texts.items():
+        seconds = {}
+        for n in (1000, 30_000, 60_000):
+            bench = spark.createDataFrame([(1, text(n)), (2, text(n) + " tail")], "item_id long, text string")
+            began = time.perf_counter()
+            row = decontaminate.report(docs_of(["before it " + text(n)]), bench).first()
+            seconds[n] = time.perf_counter() - began
+            assert (row["n_words"], row["n_hit"], row["n_items"]) == (n + 2, n, 2), kind
+        assert seconds[60_000] < 2 * seconds[30_000] + 3, (kind, seconds)
