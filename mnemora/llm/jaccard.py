@@ -171,7 +171,7 @@ def _pairs(member_sets: list, query_sets: list):
     count = np.bincount(col)
     keep = count[col] > 1
     who, col = who[keep], col[keep]
-    out = np.zeros((rows, len(query_sets)), np.float32)
+    out = np.zeros((rows, len(query_sets)), np.int64)  # a block's counts are exact as floats, sums of blocks need not be
     if len(col):
         col = np.cumsum(np.concatenate([[0], col[1:] != col[:-1]]))
         width = max(1, 16_000_000 // (4 * len(sides)))
@@ -179,7 +179,7 @@ def _pairs(member_sets: list, query_sets: list):
             lo, hi = np.searchsorted(col, [c, c + width])
             m = np.zeros((len(sides), min(width, int(col[-1]) + 1 - c)), np.float32)
             m[who[lo:hi], col[lo:hi] - c] = 1
-            out += m[:rows] @ m[rows:].T
+            out += (m[:rows] @ m[rows:].T).astype(np.int64)
     return out
 
 

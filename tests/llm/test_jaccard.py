@@ -115,3 +115,16 @@ def test_contract(spark):
     got = {r["node"]: r["root"] for r in components.contract(spark.createDataFrame(pairs, "a int, b int")).collect()}
     assert got == {x: find(x) for p in pairs for x in p if p[0] != p[1] or find(x) != x or x in got}
     assert components.contract(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_sets_beyond_the_digits_of_floats():
+    """Links that a single shared token decides, in sets of a million and more: 100 times a count has no room in a float."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 1_700_000
+    for shared in (n, n - 1):  # 85 % of 2,000,000 in all, and one less
+        sets = [np.arange(n), np.arange(n - shared, 2_000_000)]
+        assert jaccard._pairs(sets, sets).tolist() == [[n, shared], [shared, 2_000_000 - n + shared]]
+        table = pa.table({"key": [0, 0], "lot": [0, 0], "s1": [1, 2], "s2": [0, 0], "n": [len(x) for x in sets], "tokens": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+        assert jaccard._within(table, 85).column("reach").to_pylist() == ([2, 2] if shared == n else [1, 1])
