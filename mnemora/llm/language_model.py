@@ -515,7 +515,7 @@ def train(docs: DataFrame, path: str) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (by words and pairs) and trigram_score."""
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score, pair_score (by words and pairs alone) and score (the model's: all three levels)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", held_out(docs["doc_id"]).alias("held"))
 
@@ -566,9 +566,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), pa.array(ends - starts, pa.int64()), pa.array(known, pa.int64()),
                     pa.array([model.tokens] * len(own), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(fuller, pa.float64()),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"])
+                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "pair_score", "score"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double")
+    return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, pair_score double, score double")
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:

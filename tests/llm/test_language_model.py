@@ -48,8 +48,8 @@ def check(df, docs, monkeypatch):
             assert (r["held_out"], r["n_known"], r["train_tokens"]) == (out(i), sum(one[w] > 0 for w in k), total)
             assert r["base_score"] == pytest.approx(base, abs=1e-6)
             # a step of the quantised logarithm is 1/255 of the range
-            assert abs(r["score"] - full) <= len(k) * 0.5 * math.log10(total + kinds + 1 + language_model.PSEUDO) / 255 + 1e-6
-            gain += (r["score"] - r["base_score"]) * r["held_out"]
+            assert abs(r["pair_score"] - full) <= len(k) * 0.5 * math.log10(total + kinds + 1 + language_model.PSEUDO) / 255 + 1e-6
+            gain += (r["pair_score"] - r["base_score"]) * r["held_out"]
     return gain
 
 
@@ -81,8 +81,8 @@ def test_trigrams_by_brute_force(request, monkeypatch, name):
         p2 = lambda u, w: (two[u, w] + c * (one[w] + 1) / (total + kinds + 1)) / ((n if u == "begin" else one[u]) + c)
         full = math.log10(p2(*k[:2])) + sum(math.log10((three[x] + c * p2(x[1], x[2])) / (after[x[:2]] + c)) for x in zip(k, k[1:], k[2:], strict=False))
         r = rows[i, len(k) - 1]
-        assert abs(r["trigram_score"] - full) <= len(k) * 0.5 * math.log10(total + kinds + 1 + c) / 255 + 1e-6
-        gain += (r["trigram_score"] - r["score"]) * r["held_out"]
+        assert abs(r["score"] - full) <= len(k) * 0.5 * math.log10(total + kinds + 1 + c) / 255 + 1e-6
+        gain += (r["score"] - r["pair_score"]) * r["held_out"]
     assert name == "odd" or gain > 0  # held-out texts are likelier than by pairs
 
 
