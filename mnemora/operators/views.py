@@ -92,3 +92,16 @@ def rate_limited(requests: DataFrame, key: str, ts: str, most: int, window: str
 def type_cube(nodes: DataFrame) -> DataFrame:
     """Counts of nodes by type and year first seen, with all subtotals (null: all)."""
     return nodes.withColumn("year", F.year("first_seen")).cube("type", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("mention_count").alias("mentions"))
+
+
+def memories(nodes: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Nodes as a client sees them: id, label, type, score (null without scores: id, score) and the texts of their excerpts."""
+    none = F.array().cast("array<struct<file:string,text:string,date:string>>")
+    n = nodes.select("id", "label", "type", F.transform(F.coalesce("excerpts", none), lambda x: x["text"]).alias("excerpts"))
+    n = n.withColumn("score", F.lit(None).cast("double")) if scores is None else n.join(scores.select("id", "score"), "id", "left")
+    return n.select("id", "label", "type", "score", "excerpts")
+
+
+def shown_procedures(procedures: DataFrame) -> DataFrame:
+    """Procedures as a client sees them, without what they were learned of and how stable they are."""
+    return procedures.select("id", "statement", "type", "trigger_keywords", "trigger_contexts", "confidence", "applications", "contradictions", "flagged_for_review")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mnemora.functions.weights import edge_weight
 from mnemora.operators import dynamics, federation, graph, pairs, recall, temporal, vectors, views
 from mnemora.plans.catalog import day, query, r
-from mnemora.plans.derive import SNAPSHOT_DATES, TRADE_NOW, cached, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
+from mnemora.plans.derive import cached, SNAPSHOT_DATES, TRADE_NOW, cached, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
 from mnemora.sources import memory_files
 
 AT = f"TIMESTAMP '{TRADE_NOW}'"
@@ -311,12 +311,15 @@ best AS (SELECT * FROM (SELECT *, 0.4 * semantic + 0.3 * graph + 0.2 * recency +
 
 
 def _embedded(spark, sf_dir, nodes):
-    """Vectors of nodes and episodes, each content embedded once."""
-    n = nodes.select("id", F.lit("node").alias("type"), F.col("label").alias("content"))
+    """Vectors of nodes and episodes. Each content of the tables is embedded once and kept: a snapshot's nodes are among the graph's."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("episode").alias("type"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("content"))
-    every = n.unionByName(o)
-    v = vectors.embed(every.groupBy("content").agg(F.min("id").alias("id"), F.min("type").alias("type"))).select("content", "vector")
-    return every.join(v, "content").select("id", "type", "vector")
+    of = lambda nodes: nodes.select("id", F.lit("node").alias("type"), F.col("label").alias("content")).unionByName(o)
+
+    def build(write):
+        contents = of(trade(spark, sf_dir)["nodes"]).groupBy("content").agg(F.min("id").alias("id"), F.min("type").alias("type"))
+        return {"vectors": write(vectors.embed(contents).select("content", "vector"), "vectors")}
+
+    return of(nodes).join(cached(spark, sf_dir, "vectors", build)["vectors"], "content").select("id", "type", "vector")
 
 
 def _recalled(spark, sf_dir, nodes, edges, **filters):

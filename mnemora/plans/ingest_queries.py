@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import normalize
-from mnemora.operators import conversations, dynamics, extract, increments, merge, pairs, resolve, store_ops
+from mnemora.operators import conversations, dynamics, extract, increments, merge, pairs, resolve, store_ops, views
 from mnemora.plans.catalog import ORACLES, query, r
 from mnemora.plans.derive import cached, table
 from mnemora.shared import written
@@ -142,6 +142,15 @@ def temporal_edges_capped(spark, sf_dir, own=None):
     return merge.temporal(_seen(spark, sf_dir, own)).select("id", "reinforcement_count")
 
 
+@query(NOTE_NODES + """, x AS (SELECT node_id, list(substr(content, 1, 80) ORDER BY m.file, m.section, ord)[1:10] AS e, arg_min(text, (m.file, m.section, ord)) AS label, arg_min(type, (m.file, m.section, ord)) AS type
+  FROM (SELECT b.*, date, substr(sha256(name), 1, 16) AS node_id, n.content, k.type FROM best b JOIN notes n USING (file, section) JOIN (SELECT file, section, name, arg_min(type, (-confidence, ord)) AS type FROM named GROUP BY ALL) k USING (file, section, name)) m GROUP BY node_id)
+SELECT node_id AS id, label, type, len(e)::BIGINT AS excerpts, sha256(array_to_string(e, '|')) AS texts FROM x""")
+def note_memories(spark, sf_dir, own=None):
+    """Nodes of the notes as a client sees them."""
+    m = views.memories(merge.roll_up(_seen(spark, sf_dir, own)))
+    return m.select("id", "label", "type", F.size("excerpts").cast("long").alias("excerpts"), F.sha2(F.array_join("excerpts", "|"), 256).alias("texts"))
+
+
 def _changed(spark, sf_dir, own):
     """Sightings before some files changed, those of the changed files (file) now, and these files: a tenth of the files are new, another tenth had half of their sections."""
     seen = _seen(spark, sf_dir, own)

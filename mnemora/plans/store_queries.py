@@ -302,3 +302,21 @@ def orders_looked_up(spark, sf_dir):
     t, state = order_table(spark, sf_dir)
     keys = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
     return t.lookup(state, keys).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query(f"""WITH {PROCS} SELECT id, statement, 'preference' AS type, len(kw)::BIGINT AS keywords, array_to_string(ctx, ',') AS contexts, confidence, contradictions::BIGINT AS contradictions, flagged FROM procs""")
+def procedures_shown(spark, sf_dir):
+    p = views.shown_procedures(procs(spark, sf_dir))
+    return p.select("id", "statement", "type", F.size("trigger_keywords").cast("long").alias("keywords"), F.array_join("trigger_contexts", ",").alias("contexts"), "confidence", "contradictions", F.col("flagged_for_review").alias("flagged"))
+
+
+@query(W + "SELECT id, true AS embedded, '' AS warning FROM nodes")
+def nodes_embedded(spark, sf_dir):
+    """All nodes of the graph put into a new store and embedded there, as their writer is told."""
+    from mnemora.plans.embedding import embed_nodes
+    from mnemora.store import GraphStore
+
+    n = trade(spark, sf_dir)["nodes"]
+    store = GraphStore(spark, scratch(spark, "embedded-store"))
+    store.upsert(nodes=n.select("id", "label", "type"))
+    return embed_nodes(store, n, vectors.mock_vectors).select("id", "embedded", "warning")

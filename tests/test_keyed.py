@@ -173,3 +173,24 @@ def test_older_stores_open(spark, tmp_path, version):
 @pytest.mark.parametrize("name", ["orders_in_deltas", "orders_in_deltas_compacted", "orders_looked_up"])
 def test_queries(spark, sf_dir, same, name):
     same(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name])
+
+
+def test_nodes_are_embedded_or_say_why_not(spark, tmp_path):
+    from mnemora.operators import vectors
+    from mnemora.plans.embedding import WARNINGS, embed_nodes
+
+    s = GraphStore(spark, str(tmp_path / "s"))
+    s.upsert(nodes=spark.createDataFrame([("a", "A"), ("b", "B")], "id string, label string"))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    run = lambda *x, **k: {r["id"]: (r["embedded"], r["reason"], r["warning"]) for r in embed_nodes(s, ids(*x), **k).collect()}
+
+    def failing(texts):
+        raise OSError("down")
+
+    assert run("a", embedder=None) == {"a": (False, "no-provider", "")}
+    assert run("a", embedder=failing) == {"a": (False, "error", WARNINGS["error"])} and s.get("meta", "embedding_provider") is None
+    assert run("a", "none", embedder=vectors.mock_vectors) == {"a": (True, None, "")} and s.get("meta", "embedding_provider")["value"] == "mock"
+    assert run("b", embedder=vectors.mock_vectors, dimensions=3)["b"][1] == "encoder-mismatch" and run("b", embedder=vectors.mock_vectors, provider="other")["b"][1] == "encoder-mismatch"
+    s.delete("embeddings", ids("a"))
+    assert run("b", embedder=vectors.mock_vectors, provider="other")["b"][1:] == ("provider-config", WARNINGS["provider-config"])
+    assert s.table("embeddings").count() == 0 and run("a", "b", embedder=vectors.mock_vectors) == {"a": (True, None, ""), "b": (True, None, "")}
