@@ -22,13 +22,19 @@ def to_promote(captures: DataFrame, gone: DataFrame, files: DataFrame, promoted:
 
 
 def target_paths(memories: DataFrame, taken: DataFrame) -> DataFrame:
-    """(id, path) of new files: the slug of the title in the directory of the scope, with -2 to -99 where that is taken. A memory for which none of these is free has a null path: it is reported, not dropped."""
+    """(id, path) of new files: the slug of the title in the directory of the scope, with -2 to -99 where that is taken. A memory for which none of these is free has a null path: it is reported, not dropped.
+
+    A title may itself end in such a number: its own file comes before another's numbered one.
+    """
     m = memories.withColumn("stem", F.concat_ws("/", F.coalesce("scope", F.lit("global")), F.coalesce(slug(F.col("title")), F.lit("memory"))))
-    old = taken.select(F.regexp_replace("path", r"(-\d+)?\.md\z", "").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("used"))
+    names = taken.select(F.regexp_replace("path", r"\.md\z", "").alias("name"))
+    numbered = names.unionByName(m.select(F.col("stem").alias("name"))).withColumn("k", F.expr("try_cast(regexp_extract(name, '-([2-9]|[1-9][0-9])$', 1) AS int)")).filter("k is not null")
+    used = names.select(F.col("name").alias("stem"), F.lit(1).alias("k")).unionByName(numbered.select(F.regexp_replace("name", r"-\d+\z", "").alias("stem"), "k"))
+    used = used.groupBy("stem").agg(F.collect_set("k").alias("used"))  # 99 numbers at most
     w = Window.partitionBy("stem").orderBy("id")
-    n = m.withColumn("r", F.row_number().over(w)).join(old, "stem", "left").withColumn("k", F.col("r") + F.coalesce("used", F.lit(0)))
-    path = F.concat("stem", F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    return n.select("id", F.when(F.col("k") <= 99, path).alias("path"))
+    n = m.withColumn("r", F.row_number().over(w)).join(used, "stem", "left")
+    k = F.get(F.array_except(F.sequence(F.lit(1), F.lit(99)), F.coalesce("used", F.array().cast("array<int>"))), F.col("r") - 1)
+    return n.withColumn("k", k).select("id", F.when(F.col("k").isNotNull(), F.concat("stem", F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise(F.lit("")), F.lit(".md"))).alias("path"))
 
 
 def compiled(files: DataFrame, gone: DataFrame) -> DataFrame:

@@ -31,4 +31,4 @@ def day(c: str, name: str | None = None) -> Column:
     return F.col(c).cast("date").cast("string").alias(name or c)
 
 
-from mnemora.plans import graph_queries, ingest_queries, store_queries, stream_queries  # noqa: E402, F401
+from mnemora.plans import graph_queries, ingest_queries, source_queries, store_queries, stream_queries  # noqa: E402, F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mnemora.functions.weights import edge_weight
 from mnemora.operators import dynamics, federation, graph, pairs, recall, temporal, vectors, views
 from mnemora.plans.catalog import day, query, r
-from mnemora.plans.derive import cached, SNAPSHOT_DATES, TRADE_NOW, cached, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
+from mnemora.plans.derive import SNAPSHOT_DATES, TRADE_NOW, cached, ctes, days, edges_of, graph as trade, mentions, mock_vectors, nodes_of, now, pairs_of, part_id, snapshot, table, weight
 from mnemora.sources import memory_files
 
 AT = f"TIMESTAMP '{TRADE_NOW}'"
@@ -563,3 +563,10 @@ def viz_graph_at_date(spark, sf_dir):
 def visible_edges(spark, sf_dir):
     e = trade(spark, sf_dir)["edges"]
     return e.filter(F.col("weight") >= 0.05).select("id", r(edge_weight(now()), "weight"))
+
+
+@query(HIVE_SQL + f""", {HIVE_NODES} SELECT id, label, type, round((mention_count + reinforcement_count) * 0.6::DOUBLE, 6) AS hive_weight, source_agents, endorsements
+FROM (SELECT *, (SELECT min_by(type, ord) FROM hn WHERE hn.id = hive.id) AS type FROM hive) ORDER BY mention_count + reinforcement_count DESC, id LIMIT 10""")
+def hive_brief(spark, sf_dir):
+    m = federation.merge_nodes(agents(spark, sf_dir)["nodes"].drop("aliases"))
+    return federation.brief(m).withColumn("hive_weight", F.round("hive_weight", 6))

@@ -86,6 +86,15 @@ def test_target_paths(spark):
     assert got == {"m1": "global/same-title-2.md", "m2": "global/same-title-3.md", "m3": "global/other.md"}
 
 
+def test_target_paths_of_titles_that_end_in_numbers(spark):
+    new = spark.createDataFrame([("a", "Plan", "global"), ("b", "Plan", "global"), ("c", "Plan 2", "global"), ("d", "Plan", "global"), ("e", "Year 2024", "global"), ("f", "Plan 4", "global")], "id string, title string, scope string")
+    taken = spark.createDataFrame([("global/plan.md",), ("global/year-2024.md",), ("global/plan-4.md",)], "path string")
+    got = {r["id"]: r["path"] for r in truth.target_paths(new, taken).collect()}
+    assert got == {"a": "global/plan-3.md", "b": "global/plan-5.md", "c": "global/plan-2.md", "d": "global/plan-6.md", "e": "global/year-2024-2.md", "f": "global/plan-4-2.md"}
+    full = spark.createDataFrame([("global/plan.md",), *[(f"global/plan-{i}.md",) for i in range(2, 100)]], "path string")
+    assert truth.target_paths(new.filter("id = 'a'"), full).first()["path"] is None
+
+
 def test_store(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "store"))
     n = spark.createDataFrame([("a", "A", 1), ("b", "B", 2)], "id string, label string, mention_count long")
