@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import ENTITY_STOPWORDS, normalize, strip_markdown, trim_all
+from mnemora.operators.tagger import Tagger, tagged_names
 
 #: Headings that name no entity.
 GENERIC_HEADINGS = ("projects", "tools", "lessons", "decisions", "events", "notes", "summary", "overview", "research", "implementation", "architecture", "intro", "(intro)")
@@ -83,7 +84,7 @@ def custom(sections: DataFrame, tools: tuple[str, ...] = KNOWN_TOOLS, projects:
 
 
 def tagged(sections: DataFrame, people: tuple[str, ...] = (), places: tuple[str, ...] = ()) -> DataFrame:
-    """A stand-in for a language tagger: gazetteers of people and places, and runs of capitalised words as organisations (projects)."""
+    """Names without a fitted tagger (tagged_by takes one): gazetteers of people and places, and runs of capitalised words as organisations (projects)."""
     c = strip_markdown(F.col("content"))
     runs = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"((?:[A-Z][a-z]+ )+(?:Inc|Corp|Labs|Foundation|University|Institute|Company))"), F.lit(1)), trim_all), lambda x: ~F.lower(x).isin(*ENTITY_STOPWORDS))
     orgs = F.transform(F.array_distinct(runs), lambda x: F.struct(x.alias("text"), F.lit("project").alias("type"), F.lit(0.6).alias("confidence")))
@@ -93,6 +94,12 @@ def tagged(sections: DataFrame, people: tuple[str, ...] = (), places: tuple[str,
     return _rows(sections, found, "nlp", 2_000_000)
 
 
+def tagged_by(sections: DataFrame, tagger: Tagger) -> DataFrame:
+    """Mentions that a fitted sequence tagger finds in the sections' running text."""
+    own = tagged_names(sections.withColumn("_c", strip_markdown(F.col("content"))), tagger, F.col("_c"))
+    return _rows(own, F.filter("names", lambda x: ~F.lower(x["text"]).isin(*ENTITY_STOPWORDS) & (F.length(x["text"]) > 1)), "nlp", 2_000_000)
+
+
 def causal(sections: DataFrame) -> DataFrame:
     """Sections whose text has a causal phrase."""
     return sections.filter(F.col("content").rlike(CAUSAL_RE))

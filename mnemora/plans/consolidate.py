@@ -9,19 +9,21 @@ from mnemora.config import DEFAULT, EVIDENCE, EXCERPTS, GraphConfig
 from mnemora.functions.text import node_id
 from mnemora.functions.weights import stability
 from mnemora.operators import conversations, dynamics, extract, increments, merge, resolve, vectors
+from mnemora.operators.tagger import Tagger
 from mnemora.shared import written
 from mnemora.sources import notes as notes_source
 from mnemora.store import GraphStore, full
 
 
-def mentions_of(sections: DataFrame) -> DataFrame:
-    m = extract.structural(sections).unionByName(extract.custom(sections)).unionByName(extract.tagged(sections))
+def mentions_of(sections: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    names = extract.tagged(sections) if tagger is None else extract.tagged_by(sections, tagger)
+    m = extract.structural(sections).unionByName(extract.custom(sections)).unionByName(names)
     return extract.strongest(m)
 
 
-def sightings_of(sections: DataFrame, nodes: DataFrame, aliases: dict[str, str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+def sightings_of(sections: DataFrame, nodes: DataFrame, aliases: dict[str, str] | None = None, ignore: list[str] | None = None, tagger: Tagger | None = None) -> DataFrame:
     """Resolved mentions of dated sections (file, section, heading, line, content, date, section_ord)."""
-    found = resolve.resolve(mentions_of(sections).drop("name"), nodes, aliases, ignore)
+    found = resolve.resolve(mentions_of(sections, tagger).drop("name"), nodes, aliases, ignore)
     about = sections.groupBy("file", "section").agg(F.min("date").alias("date"), F.min("section_ord").alias("section_ord"), F.min_by("content", "line").alias("content"))
     s = found.join(about, ["file", "section"])
     return s.select(
@@ -42,7 +44,7 @@ def _with_parts(store: GraphStore) -> None:
     store.replace(node_parts=parts, seconds=second, edge_parts=pairs, file_episodes=episodes)
 
 
-def consolidate(store: GraphStore, files: DataFrame, now: Column, config: GraphConfig = DEFAULT, aliases: dict[str, str] | None = None, ignore: list[str] | None = None, embedder: vectors.Embedder | None = None, provider: str = "mock", decay: bool = True) -> int:
+def consolidate(store: GraphStore, files: DataFrame, now: Column, config: GraphConfig = DEFAULT, aliases: dict[str, str] | None = None, ignore: list[str] | None = None, embedder: vectors.Embedder | None = None, provider: str = "mock", decay: bool = True, tagger: Tagger | None = None) -> int:
     """Brings the graph up to date with notes (path, text, hash, modified) and commits it, decayed; where no note is new, changed or gone, nothing is done.
 
     Only new and changed notes are read. The store keeps what each file adds to each node and pair of nodes; of these parts, those that the
@@ -63,7 +65,7 @@ def consolidate(store: GraphStore, files: DataFrame, now: Column, config: GraphC
     replaced = written(todo.select(F.col("path").alias("file")).unionByName(gone.select(F.col("path").alias("file"))), "replaced")
 
     kinds = {f.name: f.dataType for f in store.table("sightings").schema}
-    fresh = sightings_of(sections, store.table("nodes"), aliases, ignore)
+    fresh = sightings_of(sections, store.table("nodes"), aliases, ignore, tagger)
     fresh = written(fresh.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]), "sightings")
     causes = written(extract.causal(sections).select("file", "section").distinct(), "causes")
     touched = changed_graph(store, replaced, fresh, causes, config)

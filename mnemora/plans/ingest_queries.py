@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import normalize
-from mnemora.operators import conversations, dynamics, extract, increments, merge, pairs, resolve, store_ops, views
+from mnemora.operators import conversations, dynamics, extract, increments, merge, pairs, resolve, store_ops, tagger, views
 from mnemora.plans.catalog import ORACLES, query, r
 from mnemora.plans.derive import cached, table
 from mnemora.shared import written
@@ -219,6 +219,41 @@ def markdown_blocks(spark, sf_dir):
     return blocks(markdown_notes(spark, sf_dir)).groupBy("path", "kind", F.col("depth").cast("int").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
+FIRST = ("Anna", "Boris", "Clara", "Dmitri", "Elena", "Farid", "Greta", "Hugo", "Irene", "Jonas", "Katja", "Luis", "Marta", "Nils", "Olga", "Pavel")
+LAST = ("Abelson", "Brandt", "Castro", "Duval", "Engel", "Fischer", "Garcia", "Hansen", "Ivanov", "Jansen", "Keller", "Lindberg", "Moreau", "Novak", "Olsen", "Petrov", "Quint", "Rossi", "Sandoval", "Tanaka")
+FIRMS = ("Labs", "Foundation", "Institute", "Corp")
+
+
+def name_notes(spark, sf_dir):
+    """(custkey, text, names): a sentence or three for every customer with planted names of people, places and organisations."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey").cast("int")
+    of = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), F.pmod(F.xxhash64("c_custkey", F.lit(i)), F.lit(len(names))).cast("int"))
+    person = lambda i: F.concat_ws(" ", of(FIRST, i), of(LAST, i + 1))
+    place, firm = F.initcap("n_name"), F.concat_ws(" ", of(LAST, 5), of(FIRMS, 6))
+    first, second = person(1), person(3)
+    said = [
+        F.concat(F.lit("Yesterday "), first, F.lit(" met the team in "), place, F.lit(". The order was late.")), F.concat(firm, F.lit(" asked whether "), first, F.lit(" could call back. We wait.")),
+        F.concat(F.lit("The invoice was sent to "), second, F.lit(" by "), first, F.lit(", who works for "), firm, F.lit(".")), F.concat(F.lit("Nobody from "), place, F.lit(" answered. Please write to "), second, F.lit(" again.")),
+    ]
+    names = [[first, place], [firm, first], [second, first, firm], [place, second]]
+    text, own = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    for i in range(4):
+        text, own = F.when(k % 4 == i, said[i]).otherwise(text), F.when(k % 4 == i, F.array(*names[i])).otherwise(own)
+    return c.select("c_custkey", text.alias("text"), F.array_sort(own).alias("names"))
+
+
+@query()
+def names_tagged(spark, sf_dir):
+    """Names that a tagger finds in every customer's note. It learns from some of the notes, in which known names are marked."""
+    n = name_notes(spark, sf_dir)
+    known = {f"{a} {b}": "person" for a in FIRST for b in LAST[:12]} | {f"{b} {f}": "project" for b in LAST[:12] for f in FIRMS} | {r["n"]: "place" for r in table(spark, sf_dir, "nation").select(F.initcap("n_name").alias("n")).collect()}  # the nations
+    unknown = F.exists("names", lambda x: ~x.isin(*known))
+    model = tagger.fit(tagger.labelled_by(n.filter(~unknown), known), sample=1000)
+    found = tagger.tagged_names(n.select("c_custkey", "text"), model)
+    return found.select("c_custkey", F.explode("names").alias("x")).select("c_custkey", F.col("x.text").alias("name"), F.col("x.type").alias("type"))
+
+
 # resolution over part names
 
 NAMES = "names AS (SELECT DISTINCT p_name AS label FROM part), known AS (SELECT label, substr(sha256(label), 1, 16) AS id FROM names WHERE ascii(substr(sha256(label), 1, 1)) % 2 = 0)"
