@@ -38,4 +38,5 @@ def test_run_and_queries(spark, sf_dir, same):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     for name, sql in registry.ORACLES.items():
         same(registry.QUERIES[name](spark, sf_dir), sql)
-    assert sorted(registry.QUERIES) == sorted([f"op{n}_" + x for n, x in enumerate("pii quality_rules jaccard_join lm_scoring packing secret_scan sharding line_dedup html_extraction decontamination".split(), 1)])
+    names = "pii quality_rules jaccard_join lm_scoring packing secret_scan sharding line_dedup html_extraction decontamination fill_in_middle embedding_whitening nearest_neighbours".split()
+    assert sorted(registry.QUERIES) == sorted([f"op{n}_" + x for n, x in enumerate(names, 1)])
