@@ -112,9 +112,23 @@ def strongest(mentions: DataFrame) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
+#: Kinds that a language model may answer with.
+ANSWERED = ("person", "project", "tool", "concept", "decision", "event", "lesson", "place", "tag")
+
+
+def model_prompts(sections: DataFrame, kinds: tuple[str, ...] = ANSWERED, most: int = 12_000) -> DataFrame:
+    """(file, section, part, prompt): what a language model is asked about each section, in parts of so many characters, so that long ones are asked about whole."""
+    ask = f"Name the entities of the note below. Answer with a JSON array alone, of objects with text, type (one of {', '.join(kinds)}) and confidence (0 to 1)."
+    whole = F.coalesce("content", F.lit(""))
+    part = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(whole) / most), F.lit(1)).cast("int") - 1))
+    return sections.select("file", "section", "heading", whole.alias("_c"), part.alias("part")).select(
+        "file", "section", "part", F.concat(F.lit(ask + "\n\n## "), F.coalesce("heading", F.lit("")), F.lit("\n"), F.substring(F.col("_c"), F.col("part") * most + 1, F.lit(most))).alias("prompt")
+    )
+
+
 def parse_model_answer(answers: DataFrame) -> DataFrame:
     """(file, section, text, type, confidence) from a model's JSON answers (file, section, answer): an array, bare or within other text; bad entries are dropped."""
-    kinds = ("person", "project", "tool", "concept", "decision", "event", "lesson", "place", "tag")
+    kinds = ANSWERED
     body = F.regexp_extract("answer", r"(?s)(\[.*\])", 1)
     rows = F.from_json(body, "array<struct<text:string,type:string,confidence:double>>", {"mode": "PERMISSIVE"})
     out = answers.select("file", "section", F.explode(rows).alias("x")).select("file", "section", trim_all(F.col("x.text")).alias("text"), "x.type", F.coalesce("x.confidence", F.lit(0.8)).alias("confidence"))

@@ -570,3 +570,16 @@ FROM (SELECT *, (SELECT min_by(type, ord) FROM hn WHERE hn.id = hive.id) AS type
 def hive_brief(spark, sf_dir):
     m = federation.merge_nodes(agents(spark, sf_dir)["nodes"].drop("aliases"))
     return federation.brief(m).withColumn("hive_weight", F.round("hive_weight", 6))
+
+
+@query(HIVE_SQL + """, a AS (SELECT DISTINCT id, a FROM (SELECT id, unnest([lower(label), label || '-' || ord]) AS a FROM hn)), f AS (SELECT id, count(*) AS agents, string_agg('f' || ord, ',' ORDER BY ord) AS files FROM hn GROUP BY id)
+SELECT id, (SELECT string_agg(a, ',' ORDER BY a) FROM a WHERE a.id = f.id) AS aliases, files || ',shared' AS source_files, agents + 1 AS excerpts FROM f""")
+def hive_unions(spark, sf_dir):
+    """Aliases, files and excerpts of several agents' nodes, united in the order of agents, equal ones once."""
+    n = agents(spark, sf_dir)["nodes"]
+    k = F.col("agent_ord").cast("string")
+    text = lambda t: F.struct(F.lit("f").alias("file"), t.alias("text"), F.lit("d").alias("date"))
+    n = n.withColumns({"aliases": F.array(F.lower("label"), F.concat("label", F.lit("-"), k)), "source_files": F.array(F.concat(F.lit("f"), k), F.lit("shared")), "excerpts": F.array(text(F.lit("same")), text(k))})
+    m = federation.merge_nodes(n)
+    join = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return m.select("id", join("aliases"), join("source_files"), F.size("excerpts").cast("long").alias("excerpts"))

@@ -151,6 +151,18 @@ def note_memories(spark, sf_dir, own=None):
     return m.select("id", "label", "type", F.size("excerpts").cast("long").alias("excerpts"), F.sha2(F.array_join("excerpts", "|"), 256).alias("texts"))
 
 
+@query(NOTE_NODES + """, e AS (SELECT file, section, substr(sha256(file || ':' || heading || ':' || content), 1, 16) AS id, heading, date FROM notes),
+k AS (SELECT file, section, name, arg_min(type, (-confidence, ord)) AS type FROM named GROUP BY ALL)
+SELECT e.id, CASE WHEN regexp_matches(lower(heading), 'decision|decided|chose') THEN 'decision' WHEN regexp_matches(lower(heading), 'event|meeting|session') OR regexp_matches(heading, '\\d{4}-\\d{2}-\\d{2}') THEN 'event' ELSE 'observation' END AS type, e.date AS timestamp, heading AS title,
+  substr(sha256(k.name), 1, 16) AS node_id, CASE WHEN k.type IN ('concept', 'project', 'tool', 'tag') THEN 'topic' WHEN k.type = 'person' THEN 'participant' ELSE 'mentioned' END AS role
+FROM e JOIN k ON k.file = e.file AND k.section = e.section""")
+def note_episodes(spark, sf_dir, own=None):
+    """An episode a section, and the parts that its nodes play in it."""
+    e = extract.episodes(notes(spark, sf_dir) if own is None else own)
+    s = _seen(spark, sf_dir, own).select(F.col("file").alias("source"), "section", "node_id", extract.role(F.col("type")).alias("role"))
+    return e.join(s, ["source", "section"]).select("id", "type", "timestamp", "title", "node_id", "role")
+
+
 def _changed(spark, sf_dir, own):
     """Sightings before some files changed, those of the changed files (file) now, and these files: a tenth of the files are new, another tenth had half of their sections."""
     seen = _seen(spark, sf_dir, own)

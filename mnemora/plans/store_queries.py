@@ -320,3 +320,35 @@ def nodes_embedded(spark, sf_dir):
     store = GraphStore(spark, scratch(spark, "embedded-store"))
     store.upsert(nodes=n.select("id", "label", "type"))
     return embed_nodes(store, n, vectors.mock_vectors).select("id", "embedded", "warning")
+
+
+@query(W + "SELECT id FROM nodes WHERE NOT (mention_count % 3 <> 0 AND mention_count % 5 <> 0)")
+def embeddings_stale(spark, sf_dir):
+    """Nodes that were never embedded, or whose content has changed since."""
+    n = trade(spark, sf_dir)["nodes"].select("id", F.lit("node").alias("type"), F.col("label").alias("content"), "mention_count")
+    was = n.filter("mention_count % 3 <> 0").withColumn("content", F.when(F.col("mention_count") % 5 == 0, F.concat("content", F.lit(" before"))).otherwise(F.col("content")))
+    return vectors.stale(n, vectors.embed(was)).select("id")
+
+
+@query("""WITH f AS (SELECT doc_id, doc_id % 5 AS k FROM documents)
+SELECT doc_id::VARCHAR AS file, 'Topic ' || doc_id AS text, CASE k WHEN 2 THEN 'tool' ELSE 'concept' END AS type, CASE k WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM f WHERE k < 3""")
+def model_answers(spark, sf_dir):
+    """What a language model answers about every document, as mentions: within other words, without a confidence, of unknown kinds, broken, or out of range."""
+    from mnemora.operators import extract
+
+    d = table(spark, sf_dir, "documents")
+    k, word = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    row = lambda kind, more: F.concat(F.lit('[{"text": " Topic '), word, F.lit('", "type": "' + kind + '"' + more + "}]"))
+    answer = F.when(k == 0, F.concat(F.lit("Here it is:\n"), row("concept", ', "confidence": 0.9'), F.lit("\nDone."))).when(k == 1, row("concept", "")).when(k == 2, row("tool", ', "confidence": 0.6')).when(k == 3, row("mood", "")).otherwise(row("concept", ', "confidence": 7'))
+    return extract.parse_model_answer(d.select(word.alias("file"), F.lit("s").alias("section"), answer.alias("answer"))).select("file", "text", "type", "confidence")
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS file, source AS heading, coalesce(text, '') AS c FROM documents), p AS (SELECT *, unnest(range(greatest(1, ceil(length(c) / 12000.0)::BIGINT))) AS part FROM d)
+SELECT file, part::INTEGER AS part, sha256(chr(10) || chr(10) || '## ' || heading || chr(10) || substr(c, part * 12000 + 1, 12000)) AS body FROM p""")
+def model_prompts(spark, sf_dir):
+    """What a language model would be asked about every document, in parts that hold all of its text."""
+    from mnemora.operators import extract
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("s").alias("section"), F.col("source").alias("heading"), F.col("text").alias("content"))
+    p = extract.model_prompts(d)
+    return p.select("file", "part", F.sha2(F.substring(F.col("prompt"), F.locate("\n\n## ", F.col("prompt")), F.length("prompt")), 256).alias("body"))

@@ -23,7 +23,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["id", "source_label", "target_label", "current_weight", "days_since", "days_left"]
 
 
-NOTE_QUERIES = ("extract_structural", "extract_custom", "causal_sections", "mention_dedup", "note_nodes", "note_cooccurrence", "explicit_edges", "causal_edges", "temporal_edges_capped", "note_nodes_after_changes", "note_cooccurrence_after_changes", "note_memories")
+NOTE_QUERIES = ("extract_structural", "extract_custom", "causal_sections", "mention_dedup", "note_nodes", "note_cooccurrence", "explicit_edges", "causal_edges", "temporal_edges_capped", "note_nodes_after_changes", "note_cooccurrence_after_changes", "note_memories", "note_episodes")
 
 
 @pytest.mark.parametrize("name", NOTE_QUERIES)
