@@ -288,3 +288,19 @@ def test_a_hot_group_proposes_nothing_and_is_many_cells(spark):
     assert got == {(i, i + 1, 2) for i in range(0, 400, 2)}
     cells = pairs.together(rows.filter("group = 'hot'"), block=50).groupBy(F.spark_partition_id()).count()
     assert cells.agg(F.sum("count")).first()[0] == 400 * 399 // 2 and cells.count() > 1
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_crowded_groups_are_counted_in_cells(spark, monkeypatch, least, kind):
+    """Cells of items count what joined rows count, over many cells and strips of groups, and no pair is shuffled after them."""
+    random.seed(least)
+    rows = [(i, g) for g in range(1200) for i in random.sample(range(50), 2)] + [(i, 5000) for i in range(60)] + [(None, 1), (1, None), (1, 5000)]
+    df = spark.createDataFrame(rows, "item int, group int").selectExpr(f"cast(item as {kind}) item", "group")
+    monkeypatch.setattr(pairs, "CELL", 13)
+    seen = lambda d: sorted(tuple(r) for r in d.collect())
+    got = pairs.counted(df, least, crowded=True)
+    assert seen(got) == seen(pairs.counted(df, least, crowded=False)) == seen(pairs.counted(df, least))
+    assert seen(pairs.partners(df, least, crowded=True)) == seen(pairs.partners(df, least, crowded=False))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan[: plan.index("FlatMapGroupsInArrow")] for x in ("Aggregate", "Join"))
