@@ -248,21 +248,21 @@ def suggestions(nodes: DataFrame, edges: DataFrame, pending: DataFrame, most: in
 # insights
 
 
-def _aged(nodes: DataFrame, edges: DataFrame, now: Column) -> DataFrame:
+def _aged(nodes: DataFrame, degree: DataFrame, now: Column) -> DataFrame:
     age = days_between(F.col("first_seen"), now)
-    return nodes.join(degrees(nodes, edges), "id").withColumns({"age": F.when(age == 0, 1).otherwise(age), "days_since": days_between(F.col("last_reinforced"), now)})
+    return nodes.join(degree, "id").withColumns({"age": F.when(age == 0, 1).otherwise(age), "days_since": days_between(F.col("last_reinforced"), now)})
 
 
-def emerging(nodes: DataFrame, edges: DataFrame, now: Column, recent_days: int = 7, top: int = 10) -> DataFrame:
-    """Young nodes that are mentioned often for their age."""
-    n = _aged(nodes, edges, now).withColumn("velocity", F.col("mention_count") / F.col("age"))
+def emerging(nodes: DataFrame, degree: DataFrame, now: Column, recent_days: int = 7, top: int = 10) -> DataFrame:
+    """Young nodes that are mentioned often for their age. degree: (id, degree)."""
+    n = _aged(nodes, degree, now).withColumn("velocity", F.col("mention_count") / F.col("age"))
     n = n.filter((F.col("age") <= 2 * recent_days) & (F.col("velocity") >= 0.5) & (F.col("degree") >= 2))
     return n.orderBy(F.desc("velocity"), "id").limit(top).select("id", "label", "degree", "velocity")
 
 
 def anchors(nodes: DataFrame, edges: DataFrame, now: Column, top: int = 10) -> DataFrame:
     """Well connected and often mentioned nodes."""
-    n = _aged(nodes, edges, now).filter("degree >= 5 and mention_count >= 3")
+    n = _aged(nodes, degrees(nodes, edges), now).filter("degree >= 5 and mention_count >= 3")
     n = n.withColumn("anchor_score", F.col("degree") * 0.5 + F.col("mention_count") * 0.3 + F.col("reinforcement_count") * 0.2)
     return n.orderBy(F.desc(F.round("anchor_score", 9)), "id").limit(top).select("id", "label", "degree", "anchor_score")
 
@@ -270,7 +270,7 @@ def anchors(nodes: DataFrame, edges: DataFrame, now: Column, top: int = 10) -> D
 def fading_important(nodes: DataFrame, edges: DataFrame, now: Column, recent_days: int = 7, top: int = 10, config: GraphConfig = DEFAULT) -> DataFrame:
     """Connected nodes, not seen of late, whose edges are weak now."""
     w = adjacency(edges.withColumn("w", edge_weight(now, config))).groupBy("node").agg(F.avg("w").alias("avg_weight"))
-    n = _aged(nodes, edges, now).filter((F.col("degree") >= 3) & (F.col("mention_count") >= 2) & (F.col("days_since") > recent_days))
+    n = _aged(nodes, degrees(nodes, edges), now).filter((F.col("degree") >= 3) & (F.col("mention_count") >= 2) & (F.col("days_since") > recent_days))
     n = n.join(w, n["id"] == w["node"]).filter("avg_weight < 0.4")
     return n.orderBy(F.desc("degree"), "id").limit(top).select("id", "label", "degree", "avg_weight")
 
