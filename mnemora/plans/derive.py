@@ -31,15 +31,36 @@ def part_id(key: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit("part:"), key.cast("string")), 256), 1, 16)
 
 
+#: Bytes of the line items' files behind one task of orders, and one of pairs.
+TASK_BYTES = 16 << 20
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts orders and pairs are dealt to: they grow with the tables, so that a task's rows do not."""
+    fs, p = hadoop(spark, f"{sf_dir}/lineitem.parquet")
+    return max(spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(p).getLength() // TASK_BYTES))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section, date, customer, parts): orders with their different parts in order. Lines and orders are dealt by order once; pairs are made of an order's row, without a join."""
+    n = _tasks(spark, sf_dir)
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey").repartition(n, "o_orderkey")
+    return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_orderkey").alias("section"), F.col("o_orderdate").alias("date"), F.col("o_custkey").alias("customer"), "parts")
+
+
+def in_parts(m: DataFrame) -> DataFrame:
+    """Orders as rows of their parts."""
+    return m.select(*[c for c in m.columns if c != "parts"], F.explode("parts").alias("l_partkey"))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_orderkey").alias("section"), "l_partkey", F.col("o_orderdate").alias("date"), F.col("o_custkey").alias("customer"))
+    return in_parts(orders(spark, sf_dir)).select("section", "l_partkey", "date", "customer")
 
 
 def nodes_of(spark: SparkSession, sf_dir: str, m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Nodes of mentions; by: columns of the mentions that keep graphs apart."""
-    c = m.groupBy(*by, "l_partkey").agg(F.count(F.lit(1)).alias("mention_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_reinforced"))
+    """Nodes of orders; by: columns of the orders that keep graphs apart."""
+    c = in_parts(m).groupBy(*by, "l_partkey").agg(F.count(F.lit(1)).alias("mention_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_reinforced"))
     return named_nodes(spark, sf_dir, c, by)
 
 
@@ -53,16 +74,16 @@ def named_nodes(spark: SparkSession, sf_dir: str, c: DataFrame, by: tuple[str, .
     )
 
 
-def seen_together(m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, x, y, date): two parts of one section, by their keys."""
-    a, b = m.select(*by, "section", F.col("l_partkey").alias("x"), "date"), m.select("section", F.col("l_partkey").alias("y"))
-    return a.join(b, "section").filter("x < y")
+def seen_together(spark: SparkSession, sf_dir: str, m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, date): two parts of one order, by their keys, dealt by these."""
+    a = m.select(*by, "date", "parts", F.posexplode("parts").alias("_i", "x"))
+    p = a.select(*by, "x", F.explode(F.slice("parts", F.col("_i") + 2, F.size("parts"))).alias("y"), "date")
+    return p.repartition(2 * _tasks(spark, sf_dir), "x", "y")
 
 
-def pairs_of(m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Observed pairs by the parts' keys; the ids are made after the counts, once a pair."""
-    p = seen_together(m, by).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
-    return named_pairs(p, by)
+def pairs_of(spark: SparkSession, sf_dir: str, m: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Observed pairs by the parts' keys; ``named_pairs`` makes the ids, once a pair."""
+    return seen_together(spark, sf_dir, m, by).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
 def named_pairs(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -70,6 +91,11 @@ def named_pairs(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return ids.select(*by, F.least("i", "j").alias("source"), F.greatest("i", "j").alias("target"), "n", "first", "last")
 
 
+def often(pairs: DataFrame) -> DataFrame:
+    """Pairs that are edges: the few that ids need be made of."""
+    return pairs.filter(F.col("n") >= DEFAULT.graduation)
+
+
 def edges_of(pairs: DataFrame, at: Column, by: tuple[str, ...] = ()) -> DataFrame:
     base, g = DEFAULT.base_weights["co-occurrence"], DEFAULT.graduation
     e = pairs.filter(F.col("n") >= g).select(
@@ -125,10 +151,10 @@ def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """nodes, edges (weights decayed to the evaluation time) and pending of the trade graph."""
 
     def build(write) -> dict[str, DataFrame]:
-        m = mentions(spark, sf_dir)
-        pairs = write(pairs_of(m), "trade-pairs")
-        pending = pairs.filter(F.col("n") < DEFAULT.graduation).select("source", "target", F.lit("co-occurrence").alias("type"), F.col("n").alias("count"), F.col("first").alias("first_seen"))
-        return {"nodes": write(nodes_of(spark, sf_dir, m), "trade-nodes"), "edges": write(edges_of(pairs, now()), "trade-edges"), "pending": pending}
+        m = orders(spark, sf_dir)
+        pairs = write(pairs_of(spark, sf_dir, m), "trade-pairs")  # most are seen once: their ids are made where they are read
+        pending = named_pairs(pairs.filter(F.col("n") < DEFAULT.graduation)).select("source", "target", F.lit("co-occurrence").alias("type"), F.col("n").alias("count"), F.col("first").alias("first_seen"))
+        return {"nodes": write(nodes_of(spark, sf_dir, m), "trade-nodes"), "edges": write(edges_of(named_pairs(often(pairs)), now()), "trade-edges"), "pending": pending}
 
     return cached(spark, sf_dir, "trade", build)
 
@@ -139,14 +165,14 @@ def snapshot(spark: SparkSession, sf_dir: str, at: str) -> dict[str, DataFrame]:
     counts = [x for k, d in enumerate(days) for x in (F.count_if(F.col("date") <= d).alias(f"n{k}"), F.max(F.when(F.col("date") <= d, F.col("date"))).alias(f"last{k}"))]
 
     def build(write) -> dict[str, DataFrame]:
-        m = mentions(spark, sf_dir)
+        m = orders(spark, sf_dir)
         first = F.min("date").alias("first")
-        return {"parts": write(m.groupBy("l_partkey").agg(first, *counts), "snapshot-parts"), "pairs": write(seen_together(m).groupBy("x", "y").agg(first, *counts), "snapshot-pairs")}
+        return {"parts": write(in_parts(m).groupBy("l_partkey").agg(first, *counts), "snapshot-parts"), "pairs": write(seen_together(spark, sf_dir, m).groupBy("x", "y").agg(first, *counts), "snapshot-pairs")}
 
     wide, k = cached(spark, sf_dir, "snapshots", build), SNAPSHOT_DATES.index(at)
     parts = wide["parts"].filter(F.col(f"n{k}") > 0).select("l_partkey", F.col(f"n{k}").alias("mention_count"), F.col("first").alias("first_seen"), F.col(f"last{k}").alias("last_reinforced"))
     pairs = wide["pairs"].filter(F.col(f"n{k}") > 0).select("x", "y", F.col(f"n{k}").alias("n"), "first", F.col(f"last{k}").alias("last"))
-    return {"nodes": named_nodes(spark, sf_dir, parts), "edges": edges_of(named_pairs(pairs), days[k])}
+    return {"nodes": named_nodes(spark, sf_dir, parts), "edges": edges_of(named_pairs(often(pairs)), days[k])}
 
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_OF.items())
