@@ -9,6 +9,7 @@ from mnemora.config import DEFAULT, EVIDENCE, EXCERPTS, TEMPORAL_PER_FILE, Graph
 from mnemora.functions.text import edge_id, node_id
 from mnemora.functions.weights import stability
 from mnemora.operators.dynamics import first_rows, graduate
+from mnemora.shared import small_enough, written
 
 
 def roll_up(sightings: DataFrame) -> DataFrame:
@@ -25,12 +26,29 @@ def roll_up(sightings: DataFrame) -> DataFrame:
     return nodes.join(excerpts, "node_id", "left").withColumn("excerpts", F.coalesce("excerpts", none)).withColumnRenamed("node_id", "id")
 
 
+def often(sightings: DataFrame, least: int = DEFAULT.graduation) -> DataFrame:
+    """(node_id) of nodes with so many sightings: no pair is seen more often than either of its nodes."""
+    return sightings.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("node_id")
+
+
+def only(sightings: DataFrame, nodes: DataFrame, most: int = 100_000) -> DataFrame:
+    """The sightings of some nodes (node_id); those are written, and broadcast where they are few."""
+    return sightings.join(_if_few(nodes, most), "node_id", "left_semi")
+
+
+def _if_few(nodes: DataFrame, most: int = 100_000) -> DataFrame:
+    """What was found of each node, written, and broadcast where that are few rows."""
+    nodes = written(nodes, "nodes")
+    return F.broadcast(nodes) if small_enough(nodes, most) else nodes
+
+
 def section_pairs(sightings: DataFrame) -> DataFrame:
-    """Observations of unordered pairs of nodes in a section (file and heading), each once a section."""
+    """Observations of unordered pairs of nodes in a section (file and heading), each once a section. All goes by section, or by file where the rows already do."""
     m = sightings.groupBy("file", "section", "node_id").agg(F.min("ord").alias("ord"), F.min("date").alias("date"))
-    a = m.select("file", "section", F.col("node_id").alias("source"), "ord", "date")
-    b = m.select("file", "section", F.col("node_id").alias("target"))
-    return a.join(b, ["file", "section"]).filter("source < target").withColumn("context", F.col("section"))
+    named = m.groupBy("file", "section").agg(F.sort_array(F.collect_list(F.struct("node_id", "ord", "date"))).alias("_n"))
+    a = named.select("file", "section", "_n", F.posexplode("_n").alias("_i", "_a"))
+    b = a.select("file", "section", "_a", F.explode(F.slice("_n", F.col("_i") + 2, F.size("_n"))).alias("_b"))
+    return b.select("file", "section", F.col("_a.node_id").alias("source"), "_a.ord", "_a.date", F.col("_b.node_id").alias("target"), F.col("section").alias("context"))
 
 
 def explicit(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
@@ -47,7 +65,7 @@ def explicit_pairs(sightings: DataFrame) -> DataFrame:
 
 def causal(sightings: DataFrame, sections: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     """Directed edges between the first two nodes of each causal section (file, section)."""
-    return _edges(causal_pairs(sightings, sections), "causal", config, directed=True)
+    return _edges(written(causal_pairs(sightings, sections), "causal-pairs"), "causal", config, directed=True)
 
 
 def causal_pairs(sightings: DataFrame, sections: DataFrame) -> DataFrame:
@@ -66,9 +84,10 @@ def temporal(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     """
     place = F.struct("file", "section_ord", "ord")
     # a node counts from its second sighting on: the least place, and the least one after it, are combined before the shuffle
-    first = sightings.groupBy("node_id").agg(F.min(place).alias("_first"))
-    second = sightings.join(first, "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_s")).select("node_id", "_s.*")
-    kept = temporal_pairs(counted(sightings, second))
+    twice = only(sightings, often(sightings, 2))
+    first = twice.groupBy("node_id").agg(F.min(place).alias("_first"))
+    second = twice.join(_if_few(first), "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_s")).select("node_id", "_s.*")
+    kept = written(temporal_pairs(counted(twice, _if_few(second))), "temporal-pairs")
     return _edges(kept.withColumn("section", F.lit("")).withColumn("date", F.col("date").cast(sightings.schema["date"].dataType)), "temporal", config)
 
 
@@ -88,25 +107,43 @@ def temporal_pairs(m: DataFrame) -> DataFrame:
     different ones are found, however often a file repeats its nodes.
     """
 
-    def form(table):
+    def form(batches):
         import pyarrow as pa
 
-        sections: dict = {}
-        for row in table.sort_by([("section_ord", "ascending"), ("ord", "ascending"), ("node_id", "ascending")]).to_pylist():
-            sections.setdefault(row["section_ord"], []).append((row["node_id"], row["ord"], row["date"]))
-        order, found = sorted(sections), {}
-        pairs = ((x, y) for i, a in enumerate(order) for b in order[i + 1 :] for x in sections[a] for y in sections[b] if x[0] != y[0])
-        for (x, _, date), (y, _, other) in pairs:
-            found.setdefault((min(x, y), max(x, y)), min(d for d in (date, other) if d is not None) if date or other else None)
-            if len(found) == TEMPORAL_PER_FILE:
-                break
-        file = table.column("file")[0].as_py()
-        return pa.table([pa.array([file] * len(found), pa.string()), *(pa.array([p[k] for p in found], pa.string()) for k in (0, 1)), pa.array(list(found.values()), pa.string())], names=["file", "source", "target", "date"])
+        file, sections, out = None, {}, ([], [], [], [])
+
+        def close():
+            order, found = sorted(sections), {}
+            pairs = ((x, y) for i, a in enumerate(order) for b in order[i + 1 :] for x in sections[a] for y in sections[b] if x[0] != y[0])
+            for (x, _, date), (y, _, other) in pairs:
+                found.setdefault((min(x, y), max(x, y)), min(d for d in (date, other) if d is not None) if date or other else None)
+                if len(found) == TEMPORAL_PER_FILE:
+                    break
+            for (x, y), date in found.items():
+                for column, value in zip(out, (file, x, y, date), strict=True):
+                    column.append(value)
+
+        def flushed():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["file", "source", "target", "date"])
+            for column in out:
+                column.clear()
+            return batch
+
+        for batch in batches:  # a file may go on in the next one
+            for own, section, node, place, date in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if own != file:
+                    close()
+                    file, sections = own, {}
+                sections.setdefault(section, []).append((node, place, date))
+            if len(out[0]) >= 10_000:
+                yield flushed()
+        close()
+        yield flushed()
 
     begin = Window.partitionBy("file", "node_id").orderBy("section_ord")
-    m = m.withColumn("_k", F.row_number().over(begin)).filter("_k <= 2")
+    m = m.repartition("file").withColumn("_k", F.row_number().over(begin)).filter("_k <= 2")
     text = m.select(F.col("file").cast("string"), F.col("section_ord").cast("long"), F.col("node_id").cast("string"), F.col("ord").cast("long"), F.col("date").cast("string"))
-    return text.groupBy("file").applyInArrow(form, "file string, source string, target string, date string")
+    return text.sortWithinPartitions("file", "section_ord", "ord", "node_id").mapInArrow(form, "file string, source string, target string, date string")
 
 
 def _edges(pairs: DataFrame, kind: str, config: GraphConfig, directed: bool = False) -> DataFrame:
