@@ -23,12 +23,17 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+#: Names that no step of ``normalize`` but lower case changes: plain words with single spaces.
+PLAIN_NAME = r"\A[A-Za-z0-9_#@/]+(?: [A-Za-z0-9_#@/]+)*\z"
+
+
 def normalize(c: Column) -> Column:
     """The form in which names are compared; the order of the steps matters."""
+    plain, low = c.rlike(PLAIN_NAME), F.lower(c)
     for pattern, new in ((r"[’‘]s\z", ""), (r"[“”‘’\"]", ""), (r"[—–-]+\s*\z", ""), (r"^\s*[—–-]+", "")):
         c = F.regexp_replace(c, pattern, new)
     c = F.regexp_replace(trim_all(F.lower(c)), r"\s+", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"'s\z", ""), r"[.,;:!?]+\z", "")
+    return F.when(plain, low).otherwise(F.regexp_replace(F.regexp_replace(c, r"'s\z", ""), r"[.,;:!?]+\z", ""))
 
 
 def query_terms(c: Column) -> Column:

@@ -116,7 +116,10 @@ def temporal_pairs(m: DataFrame) -> DataFrame:
             order, found = sorted(sections), {}
             pairs = ((x, y) for i, a in enumerate(order) for b in order[i + 1 :] for x in sections[a] for y in sections[b] if x[0] != y[0])
             for (x, _, date), (y, _, other) in pairs:
-                found.setdefault((min(x, y), max(x, y)), min(d for d in (date, other) if d is not None) if date or other else None)
+                pair = (x, y) if x < y else (y, x)
+                if pair in found:
+                    continue
+                found[pair] = min(d for d in (date, other) if d is not None) if date or other else None
                 if len(found) == TEMPORAL_PER_FILE:
                     break
             for (x, y), date in found.items():

@@ -60,3 +60,16 @@ def test_pairs_of_orders_need_no_join_of_lines_with_lines(spark, sf_dir):
     p = plan(derive.pairs_of(spark, sf_dir, m))
     assert p.count("Scan parquet") == 2 and p.count("Join") == 1
     assert "sha2" not in p  # ids are made of the pairs that are read
+
+
+def test_plain_names_are_normalised_as_all_are(spark):
+    """The short way gives what the steps give, and is taken for plain words alone."""
+    from mnemora.functions import text
+
+    names = ["Brand#7", "blue ring", "A  b", " a", "a ", "It's", "x's", "a.", "a/b_c", "-a", "a-", "K\u212a", "", "a\n", "a\tb", "\u201ca\u201d", "@x/y", "a b c d", "9"]
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    plain = {r["n"] for r in df.filter(F.col("n").rlike(text.PLAIN_NAME)).collect()}
+    assert plain == {"Brand#7", "blue ring", "a/b_c", "@x/y", "a b c d", "9"}
+    got = {r["n"]: r["x"] for r in df.select("n", text.normalize(F.col("n")).alias("x")).collect()}
+    assert all(got[n] == n.lower() for n in plain) and got[None] is None
+    assert [got[n] for n in ("A  b", " a", "x's", "a.", "-a", "a\n", "\u201ca\u201d")] == ["a b", "a", "x", "a", "a", "a", "a"]
