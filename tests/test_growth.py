@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mnemora.operators import merge
+from mnemora.operators import merge, pairs as counting
 from mnemora.plans import derive, ingest_queries
 
 NOTE = "file string, section string, heading string, line long, content string, date string"
@@ -73,3 +73,23 @@ def test_plain_names_are_normalised_as_all_are(spark):
     got = {r["n"]: r["x"] for r in df.select("n", text.normalize(F.col("n")).alias("x")).collect()}
     assert all(got[n] == n.lower() for n in plain) and got[None] is None
     assert [got[n] for n in ("A  b", " a", "x's", "a.", "-a", "a\n", "\u201ca\u201d")] == ["a b", "a", "x", "a", "a", "a", "a"]
+
+
+def test_crowded_pairs_shuffle_no_copies_of_items(spark, monkeypatch):
+    """Only the numbers of cells are dealt, one task each, whatever their size; the items lie in sorted blocks that cells read. Pairs of a cell come by source, then target, which their files keep small."""
+    monkeypatch.setattr(counting, "CELL", 8)
+    df = spark.createDataFrame([(i, g) for i in range(60) for g in range(5) if (i + g) % 4], "item int, group int")
+    got = counting.counted(df, crowded=True)
+    exchanges = [x for x in plan(got).splitlines() if "Exchange " in x]
+    assert len(exchanges) == 1 and "rangepartitioning(_i" in exchanges[0] and "groups" not in exchanges[0]
+    parts = [[tuple(r) for r in p] for p in got.rdd.glom().collect()]
+    assert len([p for p in parts if p]) > 20 and all([r[:2] for r in p] == sorted(r[:2] for r in p) for p in parts)
+    shared = {(a, b): sum((a + g) % 4 and (b + g) % 4 and 1 for g in range(5)) for a in range(60) for b in range(a + 1, 60)}
+    assert {r[:2]: r[2] for p in parts for r in p} == {k: n for k, n in shared.items() if n}
+
+
+def test_crowded_pairs_of_no_rows_and_of_times(spark):
+    none = spark.createDataFrame([], "item string, group timestamp")
+    assert counting.counted(none, crowded=True).count() == 0 == counting.partners(none, crowded=True).count()
+    far = spark.sql("select i as item, g as group from values (1L), (2L) t(i), values (timestamp '0001-01-01 00:00:00'), (timestamp '9999-01-01 00:00:00') u(g)")
+    assert [tuple(r) for r in counting.counted(far, crowded=True).collect()] == [(1, 2, 2)]
