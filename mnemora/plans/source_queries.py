@@ -12,7 +12,7 @@ from mnemora.plans.catalog import day, query, r
 from mnemora.plans.derive import ctes, graph as trade, table
 from mnemora.plans.store_queries import PROCS, procs
 from mnemora.shared import scratch
-from mnemora.sources import captures, graph_json, memory_files, notes
+from mnemora.sources import captures, files, graph_json, memory_files, notes
 from mnemora.store import GraphStore
 
 W = "WITH " + ctes()
@@ -129,7 +129,7 @@ MEMORY = """f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'global/' WHEN 1 TH
 
 def memories(spark, sf_dir, faults=True):
     """Every document as a memory file (path, text); some with faults."""
-    d = table(spark, sf_dir, "documents")
+    d = files.dealt(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     n, word = F.col("doc_id"), F.col("doc_id").cast("string")
     place = F.when(n % 3 == 0, "global/").when(n % 3 == 1, F.concat(F.lit("projects/p"), (n % 7).cast("string"), F.lit("/"))).otherwise("agents/a/")
     kind = F.when(n % 4 == 0, "fact").when(n % 4 == 1, "decision").when(n % 4 == 2, "lesson").otherwise("event")

@@ -18,6 +18,7 @@ from mnemora.operators import store_ops, truth
 from mnemora.schemas import TABLES
 from mnemora.shared import hadoop, ship, written
 from mnemora.sources import captures, memory_files
+from mnemora.sources import files as files_source
 from mnemora.store import GraphStore, full
 
 SPOOL = ".capture"
@@ -86,7 +87,7 @@ def promote(store: GraphStore, folder: str) -> dict:
     paths = written(truth.target_paths(todo, files), "paths")
     placed = todo.join(paths.filter("path is not null"), "id")
     kind = F.when(F.col("kind").isin(*memory_files.KINDS), F.col("kind")).otherwise("fact")
-    rows = placed.select(
+    rows = files_source.dealt(placed, "id").select(
         "path", "id", kind.alias("type"), F.lit("active").alias("status"), "title", F.substring("ts", 1, 10).alias("created"), F.lit(None).cast("string").alias("last_reinforced"),
         F.lit(0).cast("long").alias("reinforcement_count"), "importance", "scope", "tags", F.array().cast("array<string>").alias("links"), F.lit(None).cast("string").alias("source"),
         F.concat(F.coalesce("content", "title"), F.lit("\n")).alias("body"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.dates import file_date
 from mnemora.shared import hadoop, ship
-from mnemora.sources import markdown
+from mnemora.sources import files, markdown
 
 
 def discover(spark: SparkSession, *inputs: str, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -19,9 +19,8 @@ def discover(spark: SparkSession, *inputs: str, ignore: tuple[str, ...] = ()) ->
     empty = spark.createDataFrame([], "path string, text string, hash string, modified timestamp")
     if not there:
         return empty
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(there)
     text = F.decode("content", "UTF-8")
-    out = files.select("path", text.alias("text"), F.sha2(text, 256).alias("hash"), F.col("modificationTime").alias("modified"))
+    out = files.below(spark, *there).select("path", text.alias("text"), F.sha2(text, 256).alias("hash"), "modified")
     for name in ignore:
         out = out.filter(~F.col("path").contains(f"/{name.strip('/')}/"))
     return out
@@ -31,10 +30,10 @@ def relative(path: Column, base: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^" + re.escape(base.rstrip("/")) + "/", "")
 
 
-def changes(files: DataFrame, ledger: DataFrame) -> DataFrame:
+def changes(found: DataFrame, ledger: DataFrame) -> DataFrame:
     """(path, status): new, changed or unchanged against the ledger (path, hash)."""
     l = ledger.select(F.col("path").alias("_p"), F.col("hash").alias("_h"))
-    j = files.join(l, files["path"] == l["_p"], "left")
+    j = found.join(l, found["path"] == l["_p"], "left")
     status = F.when(F.col("_p").isNull(), "new").when(F.col("_h") != F.col("hash"), "changed").otherwise("unchanged")
     return j.select("path", status.alias("status"))
 
@@ -73,7 +72,7 @@ def split_sections(text: str, keep_markup: bool = False) -> list[tuple[str, str,
     return out or ([("(intro)", "(intro)", 1, text.count("\n") + 1, whole)] if whole else [])
 
 
-def sections(files: DataFrame, keep_markup: bool = False) -> DataFrame:
+def sections(found: DataFrame, keep_markup: bool = False) -> DataFrame:
     """(file, section, heading, line, last_line, content, section_ord) of notes (path, text)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -83,8 +82,8 @@ def sections(files: DataFrame, keep_markup: bool = False) -> DataFrame:
             rows = [(p, s[1], s[0], s[2], s[3], s[4], i) for p, t in zip(pdf["path"], pdf["text"], strict=True) for i, s in enumerate(split_sections(t, keep_markup))]
             yield pd.DataFrame(rows, columns=["file", "section", "heading", "line", "last_line", "content", "section_ord"])
 
-    ship(files.sparkSession)
-    return files.select("path", "text").mapInPandas(run, "file string, section string, heading string, line long, last_line long, content string, section_ord long")
+    ship(found.sparkSession)
+    return found.select("path", "text").mapInPandas(run, "file string, section string, heading string, line long, last_line long, content string, section_ord long")
 
 
 def carried_headings(lines: DataFrame) -> DataFrame:

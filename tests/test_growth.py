@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemora.operators import merge, pairs as counting
@@ -93,3 +94,21 @@ def test_crowded_pairs_of_no_rows_and_of_times(spark):
     assert counting.counted(none, crowded=True).count() == 0 == counting.partners(none, crowded=True).count()
     far = spark.sql("select i as item, g as group from values (1L), (2L) t(i), values (timestamp '0001-01-01 00:00:00'), (timestamp '9999-01-01 00:00:00') u(g)")
     assert [tuple(r) for r in counting.counted(far, crowded=True).collect()] == [(1, 2, 2)]
+
+
+def test_small_files_are_dealt_by_number_and_read_as_spark_reads_them(spark, tmp_path):
+    """300 files are a task a core, not one each 32; the rows are those of Spark's own reader, whatever the names."""
+    from mnemora.sources import files
+
+    odd = ["a b.md", "x%20y.md", "ü.md", "x.txt", ".h.md", "_h.md", "_k=1.md", ".hidden/in.md", "_no/in.md", "deep/er/k=v/a.md", "deep/empty.md"]
+    for name in [*(f"d{i % 3}/n{i}.md" for i in range(300)), *odd]:
+        (tmp_path / "in dir" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in dir" / name).write_text("" if "empty" in name else f"text of {name}")
+    for inputs in ([str(tmp_path / "in dir")], [str(tmp_path / "in dir/d0"), f"file://{tmp_path}/in dir/a b.md"]):
+        got = files.below(spark, *inputs)
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(inputs).selectExpr("path", "content", "modificationTime")
+        assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in own.collect())
+    assert files.dealt(spark.range(files.FILES * 9), "id").rdd.getNumPartitions() == 10
+    with pytest.raises(FileNotFoundError):
+        files.below(spark, str(tmp_path / "none"))
