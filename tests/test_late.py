@@ -79,3 +79,37 @@ def test_empty_and_null_rows(spark, tmp_path):
     feed(spark, tmp_path / "in", [[(None, 1, T0), ("a", None, T0), ("a", 1, None)]], 0)
     run(spark, tmp_path)
     assert late.holding(spark, str(tmp_path / "log")).count() == 0
+
+
+def test_a_key_costs_a_few_calls_of_its_state_however_many_its_sightings(spark, tmp_path):
+    """One read, one write and one timer a key and batch; ids are held by Spark's deduplication, not call by call."""
+    import pandas as pd
+
+    calls: list = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, new):
+            calls.append("update")
+            self.held = new
+
+    class Handle:
+        def getValueState(self, *a):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    p = late.Sightings(1000)
+    p.init(Handle())
+    out = list(p.handleInputRows(("a",), iter([pd.DataFrame({"at": range(1_000_000, 1_005_000)}), pd.DataFrame({"at": [7]})]), None))
+    assert calls == ["get", "update", 1_004_999 // 1000 + 1000 + 1] and p.summary.held == (5001, 7, 1_004_999, 1, False)
+    assert [len(x) for x in out] == [1]
+    stream = spark.readStream.schema(DDL).parquet(str(tmp_path))
+    plan = late.change_log(stream)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("TransformWithState") < plan.index("DeduplicateWithinWatermark")
