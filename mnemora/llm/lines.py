@@ -25,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, boxed, drop_path, fingerprint, kept, let, text_of, unboxed, written
+from .common import boxed, drop_path, fingerprint, kept, let, text_of, unboxed, written
 
 #: A clause's length counts up to LONGEST, which is more than LEAST.
 SIZE, LEAST, LONGEST = 3, 80, 127
 #: Bytes of removals that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: A clause with the white space after it; nothing is tried twice.
-CLAUSE = r"(?:[^.!?,;:]|[.!?,;:](?![\x20\x09-\x0D]))*+(?:[.!?,;:][\x20\x09-\x0D]++)?"
+CLAUSE = r"[^.!?,;:]*+(?:[.!?,;:](?![\x20\x09-\x0D])[^.!?,;:]*+)*+(?:[.!?,;:][\x20\x09-\x0D]++)?"
 #: Added to the places of lines, which so come before those of clauses.
 LINES = -(1 << 30)
 
@@ -46,16 +46,20 @@ def _folded(text: Column) -> Column:
 
 
 def _lines(folded: Column) -> Column:
-    """Hashes of the lines with a word. folded: lower-cased text whose white space other than line feeds is single blanks."""
-    text = F.btrim(folded, F.lit(" \n"))  # so no part is empty, and none but the blank at its end is left to trim
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n[ \n]*"))
-    return F.transform(lines, lambda x: F.xxhash64(F.rtrim(x)))
+    """The lines with a word, lower-cased. folded: text whose white space other than line feeds is single blanks. Lines are lower-cased one by one, for those of ASCII alone take Spark's short way."""
+    return F.filter(F.transform(F.split(folded, "\n"), lambda x: F.trim(F.lower(x))), lambda x: x != "")
 
 
-def _clauses(folded: Column) -> Column:
-    """Of each clause 57 bits of hash, and in the low bits its length, or LONGEST where it is longer."""
-    text = let(F.replace(folded, F.lit("\n"), F.lit(" ")), lambda t: F.btrim(F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t), F.lit(" ")))
-    return F.transform(F.split(text, "(?<=[.!?,;:]) "), lambda x: F.xxhash64(x).bitwiseAND(~LONGEST).bitwiseOR(F.least(F.length(x), F.lit(LONGEST)).cast("long")))
+def _clauses(lines: Column) -> Column:
+    """The clauses of lines, which white space no longer doubles. Blanks are looked for first: most characters then cost one comparison."""
+    return F.split(F.array_join(lines, " "), " (?<=[.!?,;:] )")
+
+
+def _hashed(lines: Column, clauses: bool) -> Column:
+    """(a, b): of each line a hash; of each clause 57 bits of hash, and in the low bits its length, or LONGEST where it is longer."""
+    clause = lambda x: F.xxhash64(x).bitwiseAND(~LONGEST).bitwiseOR(F.least(F.length(x), F.lit(LONGEST)).cast("long"))
+    b = F.transform(_clauses(lines), clause) if clauses else F.array().cast("array<bigint>")
+    return F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("a"), b.alias("b"))
 
 
 def _windows(own: DataFrame, units: str, reading: int, first: int, long: Column) -> DataFrame:
@@ -70,8 +74,7 @@ def _windows(own: DataFrame, units: str, reading: int, first: int, long: Column)
 
 def removals(docs: DataFrame, clauses: bool = True) -> DataFrame:
     """(doc_id, th, lines, clauses): places of the covered windows of each document that has any, among its lines with a word and its clauses. docs: doc_id, text, th."""
-    readings = lambda t: F.struct(_lines(t).alias("a"), (_clauses(t) if clauses else F.array().cast("array<bigint>")).alias("b"))
-    both = let(let(F.lower("text"), _folded), readings)
+    both = let(let(let(F.col("text"), _folded), _lines), lambda x: _hashed(x, clauses))
     own, places = kept(docs.select("doc_id", "th", both.alias("w")).select("doc_id", "th", "w.a", "w.b"), "units")
     length = sum((F.col(f"u{i}").bitwiseAND(LONGEST) for i in range(1, SIZE)), F.col("u0").bitwiseAND(LONGEST))
     every = _windows(own, "a", 0, LINES, F.lit(True)).unionByName(_windows(own, "b", 1, 0, length >= LEAST))
@@ -100,13 +103,9 @@ def _long_runs(w: Column) -> Column:
     return F.when(F.size(w) == 0, w).otherwise(let(starts, runs))
 
 
-def _n_lines(trimmed: Column) -> Column:
-    """How many lines have a word. Where no line is blank, and none begins with white space, line feeds are counted by what is left without them."""
-    blank = trimmed.contains("\n\n")
-    for c in " \t\x0b\x0c\r":
-        blank = blank | trimmed.contains("\n" + c)
-    feeds = F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit("\n"), F.lit("")))
-    return F.when(trimmed == "", F.lit(0)).when(blank, F.size(F.split(trimmed, r"\n[\x20\x09-\x0D]*"))).otherwise(feeds + 1)
+def _full(line: Column) -> Column:
+    """Whether a line has a word: a search that ends at the first."""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _units(windows: Column) -> Column:
@@ -123,7 +122,6 @@ def dedup(docs: DataFrame, text_col: str = "text", clauses: bool = True) -> Data
     moved = gone.agg(F.coalesce(F.sum(40 + 4 * (F.size("_drop.l") + F.size("_drop.c"))), F.lit(0))).first()[0]
     out = docs.join(F.broadcast(gone) if moved <= BROADCAST_BYTES else gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_id"]) & (th == gone["_th"]), "left")
     lines = F.split(text, "\n")
-    blank = lambda x: F.btrim(x, F.lit(WHITE)) == ""
 
     def cut(pieces: Column) -> Column:
         """The text with covered clauses left out, their line feeds kept."""
@@ -132,15 +130,15 @@ def dedup(docs: DataFrame, text_col: str = "text", clauses: bool = True) -> Data
         return F.array_join(F.transform(F.sort_array(every), lambda x: x["p"]), "")
 
     def cleaned(own: Column) -> Column:
-        full = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: ~blank(F.get(own, i)))
+        full = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: _full(F.get(own, i)))
         stay = let(full, lambda f: F.array_except(f, F.transform("_drop.l", lambda i: F.get(f, i))))
         rest = F.when(F.size("_drop.c") == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)), cut))
-        return let(F.split(rest, "\n"), lambda r: F.array_join(F.filter(F.transform(stay, lambda i: F.get(r, i)), lambda x: ~blank(x)), "\n"))
+        return let(F.split(rest, "\n"), lambda r: F.array_join(F.filter(F.transform(stay, lambda i: F.get(r, i)), _full), "\n"))
 
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     d = F.struct(
         F.when(F.col("_drop").isNull(), text).otherwise(let(lines, cleaned)).alias("text"),
-        let(F.btrim(text, F.lit(WHITE)), _n_lines).cast("long").alias("n_lines"),
+        F.size(F.filter(lines, _full)).cast("long").alias("n_lines"),
         F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.l")).alias("n_removed"),
         F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(size("_drop.c")).alias("n_cut"),
     )
