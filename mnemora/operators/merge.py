@@ -33,10 +33,10 @@ def often(sightings: DataFrame, least: int = DEFAULT.graduation) -> DataFrame:
 
 def only(sightings: DataFrame, nodes: DataFrame, most: int = 100_000) -> DataFrame:
     """The sightings of some nodes (node_id); those are written, and broadcast where they are few."""
-    return sightings.join(_if_few(nodes, most), "node_id", "left_semi")
+    return sightings.join(if_few(nodes, most), "node_id", "left_semi")
 
 
-def _if_few(nodes: DataFrame, most: int = 100_000) -> DataFrame:
+def if_few(nodes: DataFrame, most: int = 100_000) -> DataFrame:
     """What was found of each node, written, and broadcast where that are few rows."""
     nodes = written(nodes, "nodes")
     return F.broadcast(nodes) if small_enough(nodes, most) else nodes
@@ -86,8 +86,8 @@ def temporal(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     # a node counts from its second sighting on: the least place, and the least one after it, are combined before the shuffle
     twice = only(sightings, often(sightings, 2))
     first = twice.groupBy("node_id").agg(F.min(place).alias("_first"))
-    second = twice.join(_if_few(first), "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_s")).select("node_id", "_s.*")
-    kept = written(temporal_pairs(counted(twice, _if_few(second))), "temporal-pairs")
+    second = twice.join(if_few(first), "node_id").filter(place > F.col("_first")).groupBy("node_id").agg(F.min(place).alias("_s")).select("node_id", "_s.*")
+    kept = written(temporal_pairs(counted(twice, if_few(second))), "temporal-pairs")
     return _edges(kept.withColumn("section", F.lit("")).withColumn("date", F.col("date").cast(sightings.schema["date"].dataType)), "temporal", config)
 
 

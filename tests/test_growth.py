@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemora.operators import merge, pairs as counting
+from mnemora.operators import increments, merge, pairs as counting
 from mnemora.plans import derive, ingest_queries
 
 NOTE = "file string, section string, heading string, line long, content string, date string"
@@ -56,6 +56,28 @@ def test_pairs_kept_up_with_changes_are_those_of_all_notes(spark, monkeypatch):
     assert all(seen.filter(F.col("name").startswith("head ")).count() == 0 for seen in formed)
 
 
+def rows_of(df):
+    return sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+def own_sightings(spark):
+    """A large file and small ones, nodes that come twice in a section, missing dates and excerpts."""
+    random.seed(1)
+    rows = [(f"f{random.randint(0, 9)}" if i % 3 else "big", f"s{random.randint(0, 30)}", f"n{random.randint(0, 20)}", i, f"d{i % 9}" if i % 5 else None, f"l{i}", f"t{i % 3}", f"e{i}" if i % 4 else None, i % 3 == 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "file string, section string, node_id string, ord long, date string, label string, type string, excerpt string, is_link boolean")
+    return df.withColumn("section_ord", F.expr("40 - cast(substring(section, 2) as long)"))
+
+
+def test_parts_of_sections_are_read_off_whole_files_with_no_sort_of_pairs(spark, monkeypatch):
+    seen = own_sightings(spark)
+    assert "Window" not in plan(increments.pair_parts(seen, seen.filter("false")).filter("type = 'co-occurrence'"))
+    want = rows_of(increments._parted(merge.section_pairs(seen), "co-occurrence", ["section", "ord"], "context"))
+    for pairs, rows in ((200_000, 50_000), (50, 100), (1, 1)):  # a large file is cut by its pairs' sources
+        monkeypatch.setattr(increments, "PAIRS_AT_ONCE", pairs)
+        monkeypatch.setattr(increments, "ROWS_AT_ONCE", rows)
+        assert rows_of(increments.section_parts(seen)) == want
+
+
 def test_pairs_of_orders_need_no_join_of_lines_with_lines(spark, sf_dir):
     m = derive.orders(spark, sf_dir)
     p = plan(derive.pairs_of(spark, sf_dir, m))
