@@ -78,6 +78,35 @@ def test_parts_of_sections_are_read_off_whole_files_with_no_sort_of_pairs(spark,
         assert rows_of(increments.section_parts(seen)) == want
 
 
+def test_parts_of_nodes_take_one_shuffle_and_no_join(spark, monkeypatch):
+    seen, (by, place) = own_sightings(spark), (["node_id", "file"], F.struct("section", "ord"))
+    p = plan(increments.node_parts(seen))
+    assert p.count("Exchange ") == 1 and "Join" not in p and "Window" not in p
+    texts = merge.first_rows(seen.filter("excerpt is not null"), by, ["section", "ord"], 10, F.struct("file", F.col("excerpt").alias("text"), "date"), "excerpts")
+    places = merge.first_rows(seen, by, ["section_ord", "ord"], 2, F.struct("section_ord", "ord"), "places")
+    one = seen.groupBy(*by).agg(F.min_by("label", place).alias("label"), F.min_by("type", place).alias("type"), F.count("*").alias("n"), F.min_by("date", place).alias("first"), F.max_by("date", place).alias("last"))
+    want = rows_of(one.join(texts, by, "left").join(places, by).withColumn("excerpts", F.coalesce("excerpts", F.array().cast("array<struct<file:string,text:string,date:string>>"))))
+    for rows in (50_000, 7, 1):
+        monkeypatch.setattr(increments, "ROWS_AT_ONCE", rows)
+        assert rows_of(increments.node_parts(seen)) == want
+
+
+def test_written_tables_leave_no_shuffled_files(spark, tmp_path):
+    import glob
+    import time
+
+    from mnemora.shared import CLEANUP, written
+
+    files = lambda: set(glob.glob(f"{spark._jvm.System.getProperty('java.io.tmpdir')}/blockmgr-*/*/shuffle_*.data"))
+    before, was = files(), spark.conf.get(CLEANUP)
+    own = written(spark.range(1000).repartition(7, "id"), "own")
+    end = time.time() + 10  # blocks are removed in the background
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == was
+    assert own.count() == 1000
+
+
 def test_pairs_of_orders_need_no_join_of_lines_with_lines(spark, sf_dir):
     m = derive.orders(spark, sf_dir)
     p = plan(derive.pairs_of(spark, sf_dir, m))
