@@ -53,14 +53,17 @@ def section_pairs(sightings: DataFrame) -> DataFrame:
 
 def explicit(sightings: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
     """Edges from links to all other nodes of their section; a pair seen n times, from either end, is reinforced n - 1 times. sightings: also is_link."""
-    return _edges(explicit_pairs(sightings), "explicit", config)
+    own = sightings.select("file", "section", "node_id", "is_link", "date").repartition("file", "section")  # once, for nodes of sections and for sections
+    return _edges(explicit_pairs(own), "explicit", config)
 
 
 def explicit_pairs(sightings: DataFrame) -> DataFrame:
-    m = sightings.groupBy("file", "section", "node_id").agg(F.max(F.col("is_link").cast("int")).alias("link"), F.min("date").alias("date"))
-    a = m.filter("link = 1").select("file", "section", F.col("node_id").alias("x"), "date")
-    b = m.select("file", "section", F.col("node_id").alias("y"))
-    return a.join(b, ["file", "section"]).filter("x <> y").select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "file", "section", "date")
+    """(source, target, file, section, date) of every link and every other node of its section: made of a section's row, with no join."""
+    m = sightings.filter("file is not null and section is not null").groupBy("file", "section", "node_id").agg(F.max(F.col("is_link").cast("int")).alias("link"), F.min("date").alias("date"))
+    named = m.groupBy("file", "section").agg(F.collect_list(F.when(F.col("link") == 1, F.struct(F.col("node_id").alias("x"), "date"))).alias("_a"), F.collect_list("node_id").alias("_y"))
+    a = named.select("file", "section", "_y", F.explode("_a").alias("_a"))
+    b = a.select("file", "section", F.col("_a.x").alias("x"), "_a.date", F.explode("_y").alias("y")).filter("x <> y")
+    return b.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "file", "section", "date")
 
 
 def causal(sightings: DataFrame, sections: DataFrame, config: GraphConfig = DEFAULT) -> DataFrame:
@@ -154,7 +157,8 @@ def _edges(pairs: DataFrame, kind: str, config: GraphConfig, directed: bool = Fa
     order = F.struct("file", "section", "date")
     one = F.struct(F.col("file"), F.col("date"), F.col("section").alias("context"))
     evidence = first_rows(pairs, ["source", "target"], ["file", "section", "date"], EVIDENCE, one, "evidence")
-    g = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.min_by("date", order).alias("first"), F.max_by("date", order).alias("last")).join(evidence, ["source", "target"])
+    g = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.min_by("date", order).alias("first"), F.max_by("date", order).alias("last"))
+    g = g.join(evidence, ["source", "target"], "left")  # every pair has some; an outer join is left out where nobody reads it
     rc = F.col("n") - 1
     return g.select(
         edge_id(F.col("source"), F.col("target"), F.lit(kind), F.lit(directed)).alias("id"), "source", "target", F.lit(kind).alias("type"), F.lit(directed).alias("directed"),

@@ -107,6 +107,18 @@ def test_written_tables_leave_no_shuffled_files(spark, tmp_path):
     assert own.count() == 1000
 
 
+def test_links_meet_their_section_without_a_join_and_evidence_is_made_where_it_is_read(spark):
+    seen = own_sightings(spark)
+    e = merge.explicit(seen)
+    p = plan(e.select("id", "reinforcement_count"))
+    assert "Join" not in p and "Window" not in p and p.count("Exchange ") == 2
+    m = seen.groupBy("file", "section", "node_id").agg(F.max("is_link").alias("link"), F.min("date").alias("date"))
+    a, b = m.filter("link").selectExpr("file", "section", "node_id as x", "date"), m.selectExpr("file", "section", "node_id as y")
+    pairs = a.join(b, ["file", "section"]).filter("x <> y").selectExpr("least(x, y) as source", "greatest(x, y) as target", "file", "section", "date")
+    assert rows_of(merge.explicit_pairs(seen)) == rows_of(pairs)
+    assert {r["id"]: len(r["evidence"]) for r in e.collect()} == {f"{r['source']}--{r['target']}--explicit": min(20, r["count"]) for r in pairs.groupBy("source", "target").count().collect()}
+
+
 def test_pairs_of_orders_need_no_join_of_lines_with_lines(spark, sf_dir):
     m = derive.orders(spark, sf_dir)
     p = plan(derive.pairs_of(spark, sf_dir, m))
