@@ -38,7 +38,7 @@ def only(sightings: DataFrame, nodes: DataFrame, most: int = 100_000) -> DataFra
 
 def if_few(nodes: DataFrame, most: int = 100_000) -> DataFrame:
     """What was found of each node, written, and broadcast where that are few rows."""
-    nodes = written(nodes, "nodes")
+    nodes = written(nodes, "nodes", lean=True)
     return F.broadcast(nodes) if small_enough(nodes, most) else nodes
 
 

@@ -91,7 +91,7 @@ def test_parts_of_nodes_take_one_shuffle_and_no_join(spark, monkeypatch):
         assert rows_of(increments.node_parts(seen)) == want
 
 
-def test_written_tables_leave_no_shuffled_files(spark, tmp_path):
+def test_lean_tables_leave_no_shuffled_files(spark, tmp_path):
     import glob
     import time
 
@@ -99,7 +99,7 @@ def test_written_tables_leave_no_shuffled_files(spark, tmp_path):
 
     files = lambda: set(glob.glob(f"{spark._jvm.System.getProperty('java.io.tmpdir')}/blockmgr-*/*/shuffle_*.data"))
     before, was = files(), spark.conf.get(CLEANUP)
-    own = written(spark.range(1000).repartition(7, "id"), "own")
+    own = written(spark.range(1000).repartition(7, "id"), "own", lean=True)
     end = time.time() + 10  # blocks are removed in the background
     while files() - before and time.time() < end:
         time.sleep(0.1)
